@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, tokencount
+from . import bpe, decontam, minhash, repeats, tokencount
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), share=(85, 100))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+ties AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ties UNION SELECT r.a, e.b FROM reach r JOIN ties e ON r.b = e.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id))::BIGINT AS component_id, doc_id <= coalesce(c, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.dedup(_table(spark, sf_dir, "documents"), spacing=False)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i+19], ' ')))) AS h FROM d WHERE len(w) >= 20),
+later AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM later, range(20) AS r(k)),
+kept AS (SELECT doc_id, u.i AS i, u.word AS word FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: {'i': i, 'word': w[i]})) AS u FROM d)),
+left_over AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM kept k ANTI JOIN gone g ON k.doc_id = g.doc_id AND k.i = g.i GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,8 +82,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_minhash": op3_minhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}

@@ -19,6 +19,8 @@ GAP_SQL = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = str.maketrans(UPPER, LOWER)
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -45,7 +47,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    saved = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled to make the table is of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, saved)
     return spark.read.schema(df.schema).parquet(path)
 
 
