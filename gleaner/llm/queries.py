@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, repeats, tokencount
+from . import bpe, decontam, minhash, quality, repeats, tokencount
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -76,6 +76,11 @@ FROM documents LEFT JOIN best USING (doc_id)
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 
