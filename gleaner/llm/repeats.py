@@ -312,17 +312,17 @@ def _spaced(text: str, stay: np.ndarray) -> str:
     return "".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spacing: bool = True) -> DataFrame:
-    """One row a document: (id, n_words, n_removed, kept). kept is the text without the covered words:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spacing: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: (id, n_words, n_removed, kept) and the columns named in keep. kept is the text without the covered words:
     with its own white space (null for null), or with spacing=False the words joined by one space."""
     kind = dict(docs.dtypes)[id_col]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be an integer")
     found = repeats(docs, id_col=id_col, text_col=text_col, length=length)
-    marked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(found, "doc", "left")
+    marked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("boolean").alias("more")).join(found, "doc", "left")
 
     def work(batch: pa.RecordBatch) -> dict:
-        out = {"doc": batch.column(0), "n_words": [], "n_removed": [], "kept": []}
+        out = {"doc": batch.column(0), "more": batch.column(4), "n_words": [], "n_removed": [], "kept": []}
         for text, parts, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
             words = WORDS.findall(text or "")
             gone = 0
@@ -337,5 +337,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
                 out["kept"].append(" ".join([w for w, s in zip(words, stay) if s] if gone else words))
         return out
 
-    done = mapped(marked.select("doc", "text", "starts", "whole"), work, "doc long, n_words long, n_removed long, kept string")
-    return done.withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_col)
+    more = dict(marked.dtypes)["more"]
+    done = mapped(marked.select("doc", "text", "starts", "whole", "more"), work, f"doc long, n_words long, n_removed long, kept string, more {more}")
+    return done.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept", *(F.col("more")[c].alias(c) for c in keep))
