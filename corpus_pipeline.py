@@ -1,4 +1,67 @@
-STAGES = []
+"""From raw documents to token ids: quality, near copies, repeats, leaked test items, encoding.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents that
+stay, with the columns it was given (the last: the encoded documents). run() writes each stage's rows as
+Parquet to the folder that the cluster shares and reads them back for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import bpe, decontam, minhash, quality, repeats
+from gleaner.llm.shared import settle
+
+TOKENIZER = "byte_bpe_50k.json"
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of these documents, doesn't reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(docs, model, score_col="quality_score").filter("quality_score >= 0.3").select(*docs.columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies (similarity 0.8 or more)."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that stand earlier; a text that loses all words goes."""
+    cut = repeats.dedup(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    left = cut.filter("n_removed < n_words or n_words = 0").withColumn("text", F.col("kept"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item."""
+    leaks = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens, and digests of the ids and of the text decoded from them."""
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_copies_stage),
+    ("substring dedup", repeats_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
+
+#: SQL can't express the classifier or the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return docs
