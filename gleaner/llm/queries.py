@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality, repeats, tokencount
+from . import bpe, decontam, embeddings, licences, lmscore, minhash, quality, repeats, tokencount, warc
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), F.broadcast(licences.known_licences(spark)))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), share=(85, 100))
 
@@ -42,6 +46,49 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = doc_id
 """
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM x WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_dot_product(p.e, q.e) >= 0.95 * p.n * q.n),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id))::BIGINT AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    wanted = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lmscore.score(docs, lmscore.Models(lmscore.count(docs, wanted)))
+
+
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(warc.captures(_table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return done.select("record_id", "url", "response_id", "outcome", F.coalesce(F.array_join(entries, "\n"), F.lit("")).alias("headers"))
+
+
+OP6_SQL = r"""
+WITH bare AS (SELECT page_id, substr(md5(coalesce(html, '')), 1, 16) AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS u FROM pages),
+parts AS (SELECT page_id, tag, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host, regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS q FROM bare),
+p AS (SELECT page_id, tag, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM parts),
+asked AS (SELECT page_id * 2 + 1 AS record_id, url, (page_id + 500) * 2 + 1 AS t, tag FROM p),
+full_ones AS (SELECT page_id * 2 AS response_id, url, page_id * 2 AS t, tag FROM p),
+found AS (SELECT a.record_id, a.url, a.t, a.tag, f.response_id, f.tag AS tag_then FROM asked a ASOF LEFT JOIN full_ones f ON a.url = f.url AND a.t >= f.t)
+SELECT record_id, url, CASE WHEN tag = tag_then THEN response_id END AS response_id,
+    CASE WHEN response_id IS NULL THEN 'no earlier response' WHEN tag = tag_then THEN 'resolved' ELSE 'validator differs' END AS outcome,
+    CASE WHEN tag = tag_then THEN 'Content-Type: text/html' || chr(10) || 'ETag: "' || tag || '"' || chr(10) || 'date: ' || t ELSE '' END AS headers
+FROM found
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.dedup(_table(spark, sf_dir, "documents"), spacing=False)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -87,11 +134,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_licences": op2_licences,
     "op3_minhash": op3_minhash,
+    "op4_embeddings": op4_embeddings,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_revisits": op6_revisits,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op2_licences": licences.scan_sql(), "op4_embeddings": OP4_SQL, "op6_revisits": OP6_SQL, "op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
