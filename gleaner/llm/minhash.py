@@ -7,11 +7,12 @@
    least document. Links are between classes, so thousands of copies cost one row.
 3. Classes that share a band key are candidates. Buckets with the same members are one bucket. Large
    buckets are cut into slices, and each pair of slices is a unit of work, so none meets in one task.
-4. Signatures are compared inside a unit. First only a spanning forest of the likely links leaves it;
-   these pairs are confirmed on the full sets and joined into components. Then the best pairs between
-   different components; then every pair still between different components whose estimate doesn't
-   rule the link out (four standard deviations). So no link that matters is skipped, and a large
-   group of near copies leaves a number of pairs that follows its size, not the square of it.
+4. Signatures are compared inside a unit; a pair that shares several bands belongs to the first. First only
+   a spanning forest of the likely links leaves each unit; these pairs are confirmed on the full sets and
+   joined into components. Then the documents that still have a pair between different components, whose
+   estimate doesn't rule the link out (four standard deviations), meet again with their texts, and the unit
+   confirms all these pairs on the full sets. So no link that matters is skipped, and what leaves a unit
+   follows its documents, not their pairs.
 5. Components by alternating large-star and small-star.
 
 Chance of missing a link at the threshold with 32 bands of 5: under 2e-8 at 0.85, 4e-6 at 0.8.
@@ -35,8 +36,8 @@ from .components import components
 from .shared import WORDS, WordHashes, lowered, mapped, rolling, settle
 
 WIDTH, BANDS, ROWS, FUNCTIONS = 5, 32, 5, 200
-#: Members of a bucket that are compared with each other in one unit of work.
-SLICE = 1024
+#: Members of a bucket, and shingles of them, that one side of a unit of work holds.
+SLICE, SLICE_SHINGLES = 1024, 1 << 20
 
 _factors = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 63, (2, FUNCTIONS), np.uint64)
 _TIMES, _PLUS = _factors[0] * np.uint64(2) + np.uint64(1), _factors[1]
@@ -93,57 +94,58 @@ def _agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (share - 1 / 256) / (1 - 1 / 256)
 
 
-def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, estimate) of a unit's pairs with an estimate of at least least and sizes that allow the link."""
+def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, band: int, least: float, threshold: float, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, estimate) of a unit's pairs with an estimate of at least least, sizes that allow the link and no
+    earlier band in common; with component: between different components."""
     left, right, found = [], [], []
+    before = signature[:, : band * ROWS].reshape(len(n), band, ROWS)
     for i in range(len(n) - 1):
         others = np.arange(i + 1, len(n))
         others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])]
         if sides is not None:
             others = others[sides[others] != sides[i]]
-        if not len(others):
-            continue
+        if component is not None:
+            others = others[component[others] != component[i]]
         e = _agreement(signature[i], signature[others])
-        keep = e >= least
-        right.append(others[keep])
-        left.append(np.full(keep.sum(), i))
-        found.append(e[keep])
+        others, e = others[e >= least], e[e >= least]
+        if band and len(others):  # five bytes that agree by chance: once in 2 ** 40
+            own = ~(before[others] == before[i]).all(axis=2).any(axis=1)
+            others, e = others[own], e[own]
+        if len(others):
+            left.append(np.full(len(others), i))
+            right.append(others)
+            found.append(e)
     if not left:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(left), np.concatenate(right), np.concatenate(found)
 
 
-def _forest(count: int, left: np.ndarray, right: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which pairs make a spanning forest, the likeliest first."""
-    root, kept = list(range(count)), []
+class _Sets:
+    """Disjoint sets of 0..count-1."""
+
+    def __init__(self, count: int) -> None:
+        self.up = list(range(count))
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
+    def top(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
         return x
 
-    for k in np.argsort(-found, kind="stable"):
-        a, b = top(left[k]), top(right[k])
-        if a != b:
-            root[b] = a
-            kept.append(k)
-    return np.array(kept, int)
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.top(x), self.top(y)
+        self.up[b] = a
+        return a != b
 
 
-def _best_between(component: np.ndarray, left: np.ndarray, right: np.ndarray, found: np.ndarray, most: int) -> np.ndarray:
-    """The likeliest pairs between each two components."""
-    a, b = component[left], component[right]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((-found, high, low))
-    low, high = low[order], high[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - begin < most]
+def _forest(count: int, left: np.ndarray, right: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which pairs make a spanning forest, the likeliest first."""
+    sets = _Sets(count)
+    return np.array([k for k in np.argsort(-found, kind="stable") if sets.join(left[k], right[k])], int)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows with the same bucket, i and j, which come one after another."""
+    """Rows with the same bucket, i and j (the first three columns), which come one after another."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -162,37 +164,78 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _candidates(members: DataFrame, mode: str, threshold: float) -> DataFrame:
-    """(a, b) with a < b: pairs to confirm. members: bucket, slices, doc, n, signature, component."""
-    likely = threshold if mode == "forest" else threshold - 4 * (threshold * (1 - threshold) / FUNCTIONS) ** 0.5
+def _unit(unit: pa.Table) -> tuple:
+    """(documents, sizes, components, signatures, sides or None, band), in order of documents."""
+    doc, n, component = (unit[c].to_numpy() for c in ("doc", "n", "component"))
+    order = np.argsort(doc, kind="stable")
+    signature = np.frombuffer(b"".join(unit["signature"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)[order]
+    sides = unit["slice"].to_numpy()[order] if unit["i"][0].as_py() != unit["j"][0].as_py() else None
+    return order, doc[order], n[order], component[order], signature, sides, unit["band"][0].as_py()
+
+
+UNIT = "bucket long, i int, j int, slice int, band int, doc long, n long, signature binary, component long"
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Units of work: rows of members for each pair of slices of their bucket."""
+    own = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")
+    spread = members.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)))
+    return _together(spread.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "band", "doc", "n", "signature", "component"))
+
+
+def _together(units: DataFrame) -> DataFrame:
+    return units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _likely_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: a spanning forest of each unit's pairs whose estimate reaches the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            doc, n, component = (unit[c].to_numpy() for c in ("doc", "n", "component"))
-            if mode != "forest" and (component == component[0]).all():
-                continue
-            order = np.argsort(doc, kind="stable")
-            signature = np.frombuffer(b"".join(unit["signature"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)[order]
-            sides = unit["slice"].to_numpy()[order] if unit["i"][0].as_py() != unit["j"][0].as_py() else None
-            doc, n, component = doc[order], n[order], component[order]
-            left, right, found = _pairs(signature, n, sides, likely, threshold)
-            if mode != "forest":
-                apart = component[left] != component[right]
-                left, right, found = left[apart], right[apart], found[apart]
-            if mode == "forest":
-                chosen = _forest(len(doc), left, right, found)
-            elif mode == "best":
-                chosen = _best_between(component, left, right, found, 8)
-            else:
-                chosen = np.arange(len(left))
+            _, doc, n, _, signature, sides, band = _unit(unit)
+            left, right, found = _pairs(signature, n, sides, band, threshold, threshold)
+            chosen = _forest(len(doc), left, right, found)
             if len(chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["a", "b"])
 
-    own = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1))
-    spread = members.withColumn("slice", own).withColumn("other", other).select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "doc", "n", "signature", "component")
-    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return _dealt(members).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _links_left(members: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
+    """Edges (u, v) between different components: every pair that the estimate doesn't rule out is confirmed
+    on the full sets, inside its unit, unless links of the unit have joined the two already."""
+    least, most = share
+    threshold = least / most
+    likely = threshold - 4 * (threshold * (1 - threshold) / FUNCTIONS) ** 0.5
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            if len(unit) < 2 or len(np.unique(unit["component"].to_numpy())) < 2:
+                continue
+            order, _, n, component, signature, sides, band = _unit(unit)
+            left, right, _ = _pairs(signature, n, sides, band, likely, threshold, component)
+            if len(left):
+                yield from unit.take(pa.array(order[np.unique(np.concatenate([left, right]))])).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            order, doc, n, component, signature, sides, band = _unit(unit)
+            sets = [shingle_set(t, width) for t in unit["text"].take(pa.array(order)).to_pylist()]
+            left, right, found = _pairs(signature, n, sides, band, likely, threshold, component)
+            joined, chosen = _Sets(len(doc)), []
+            for k in np.argsort(-found, kind="stable"):
+                i, j = left[k], right[k]
+                if joined.top(i) == joined.top(j):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if most * both >= least * (len(sets[i]) + len(sets[j]) - both):
+                    joined.join(i, j)
+                    chosen.append(k)
+            if chosen:
+                yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["u", "v"])
+
+    still_open = _dealt(members).mapInArrow(open_rows, UNIT)
+    return _together(still_open.join(texts, "doc").select("bucket", "i", "j", "slice", "band", "doc", "n", "signature", "component", "text")).mapInArrow(confirm, "u long, v long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
@@ -224,21 +267,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = settle(signatures(docs, id_col, text_col, width), "op3-signed")
     first = F.min(F.struct("doc", "n", "signature", "keys"))
     classes = settle(signed.filter("digest is not null and doc is not null").groupBy("digest").agg(first.alias("r")).select("digest", "r.*"), "op3-classes")
-    bands = classes.select("doc", F.explode("keys").alias("key"))
+    bands = classes.select("doc", "n", F.posexplode("keys").alias("band", "key"))
     # A bucket is known by its members: how many, the least, and a digest of all.
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least"), F.bit_xor(F.xxhash64("doc")).alias("all")).filter("size > 1")
-    single = buckets.groupBy("size", "least", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / SLICE).alias("slices"))
-    members = settle(bands.join(single, "key").select(F.col("key").alias("bucket"), "slices", "doc"), "op3-members")
-    wanted = members.select("doc").distinct()
-    signed_members = settle(members.join(classes.select("doc", "n", "signature"), "doc"), "op3-compared")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("band").alias("band"), F.min("doc").alias("least"), F.bit_xor(F.xxhash64("doc")).alias("all")).filter("size > 1")
+    slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("total") / SLICE_SHINGLES))
+    single = buckets.groupBy("size", "least", "all").agg(F.min(F.struct("band", "key", slices.alias("slices"))).alias("b")).select("b.band", "b.key", "b.slices")
+    members = bands.select("doc", "key").join(single, "key").select(F.col("key").alias("bucket"), "band", "slices", "doc")
+    compared = settle(members.join(classes.select("doc", "n", "signature"), "doc"), "op3-compared")
+    wanted = compared.select("doc").distinct().hint("merge")  # grows with the input, so it isn't broadcast at any size
     texts = settle(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "op3-texts")
-    edges = None
-    known = None  # (node, component)
-    for mode in ("forest", "best", "rest"):
-        placed = signed_members.withColumn("component", F.col("doc")) if known is None else signed_members.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        linked = _confirmed(_candidates(placed, mode, threshold), texts, share, width)
-        edges = linked if edges is None else known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked)
-        known = components(edges, f"op3-{mode}")
+    first_edges = _confirmed(_likely_links(compared.withColumn("component", F.col("doc")), threshold), texts, share, width)
+    known = components(first_edges, "op3-first")
+    placed = compared.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rest = _links_left(placed, texts, share, width)
+    known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest), "op3-rest")
     ends = classes.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = signed.select("doc", "n", "digest").join(ends, "digest", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
