@@ -11,8 +11,9 @@ How it runs. A task hashes its documents in batches and sends, for each range of
 each hash once per batch, with the batch's first place. A batch knows by itself which of its own places
 repeat, so a passage that a third of all documents hold costs one entry a batch, not one a document; of
 exact copies in a batch only the first is hashed at all, the later ones are known to repeat whole.
-Ranges are as many as the input is large. What comes back are places, gathered by document. Hits are
-written to the shared folder, so lost executors don't repeat the search.
+Ranges are as many as the input is large, and so are the shares that documents are dealt into by id: what
+a range finds goes back as one packed row a share, where it meets the share's texts. Hits are written to
+the shared folder, so lost executors don't repeat the search.
 
 Nulls and empty texts have no words: nothing is removed, the digest is of the empty text. A row without
 an id is kept as it is and matched with nothing. A repeated row (same id, same text) is one document;
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .shared import WORDS, WordHashes, mapped, rolling, settle
+from .shared import WORDS, WordHashes, mixed, rolling, settle
 
 LENGTH = 20
 #: Words hashed at a time in one task; bounds its memory (about 60 bytes a word).
@@ -159,33 +160,24 @@ class _Batches:
 
 
 PACKED = "range long, docs binary, h binary, h2 binary, doc binary, start binary, flags binary, own_doc binary, own_start binary, whole array<long>"
-FOUND = "doc long, starts binary, whole boolean"
+FOUND = "share long, docs binary, counts binary, starts binary, whole array<long>"
 
 
-def _search(windows: DataFrame, make, width: int, anchors: bool) -> DataFrame:
-    """(doc, starts, whole): places of windows that occur elsewhere (anchors: a place and a block) or
-    earlier; whole: an exact copy of an earlier document."""
-    spark = windows.sparkSession
-    size = windows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // RANGE_BYTES) + 1)
-    schema = to_arrow_schema(StructType.fromDDL(PACKED))
+def _shares(texts: DataFrame) -> int:
+    """How many ranges of hashes, and shares of documents, for texts of this size."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // RANGE_BYTES) + 1)
+
+
+def _share_of(doc: Column, shares: int) -> Column:
+    return F.pmod(doc, F.lit(shares))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Batches(width, ranges, anchors)
-        for batch in batches:
-            columns = [batch.column(k) for k in range(batch.num_columns)]
-            for k in range(batch.num_rows):
-                doc, text, *rest = (c[k].as_py() for c in columns)
-                if anchors and held.known(doc, text):
-                    continue
-                made = make(text, *rest)
-                if made is not None or anchors:
-                    held.add(doc, *(made or NOTHING))
-                if held.count >= BATCH_WORDS:
-                    yield from _rows(held, schema)
-        yield from _rows(held, schema)
 
-    return windows.mapInArrow(pack, PACKED).repartition(ranges, "range").groupBy("range").applyInArrow(lambda table: _met(table, anchors), FOUND)
+def _met_ranges(packed: DataFrame, shares: int, anchors: bool) -> DataFrame:
+    """(share, docs, counts, starts, whole): places of windows that occur elsewhere (anchors: a place and a
+    block) or earlier; whole: exact copies of earlier documents."""
+    schema = to_arrow_schema(StructType.fromDDL(FOUND))
+    return packed.repartition(shares, "range").groupBy("range").applyInArrow(lambda table: _met(table, anchors, shares, schema), FOUND)
 
 
 NOTHING = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
@@ -196,7 +188,7 @@ def _rows(held: _Batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
 
-def _met(table: pa.Table, anchors: bool) -> pa.Table:
+def _met(table: pa.Table, anchors: bool, shares: int, schema: pa.Schema) -> pa.Table:
     """Puts the batches' entries of one range together. Entries are at most one a hash and batch."""
     hs, seconds, docs, starts, flags, own, whole = [], [], [], [], [], [], set()
     for batch in table.to_batches():
@@ -211,7 +203,7 @@ def _met(table: pa.Table, anchors: bool) -> pa.Table:
             starts.append(_from_planes(r["start"]))
             flags.append(np.frombuffer(r["flags"], np.uint8))
             own.append((ids[_from_planes(r["own_doc"])], _from_planes(r["own_start"])))
-    out_docs, out_starts = [], []
+    every, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if hs:
         h, doc, start, flag = map(np.concatenate, (hs, docs, starts, flags))
         second = None if anchors else np.concatenate(seconds)
@@ -232,70 +224,112 @@ def _met(table: pa.Table, anchors: bool) -> pa.Table:
             hit = (doc != doc[first]) | (start != start[first])
         every = np.concatenate([doc[hit], *(o[0] for o in own)])
         at = np.concatenate([start[hit], *(o[1] for o in own)])
-        order = np.lexsort((at, every))
-        every, at = every[order], at[order].astype(np.uint32)
-        ids, begin = np.unique(every, return_index=True)
-        out_docs, out_starts = ids.tolist(), [at[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(at)])]
-    copies = sorted(whole)
-    return pa.table([pa.array(out_docs + copies, pa.int64()), pa.array(out_starts + [b""] * len(copies), pa.binary()), pa.array([False] * len(out_docs) + [True] * len(copies), pa.bool_())], names=["doc", "starts", "whole"])
-
-
-_hashes: dict[int, WordHashes] = {}
+    share = every % shares
+    order = np.lexsort((at, every, share))
+    every, at, share = every[order], at[order], share[order]
+    copies = np.array(sorted(whole), np.int64)
+    out: dict = {n: [] for n in ("share", "docs", "counts", "starts", "whole")}
+    for k in np.union1d(share, copies % shares).tolist():
+        a, b = np.searchsorted(share, [k, k + 1])
+        docs_of, counts = np.unique(every[a:b], return_counts=True)
+        out["share"].append(k)
+        out["docs"].append(_packed(docs_of.view(np.uint64)))
+        out["counts"].append(_planes(counts))
+        out["starts"].append(_planes(at[a:b]))
+        out["whole"].append(copies[copies % shares == k].tolist())
+    return pa.table(out, schema=schema)
+
+
+def _places(found: pa.Table) -> tuple[dict[int, np.ndarray], set[int]]:
+    """Places by document, and the copies, of one share's rows."""
+    docs, places, whole = [], [], set()
+    for r in found.to_pylist():
+        whole.update(r["whole"] or ())
+        docs.append(np.repeat(_unpacked(r["docs"]).view(np.int64), _from_planes(r["counts"])))
+        places.append(_from_planes(r["starts"]))
+    if not docs:
+        return {}, whole
+    doc, place = np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    ids, begin = np.unique(doc, return_index=True)
+    return {i: place[a:b] for i, a, b in zip(ids.tolist(), begin, [*begin[1:], len(doc)])}, whole
+
+
+_hashes = WordHashes(400_000)
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return _hashes.of(words)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, int]:
+    """(found, shares): found has packed rows a share of the documents (id modulo shares): the places (word
+    numbers from 0) where a window of length words starts that also starts earlier, and the documents that
+    are exact copies of earlier ones, all of whose windows do."""
+    block = length // 2
+    texts = _texts(docs, id_col, text_col).dropna()
+    shares = _shares(texts)
+    schema = to_arrow_schema(StructType.fromDDL(PACKED))
 
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Batches(block, shares, True)
+        for batch in batches:
+            ids, column = batch.column(0).to_pylist(), batch.column(1)
+            for k, doc in enumerate(ids):
+                text = column[k].as_py()
+                if held.known(doc, text):
+                    continue
+                hashes = rolling(_word_hashes(WORDS.findall(text)), block) & ANCHOR_BITS
+                held.add(doc, *((np.arange(len(hashes)), hashes, None) if len(hashes) > length - block else NOTHING))
+                if held.count >= BATCH_WORDS:
+                    yield from _rows(held, schema)
+        yield from _rows(held, schema)
 
-def _word_hashes(words: list[str], seed: int = 0) -> np.ndarray:
-    if seed not in _hashes:
-        _hashes[seed] = WordHashes(seed=seed)
-    return _hashes[seed].of(words)
+    hits = settle(_met_ranges(texts.mapInArrow(probe, PACKED), shares, True), "op7-hits")
 
+    def candidates(own: pa.Table, found: pa.Table) -> pa.Table:
+        places, whole = _places(found)
+        held, out = _Batches(length, shares, False), []
+        done: set[tuple[int, bytes]] = set()
+        for k, doc in enumerate(own["doc"].to_pylist()):
+            at = places.get(doc)
+            if at is None or doc in whole:
+                continue
+            hashes = _word_hashes(WORDS.findall(own["text"][k].as_py()))
+            n = len(hashes) - length + 1
+            if n <= 0 or (key := (doc, hashes.tobytes())) in done:
+                continue
+            done.add(key)
+            near = np.zeros(len(hashes) + length, np.int64)  # windows that hold a hit
+            at = at[at < len(hashes)]
+            np.add.at(near, np.maximum(at - (length - block), 0), 1)
+            np.add.at(near, at + 1, -1)
+            starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
+            if len(starts):
+                held.add(doc, starts, rolling(hashes, length)[starts], rolling(mixed(hashes ^ BASE_TWO), length)[starts])
+        out += held.rows()
+        return pa.Table.from_pylist(out, schema=schema)
 
-def _gathered(found: DataFrame) -> DataFrame:
-    """One row a document: its places, as blocks of bytes, and whether it is a copy."""
-    return found.groupBy("doc").agg(F.collect_list("starts").alias("starts"), F.max("whole").alias("whole"))
+    dealt = texts.withColumn("share", _share_of(F.col("doc"), shares)).repartition(shares, "share").groupBy("share")
+    packed = dealt.cogroup(hits.repartition(shares, "share").groupBy("share")).applyInArrow(candidates, PACKED)
+    found = settle(_met_ranges(packed, shares, False), "op7-repeats")
+    return found.unionByName(hits.filter(F.size("whole") > 0).withColumns({n: F.lit(e) for n, e in zip(("docs", "counts", "starts"), (_packed(np.zeros(0, np.uint64)), _planes(np.zeros(0)), _planes(np.zeros(0))))})), shares
 
 
-def _sorted_starts(parts: list[bytes]) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64)
+BASE_TWO = np.uint64(0xD6E8FEB86659FD93)
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc, starts, whole) for every document with any: the places (word numbers from 0, as packed
-    32-bit integers in a list of blocks) where a window of length words starts that also starts
-    earlier; whole instead for an exact copy of an earlier document, all of whose windows do."""
-    block = length // 2
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).dropna()
-
-    def probes(text: str):
-        hashes = rolling(_word_hashes(WORDS.findall(text)), block) & ANCHOR_BITS
-        return (np.arange(len(hashes)), hashes, None) if len(hashes) > length - block else None
-
-    hits = settle(_search(texts, probes, block, True), "op7-hits")
-
-    def candidates(text: str, parts: list[bytes]):
-        words = WORDS.findall(text)
-        n = len(words) - length + 1
-        if n <= 0:
-            return None
-        at = _sorted_starts(parts)
-        near = np.zeros(len(words) + length, np.int64)  # windows that hold a hit
-        np.add.at(near, np.maximum(at - (length - block), 0), 1)
-        np.add.at(near, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(near)[:n] > 0)
-        if not len(starts):
-            return None
-        return starts, rolling(_word_hashes(words), length)[starts], rolling(_word_hashes(words, 1), length)[starts]
-
-    near = texts.join(_gathered(hits).filter("not whole").select("doc", "starts"), "doc")
-    found = settle(_search(near, candidates, length, False), "op7-repeats")
-    return _gathered(found.unionByName(hits.filter("whole")))
-
-
-def _stay(n_words: int, parts: list[bytes] | None, whole: bool | None, length: int) -> np.ndarray:
+def _stay(n_words: int, at: np.ndarray | None, whole: bool, length: int) -> np.ndarray:
     """Which words no repeat covers."""
     if whole:
         return np.full(n_words, n_words < length)
     cover = np.zeros(n_words + length, np.int64)
-    at = _sorted_starts(parts or [])
+    at = np.unique(at if at is not None else np.zeros(0, np.int64))
     at = at[at + length <= n_words]
     cover[at] += 1
     cover[at + length] -= 1
@@ -318,25 +352,33 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     kind = dict(docs.dtypes)[id_col]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be an integer")
-    found = repeats(docs, id_col=id_col, text_col=text_col, length=length)
-    marked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(*keep).alias("more") if keep else F.lit(None).cast("boolean").alias("more")).join(found, "doc", "left")
-
-    def work(batch: pa.RecordBatch) -> dict:
-        out = {"doc": batch.column(0), "more": batch.column(4), "n_words": [], "n_removed": [], "kept": []}
-        for text, parts, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-            words = WORDS.findall(text or "")
-            gone = 0
-            if whole or parts:
-                stay = _stay(len(words), parts, whole, length)
+    found, shares = repeats(docs, id_col=id_col, text_col=text_col, length=length)
+    more = F.struct(*keep) if keep else F.lit(None).cast("boolean")
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), more.alias("more"))
+    # A row without an id has no places, so any share will do.
+    own = own.withColumn("share", _share_of(F.coalesce("doc", F.xxhash64("text")), shares))
+    kinds = dict(own.dtypes)
+    schema = f"doc long, n_words long, n_removed long, kept string, more {kinds['more']}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
+        places, whole = _places(found)
+        words_of, gone_of, kept = [], [], []
+        for k, doc in enumerate(rows["doc"].to_pylist()):
+            text = rows["text"][k].as_py()
+            words, gone = WORDS.findall(text or ""), 0
+            if doc in whole or doc in places:
+                stay = _stay(len(words), places.get(doc), doc in whole, length)
                 gone = int(len(words) - stay.sum())
-            out["n_words"].append(len(words))
-            out["n_removed"].append(gone)
+            words_of.append(len(words))
+            gone_of.append(gone)
             if spacing:
-                out["kept"].append(_spaced(text, stay) if gone else text)
+                kept.append(_spaced(text, stay) if gone else text)
             else:
-                out["kept"].append(" ".join([w for w, s in zip(words, stay) if s] if gone else words))
-        return out
+                kept.append(" ".join([w for w, s in zip(words, stay) if s] if gone else words))
+        columns = [rows["doc"], pa.array(words_of, pa.int64()), pa.array(gone_of, pa.int64()), pa.array(kept, pa.string()), rows["more"]]
+        return pa.table([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
 
-    more = dict(marked.dtypes)["more"]
-    done = mapped(marked.select("doc", "text", "starts", "whole", "more"), work, f"doc long, n_words long, n_removed long, kept string, more {more}")
+    dealt = own.repartition(shares, "share").groupBy("share").cogroup(found.repartition(shares, "share").groupBy("share"))
+    done = dealt.applyInArrow(cut, schema)
     return done.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept", *(F.col("more")[c].alias(c) for c in keep))
