@@ -1,17 +1,22 @@
 """LM scoring (operator 5): cross-entropy difference of two matched n-gram models (Moore and Lewis 2010).
 
 A target model is counted on the documents marked as wanted, a background model on all documents. Both
-are bigram models with the unigram model as prior, with the same smoothing and one vocabulary: a word's
-slot among WORD_SLOTS and a pair's among PAIR_SLOTS, by hash, so that models have a fixed size whatever
-the corpus and no word is unknown to one model only. Background counts are scaled to the target's number
-of words, so that the prior weighs alike in both. A document's score is the mean over its words of
+are bigram models with the unigram model as prior, with the same smoothing and one vocabulary: all words
+of all documents, WORD_SLOTS at least. Words and pairs are known by 64-bit hashes, so counts are exact but
+for equal hashes (at 10 ** 9 distinct pairs 0.03 expected). Background counts are scaled to the target's
+number of words, so that the prior weighs alike in both. A document's score is the mean over its words of
 (target loss - background loss), in nats: below 0 it is more like the target.
 
-Counting covers all words of all documents. Tasks add up their counts and send the slots that aren't
-empty, packed by range of slots; ranges are added in two steps, first within one of SALTS groups of
-tasks, so no range meets in one task at once. The two models, (WORD_SLOTS + 1 + PAIR_SLOTS) * 8 bytes,
-19 MB in all, are what reaches the driver and is broadcast. Scoring reads the documents once more, without
-a shuffle.
+The loss of word b after word a is log(count(a) + PRIOR) - log(count(a, b) + PRIOR * p(b)). A word's count as
+context is its count as a word, so a document's sum of the first terms runs over its words but the last,
+and the start; all that a pair adds is known where the pairs that end in b are. So pairs are dealt by their
+last word into ranges, packed; a word of more than a HOT part of a sample has its pairs dealt by pair and its own
+count, one of 1 / HOT at most, sent to all. The sample only says where pairs meet, not what they count.
+
+Counting combines pairs in each piece of a task before the shuffle and keeps one packed table a range. Scoring
+sends a piece's distinct pairs, each with its documents, to their ranges, where they meet the counts, and the
+sums by document come back to the piece. They are whole multiples of 1 / UNIT, so their order doesn't matter. No task sees
+more of a pair than one entry a document, and neither vocabulary nor counts come to the driver.
 
 Null and empty texts have no words: they add nothing and score 0. Without any target document all scores
 are the background's against an empty model. Marks repeated or null count once or not at all. Rows with
@@ -24,124 +29,250 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORDS, WordHashes, lowered, mapped, pieces_of
+from .shared import WORDS, WordHashes, lowered, mixed, pieces_of, settle
 
-WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 21
-PRIOR, FLOOR, RANGE, SALTS = 20.0, 0.5, 1 << 14, 32
-_TOTAL = WORD_SLOTS + 1 + PAIR_SLOTS
+#: Words that the prior spreads FLOOR over, at least.
+WORD_SLOTS = 1 << 18
+PRIOR, FLOOR, UNIT = 20.0, 0.5, float(1 << 24)
+HOT, SAMPLE_ROWS, SAMPLE_CHARS = 1 / 1000, 2000, 4000
+#: Text that a task sorts the words of at a time.
+PIECE = 6 << 20
 _hashes = WordHashes(seed=11)
 _ZSTD = pa.Codec("zstd", compression_level=1)
+_NONE = np.zeros(0, np.uint64)
 
 
-def slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of all texts: slot of the word before (WORD_SLOTS: none), of the word, of the pair;
-    and how many words each text has."""
-    all_words = [WORDS.findall(lowered(t)) if t else [] for t in texts]
-    sizes = np.array([len(w) for w in all_words], np.int64)
-    h = np.concatenate([_hashes.of(w) for w in all_words]) if len(texts) else np.zeros(0, np.uint64)
-    word = (h % np.uint64(WORD_SLOTS)).astype(np.int64)
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and of the pairs that end in them; and how many words each text has."""
+    hashes = [_hashes.of(WORDS.findall(lowered(t))) if t else _NONE for t in texts]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    h = np.concatenate(hashes) if len(texts) else _NONE
     before = np.empty(len(h), np.uint64)
     before[1:] = h[:-1]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[first] = 1
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1
     with np.errstate(over="ignore"):
-        pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ h
-        pair = ((pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    context = np.empty(len(h), np.int64)
-    context[1:] = word[:-1]
-    context[first] = WORD_SLOTS
-    return context, word, (pair % np.uint64(PAIR_SLOTS)).astype(np.int64), sizes
+        return h, mixed((before * np.uint64(0x9E3779B97F4A7C15)) ^ h), sizes
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers, by planes of bytes."""
+    sizes = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays)
+    return sizes + _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    """What _pack was given, as uint64."""
+    n = int.from_bytes(packed[:8], "little")
+    sizes = np.frombuffer(packed, np.int64, n, 8)
+    raw = np.frombuffer(_ZSTD.decompress(packed[8 * (n + 1) :], int(sizes.sum()) * 8, asbytes=True), np.uint8)
+    ends = np.cumsum(sizes) * 8
+    return [np.ascontiguousarray(raw[e - 8 * s : e].reshape(8, -1).T).reshape(-1).view(np.uint64) for e, s in zip(ends, sizes)]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _range_of(word: np.ndarray, pair: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
+    return (np.where(_find(hot, word)[1], pair, word) % np.uint64(ranges)).astype(np.int64)
+
 
+def _hot(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that make more than a HOT part of a bounded sample."""
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
+    keys, n = np.unique(words_of([r.text for r in rows])[0], return_counts=True)
+    return keys[n > HOT * n.sum()]
 
-def _pack(counts: np.ndarray) -> bytes:
-    at = np.flatnonzero(counts.any(axis=0))
-    raw = np.concatenate([np.diff(at, prepend=0).astype(np.uint64), counts[0, at].astype(np.uint64), counts[1, at].astype(np.uint64)])
-    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(planes).to_bytes(4, "little") + _ZSTD.compress(planes, asbytes=True)
 
+class Counts:
+    """Counts of pairs, a table of one packed row a range, and how they are dealt."""
 
-def _add(total: np.ndarray, packed: bytes) -> None:
-    planes = np.frombuffer(_ZSTD.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True), np.uint8).reshape(8, -1)
-    at, target, background = np.ascontiguousarray(planes.T).view(np.uint64).reshape(3, -1).astype(np.int64)
-    at = np.cumsum(at)
-    total[0, at] += target
-    total[1, at] += background
+    def __init__(self, table: DataFrame, hot: np.ndarray, ranges: int) -> None:
+        self.table, self.hot, self.ranges = table, hot, ranges
 
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed in batch.column(1):
+                    _, _, _, _, words, *counts, starts = _unpack(packed.as_py())
+                    target, background = (c.view(np.int64) for c in counts)
+                    shared = _find(hot, words)[1]
+                    yield pa.RecordBatch.from_pydict({
+                        "word": pa.array([None, *words[shared].view(np.int64).tolist()], pa.int64()), "n": pa.array([int((~shared).sum()), *[0] * int(shared.sum())], pa.int64()),
+                        "target": pa.array([int(target[~shared].sum()), *target[shared].tolist()], pa.int64()), "background": pa.array([int(background[~shared].sum()), *background[shared].tolist()], pa.int64()),
+                        "start_t": pa.array([int(starts[0]), *[0] * int(shared.sum())], pa.int64()), "start_b": pa.array([int(starts[1]), *[0] * int(shared.sum())], pa.int64()),
+                    })
 
-def count(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Counts by slot, 2 x (words, pairs): row 0 of wanted documents (a table of ids), row 1 of all."""
+        kind = "word long, n long, target long, background long, start_t long, start_b long"
+        sums = [F.sum(c).alias(c) for c in ("n", "target", "background", "start_t", "start_b")]
+        rows = table.mapInArrow(totals, kind).groupBy("word").agg(*sums).collect()  # one a hot word, and one
+        self.words = np.array([[r.target, r.background] for r in rows], np.int64).reshape(-1, 2).sum(axis=0)
+        self.starts = np.array([[r.start_t, r.start_b] for r in rows], np.int64).reshape(-1, 2).sum(axis=0)
+        found = {r.word: (r.target, r.background) for r in rows if r.word is not None}
+        self.distinct = sum(r.n for r in rows) + len(found)
+        self.hot_counts = np.array([found.get(k, (0, 0)) for k in hot.view(np.int64).tolist()], np.int64).reshape(-1, 2).T
+
+    def sum(self) -> int:
+        return int(self.words.sum() + self.starts.sum())
+
+
+def count(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Counts:
+    """Counts of wanted documents (a table of ids) and of all."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = wanted.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)).hint("merge")  # grows with the input, so it isn't broadcast at any size
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    marked = docs.join(marks, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    hot, ranges = _hot(docs), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, _TOTAL), np.int64)
-        salt = 0
         for batch in batches:
-            for part in pieces_of(batch):
-                context, word, pair, sizes = slots(part.column(0).to_pylist())
-                mine = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
-                salt = (salt * 31 + int(pair[:64].sum()) + len(pair)) % (1 << 30)
-                for row, some in ((0, mine), (1, slice(None))):
-                    if len(word[some]):
-                        total[row, :WORD_SLOTS] += np.bincount(word[some], minlength=WORD_SLOTS)
-                        total[row, WORD_SLOTS + 1 :] += np.bincount(pair[some], minlength=PAIR_SLOTS)
-                        total[row, WORD_SLOTS] += np.count_nonzero(context[some] == WORD_SLOTS)
-        for at in range(0, _TOTAL, RANGE):
-            part = total[:, at : at + RANGE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"range": pa.array([at], pa.int64()), "salt": pa.array([salt % SALTS], pa.int64()), "packed": pa.array([_pack(part)], pa.binary())})
+            for part in pieces_of(batch, PIECE):
+                word, pair, sizes = words_of(part.column(0).to_pylist())
+                if not len(word):
+                    continue
+                marked = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                order = np.argsort(pair)
+                at = _starts(pair[order])
+                target = np.add.reduceat(np.repeat(marked, sizes)[order].astype(np.int64), at)
+                background = np.diff(at, append=len(order))
+                word, pair = word[order[at]], pair[order[at]]
+                place = _range_of(word, pair, hot, ranges)
+                order = np.lexsort((word, place))
+                word, pair, target, background, place = (a[order] for a in (word, pair, target, background, place))
+                starts = np.array([(marked & (sizes > 0)).sum(), (sizes > 0).sum()], np.int64)
+                cuts = _starts(place)
+                for a, b in zip(cuts, [*cuts[1:], len(place)]):
+                    runs = a + _starts(word[a:b])
+                    packed = _pack(word[runs], np.diff(runs, append=b), pair[a:b], target[a:b], background[a:b], starts)
+                    starts = np.zeros(2, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([place[a]], pa.int64()), pa.array([packed], pa.binary())], ["range", "packed"])
 
     def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros((2, RANGE), np.int64)
-        for chunk in table["packed"].chunks:
-            for packed in chunk:
-                _add(total, packed.as_py())
-        return pa.table({"range": table["range"].slice(0, 1).cast(pa.int64()), "salt": pa.array([0], pa.int64()), "packed": pa.array([_pack(total)], pa.binary())})
-
-    kind = "range long, salt long, packed binary"
-    parts = marked.mapInArrow(tally, kind).groupBy("range", "salt").applyInArrow(summed, kind).groupBy("range").applyInArrow(summed, kind)
-    out = np.zeros((2, _TOTAL), np.int64)
-    for row in parts.collect():  # at most _TOTAL / RANGE rows
-        part = np.zeros((2, RANGE), np.int64)
-        _add(part, row["packed"])
-        end = min(_TOTAL, row["range"] + RANGE)
-        out[:, row["range"] : end] += part[:, : end - row["range"]]
-    return out
+        parts = [_unpack(p.as_py()) for p in table["packed"]]
+        word = np.concatenate([np.repeat(p[0], p[1].view(np.int64)) for p in parts])
+        pair, target, background = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        order = np.argsort(pair)
+        at = _starts(pair[order])
+        target, background = (np.add.reduceat(c[order], at) for c in (target, background))
+        word, pair = word[order[at]], pair[order[at]]
+        words, which = np.unique(word, return_inverse=True)
+        sums = [np.bincount(which, c.view(np.int64)).astype(np.int64) for c in (target, background)]
+        packed = _pack(pair, which.astype(np.int64), target, background, words, *sums, sum(p[5] for p in parts))
+        return pa.table({"range": table["range"].slice(0, 1).cast(pa.int64()), "packed": pa.array([packed], pa.binary())})
 
+    kind = "range long, packed binary"
+    return Counts(settle(marked.mapInArrow(tally, kind).groupBy("range").applyInArrow(summed, kind), "op5-counts"), hot, ranges)
 
-class Models:
-    """Both models, ready for losses."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        counts = counts.astype(np.float64)
-        words = counts[:, :WORD_SLOTS].sum(axis=1)
-        if words[0] and words[1]:
-            counts[1] *= words[0] / words[1]
-        totals = counts[:, :WORD_SLOTS].sum(axis=1, keepdims=True)
-        self.single = ((counts[:, :WORD_SLOTS] + FLOOR) / (totals + FLOOR * WORD_SLOTS)).astype(np.float32)
-        self.context = counts[:, : WORD_SLOTS + 1].astype(np.float32)
-        self.pair = counts[:, WORD_SLOTS + 1 :].astype(np.float32)
+class Models:
+    """Both models: the counts by range, and what all ranges need of them."""
 
-    def losses(self, context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(-np.log((self.pair[m][pair].astype(np.float64) + PRIOR * self.single[m][word]) / (self.context[m][context].astype(np.float64) + PRIOR)) for m in (0, 1))
+    def __init__(self, counts: Counts) -> None:
+        self.table, self.hot, self.ranges, self.hot_counts = counts.table, counts.hot, counts.ranges, counts.hot_counts
+        n, m = counts.words.tolist()
+        self.scale = (1.0, n / m if n and m else 1.0)
+        self.floor = [k * s + FLOOR * max(WORD_SLOTS, counts.distinct) for k, s in zip((n, m), self.scale)]
+        self.start = [float(np.log(k * s + PRIOR)) for k, s in zip(counts.starts.tolist(), self.scale)]
 
 
 def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, target_loss, background_loss, score) for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # 19 MB at any size of the corpus
     kind = dict(docs.dtypes)[id_col]
+    hot, ranges, scale, floor, start, hot_counts = models.hot, models.ranges, models.scale, models.floor, models.start, models.hot_counts
+    head = f"range long, chunk long, ids array<{kind}>, sizes array<long>, packed binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = pa.list_(batch.schema.field(0).type)
+
+            def row(place: int, packed: bytes | None, ids_of: pa.Array | None = None, sizes: np.ndarray | None = None) -> pa.RecordBatch:
+                own = pa.nulls(1, ids) if ids_of is None else pa.ListArray.from_arrays(pa.array([0, len(ids_of)], pa.int32()), ids_of)
+                return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([chunk], pa.int64()), own, pa.array([sizes], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["range", "chunk", "ids", "sizes", "packed"])
+
+            for part in pieces_of(batch, PIECE):
+                chunk += 1
+                word, pair, sizes = words_of(part.column(1).to_pylist())
+                yield row(chunk % ranges, None, part.column(0), sizes)
+                if not len(word):
+                    continue
+                ends = np.flatnonzero(sizes)
+                last = word[np.cumsum(sizes)[ends] - 1]
+                last_place = _range_of(last, pair[np.cumsum(sizes)[ends] - 1], hot, ranges)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(pair, kind="stable")
+                word, pair, doc = word[order], pair[order], doc[order]
+                entry = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
+                times = np.diff(entry, append=len(pair))
+                word, pair, doc = word[entry], pair[entry], doc[entry]
+                place = _range_of(word, pair, hot, ranges)
+                order = np.lexsort((pair, word, place))
+                word, pair, doc, times, place = (a[order] for a in (word, pair, doc, times, place))
+                order = np.argsort(last_place, kind="stable")
+                last, last_doc, last_place = last[order], ends[order], last_place[order]
+                for at in np.union1d(place, last_place).tolist():
+                    a, b = np.searchsorted(place, [at, at + 1])
+                    c, e = np.searchsorted(last_place, [at, at + 1])
+                    at_pair, at_word = a + _starts(pair[a:b]), a + _starts(word[a:b])
+                    mine = word[at_word], np.diff(np.searchsorted(at_pair, at_word), append=len(at_pair)), pair[at_pair], np.diff(at_pair, append=b), doc[a:b], times[a:b], last[c:e], last_doc[c:e]
+                    yield row(at, _pack(*mine))
+
+    def counts_of(words: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
+        """Counts of words, 2 x words."""
+        out = np.zeros((2, len(words)), np.int64)
+        for keys, counts in ((table[4], table[5:7]), (hot, hot_counts)):
+            at, there = _find(keys, words)
+            for m in (0, 1):
+                out[m, there] = counts[m][at[there]]
+        return out
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        table = _unpack(counted["packed"][0].as_py()) if len(counted) else [_NONE] * 8
+        out = []
+        for packed in asked["packed"]:
+            if not packed.is_valid:
+                out.append(None)
+                continue
+            word, n_pairs, pair, n_docs, doc, times, last, last_doc = _unpack(packed.as_py())
+            n_pairs, n_docs, doc, times, last_doc = (a.view(np.int64) for a in (n_pairs, n_docs, doc, times, last_doc))
+            at, there = _find(table[0], pair)
+            docs, which = np.unique(np.concatenate([doc, last_doc]), return_inverse=True)
+            single, ended, sums = counts_of(word, table), counts_of(last, table), []
+            for m in (0, 1):
+                both = np.zeros(len(pair))
+                both[there] = table[2 + m][at[there]]
+                s = scale[m]
+                own = np.repeat(single[m], n_pairs) * s
+                loss = np.rint((np.log(own + PRIOR) - np.log(both * s + PRIOR * (own + FLOOR) / floor[m])) * UNIT)
+                back = np.rint(np.log(ended[m] * s + PRIOR) * UNIT)
+                sums.append(np.bincount(which, np.concatenate([np.repeat(loss, n_docs) * times, -back]), minlength=len(docs)).astype(np.int64))
+            out.append(_pack(docs, *sums))
+        return asked.set_column(asked.schema.get_field_index("packed"), "packed", pa.array(out, pa.binary()))
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        own = next(k for k, p in enumerate(rows["packed"]) if not p.is_valid)
+        ids, sizes = rows["ids"][own].values, rows["sizes"][own].values.to_numpy()
+        sums = np.zeros((2, len(sizes)), np.int64)
+        for packed in rows["packed"]:
+            if packed.is_valid:
+                at, *parts = (a.view(np.int64) for a in _unpack(packed.as_py()))
+                for m in (0, 1):
+                    sums[m, at] += parts[m]
+        means = [np.where(sizes > 0, sums[m] / UNIT + start[m], 0.0) / np.maximum(sizes, 1) for m in (0, 1)]
+        return pa.table({"id": ids, "n_words": sizes, "target_loss": np.round(means[0], 6), "background_loss": np.round(means[1], 6), "score": np.round(means[0] - means[1], 6)})
 
-    def work(batch: pa.RecordBatch) -> dict:
-        context, word, pair, sizes = slots(batch.column(1).to_pylist())
-        losses = shared.value.losses(context, word, pair)
-        ends = np.cumsum(sizes)
-        means = []
-        for loss in losses:
-            running = np.concatenate([[0.0], np.cumsum(loss)])
-            means.append((running[ends] - running[ends - sizes]) / np.maximum(sizes, 1))
-        return {"id": batch.column(0), "n_words": sizes, "target_loss": np.round(means[0], 6), "background_loss": np.round(means[1], 6), "score": np.round(means[0] - means[1], 6)}
-
-    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), work, f"id {kind}, n_words long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(ask, head)
+    met = asked.groupBy("range").cogroup(models.table.groupBy("range")).applyInArrow(answer, head)
+    return met.groupBy("chunk").applyInArrow(gathered, f"id {kind}, n_words long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
