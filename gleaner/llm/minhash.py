@@ -7,7 +7,8 @@
    least document. Links are between classes, so thousands of copies cost one row.
 3. Classes that share a band key are candidates. Buckets with the same members are one bucket. Large
    buckets are cut into slices, and each pair of slices is a unit of work, so none meets in one task.
-4. Signatures are compared inside a unit; a pair that shares several bands belongs to the first. First only
+4. Signatures are compared inside a unit; a pair that shares several bands belongs to the first, by the keys
+   of the bands before, which each member carries. First only
    a spanning forest of the likely links leaves each unit; these pairs are confirmed on the full sets and
    joined into components. Then the documents that still have a pair between different components, whose
    estimate doesn't rule the link out (four standard deviations), meet again with their texts, and the unit
@@ -67,10 +68,10 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(doc, n, digest, signature, keys) for every row."""
+    """(doc, n, digest, signature, keys, the same packed) for every row."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        out = {"doc": batch.column(0), "n": [], "digest": [], "signature": [], "keys": []}
+        out = {"doc": batch.column(0), "n": [], "digest": [], "signature": [], "keys": [], "packed": []}
         made: dict[bytes, tuple] = {}
         for text in batch.column(1).to_pylist():
             shingles = shingle_set(text, width)
@@ -78,14 +79,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
             digest = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
             if digest is not None and digest not in made:
                 least = minima(shingles)
-                made[digest] = least.astype(np.uint8).tobytes(), _band_keys(least).tolist()
+                made[digest] = least.astype(np.uint8).tobytes(), _band_keys(least)
             out["digest"].append(digest)
             signature, keys = made.get(digest, (None, None))
             out["signature"].append(signature)
-            out["keys"].append(keys)
+            out["keys"].append(None if keys is None else keys.tolist())
+            out["packed"].append(None if keys is None else keys.tobytes())
         return out
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), work, "doc long, n long, digest binary, signature binary, keys array<long>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), work, "doc long, n long, digest binary, signature binary, keys array<long>, packed binary")
 
 
 def _agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -94,11 +96,10 @@ def _agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (share - 1 / 256) / (1 - 1 / 256)
 
 
-def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, band: int, least: float, threshold: float, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, before: np.ndarray, least: float, threshold: float, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, estimate) of a unit's pairs with an estimate of at least least, sizes that allow the link and no
-    earlier band in common; with component: between different components."""
+    key of an earlier band (before: rows of keys) in common; with component: between different components."""
     left, right, found = [], [], []
-    before = signature[:, : band * ROWS].reshape(len(n), band, ROWS)
     for i in range(len(n) - 1):
         others = np.arange(i + 1, len(n))
         others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])]
@@ -108,8 +109,8 @@ def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, band:
             others = others[component[others] != component[i]]
         e = _agreement(signature[i], signature[others])
         others, e = others[e >= least], e[e >= least]
-        if band and len(others):  # five bytes that agree by chance: once in 2 ** 40
-            own = ~(before[others] == before[i]).all(axis=2).any(axis=1)
+        if before.shape[1] and len(others):
+            own = ~(before[others] == before[i]).any(axis=1)
             others, e = others[own], e[own]
         if len(others):
             left.append(np.full(len(others), i))
@@ -165,22 +166,23 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _unit(unit: pa.Table) -> tuple:
-    """(documents, sizes, components, signatures, sides or None, band), in order of documents."""
+    """(documents, sizes, components, signatures, sides or None, keys of earlier bands), in order of documents."""
     doc, n, component = (unit[c].to_numpy() for c in ("doc", "n", "component"))
     order = np.argsort(doc, kind="stable")
     signature = np.frombuffer(b"".join(unit["signature"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)[order]
     sides = unit["slice"].to_numpy()[order] if unit["i"][0].as_py() != unit["j"][0].as_py() else None
-    return order, doc[order], n[order], component[order], signature, sides, unit["band"][0].as_py()
+    before = np.frombuffer(b"".join(unit["before"].to_pylist()), np.int64).reshape(len(order), unit["band"][0].as_py())[order]
+    return order, doc[order], n[order], component[order], signature, sides, before
 
 
-UNIT = "bucket long, i int, j int, slice int, band int, doc long, n long, signature binary, component long"
+UNIT = "bucket long, i int, j int, slice int, band int, doc long, n long, signature binary, before binary, component long"
 
 
 def _dealt(members: DataFrame) -> DataFrame:
     """Units of work: rows of members for each pair of slices of their bucket."""
     own = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")
     spread = members.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)))
-    return _together(spread.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "band", "doc", "n", "signature", "component"))
+    return _together(spread.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "band", "doc", "n", "signature", "before", "component"))
 
 
 def _together(units: DataFrame) -> DataFrame:
@@ -192,8 +194,8 @@ def _likely_links(members: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            _, doc, n, _, signature, sides, band = _unit(unit)
-            left, right, found = _pairs(signature, n, sides, band, threshold, threshold)
+            _, doc, n, _, signature, sides, before = _unit(unit)
+            left, right, found = _pairs(signature, n, sides, before, threshold, threshold)
             chosen = _forest(len(doc), left, right, found)
             if len(chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["a", "b"])
@@ -212,16 +214,16 @@ def _links_left(members: DataFrame, texts: DataFrame, share: tuple[int, int], wi
         for unit in _units(batches):
             if len(unit) < 2 or len(np.unique(unit["component"].to_numpy())) < 2:
                 continue
-            order, _, n, component, signature, sides, band = _unit(unit)
-            left, right, _ = _pairs(signature, n, sides, band, likely, threshold, component)
+            order, _, n, component, signature, sides, before = _unit(unit)
+            left, right, _ = _pairs(signature, n, sides, before, likely, threshold, component)
             if len(left):
                 yield from unit.take(pa.array(order[np.unique(np.concatenate([left, right]))])).combine_chunks().to_batches()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            order, doc, n, component, signature, sides, band = _unit(unit)
+            order, doc, n, component, signature, sides, before = _unit(unit)
             sets = [shingle_set(t, width) for t in unit["text"].take(pa.array(order)).to_pylist()]
-            left, right, found = _pairs(signature, n, sides, band, likely, threshold, component)
+            left, right, found = _pairs(signature, n, sides, before, likely, threshold, component)
             joined, chosen = _Sets(len(doc)), []
             for k in np.argsort(-found, kind="stable"):
                 i, j = left[k], right[k]
@@ -235,7 +237,7 @@ def _links_left(members: DataFrame, texts: DataFrame, share: tuple[int, int], wi
                 yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["u", "v"])
 
     still_open = _dealt(members).mapInArrow(open_rows, UNIT)
-    return _together(still_open.join(texts, "doc").select("bucket", "i", "j", "slice", "band", "doc", "n", "signature", "component", "text")).mapInArrow(confirm, "u long, v long").distinct()
+    return _together(still_open.join(texts, "doc").select("bucket", "i", "j", "slice", "band", "doc", "n", "signature", "before", "component", "text")).mapInArrow(confirm, "u long, v long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     y * intersection >= x * union."""
     threshold = share[0] / share[1]
     signed = settle(signatures(docs, id_col, text_col, width), "op3-signed")
-    first = F.min(F.struct("doc", "n", "signature", "keys"))
+    first = F.min(F.struct("doc", "n", "signature", "keys", "packed"))
     classes = settle(signed.filter("digest is not null and doc is not null").groupBy("digest").agg(first.alias("r")).select("digest", "r.*"), "op3-classes")
     bands = classes.select("doc", "n", F.posexplode("keys").alias("band", "key"))
     # A bucket is known by its members: how many, the least, and a digest of all.
@@ -273,7 +275,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("total") / SLICE_SHINGLES))
     single = buckets.groupBy("size", "least", "all").agg(F.min(F.struct("band", "key", slices.alias("slices"))).alias("b")).select("b.band", "b.key", "b.slices")
     members = bands.select("doc", "key").join(single, "key").select(F.col("key").alias("bucket"), "band", "slices", "doc")
-    compared = settle(members.join(classes.select("doc", "n", "signature"), "doc"), "op3-compared")
+    earlier = F.substring("packed", F.lit(1), F.col("band") * 8)
+    compared = settle(members.join(classes.select("doc", "n", "signature", "packed"), "doc").withColumn("before", earlier).drop("packed"), "op3-compared")
     wanted = compared.select("doc").distinct().hint("merge")  # grows with the input, so it isn't broadcast at any size
     texts = settle(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "op3-texts")
     first_edges = _confirmed(_likely_links(compared.withColumn("component", F.col("doc")), threshold), texts, share, width)

@@ -1,9 +1,10 @@
 """Operators against plain counting where a bound once stood in for the whole job."""
 
 import math
+import random
 from collections import Counter
 
-from gleaner.llm import lmscore
+from gleaner.llm import lmscore, minhash
 
 
 def test_lm_counts_more_words_and_pairs_than_slots(spark):
@@ -37,3 +38,20 @@ def test_lm_counts_more_words_and_pairs_than_slots(spark):
         assert abs(got[i].target_loss - loss[0]) < 2e-6 and abs(got[i].background_loss - loss[1]) < 2e-6, i
     assert len(got) == len(texts)
     assert len(models.hot)  # "the" was dealt by pair, the others by word
+
+
+def test_minhash_finds_every_planted_pair_near_the_threshold(spark):
+    rng = random.Random(5)
+    docs, linked = [], set()
+    for k in range(3000):
+        one = [f"p{k}w{i}" for i in range(104)]  # 100 shingles; each change at a fifth word costs five
+        two = list(one)
+        two[-rng.randint(6, 8) :] = [f"p{k}v{i}" for i in range(8)]
+        docs += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+        if 100 * len(a & b) >= 85 * len(a | b):
+            linked.add(k)
+    assert 1000 < len(linked)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    gone = {r.doc_id for r in minhash.near_duplicates(df, share=(85, 100)).filter("not kept").collect()}
+    assert gone == {2 * k + 1 for k in linked}
