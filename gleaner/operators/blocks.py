@@ -151,7 +151,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, kernel: Kernel, c: float = 1.0, weight
     box = c * (np.ones(len(y)) if weights is None else np.asarray(weights, float))
     q = kernel(x)
     alpha, f = np.zeros(len(y)), -s.copy()  # f: decision without bias, less the sign
-    for _ in range(rounds):
+    for _ in range(rounds):  # the bound is there for input that no step improves, and raises
         up = ((s > 0) & (alpha < box - 1e-12)) | ((s < 0) & (alpha > 1e-12))
         down = ((s > 0) & (alpha > 1e-12)) | ((s < 0) & (alpha < box - 1e-12))
         i, j = np.where(up, f, np.inf).argmin(), np.where(down, f, -np.inf).argmax()
@@ -162,6 +162,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, kernel: Kernel, c: float = 1.0, weight
         alpha[i] += s[i] * step
         alpha[j] -= s[j] * step
         f += step * (q[i] - q[j])
+    else:
+        raise RuntimeError(f"no solution within {tol} after {rounds} steps")
     free = (alpha > 1e-9) & (alpha < box - 1e-9)
     bias = -(f[free].mean() if free.any() else (f[i] + f[j]) / 2)
     used = alpha > 1e-12
@@ -229,22 +231,35 @@ def hit_and_run(signed: np.ndarray, start: np.ndarray, n: int, warmup: int, thin
     w, out = start, []
     for k in range(warmup + n * thin):
         d = rng.normal(size=len(w))
-        low, high = line_cut(signed, w, d / np.linalg.norm(d))
-        w = w + (low + (high - low) * rng.random()) * d / np.linalg.norm(d)
+        d /= np.linalg.norm(d)
+        a, b = chord(signed, w, d)
+        w = w + (a + (b - a) * rng.random()) * d
         if k >= warmup and (k - warmup + 1) % thin == 0:
             out.append(w)
     return np.array(out)
 
 
-def line_cut(signed: np.ndarray, center: np.ndarray, direction: np.ndarray) -> tuple[float, float]:
-    """The t for which center + t * direction stays in the cone and the unit ball."""
-    a, b = direction @ direction, direction @ center
-    root = np.sqrt(max(b * b - a * (center @ center - 1), 0))
-    low, high = (-b - root) / a, (-b + root) / a
-    num, den = signed @ center, signed @ direction
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = -num / den
-    return max(low, t[den > 0].max(initial=-np.inf)), min(high, t[den < 0].min(initial=np.inf))
+def chord(signed: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[float, float]:
+    """The ends (a, b) of {t: signed (w + t d) >= 0, |w + t d| <= 1}; no such t raises. The ball is cut at the
+    foot of the perpendicular from the origin, plus or minus half the chord; then each half-space that t d
+    enters or leaves takes its part away."""
+    length = float(np.linalg.norm(d))
+    foot = -float(w @ d) / length**2
+    inside = 1.0 - float(((w + foot * d) ** 2).sum())
+    if inside < 0:
+        raise ValueError("the line misses the unit ball")
+    a, b = foot - inside**0.5 / length, foot + inside**0.5 / length
+    slack, slope = signed @ w, signed @ d
+    for room, speed in zip(slack.tolist(), slope.tolist()):
+        if speed > 0:
+            a = max(a, -room / speed)
+        elif speed < 0:
+            b = min(b, room / -speed)
+        elif room < 0:
+            raise ValueError("the line misses the cone")
+    if a > b:
+        raise ValueError("the line misses the cone")
+    return a, b
 
 
 def start_point(signed: np.ndarray, rounds: int = 100_000) -> np.ndarray:
@@ -316,24 +331,35 @@ def _entropy(p: np.ndarray) -> np.ndarray:
 
 def entropy_reduction(pool: DataFrame, space: VersionSpace, reference: np.ndarray) -> DataFrame:
     """(id, rank): among rows that cut the space most evenly the expected mean entropy of the reference rows
-    after the label; infinite elsewhere; 0 everywhere if no row cuts."""
+    after the label; infinite elsewhere; 0 everywhere if no row cuts. All that counts of a row is which
+    hypotheses say yes, so the expectation is worked out once for each such pattern of a block."""
     ranked = score(pool, space)
     least = ranked.agg(F.min("rank")).first()[0]
     if least is None or least == 0.5:
         return ranked.select("id", F.lit(0.0).alias("rank"))
-    ref = space.votes(reference)  # m x S
-
-    class Expected:
-        def score_block(self, x: np.ndarray):
-            v = space.votes(x)
-            rank = np.abs(v.mean(axis=1) - 0.5)
-            out = np.full(len(x), np.inf)
-            for k in np.flatnonzero(rank == least):
-                yes = v[k] > 0
-                out[k] = sum(some.mean() * _entropy(ref[:, some].mean(axis=1)).mean() for some in (yes, ~yes) if some.any())
-            return rank, rank, out
-
-    return score(pool, Expected()).select("id", "rank")
+    return score(pool, ExpectedEntropy(space, space.votes(reference), least)).select("id", "rank")
+
+
+@dataclass
+class ExpectedEntropy:
+    """Rank: expected entropy of the reference rows (votes: rows x hypotheses) where the cut score is least."""
+
+    space: VersionSpace
+    votes: np.ndarray
+    least: float
+
+    def score_block(self, x: np.ndarray):
+        v = self.space.votes(x) > 0
+        p = v.mean(axis=1)
+        out, best = np.full(len(x), np.inf), np.flatnonzero(np.abs(p - 0.5) == self.least)
+        patterns, which = np.unique(v[best], axis=0, return_inverse=True)
+        n = patterns.shape[1]
+        for side in (patterns, ~patterns):  # the hypotheses that the label would leave
+            size = side.sum(axis=1)
+            share = self.votes @ side.T / np.maximum(size, 1)
+            expected = size / n * _entropy(share).mean(axis=0)
+            out[best] = (0.0 if side is patterns else out[best]) + expected[which.ravel()]
+        return (p > 0.5).astype(float), p, out
 
 
 # Laplace posterior -----------------------------------------------------------------------------------

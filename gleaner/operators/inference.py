@@ -12,34 +12,35 @@ from pyspark.sql import functions as F
 from .polytope import category_label
 
 
-def _values(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, label, k, v): one row for each subspace."""
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("v")) for k, c in enumerate(columns)))
-    return rows.select("id", "label", F.explode(cells).alias("c")).select("id", "label", "c.k", "c.v")
-
-
-def infer_values(labels: DataFrame, columns: list[str], rounds: int = 1000) -> DataFrame:
-    """(k, v, known): values that the labels (id, label, columns) decide. Labels are few and distinct values
-    fewer; each round is a small join whose result is counted and collected as (k, v) pairs, which bounds the
-    lineage. A negative row whose values are all positive raises."""
-    spark = labels.sparkSession
-    cells = _values(labels, columns).persist()
-    try:
-        kind = "k int, v string, known double"
-        known = {(r.k, r.v): 1.0 for r in cells.filter("label = 1").select("k", "v").distinct().collect()}
-        negative = cells.filter("label = 0")
-        for _ in range(rounds):
-            table = spark.createDataFrame([(k, v, y) for (k, v), y in known.items()], kind)
-            rows = negative.join(table, ["k", "v"], "left").groupBy("id").agg(F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(F.col("known") == 0).alias("no"), F.max_by(F.struct("k", "v"), F.col("known").isNull()).alias("at"))
-            open_rows = rows.filter("no = 0 and unknown <= 1").select("unknown", "at.k", "at.v").distinct().collect()
-            if any(r.unknown == 0 for r in open_rows):
+def infer_values(labels: DataFrame, columns: list[str], most: int = 100_000) -> DataFrame:
+    """(k, v, known): values that the labels (id, label, columns) decide. Spark reduces the labelled rows to
+    their distinct combinations of values; more than most of these raise. The fixpoint runs over them in
+    memory: each round decides at least one value, so it always ends. A negative row whose values are all
+    positive raises."""
+    cells = F.array(*(F.col(c).cast("string") for c in columns))
+    rows = labels.select(F.col("label").cast("double").alias("label"), cells.alias("v")).filter("label is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct labelled rows")
+    known = {(k, v): 1.0 for r in rows if r.label == 1 for k, v in enumerate(r.v)}
+    waiting = [set(enumerate(r.v)) for r in rows if r.label == 0]
+    while True:
+        found, still = set(), []
+        for values in waiting:
+            unknown = [c for c in values if c not in known]
+            if any(known.get(c) == 0.0 for c in values):
+                continue
+            if not unknown:
                 raise ValueError("a negative row has positive values only")
-            if not open_rows:
-                break
-            known.update({(r.k, r.v): 0.0 for r in open_rows})
-        return spark.createDataFrame([(k, v, y) for (k, v), y in sorted(known.items())], kind)
-    finally:
-        cells.unpersist()
+            if len(unknown) == 1:
+                found.add(unknown[0])
+            else:
+                still.append(values)
+        if not found:
+            break
+        known.update(dict.fromkeys(found, 0.0))
+        waiting = still
+    table = sorted(((k, v, y) for (k, v), y in known.items() if v is not None), key=lambda r: r[:2])
+    return labels.sparkSession.createDataFrame(table, "k int, v string, known double")
 
 
 def predict(pool: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:

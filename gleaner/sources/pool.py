@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 
 def load_pool(table: DataFrame, features: list[str | Column], key: str | None = None, order: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, x array<double>) and the columns in keep. Without a key there is no row order: then order, a
-    list of sort columns, must be stated, and rows are numbered from 0 along it, which is one global sort."""
+    list of sort columns, must be stated, and rows are numbered from 0 along it, which is one global sort; ties
+    are broken by x and the columns in keep."""
     x = F.array(*(f if isinstance(f, Column) else F.col(f) for f in features)).cast("array<double>").alias("x")
     if key is not None:
         return table.select(F.col(key).alias("id"), x, *keep)
     if not order:
         raise ValueError("a pool needs a key column, or a stated order to number its rows along")
-    # Numbers within range partitions, plus the sizes of the partitions before: no single-task window.
-    parts = table.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in parts.groupBy("_part").agg(F.count(F.lit(1))).collect()}  # one row a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    shift = F.create_map(*(F.lit(v) for pair in before.items() for v in pair)) if before else F.create_map(F.lit(0), F.lit(0))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + shift[F.col("_part")]
-    return parts.select(number.cast("long").alias("id"), x, *keep)
+    # One range-partitioned, sorted run is written once with each row's place (partition, number in it); ids are
+    # the numbers shifted by the sizes of the partitions before. Nothing is computed twice, so no second
+    # sampling of ranges can disagree with the first, and no task sees more than its own partition.
+    spark = table.sparkSession
+    places = [F.col(c).alias(f"_order{k}") for k, c in enumerate(order)]
+    rows = table.select(x, *keep, *places)
+    ties = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind and not c.startswith("_order")]
+    first = [f"_order{k}" for k in range(len(order))]
+    placed = rows.repartitionByRange(*first).sortWithinPartitions(*first, *ties).withColumn("_place", F.monotonically_increasing_id()).drop(*first)
+    path = f"{shared_folder(spark)}/pool-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    part = F.shiftright("_place", 33)  # a monotonic id is the partition, then 33 bits of the row's number in it
+    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row a partition
+    before = np.concatenate([[0], np.cumsum([r.n for r in sizes])]).tolist()
+    shifts = spark.createDataFrame([(r["_part"], int(n)) for r, n in zip(sizes, before)], "_part long, _shift long")
+    numbered = written.withColumn("_part", part).join(F.broadcast(shifts), "_part")
+    return numbered.select((F.col("_shift") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias("id"), "x", *keep)
 
 
 def pool_report(pool: DataFrame) -> DataFrame:

@@ -7,11 +7,43 @@ from gleaner.functions import expressions as X
 from gleaner.operators import blocks, factorized
 
 
-def test_line_cut():
-    a = np.array([[-1.0, 0.0], [-1.0, 2.0]]) * -1  # w with -x < 0 and -x + 2y < 0
-    c = np.array([0.4, -0.1])
-    assert np.allclose(blocks.line_cut(a, c, np.array([1.0, 0.0])), (-0.4, 0.5949874371066199))
-    assert np.allclose(blocks.line_cut(a, c, np.array([0.0, 1.0])), (-0.816515138991168, 0.3))
+def test_chord():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        signed, w, d = rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=4)
+        w *= 0.9 / np.linalg.norm(w)
+        signed *= np.where(signed @ w > 0, 1, -1)[:, None]
+        a, b = blocks.chord(signed, w, d)
+        t = np.linspace(a - 1, b + 1, 4001)
+        points = w + t[:, None] * d
+        ok = (points @ signed.T >= 0).all(axis=1) & ((points**2).sum(axis=1) <= 1)
+        assert a < 0 < b and (ok == ((t >= a) & (t <= b)))[np.minimum(abs(t - a), abs(t - b)) > 1e-9].all()
+    with pytest.raises(ValueError):
+        blocks.chord(np.array([[1.0, 0.0]]), np.array([-0.5, 0.0]), np.array([0.0, 1.0]))
+    with pytest.raises(ValueError):
+        blocks.chord(np.array([[1.0, 0.0]]), np.array([2.0, 0.0]), np.array([0.0, 1.0]))
+
+
+def test_entropy_by_pattern():
+    rng = np.random.default_rng(8)
+    space = blocks.VersionSpace(rng.normal(size=(7, 4)))
+    x, ref = rng.normal(size=(300, 3)), rng.normal(size=(20, 3))
+    votes, at = space.votes(x), space.votes(ref)
+    cut = np.abs(votes.mean(axis=1) - 0.5)
+    got = blocks.ExpectedEntropy(space, at, cut.min()).score_block(x)[2]
+
+    def entropy(p):
+        return 0.0 if p in (0.0, 1.0) else -(p * np.log(p) + (1 - p) * np.log(1 - p))
+
+    for v, c, g in zip(votes, cut, got):
+        if c > cut.min():
+            assert g == np.inf
+            continue
+        want = 0.0
+        for side in (v > 0, v == 0):
+            if side.any():
+                want += side.mean() * np.mean([entropy(r[side].mean()) for r in at])
+        assert abs(g - want) < 1e-9
 
 
 def test_version_space_membership():

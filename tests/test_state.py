@@ -96,3 +96,20 @@ def test_stream_scores_like_a_table(spark, rows, tmp_path):
     scoring.start(scoring.score_stream(stream, column), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     got = {r.id: r.proba for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.id: r.proba for r in scoring.score_stream(rows, column).collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_numbered_pool(spark, partitions):
+    n = 500_000
+    saved = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = spark.range(n).selectExpr("cast((id * 7919) % 1000 as int) a", "(id * 104729) % 500000 b", "id c").repartition(5)
+        pool = source.load_pool(rows, ["c"], order=["a", "b"], keep=("a", "b"))
+        r = pool.selectExpr("count(*) n", "count(distinct id) d", "min(id) lo", "max(id) hi").first()
+        assert (r.n, r.d, r.lo, r.hi) == (n, n, 0, n - 1)
+        after = pool.selectExpr("id - 1 as id", "a as a2", "b as b2")
+        assert pool.join(after, "id").filter("a > a2 or (a = a2 and b > b2)").count() == 0
+        assert source.load_pool(rows.limit(0), ["c"], order=["a"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", saved)
