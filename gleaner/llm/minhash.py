@@ -5,32 +5,38 @@
    (multiply, add, take the upper bits), one byte each for estimates.
 2. Documents with the same set are one class, combined before the shuffle; from here on a class is its
    least document. Links are between classes, so thousands of copies cost one row.
-3. Classes that share a band key are candidates. Buckets with the same members are one bucket. Large
-   buckets are cut into slices, and each pair of slices is a unit of work, so none meets in one task.
-4. Signatures are compared inside a unit; a pair that shares several bands belongs to the first, by the keys
-   of the bands before, which each member carries. First only
-   a spanning forest of the likely links leaves each unit; these pairs are confirmed on the full sets and
-   joined into components. Then the documents that still have a pair between different components, whose
-   estimate doesn't rule the link out (four standard deviations), meet again with their texts, and the unit
-   confirms all these pairs on the full sets. So no link that matters is skipped, and what leaves a unit
-   follows its documents, not their pairs.
-5. Components by alternating large-star and small-star.
-
-Chance of missing a link at the threshold with 32 bands of 5: under 2e-8 at 0.85, 4e-6 at 0.8.
+3. Classes that share a band key are candidates. Buckets with the same members are one bucket. Its least
+   member is the bucket's lead.
+4. Stars: each class is confirmed on the full sets against one lead, the one it shares most bands with. A lead's
+   members are dealt into slices, so no lead meets all of them in one task. Links found join into components.
+   A bucket whose members are one component is done: a template with very many near copies ends here, at a
+   cost that follows its members.
+5. The rest: in each bucket that still has several components all pairs between different ones are held against
+   each other, by signatures. Members of the lead's component meet the other members only, and these meet
+   each other, in slices; each pair of slices is a unit of work. Documents that have a pair left meet again with
+   their texts, and the unit confirms all these pairs on the full sets, unless links have joined the two already.
+6. Components by alternating large-star and small-star.
+
+Loss. A pair at the threshold shares no band with chance (1 - s^5)^32: 2e-8 at 0.85, 4e-6 at 0.8. Step 5 leaves
+out pairs whose signatures agree in so few places that a pair at the threshold has a chance of at most MISSED
+(1e-9, from the exact binomial distribution) to do so. Nothing else is left out.
 
 Null texts and texts without words have an empty set and no links. Fewer words than the width: the
-whole sequence is the one shingle. Rows without an id get no component and are kept. Ids are taken as
-unique; a repeated row gets the same result each time. Only the named columns are read.
+whole sequence is the one shingle. A text of any length is one set; sets, not texts, bound a unit. Rows without
+an id get no component and are kept. A repeated row gets the same result each time. Where rows share an id but
+not a text, each row has the component of its own text, and the id's least text is what is confirmed. An empty
+table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,6 +45,8 @@ from .shared import WORDS, WordHashes, lowered, mapped, rolling, settle
 WIDTH, BANDS, ROWS, FUNCTIONS = 5, 32, 5, 200
 #: Members of a bucket, and shingles of them, that one side of a unit of work holds.
 SLICE, SLICE_SHINGLES = 1024, 1 << 20
+#: Chance that a pair at the threshold is left out for its signatures.
+MISSED = 1e-9
 
 _factors = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 63, (2, FUNCTIONS), np.uint64)
 _TIMES, _PLUS = _factors[0] * np.uint64(2) + np.uint64(1), _factors[1]
@@ -68,10 +76,10 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(doc, n, digest, signature, keys, the same packed) for every row."""
+    """(doc, n, digest, signature, keys) for every row."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        out = {"doc": batch.column(0), "n": [], "digest": [], "signature": [], "keys": [], "packed": []}
+        out = {"doc": batch.column(0), "n": [], "digest": [], "signature": [], "keys": []}
         made: dict[bytes, tuple] = {}
         for text in batch.column(1).to_pylist():
             shingles = shingle_set(text, width)
@@ -84,41 +92,33 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
             signature, keys = made.get(digest, (None, None))
             out["signature"].append(signature)
             out["keys"].append(None if keys is None else keys.tolist())
-            out["packed"].append(None if keys is None else keys.tobytes())
         return out
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), work, "doc long, n long, digest binary, signature binary, keys array<long>, packed binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), work, "doc long, n long, digest binary, signature binary, keys array<long>")
 
 
-def _agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity; a byte agrees by chance once in 256."""
-    share = (others == one).sum(axis=1) / FUNCTIONS
-    return (share - 1 / 256) / (1 - 1 / 256)
+def least_agreement(threshold: float, missed: float = MISSED) -> int:
+    """The most places in which signatures must agree so that a pair at the threshold agrees in fewer with a chance of
+    at most missed. Each of FUNCTIONS places agrees with chance threshold or more."""
+    below = 0.0
+    for k in range(FUNCTIONS + 1):
+        below += math.comb(FUNCTIONS, k) * threshold**k * (1 - threshold) ** (FUNCTIONS - k)
+        if below > missed:
+            return k
+    return FUNCTIONS
 
 
-def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, before: np.ndarray, least: float, threshold: float, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, estimate) of a unit's pairs with an estimate of at least least, sizes that allow the link and no
-    key of an earlier band (before: rows of keys) in common; with component: between different components."""
-    left, right, found = [], [], []
+def _pairs(signature: np.ndarray, n: np.ndarray, sides: np.ndarray | None, component: np.ndarray, agree: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others after i) of a unit's pairs between different components whose sizes and signatures allow the link."""
     for i in range(len(n) - 1):
-        others = np.arange(i + 1, len(n))
-        others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])]
+        ok = (component[i + 1 :] != component[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))
         if sides is not None:
-            others = others[sides[others] != sides[i]]
-        if component is not None:
-            others = others[component[others] != component[i]]
-        e = _agreement(signature[i], signature[others])
-        others, e = others[e >= least], e[e >= least]
-        if before.shape[1] and len(others):
-            own = ~(before[others] == before[i]).any(axis=1)
-            others, e = others[own], e[own]
+            ok &= sides[i + 1 :] != sides[i]
+        others = i + 1 + np.flatnonzero(ok)
         if len(others):
-            left.append(np.full(len(others), i))
-            right.append(others)
-            found.append(e)
-    if not left:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(found)
+            others = others[(signature[others] == signature[i]).sum(axis=1) >= agree]
+        if len(others):
+            yield i, others
 
 
 class _Sets:
@@ -139,12 +139,6 @@ class _Sets:
         return a != b
 
 
-def _forest(count: int, left: np.ndarray, right: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which pairs make a spanning forest, the likeliest first."""
-    sets = _Sets(count)
-    return np.array([k for k in np.argsort(-found, kind="stable") if sets.join(left[k], right[k])], int)
-
-
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows with the same bucket, i and j (the first three columns), which come one after another."""
     held: list[pa.RecordBatch] = []
@@ -165,126 +159,126 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+UNIT = "bucket long, i int, j int, slice int, doc long, n long, signature binary, component long"
+
+
 def _unit(unit: pa.Table) -> tuple:
-    """(documents, sizes, components, signatures, sides or None, keys of earlier bands), in order of documents."""
+    """(order, documents, sizes, components, signatures, sides or None), in order of documents."""
     doc, n, component = (unit[c].to_numpy() for c in ("doc", "n", "component"))
     order = np.argsort(doc, kind="stable")
     signature = np.frombuffer(b"".join(unit["signature"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)[order]
     sides = unit["slice"].to_numpy()[order] if unit["i"][0].as_py() != unit["j"][0].as_py() else None
-    before = np.frombuffer(b"".join(unit["before"].to_pylist()), np.int64).reshape(len(order), unit["band"][0].as_py())[order]
-    return order, doc[order], n[order], component[order], signature, sides, before
+    return order, doc[order], n[order], component[order], signature, sides
 
 
-UNIT = "bucket long, i int, j int, slice int, band int, doc long, n long, signature binary, before binary, component long"
+def _together(units: DataFrame) -> DataFrame:
+    return units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Units of work: rows of members for each pair of slices of their bucket."""
-    own = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")
-    spread = members.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)))
-    return _together(spread.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "band", "doc", "n", "signature", "before", "component"))
+def _enough(both, one, other, share: tuple[int, int]):
+    return share[1] * both >= share[0] * (one + other - both)
 
 
-def _together(units: DataFrame) -> DataFrame:
-    return units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+def _stars(members: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
+    """Edges (u, v): each class and the lead that it shares most bands with, if their full sets are similar."""
+    chosen = members.filter("doc <> lead").groupBy("doc", "lead").agg(F.sum("weight").alias("w")).groupBy("doc").agg(F.max(F.struct("w", (-F.col("lead")).alias("m")))["m"].alias("m")).select("doc", (-F.col("m")).alias("lead"))
+    slices = chosen.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    sent = chosen.join(slices, "lead").select("lead", F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int").alias("slice"), "doc")
+    leads = slices.select("lead", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("lead").alias("doc"))
+    rows = sent.unionByName(leads).join(texts, "doc").select("lead", "slice", "doc", "text").repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("doc") != F.col("lead"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
+        for batch in batches:
+            linked = []
+            for lead, doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                mine = shingle_set(text.as_py(), width)
+                if doc == lead:  # the first row of each slice
+                    hub = mine
+                linked.append(doc != lead and _enough(len(np.intersect1d(mine, hub, assume_unique=True)), len(mine), len(hub), share))
+            kept = batch.filter(pa.array(linked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], ["u", "v"])
 
+    return rows.mapInArrow(confirm, "u long, v long")
 
-def _likely_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: a spanning forest of each unit's pairs whose estimate reaches the threshold."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
-            _, doc, n, _, signature, sides, before = _unit(unit)
-            left, right, found = _pairs(signature, n, sides, before, threshold, threshold)
-            chosen = _forest(len(doc), left, right, found)
-            if len(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["a", "b"])
+def _open_units(members: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Units of work (UNIT) of the buckets that still have several components."""
+    placed = members.select("bucket", "doc").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("doc", "component"))["component"].alias("main")).filter("a < b").select("bucket", "main")
+    rows = settle(placed.join(several, "bucket").withColumn("minor", F.col("component") != F.col("main")).drop("main").join(classes.select("doc", "n", "signature"), "doc"), "op3-open")
 
-    return _dealt(members).mapInArrow(compare, "a long, b long").distinct()
+    def slices(which: str) -> Column:
+        return F.greatest(F.ceil(F.count_if(F.expr(which)) / SLICE), F.ceil(F.sum(F.when(F.expr(which), F.col("n")).otherwise(0)) / SLICE_SHINGLES)).cast("int")
 
+    sizes = rows.groupBy("bucket").agg(slices("minor").alias("minors"), slices("not minor").alias("majors"))
+    own = F.when(F.col("minor"), F.pmod(F.xxhash64("doc"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("doc"), F.greatest("majors", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.col("minors") - 1 + F.when(F.col("minor"), F.col("majors")).otherwise(0))
+    spread = rows.join(sizes, "bucket").withColumn("slice", own).withColumn("other", F.explode(others))
+    return _together(spread.select("bucket", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "doc", "n", "signature", "component"))
 
-def _links_left(members: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
-    """Edges (u, v) between different components: every pair that the estimate doesn't rule out is confirmed
-    on the full sets, inside its unit, unless links of the unit have joined the two already."""
-    least, most = share
-    threshold = least / most
-    likely = threshold - 4 * (threshold * (1 - threshold) / FUNCTIONS) ** 0.5
+
+def _links_left(units: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
+    """Edges (u, v) between different components: every pair that the signatures allow is confirmed on the full
+    sets, inside its unit, unless links of the unit have joined the two already."""
+    threshold = share[0] / share[1]
+    agree = least_agreement(threshold)
 
     def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            if len(unit) < 2 or len(np.unique(unit["component"].to_numpy())) < 2:
+            if len(unit) < 2:
                 continue
-            order, _, n, component, signature, sides, before = _unit(unit)
-            left, right, _ = _pairs(signature, n, sides, before, likely, threshold, component)
-            if len(left):
-                yield from unit.take(pa.array(order[np.unique(np.concatenate([left, right]))])).combine_chunks().to_batches()
+            order, _, n, component, signature, sides = _unit(unit)
+            held = np.zeros(len(n), bool)
+            for i, others in _pairs(signature, n, sides, component, agree, threshold):
+                held[i] = held[others] = True
+            if held.any():
+                yield from unit.take(pa.array(order[held])).combine_chunks().to_batches()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            order, doc, n, component, signature, sides, before = _unit(unit)
+            order, doc, n, component, signature, sides = _unit(unit)
             sets = [shingle_set(t, width) for t in unit["text"].take(pa.array(order)).to_pylist()]
-            left, right, found = _pairs(signature, n, sides, before, likely, threshold, component)
-            joined, chosen = _Sets(len(doc)), []
-            for k in np.argsort(-found, kind="stable"):
-                i, j = left[k], right[k]
-                if joined.top(i) == joined.top(j):
+            joined, u, v = _Sets(len(doc)), [], []
+            for i, others in _pairs(signature, n, sides, component, agree, threshold):
+                top = joined.top(i)
+                others = [j for j in others.tolist() if joined.top(j) != top]
+                if not others:
                     continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if most * both >= least * (len(sets[i]) + len(sets[j]) - both):
-                    joined.join(i, j)
-                    chosen.append(k)
-            if chosen:
-                yield pa.RecordBatch.from_arrays([pa.array(doc[left[chosen]]), pa.array(doc[right[chosen]])], ["u", "v"])
+                lengths = np.array([len(sets[j]) for j in others])
+                every = np.concatenate([sets[j] for j in others])
+                at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+                for k in np.flatnonzero(_enough(both, len(sets[i]), lengths, share)).tolist():
+                    if joined.join(i, others[k]):
+                        u.append(doc[i])
+                        v.append(doc[others[k]])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    still_open = _dealt(members).mapInArrow(open_rows, UNIT)
-    return _together(still_open.join(texts, "doc").select("bucket", "i", "j", "slice", "band", "doc", "n", "signature", "before", "component", "text")).mapInArrow(confirm, "u long, v long").distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
-    """The pairs whose full sets are similar enough, as edges (u, v)."""
-    one, two = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    least, most = share
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            linked = []
-            for k in range(batch.num_rows):
-                b = batch.column(1)[k].as_py()
-                if b != last[0]:
-                    last = b, shingle_set(batch.column(3)[k].as_py(), width)
-                mine = shingle_set(batch.column(2)[k].as_py(), width)
-                both = len(np.intersect1d(mine, last[1], assume_unique=True))
-                linked.append(most * both >= least * (len(mine) + len(last[1]) - both))
-            kept = batch.filter(pa.array(linked, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "u long, v long")
+    still_open = units.mapInArrow(open_rows, UNIT)
+    return _together(still_open.join(texts, "doc").select(*(c.split()[0] for c in UNIT.split(", ")), "text")).mapInArrow(confirm, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (80, 100), width: int = WIDTH) -> DataFrame:
     """One row a document: (id, n_shingles, component_id, kept). share: (x, y) links documents with
     y * intersection >= x * union."""
-    threshold = share[0] / share[1]
     signed = settle(signatures(docs, id_col, text_col, width), "op3-signed")
-    first = F.min(F.struct("doc", "n", "signature", "keys", "packed"))
+    first = F.min(F.struct("doc", "n", "signature", "keys"))
     classes = settle(signed.filter("digest is not null and doc is not null").groupBy("digest").agg(first.alias("r")).select("digest", "r.*"), "op3-classes")
-    bands = classes.select("doc", "n", F.posexplode("keys").alias("band", "key"))
+    bands = classes.select("doc", F.explode("keys").alias("bucket"))
     # A bucket is known by its members: how many, the least, and a digest of all.
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("band").alias("band"), F.min("doc").alias("least"), F.bit_xor(F.xxhash64("doc")).alias("all")).filter("size > 1")
-    slices = F.ceil(F.greatest(F.col("size") / SLICE, F.col("total") / SLICE_SHINGLES))
-    single = buckets.groupBy("size", "least", "all").agg(F.min(F.struct("band", "key", slices.alias("slices"))).alias("b")).select("b.band", "b.key", "b.slices")
-    members = bands.select("doc", "key").join(single, "key").select(F.col("key").alias("bucket"), "band", "slices", "doc")
-    earlier = F.substring("packed", F.lit(1), F.col("band") * 8)
-    compared = settle(members.join(classes.select("doc", "n", "signature", "packed"), "doc").withColumn("before", earlier).drop("packed"), "op3-compared")
-    wanted = compared.select("doc").distinct().hint("merge")  # grows with the input, so it isn't broadcast at any size
-    texts = settle(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "op3-texts")
-    first_edges = _confirmed(_likely_links(compared.withColumn("component", F.col("doc")), threshold), texts, share, width)
-    known = components(first_edges, "op3-first")
-    placed = compared.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rest = _links_left(placed, texts, share, width)
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lead"), F.bit_xor(F.xxhash64("doc")).alias("all")).filter("size > 1")
+    single = buckets.groupBy("size", "lead", "all").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("weight")).select("bucket", "lead", "weight")
+    members = settle(bands.join(single, "bucket").select("bucket", "lead", "weight", "doc"), "op3-members")
+    wanted = members.select("doc").distinct().hint("merge")  # grows with the input, so it isn't broadcast at any size
+    texts = settle(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "op3-texts")
+    known = components(_stars(members, texts, share, width), "op3-first")
+    rest = _links_left(_open_units(members, known, classes), texts, share, width)
     known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest), "op3-rest")
-    ends = classes.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    out = signed.select("doc", "n", "digest").join(ends, "digest", "left")
+    ends = classes.select("digest", "doc").join(known.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
+    # Rows without a set have no class; they don't go through the join, where they would all meet in one task.
+    rows = signed.select("doc", "n", "digest")
+    out = rows.filter("digest is not null").join(ends, "digest", "left").select("doc", "n", "component_id").unionByName(rows.filter("digest is null").select("doc", "n", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
