@@ -19,7 +19,10 @@ spark.sql.autoBroadcastJoinThreshold and by a shuffle otherwise. A shingle that
 one row on the small side, and the counts by (document, item) are combined before the shuffle.
 
 Null or empty texts have no shingles: such a document contains nothing and such an item is contained
-nowhere. Repeated items are items of their own. Only the named columns are read.
+nowhere. Texts of any length are one row of words; their shingles are hashed one by one. Ids are of any type that has an order.
+Rows that share an id are one document, or one item, which contains what any of them does; each row is returned. A row
+without an id is returned and contains nothing; an item without an id is left out. Empty tables give empty results, or
+documents without items. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -64,9 +67,9 @@ def _hashed(w: Column, i: Column) -> Column:
 
 def contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, n_found, n_shingles) for every document that contains an item."""
-    known = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w")).select("item", shingles(F.col("w")).alias("shingles")).withColumn("n_shingles", F.size("shingles")).filter("n_shingles > 0")
+    known = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w")).select("item", shingles(F.col("w")).alias("shingles")).withColumn("n_shingles", F.size("shingles")).filter("n_shingles > 0 and item is not null")
     minima = _signatures(known).select("item", "n_shingles", "n_minima", _hashed(F.split("minimum", " "), F.lit(0)).alias("h"))
-    split = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w"))
+    split = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w")).filter("doc is not null")
     # explode() would infer a filter on the array and evaluate it twice, with the words inlined.
     hashes = split.select("doc", F.explode_outer(_shingle_hashes(F.col("w"))).alias("h"))
     # Each minimum counts once for a document, however often the document repeats it.
@@ -89,7 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     tie), that share, and contaminated (n_items > 0)."""
     hits = contained(docs, items, doc_id=doc_id, doc_text=doc_text, item_id=item_id, item_text=item_text)
     share = F.round(F.col("n_found") / F.col("n_shingles"), 6)
-    best = F.max_by("item", F.struct(share.alias("share"), (-F.col("item")).alias("least")))
+    best = F.min_by("item", F.struct((-share).alias("share"), "item"))
     by_doc = hits.groupBy("doc").agg(F.count_distinct("item").alias("n_items"), best.alias("best_item"), F.max(share).alias("containment"))
     return docs.select(F.col(doc_id).alias("doc")).join(by_doc, "doc", "left").select(
         F.col("doc").alias(doc_id), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("best_item"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.col("n_items").isNotNull().alias("contaminated")

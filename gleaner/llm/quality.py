@@ -1,21 +1,23 @@
 """Quality classifier (operator 9): attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Every passage of a whole text is encoded as shares of
-kinds of characters, lengths and repetition; the model maps that to a hidden vector, weighs the vectors
-with gated attention (softmax of w . (tanh(V h) * sigmoid(U h)), Ilse, Tomczak and Welling 2018) and
-scores the weighted sum with a logistic output. Only the document has a label; the attention learns
-which passages carry it.
-
-Training takes a bounded sample: at most TRAIN_DOCS labelled documents, those with the least md5 of the
-id, and of a longer document at most TRAIN_PASSAGES passages, evenly spread. Both bounds are parameters;
-the sample's passages (about TRAIN_DOCS * TRAIN_PASSAGES * 100 bytes at most) are what the driver gets.
-Scoring has no bound: every passage of every document, in a stream of blocks, with the weights (a few
-kB) in the closure. No shuffle but the join of labels to the documents that are learnt from.
-
-A null or empty text is one passage without words and is scored like any other. Labels that are null,
-or of unknown documents, are left out; with one class only, the score is that class's share. Rows
-repeated in labels count as often as they stand there. Only the named columns are read; labels, language,
-source and id are no inputs.
+A document is a bag of passages of PASSAGE words. Every passage of a whole text is encoded twice: by what its
+words look like (shares of kinds of characters, lengths, repetition), and by what they are: each word has
+three hashed features (the word, its first and its last three letters), each feature a learned vector, and the
+passage has their mean. The model maps both to a hidden vector, weighs the passages' hidden vectors with gated attention
+(softmax of a . (tanh(V h) * sigmoid(U h)), Ilse, Tomczak and Welling 2018) and scores the weighted sum with a
+logistic output. Only the document has a label; vectors, encoder and attention are learnt together from it.
+
+Training takes a bounded sample of labelled documents, whole: of those with the least md5 of the id at most
+TRAIN_DOCS, and of these, in that order, as many as TRAIN_BYTES of text hold. Both bounds are parameters; what
+the driver gets is about three bytes a byte of that text. A tenth of the sample chooses the epoch that is kept.
+Scoring has no bound: every passage of every document, in blocks of passages, with the weights (about 300 kB)
+in the closure. No shuffle but the join of labels to the documents that are learnt from.
+
+A null or empty text is one passage without words and is scored like any other; a very long one takes memory
+for its words, not for their vectors. Labels that are null, or of unknown documents, are left out; with one class only
+the score is that class's share; without any label, or with empty tables, it is a half. A document is learnt from
+once for each label, however often its rows repeat. A row without an id is scored, and not held out. Only the named columns are read;
+labels, language, source and id are no inputs.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORDS, mapped
+from .shared import WORDS, mapped, settle
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 48
-HIDDEN, GATES, EPOCHS, STEP, DECAY, SEED = 16, 8, 60, 0.01, 1e-4, 7
+PASSAGE, TRAIN_DOCS, TRAIN_BYTES = 64, 4000, 24 << 20
+HIDDEN, GATES, VECTOR, BUCKETS = 16, 8, 8, 1 << 13
+EPOCHS, STEP, DECAY, SEED = 30, 0.01, 1e-4, 7
 FEATURES = 26
 
 
@@ -47,11 +51,50 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
-    """One row of features for each passage of size words; one row for a text without words."""
+class _Words(dict):
+    """word -> number, given when first asked for; features[number] are its hashed features. The same word has
+    the same features in every worker, not the same number."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        super().__init__()
+        self.most, self.version = most, 0
+        self.features = np.zeros((1 << 12, 3), np.uint16)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.features):
+            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
+        low = word.lower()
+        for k, part in enumerate((low, low[:3], low[-3:])):
+            self.features[n, k] = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=k) % BUCKETS
+        self[word] = n
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) >= self.most:  # between texts only, so that numbers of one text agree
+            self.clear()
+            self.version += 1
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+_words = _Words()
+
+
+@dataclass
+class Bag:
+    """A text: looks (one row of FEATURES a passage), numbers of its words, where passages start, and how many
+    words each has (1 for a text without words)."""
+
+    looks: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+
+def passages(text: str | None, size: int = PASSAGE) -> Bag:
     words = WORDS.findall(text or "")
     if not words:
-        return np.zeros((1, FEATURES), np.float32)
+        return Bag(np.zeros((1, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64))
     starts = np.arange(0, len(words), size)
     sizes = np.diff(np.append(starts, len(words)))
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -66,16 +109,17 @@ def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
     out = np.zeros((len(starts), FEATURES), np.float32)
     out[:, 0:10] = counts / n_bytes[:, None]
     # Repetition: how often a word is one of the words just before it, or of its passage.
-    _, code = np.unique(np.array([hash_of(w) for w in words], np.uint64), return_inverse=True)
+    numbers = _words.of(words)
+    distinct, code = np.unique(numbers, return_inverse=True)
     for k, back in enumerate((1, 2, 3)):
         same = np.zeros(len(code))
         same[back:] = code[back:] == code[:-back]
         out[:, 10 + k] = np.add.reduceat(same, starts) / sizes
     passage = np.repeat(np.arange(len(starts)), sizes)
-    single = passage * (code.max() + 1) + code
-    out[:, 13] = np.bincount(np.unique(single) // (code.max() + 1), minlength=len(starts)) / sizes
-    out[:, 14] = len(np.unique(code)) / len(code)  # of the whole text
-    pairs = code[:-1] * (code.max() + 1) + code[1:]
+    single = passage * len(distinct) + code
+    out[:, 13] = np.bincount(np.unique(single) // len(distinct), minlength=len(starts)) / sizes
+    out[:, 14] = len(distinct) / len(code)  # of the whole text
+    pairs = code[:-1] * len(distinct) + code[1:]
     out[:, 15] = len(np.unique(pairs)) / max(len(pairs), 1)
     mean = np.add.reduceat(lengths, starts) / sizes
     out[:, 16] = mean / 10
@@ -84,114 +128,164 @@ def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
         out[:, 18 + k] = np.add.reduceat(share.astype(np.float64), starts) / sizes
     out[:, 24] = np.log1p(len(words)) / 10
     out[:, 25] = sizes / size
-    return out
+    return Bag(out, numbers, starts, sizes)
 
 
-_seen: dict[str, int] = {}
+@dataclass
+class Sparse:
+    """Passages of several bags for training: looks, and of each passage its features (rising within the
+    passage) with their shares. bags: how many passages each bag has; cells: how many features each passage has."""
 
+    looks: np.ndarray
+    feature: np.ndarray
+    share: np.ndarray
+    cells: np.ndarray
+    bags: np.ndarray
 
-def hash_of(word: str) -> int:
-    """A number for a word, the same in every worker."""
-    value = _seen.get(word)
-    if value is None:
-        import xxhash
 
-        if len(_seen) > 300_000:
-            _seen.clear()
-        value = _seen[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return value
+def sparse(bag: Bag) -> Sparse:
+    passage = np.repeat(np.arange(len(bag.starts)), bag.sizes if len(bag.words) else 0)
+    keys, counts = np.unique((passage[:, None] * BUCKETS + _words.features[bag.words]).ravel(), return_counts=True)
+    at = keys // BUCKETS
+    return Sparse(bag.looks, (keys % BUCKETS).astype(np.int64), (counts / (3 * bag.sizes[at])).astype(np.float32), np.bincount(at, minlength=len(bag.starts)), np.array([len(bag.starts)]))
 
 
-@dataclass
-class Model:
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: dict[str, np.ndarray]
+def joined(parts: list[Sparse]) -> Sparse:
+    return Sparse(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("looks", "feature", "share", "cells", "bags")))
 
-    def _hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.weights["encode"] + self.weights["encode_bias"])
 
-    def score(self, x: np.ndarray, block: int = 65536) -> float:
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; a run may be empty."""
+    out = np.zeros((len(sizes), *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def loss_and_slopes(w: dict[str, np.ndarray], x: Sparse, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean logistic loss of bags whose looks are standardised, and its slopes by every weight."""
+    cell = np.repeat(np.arange(len(x.cells)), x.cells)
+    content = _sums(w["vectors"][x.feature] * x.share[:, None], x.cells)
+    both = np.concatenate([x.looks, content], axis=1)
+    starts = np.cumsum(x.bags) - x.bags
+    bag = np.repeat(np.arange(len(x.bags)), x.bags)
+    h = np.tanh(both @ w["encode"] + w["encode_bias"])
+    tv, su = np.tanh(h @ w["v"]), _sigmoid(h @ w["u"])
+    a = (tv * su) @ w["a"]
+    e = np.exp(a - np.maximum.reduceat(a, starts)[bag])
+    p = e / np.add.reduceat(e, starts)[bag]
+    z = np.add.reduceat(p[:, None] * h, starts)
+    m = z @ w["out"] + w["out_bias"][0]
+    loss = float(np.mean(np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y * m))
+    d = (_sigmoid(m) - y) / len(y)
+    dz = d[:, None] * w["out"]
+    dp = (dz[bag] * h).sum(axis=1)
+    da = p * (dp - np.add.reduceat(p * dp, starts)[bag])
+    dtv, dsu = da[:, None] * w["a"] * su * (1 - tv**2), da[:, None] * w["a"] * tv * su * (1 - su)
+    dh = (p[:, None] * dz[bag] + dtv @ w["v"].T + dsu @ w["u"].T) * (1 - h**2)
+    dc = (dh @ w["encode"][FEATURES:].T)[cell] * x.share[:, None]
+    dv = np.stack([np.bincount(x.feature, dc[:, k], minlength=len(w["vectors"])) for k in range(dc.shape[1])], axis=1)
+    return loss, {"vectors": dv, "encode": both.T @ dh, "encode_bias": dh.sum(axis=0), "v": h.T @ dtv, "u": h.T @ dsu, "a": (da[:, None] * tv * su).sum(axis=0), "out": z.T @ d, "out_bias": np.array([d.sum()])}
+
+
+class Model:
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: dict[str, np.ndarray]) -> None:
+        self.mean, self.scale, self.weights = mean, scale, weights
+        self._of_words, self._version = np.zeros((0, VECTOR)), -1
+
+    def _content(self, numbers: np.ndarray) -> np.ndarray:
+        """Vectors of words, each worked out once a worker."""
+        if self._version != _words.version:
+            self._of_words, self._version = np.zeros((0, VECTOR)), _words.version
+        known = len(self._of_words)
+        if known < len(_words):
+            self._of_words = np.concatenate([self._of_words, self.weights["vectors"][_words.features[known : len(_words)]].mean(axis=1)])
+        return self._of_words[numbers]
+
+    def score(self, bag: Bag, block: int = 16384) -> float:
         """A bag's score; running softmax over blocks, so a text of any length needs one block at a time."""
         w, top, weight, total = self.weights, -np.inf, 0.0, np.zeros(HIDDEN)
-        for at in range(0, len(x), block):
-            h = self._hidden(x[at : at + block])
+        for at in range(0, len(bag.looks), block):
+            sizes = bag.sizes[at : at + block]
+            first = int(bag.starts[at])
+            words = bag.words[first : first + int(sizes.sum())]
+            content = _sums(self._content(words), sizes) / sizes[:, None] if len(words) else np.zeros((len(sizes), VECTOR))
+            h = np.tanh(np.concatenate([(bag.looks[at : at + block] - self.mean) / self.scale, content], axis=1) @ w["encode"] + w["encode_bias"])
             a = (np.tanh(h @ w["v"]) * _sigmoid(h @ w["u"])) @ w["a"]
             new_top = max(top, a.max())
-            e = np.exp(a - new_top)
-            shrink = np.exp(top - new_top)
+            e, shrink = np.exp(a - new_top), np.exp(top - new_top)
             weight, total, top = weight * shrink + e.sum(), total * shrink + e @ h, new_top
         return float(_sigmoid(total / weight @ w["out"] + w["out_bias"][0]))
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
-
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Adam on the logistic loss of documents, batches of bags, gradients written out."""
+def train(bags: list[Sparse], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Adam on the logistic loss, batches of bags; the epoch with the least loss on a tenth kept back."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
+    every = np.concatenate([b.looks for b in bags]) if bags else np.zeros((1, FEATURES), np.float32)
     mean, scale = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
-    w = {"encode": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "encode_bias": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "a": rng.normal(0, GATES**-0.5, GATES), "out": np.zeros(HIDDEN), "out_bias": np.zeros(1)}
-    model = Model(mean, scale, w)
+    width = FEATURES + VECTOR
+    w = {"vectors": rng.normal(0, 0.1, (BUCKETS, VECTOR)), "encode": rng.normal(0, width**-0.5, (width, HIDDEN)), "encode_bias": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "a": rng.normal(0, GATES**-0.5, GATES), "out": np.zeros(HIDDEN), "out_bias": np.zeros(1)}
     share = float(labels.mean()) if len(labels) else 0.5
     w["out_bias"][0] = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
     if share in (0.0, 1.0) or not len(labels):
-        return model
-    first, second, t = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
-    scaled = [(b - mean) / scale for b in bags]
+        return Model(mean, scale, w)
+    scaled = [Sparse((b.looks - mean) / scale, b.feature, b.share, b.cells, b.bags) for b in bags]
+    mixed = rng.permutation(len(bags))
+    kept_back, used = mixed[: len(bags) // 10], mixed[len(bags) // 10 :]
+    aside = joined([scaled[k] for k in kept_back]) if len(kept_back) else None
+    first, second, t, best = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, (np.inf, w)
     for epoch in range(epochs):
-        for some in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 64)):
-            x, y = np.concatenate([scaled[k] for k in some]), labels[some]
-            sizes = np.array([len(scaled[k]) for k in some])
-            starts = np.cumsum(sizes) - sizes
-            bag = np.repeat(np.arange(len(some)), sizes)
-            h = np.tanh(x @ w["encode"] + w["encode_bias"])
-            tv, su = np.tanh(h @ w["v"]), _sigmoid(h @ w["u"])
-            a = (tv * su) @ w["a"]
-            e = np.exp(a - np.maximum.reduceat(a, starts)[bag])
-            p = e / np.add.reduceat(e, starts)[bag]
-            z = np.add.reduceat(p[:, None] * h, starts)
-            d = (_sigmoid(z @ w["out"] + w["out_bias"][0]) - y) / len(some)
-            dz = d[:, None] * w["out"]
-            dp = (dz[bag] * h).sum(axis=1)
-            da = p * (dp - np.add.reduceat(p * dp, starts)[bag])
-            dtv, dsu = da[:, None] * w["a"] * su * (1 - tv**2), da[:, None] * w["a"] * tv * su * (1 - su)
-            dh = (p[:, None] * dz[bag] + dtv @ w["v"].T + dsu @ w["u"].T) * (1 - h**2)
-            g = {"encode": x.T @ dh, "encode_bias": dh.sum(axis=0), "v": h.T @ dtv, "u": h.T @ dsu, "a": (da[:, None] * tv * su).sum(axis=0), "out": z.T @ d, "out_bias": np.array([d.sum()])}
+        rate = STEP * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
+        for some in np.array_split(rng.permutation(used), max(1, len(used) // 64)):
+            _, g = loss_and_slopes(w, joined([scaled[k] for k in some]), labels[some])
             t += 1
-            rate = STEP * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
             for k in w:
                 grad = g[k] + DECAY * w[k] * (k != "out_bias")
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad**2
-                w[k] -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
-    return model
+                w[k] = w[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+        now = loss_and_slopes(w, aside, labels[kept_back])[0] if aside is not None else -epoch
+        if now < best[0]:
+            best = now, dict(w)
+    return Model(mean, scale, best[1])
 
 
 def held_out(id_col: str) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAIN_DOCS, most_passages: int = TRAIN_PASSAGES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
     """A model from labelled documents that aren't held out."""
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & ~held_out("id"))
-    chosen = usable.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "label").limit(most_docs)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most most_docs rows
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & F.col("id").isNotNull() & ~held_out("id"))
+    place = F.md5(F.col("id").cast("string").cast("binary"))
+    chosen = usable.withColumn("place", place).orderBy("place", "label").limit(most_docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most most_docs ids
+    sample = settle(rows.groupBy("place", "label").agg(F.min("text").alias("text")), "op9-sample")
+    sizes = sample.select("place", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "label").collect()
+    within = np.cumsum([r["size"] for r in sizes]) <= most_bytes
+    last = max((r.place for r, ok in zip(sizes, within) if ok), default="")
+    sample = sample.filter(F.col("place") <= last).repartition(16)
 
     def work(batch: pa.RecordBatch) -> dict:
-        bags = []
+        out: dict = {n: [] for n in ("looks", "feature", "share", "cells")}
         for text in batch.column(1).to_pylist():
-            x = passages(text)
-            if len(x) > most_passages:
-                x = x[np.linspace(0, len(x) - 1, most_passages).astype(int)]
-            bags.append(x.astype(np.float32).tobytes())
-        return {"id": batch.column(0).cast(pa.string()), "label": batch.column(2), "bag": bags}
-
-    rows = mapped(sample.select("id", "text", "label"), work, "id string, label double, bag binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["label"], r["bag"]))
-    return train([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["label"] for r in rows]))
+            x = sparse(passages(text))
+            for n, kind in (("looks", np.float32), ("feature", np.uint16), ("share", np.float32), ("cells", np.int32)):
+                out[n].append(getattr(x, n).astype(kind).tobytes())
+        return {"place": batch.column(0), "label": batch.column(2)} | out
+
+    rows = mapped(sample.select("place", "text", "label"), work, "place string, label double, looks binary, feature binary, share binary, cells binary").collect()
+    rows.sort(key=lambda r: (r.place, r.label, r.feature, r.looks))
+    bags = []
+    for r in rows:
+        looks = np.frombuffer(r.looks, np.float32).reshape(-1, FEATURES)
+        bags.append(Sparse(looks, np.frombuffer(r.feature, np.uint16).astype(np.int64), np.frombuffer(r.share, np.float32), np.frombuffer(r.cells, np.int32).astype(np.int64), np.array([len(looks)])))
+    return train(bags, np.array([r.label for r in rows]))
 
 
 def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,15 +1,16 @@
 """Token counts (operator 10).
 
-Texts of up to chunk characters go to the tokenizer as they are. Longer ones are encoded in chunks
-that overlap, with offsets; neighbours are spliced at a boundary that both encodings have and that is
-proven stable: a non-space character on its left and a white space on its right. No piece that
-byte-level cutting makes spans such a place, and cutting from there on doesn't depend on what stands
-before it, so the tokens on either side are those of the whole text. Where the overlap holds no such
-place, it is doubled, up to the rest of the text. Stable places also cut a chunk into words, and the
-tokenizer is asked once for each word that a worker doesn't remember (a bounded number of them).
-
-No shuffle. Null texts count as empty: 0 bytes, 0 tokens. A tokenizer of another kind than byte-level
-(no proof of stability) encodes every text whole.
+Texts of more than chunk characters are encoded in chunks that overlap, with offsets; neighbours are spliced
+at a boundary that both encodings have and that is proven stable: a non-space character on its left and a
+white space on its right. No piece that byte-level cutting makes spans such a place, and cutting from there on
+doesn't depend on what stands before it, so the tokens on either side are those of the whole text. Where the
+overlap holds no such place, it is doubled, up to the rest of the text. A chunk goes to the tokenizer whole.
+Shorter texts are one chunk; their stable places cut them into words, and the tokenizer is asked once for each word
+that a worker doesn't remember (a bounded number of them).
+
+No shuffle; memory follows the longest text, not its tokens. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows
+and rows without an id are counted each on its own; an empty table gives an empty result. A tokenizer of another
+kind than byte-level (no proof of stability) encodes every text whole. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import mapped
 
-CHUNK, OVERLAP, REMEMBERED = 1 << 16, 1 << 10, 500_000
+CHUNK, OVERLAP, REMEMBERED = 1 << 12, 1 << 8, 500_000
 _STABLE = re.compile(r"(?<=\S)(?=\s)")
 #: A space here isn't the last of its run of white space, so text can't be cut before it.
 _UNSAFE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -42,7 +43,6 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.byte_level = False
         self.sizes: dict[str, int] = {}  # of words, with the space before them
-        self.spans: dict[str, list[tuple[int, int]]] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -87,22 +87,8 @@ class Counter:
 
     def _offsets(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
         """Where the tokens of text[start:end] begin and end."""
-        part = text[start:end]
-        if _UNSAFE_SPACE.search(part):
-            spans = self.tokenizer.encode(part, add_special_tokens=False).offsets
-            return [start + a for a, _ in spans], [start + b for _, b in spans]
-        words = _words(part)
-        if len(self.spans) > REMEMBERED // 8:
-            self.spans.clear()
-        new = list({w for w in words if w not in self.spans})
-        self.spans.update((w, x.offsets) for w, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
-        begins, ends, at = [], [], start
-        for word in words:
-            for a, b in self.spans[word]:
-                begins.append(at + a)
-                ends.append(at + b)
-            at += len(word)
-        return begins, ends
+        spans = self.tokenizer.encode(text[start:end], add_special_tokens=False).offsets
+        return [start + a for a, _ in spans], [start + b for _, b in spans]
 
     def spliced(self, text: str, chunk: int, overlap: int) -> int:
         total, n = 0, len(text)

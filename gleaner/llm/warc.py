@@ -5,15 +5,15 @@ for the same canonical URL, if the validators agree: entity tags where the revis
 weakly, RFC 9110), else the last-modified date; a payload digest, where given, must agree too. The headers
 are the response's, with those that a 304 response may update taken from the revisit.
 
-The as-of join doesn't sort a URL's whole history in one task: time is cut into chunks of at most `chunk`
-records' time each. Per (URL, chunk) the last response is found by an aggregate that is combined before
-the shuffle; a running last over these few rows gives what each chunk starts with; within (URL, chunk)
-a window finishes the work. So one URL with a third of all records is spread over its chunks. Bodies don't
-take part: a record carries its digest.
+The as-of join doesn't sort a URL's whole history in one task: time is cut into chunks that hold `chunk` records on average,
+whatever the unit of time (from one pass: how many records there are, and the times between which all but one in a hundred
+lie). Per (URL, chunk) the last response is found by an aggregate that is combined before the shuffle; a running last over
+these few rows gives what each chunk starts with; within (URL, chunk) a window finishes the work. So one URL with a
+third of all records is spread over its chunks. Bodies don't take part: a record carries its digest.
 
 Nulls: a record without URL or time resolves to nothing ("no url or time"); null validators count as
 absent; null headers as none. Equal times: the smaller record id is the earlier one. Repeated rows are
-records of their own. Only the named columns are read.
+records of their own. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -54,9 +54,11 @@ def _tag(etag: Column) -> Column:
 def resolve(records: DataFrame, *, chunk: int = 4096) -> DataFrame:
     """One row a revisit: (record_id, url, response_id, outcome, headers). records: record_id long, url
     string, at long (time), kind ('response' or 'revisit'), etag, last_modified, digest string, headers
-    map<string,string>. chunk: length of a chunk of time, in units of at."""
+    map<string,string>. chunk: records that a chunk of time holds on average."""
+    low, high, n = records.agg(F.percentile_approx("at", F.lit(0.005), F.lit(1000)), F.percentile_approx("at", F.lit(0.995), F.lit(1000)), F.count("at")).first()
+    length = max(1, (high - low) * chunk // n) if n else 1
     facts = ("record_id", "etag", "last_modified", "digest", "headers")
-    keyed = records.select(*facts, "at", "kind", canonical_url(F.col("url")).alias("url")).withColumn("chunk", F.floor(F.col("at") / chunk))
+    keyed = records.select(*facts, "at", "kind", canonical_url(F.col("url")).alias("url")).withColumn("chunk", F.floor(F.col("at") / length))
     usable = F.col("url").isNotNull() & F.col("at").isNotNull()
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
     known = keyed.filter(usable).withColumn("full", full)

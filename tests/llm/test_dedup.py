@@ -115,10 +115,9 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("one_cell", [4096, 50])
-def test_embeddings(spark, monkeypatch, one_cell):
-    monkeypatch.setattr(embeddings, "ONE_CELL", one_cell)
-    monkeypatch.setattr(embeddings, "CELL_ROWS", 60)
+@pytest.mark.parametrize("cell_rows", [4096, 60, 8])
+def test_embeddings(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 24))
     near = base[rng.integers(0, 300, 150)] + rng.normal(size=(150, 24)) * 0.12
@@ -138,7 +137,7 @@ def test_embeddings(spark, monkeypatch, one_cell):
     got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
     found = sum(r.n_links for r in got.values())
     assert found >= 0.97 * sum(counts.values()) and all(r.n_links <= counts[i] for i, r in got.items())
-    if one_cell == 4096:
+    if cell_rows == 4096:
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (counts[i], want[i]) for i in want}
 
 
