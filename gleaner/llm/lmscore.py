@@ -2,30 +2,34 @@
 
 A target model is counted on the documents marked as wanted, a background model on all documents. Both
 are bigram models with the unigram model as prior, with the same smoothing and one vocabulary: all words
-of all documents, WORD_SLOTS at least. Words and pairs are known by 64-bit hashes, so counts are exact but
+of all documents, LEAST_WORDS at least. Words and pairs are known by 64-bit hashes, so counts are exact but
 for equal hashes (at 10 ** 9 distinct pairs 0.03 expected). Background counts are scaled to the target's
 number of words, so that the prior weighs alike in both. A document's score is the mean over its words of
 (target loss - background loss), in nats: below 0 it is more like the target.
 
 The loss of word b after word a is log(count(a) + PRIOR) - log(count(a, b) + PRIOR * p(b)). A word's count as
 context is its count as a word, so a document's sum of the first terms runs over its words but the last,
-and the start; all that a pair adds is known where the pairs that end in b are. So pairs are dealt by their
-last word into ranges, packed; a word of more than a HOT part of a sample has its pairs dealt by pair and its own
-count, one of 1 / HOT at most, sent to all. The sample only says where pairs meet, not what they count.
+and the start; all that a pair adds is known where the pairs that end in b are.
 
-Counting combines pairs in each piece of a task before the shuffle and keeps one packed table a range. Scoring
-sends a piece's distinct pairs, each with its documents, to their ranges, where they meet the counts, and the
-sums by document come back to the piece. They are whole multiples of 1 / UNIT, so their order doesn't matter. No task sees
-more of a pair than one entry a document, and neither vocabulary nor counts come to the driver.
+How it runs. Texts meet their marks once and are written. A first pass counts words: all, distinct ones (by
+range of hashes), and hot words and hot pairs, those that make more than a HOT part of a sample; there are 1 / HOT of
+each at most, and their exact counts go to all tasks. In the second pass each piece of text sends its pairs, each with
+its documents, to the range of their last word (pairs of hot words: to the range of the pair), packed. The range counts
+them, target and background, and right away works out what each document's pairs add; the sums by document come back
+to the piece. So pairs are shuffled once for both. Hot pairs are settled inside the piece and aren't sent, so no task
+sees a pair that a large part of all documents hold. The sample only says where pairs meet, not what they count. Sums are
+whole multiples of 1 / UNIT, so their order doesn't matter; neither vocabulary nor counts come to the driver.
 
 Null and empty texts have no words: they add nothing and score 0. Without any target document all scores
 are the background's against an empty model. Marks repeated or null count once or not at all. Rows with
-the same id are scored each on its own. Only the named columns are read.
+the same id are counted and scored each on its own, rows without an id as unmarked ones. A text of any length is one piece. Empty tables give an empty
+result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,9 @@ from pyspark.sql import functions as F
 from .shared import WORDS, WordHashes, lowered, mixed, pieces_of, settle
 
 #: Words that the prior spreads FLOOR over, at least.
-WORD_SLOTS = 1 << 18
+LEAST_WORDS = 1 << 18
 PRIOR, FLOOR, UNIT = 20.0, 0.5, float(1 << 24)
-HOT, SAMPLE_ROWS, SAMPLE_CHARS = 1 / 1000, 2000, 4000
+HOT, SAMPLE_ROWS = 1 / 1000, 1000
 #: Text that a task sorts the words of at a time.
 PIECE = 6 << 20
 _hashes = WordHashes(seed=11)
@@ -47,7 +51,8 @@ _NONE = np.zeros(0, np.uint64)
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and of the pairs that end in them; and how many words each text has."""
+    """Hashes of all words of all texts, and of the pairs that end in them; and how many words each text has. The
+    upper 16 bits of a pair's hash are its last word's, the others (48 bits) are of the word before."""
     hashes = [_hashes.of(WORDS.findall(lowered(t))) if t else _NONE for t in texts]
     sizes = np.array([len(h) for h in hashes], np.int64)
     h = np.concatenate(hashes) if len(texts) else _NONE
@@ -55,7 +60,8 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     before[1:] = h[:-1]
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1
     with np.errstate(over="ignore"):
-        return h, mixed((before * np.uint64(0x9E3779B97F4A7C15)) ^ h), sizes
+        pair = mixed((before * np.uint64(0x9E3779B97F4A7C15)) ^ h)
+    return h, (pair >> np.uint64(16)) | (h & np.uint64(0xFFFF_0000_0000_0000)), sizes
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -91,188 +97,198 @@ def _range_of(word: np.ndarray, pair: np.ndarray, hot: np.ndarray, ranges: int)
     return (np.where(_find(hot, word)[1], pair, word) % np.uint64(ranges)).astype(np.int64)
 
 
-def _hot(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words that make more than a HOT part of a bounded sample."""
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
-    keys, n = np.unique(words_of([r.text for r in rows])[0], return_counts=True)
-    return keys[n > HOT * n.sum()]
-
-
-class Counts:
-    """Counts of pairs, a table of one packed row a range, and how they are dealt."""
+def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words, and of the pairs, that make more than a HOT part of those of some rows."""
+    rows = docs.select("text").filter(F.length("text") < PIECE // 60).limit(SAMPLE_ROWS).collect()
+    word, pair, _ = words_of([r.text for r in rows])
+    out = []
+    for h in (word, pair):
+        keys, n = np.unique(h, return_counts=True)
+        out.append(keys[n > HOT * n.sum()])
+    return out[0], out[1]
+
+
+@dataclass
+class Totals:
+    """What all ranges need of both models (target, background): words, texts with words, counts of hot words and
+    of hot pairs (2 x how many), and the number of distinct words."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    distinct: int
+
+    def __post_init__(self) -> None:
+        n, m = self.words.tolist()
+        self.scale = (1.0, n / m if n and m else 1.0)
+        self.floor = [k * s + FLOOR * max(LEAST_WORDS, self.distinct) for k, s in zip((n, m), self.scale)]
+        self.start = [float(np.log(k * s + PRIOR)) for k, s in zip(self.starts.tolist(), self.scale)]
 
-    def __init__(self, table: DataFrame, hot: np.ndarray, ranges: int) -> None:
-        self.table, self.hot, self.ranges = table, hot, ranges
+    def pair_loss(self, m: int, own: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """What a pair adds to a sum of losses, from its last word's count and its own, in units."""
+        s = self.scale[m]
+        return np.rint((np.log(own * s + PRIOR) - np.log(both * s + PRIOR * (own * s + FLOOR) / self.floor[m])) * UNIT)
 
-        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for packed in batch.column(1):
-                    _, _, _, _, words, *counts, starts = _unpack(packed.as_py())
-                    target, background = (c.view(np.int64) for c in counts)
-                    shared = _find(hot, words)[1]
-                    yield pa.RecordBatch.from_pydict({
-                        "word": pa.array([None, *words[shared].view(np.int64).tolist()], pa.int64()), "n": pa.array([int((~shared).sum()), *[0] * int(shared.sum())], pa.int64()),
-                        "target": pa.array([int(target[~shared].sum()), *target[shared].tolist()], pa.int64()), "background": pa.array([int(background[~shared].sum()), *background[shared].tolist()], pa.int64()),
-                        "start_t": pa.array([int(starts[0]), *[0] * int(shared.sum())], pa.int64()), "start_b": pa.array([int(starts[1]), *[0] * int(shared.sum())], pa.int64()),
-                    })
+    def context_loss(self, m: int, own: np.ndarray) -> np.ndarray:
+        return np.rint(np.log(own * self.scale[m] + PRIOR) * UNIT)
 
-        kind = "word long, n long, target long, background long, start_t long, start_b long"
-        sums = [F.sum(c).alias(c) for c in ("n", "target", "background", "start_t", "start_b")]
-        rows = table.mapInArrow(totals, kind).groupBy("word").agg(*sums).collect()  # one a hot word, and one
-        self.words = np.array([[r.target, r.background] for r in rows], np.int64).reshape(-1, 2).sum(axis=0)
-        self.starts = np.array([[r.start_t, r.start_b] for r in rows], np.int64).reshape(-1, 2).sum(axis=0)
-        found = {r.word: (r.target, r.background) for r in rows if r.word is not None}
-        self.distinct = sum(r.n for r in rows) + len(found)
-        self.hot_counts = np.array([found.get(k, (0, 0)) for k in hot.view(np.int64).tolist()], np.int64).reshape(-1, 2).T
 
-    def sum(self) -> int:
-        return int(self.words.sum() + self.starts.sum())
+def _marked(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, more: DataFrame | None) -> DataFrame:
+    """(id, text, part): part 0 is wanted, 1 counted as background only, 2 scored but not counted."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = wanted.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)).hint("merge")  # grows with the input, so it isn't broadcast at any size
+    rows = own.join(marks, "id", "left").select("id", "text", F.when(F.col("wanted"), 0).otherwise(1).alias("part"))
+    return settle(rows if more is None else rows.unionByName(more.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(2).alias("part"))), "op5-marked")
 
 
-def count(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Counts:
-    """Counts of wanted documents (a table of ids) and of all."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = wanted.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)).hint("merge")  # grows with the input, so it isn't broadcast at any size
-    marked = docs.join(marks, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    hot, ranges = _hot(docs), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def totals(marked: DataFrame, ranges: int) -> Totals:
+    hot, pairs = _hot(marked)
+    kind = "range long, packed binary, key long, target long, background long"
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2 + len(hot) + len(pairs)), np.int64)
         for batch in batches:
-            for part in pieces_of(batch, PIECE):
-                word, pair, sizes = words_of(part.column(0).to_pylist())
-                if not len(word):
-                    continue
-                marked = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                order = np.argsort(pair)
-                at = _starts(pair[order])
-                target = np.add.reduceat(np.repeat(marked, sizes)[order].astype(np.int64), at)
-                background = np.diff(at, append=len(order))
-                word, pair = word[order[at]], pair[order[at]]
-                place = _range_of(word, pair, hot, ranges)
-                order = np.lexsort((word, place))
-                word, pair, target, background, place = (a[order] for a in (word, pair, target, background, place))
-                starts = np.array([(marked & (sizes > 0)).sum(), (sizes > 0).sum()], np.int64)
-                cuts = _starts(place)
-                for a, b in zip(cuts, [*cuts[1:], len(place)]):
-                    runs = a + _starts(word[a:b])
-                    packed = _pack(word[runs], np.diff(runs, append=b), pair[a:b], target[a:b], background[a:b], starts)
-                    starts = np.zeros(2, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([place[a]], pa.int64()), pa.array([packed], pa.binary())], ["range", "packed"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py()) for p in table["packed"]]
-        word = np.concatenate([np.repeat(p[0], p[1].view(np.int64)) for p in parts])
-        pair, target, background = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
-        order = np.argsort(pair)
-        at = _starts(pair[order])
-        target, background = (np.add.reduceat(c[order], at) for c in (target, background))
-        word, pair = word[order[at]], pair[order[at]]
-        words, which = np.unique(word, return_inverse=True)
-        sums = [np.bincount(which, c.view(np.int64)).astype(np.int64) for c in (target, background)]
-        packed = _pack(pair, which.astype(np.int64), target, background, words, *sums, sum(p[5] for p in parts))
-        return pa.table({"range": table["range"].slice(0, 1).cast(pa.int64()), "packed": pa.array([packed], pa.binary())})
-
-    kind = "range long, packed binary"
-    return Counts(settle(marked.mapInArrow(tally, kind).groupBy("range").applyInArrow(summed, kind), "op5-counts"), hot, ranges)
-
-
-class Models:
-    """Both models: the counts by range, and what all ranges need of them."""
-
-    def __init__(self, counts: Counts) -> None:
-        self.table, self.hot, self.ranges, self.hot_counts = counts.table, counts.hot, counts.ranges, counts.hot_counts
-        n, m = counts.words.tolist()
-        self.scale = (1.0, n / m if n and m else 1.0)
-        self.floor = [k * s + FLOOR * max(WORD_SLOTS, counts.distinct) for k, s in zip((n, m), self.scale)]
-        self.start = [float(np.log(k * s + PRIOR)) for k, s in zip(counts.starts.tolist(), self.scale)]
-
-
-def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, target_loss, background_loss, score) for every row of docs."""
+            for piece in pieces_of(batch, PIECE):
+                word, pair, sizes = words_of(piece.column(0).to_pylist())
+                part = piece.column(1).to_numpy()
+                of_word = np.repeat(part, sizes)
+                for m, most in ((0, 0), (1, 1)):
+                    used = of_word <= most
+                    sums[m, 0] += used.sum()
+                    sums[m, 1] += ((part <= most) & (sizes > 0)).sum()
+                    for keys, h, at in ((hot, word, 2), (pairs, pair, 2 + len(hot))):
+                        place, there = _find(keys, h)
+                        sums[m, at : at + len(keys)] += np.bincount(place[there & used], minlength=len(keys))
+                distinct = np.unique(word[of_word <= 1])
+                place = (distinct % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                cuts = _starts(place[order])
+                parts = [_pack(distinct[order[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(place[order[cuts]]), pa.array(parts, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(3))], ["range", "packed", "key", "target", "background"])
+        n = sums.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n)), pa.array(sums[0]), pa.array(sums[1])], ["range", "packed", "key", "target", "background"])
+
+    def distinct_of(table: pa.Table) -> pa.Table:
+        seen = _NONE
+        for p in table["packed"]:
+            seen = np.union1d(seen, _unpack(p.as_py())[0])
+        return pa.table({"n": pa.array([len(seen)], pa.int64())})
+
+    counted = settle(marked.select("text", "part").mapInArrow(tally, kind), "op5-words")
+    rows = counted.filter("key is not null").groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).orderBy("key").collect()  # 2 / HOT at most, and two
+    sums = np.array([[r.t, r.b] for r in rows], np.int64).reshape(-1, 2).T if rows else np.zeros((2, 2 + len(hot) + len(pairs)), np.int64)
+    distinct = counted.filter("range is not null").select("range", "packed").groupBy("range").applyInArrow(distinct_of, "n long").agg(F.sum("n")).first()[0] or 0
+    return Totals(sums[:, 0], sums[:, 1], hot, sums[:, 2 : 2 + len(hot)], pairs, sums[:, 2 + len(hot) :], distinct)
+
+
+def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """(id, n_words, target_loss, background_loss, score) for every row of docs, and of more: documents that are scored
+    but not counted. wanted: a table of ids of docs."""
     kind = dict(docs.dtypes)[id_col]
-    hot, ranges, scale, floor, start, hot_counts = models.hot, models.ranges, models.scale, models.floor, models.start, models.hot_counts
-    head = f"range long, chunk long, ids array<{kind}>, sizes array<long>, packed binary"
+    marked = _marked(docs, wanted, id_col, text_col, more)
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = totals(marked, ranges)
+    head = f"range long, chunk long, ids array<{kind}>, sizes array<long>, sums array<long>, packed binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = pa.list_(batch.schema.field(0).type)
 
-            def row(place: int, packed: bytes | None, ids_of: pa.Array | None = None, sizes: np.ndarray | None = None) -> pa.RecordBatch:
+            def row(place: int, packed: bytes | None, ids_of: pa.Array | None = None, sizes: np.ndarray | None = None, sums: np.ndarray | None = None) -> pa.RecordBatch:
                 own = pa.nulls(1, ids) if ids_of is None else pa.ListArray.from_arrays(pa.array([0, len(ids_of)], pa.int32()), ids_of)
-                return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([chunk], pa.int64()), own, pa.array([sizes], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["range", "chunk", "ids", "sizes", "packed"])
+                longs = [pa.array([v], pa.list_(pa.int64())) for v in (sizes, sums)]
+                return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([chunk], pa.int64()), own, *longs, pa.array([packed], pa.binary())], ["range", "chunk", "ids", "sizes", "sums", "packed"])
 
-            for part in pieces_of(batch, PIECE):
+            for piece in pieces_of(batch, PIECE):
                 chunk += 1
-                word, pair, sizes = words_of(part.column(1).to_pylist())
-                yield row(chunk % ranges, None, part.column(0), sizes)
-                if not len(word):
-                    continue
-                ends = np.flatnonzero(sizes)
-                last = word[np.cumsum(sizes)[ends] - 1]
-                last_place = _range_of(last, pair[np.cumsum(sizes)[ends] - 1], hot, ranges)
+                # Wanted documents first, then the others that count: two numbers say which is which.
+                piece = piece.take(pa.array(np.argsort(piece.column(2).to_numpy(), kind="stable")))
+                limits = np.searchsorted(piece.column(2).to_numpy(), [1, 2]).astype(np.int64)
+                word, pair, sizes = words_of(piece.column(1).to_pylist())
                 doc = np.repeat(np.arange(len(sizes)), sizes)
+                ends = np.flatnonzero(sizes)
+                last, last_pair = (h[np.cumsum(sizes)[ends] - 1] for h in (word, pair))
                 order = np.argsort(pair, kind="stable")
                 word, pair, doc = word[order], pair[order], doc[order]
-                entry = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
+                entry = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])) if len(pair) else np.zeros(0, np.int64)
                 times = np.diff(entry, append=len(pair))
                 word, pair, doc = word[entry], pair[entry], doc[entry]
-                place = _range_of(word, pair, hot, ranges)
+                at, settled = _find(known.pairs, pair)
+                sums = np.zeros((2, len(sizes)), np.int64)
+                for m in (0, 1):
+                    own, there = _find(known.hot, word[settled])
+                    settled_word = np.where(there, known.hot_counts[m][own], -1) if len(known.hot) else np.zeros(0, np.int64)
+                    loss = known.pair_loss(m, settled_word, known.pair_counts[m][at[settled]]) * times[settled]
+                    sums[m] += np.bincount(doc[settled], loss, minlength=len(sizes)).astype(np.int64)
+                yield row(chunk % ranges, None, piece.column(0), sizes, sums.ravel())
+                word, pair, doc, times = (x[~settled] for x in (word, pair, doc, times))
+                place, last_place = _range_of(word, pair, known.hot, ranges), _range_of(last, last_pair, known.hot, ranges)
                 order = np.lexsort((pair, word, place))
-                word, pair, doc, times, place = (a[order] for a in (word, pair, doc, times, place))
+                word, pair, doc, times, place = (x[order] for x in (word, pair, doc, times, place))
                 order = np.argsort(last_place, kind="stable")
                 last, last_doc, last_place = last[order], ends[order], last_place[order]
                 for at in np.union1d(place, last_place).tolist():
                     a, b = np.searchsorted(place, [at, at + 1])
                     c, e = np.searchsorted(last_place, [at, at + 1])
                     at_pair, at_word = a + _starts(pair[a:b]), a + _starts(word[a:b])
-                    mine = word[at_word], np.diff(np.searchsorted(at_pair, at_word), append=len(at_pair)), pair[at_pair], np.diff(at_pair, append=b), doc[a:b], times[a:b], last[c:e], last_doc[c:e]
-                    yield row(at, _pack(*mine))
-
-    def counts_of(words: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
-        """Counts of words, 2 x words."""
-        out = np.zeros((2, len(words)), np.int64)
-        for keys, counts in ((table[4], table[5:7]), (hot, hot_counts)):
-            at, there = _find(keys, words)
+                    n_pairs = np.diff(np.searchsorted(at_pair, at_word), append=len(at_pair))
+                    yield row(at, _pack(word[at_word], n_pairs, pair[at_pair] & np.uint64(0xFFFF_FFFF_FFFF), np.diff(at_pair, append=b), doc[a:b], times[a:b], last[c:e], last_doc[c:e], limits))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = [[x.view(np.int64) if k in (1, 3, 4, 5, 7, 8) else x for k, x in enumerate(_unpack(p.as_py()))] if p.is_valid else None for p in asked["packed"]]
+        held = [r for r in rows if r is not None]
+        for r in held:  # pairs get back the bits of their word
+            r[2] = r[2] | (np.repeat(r[0], r[1]) & np.uint64(0xFFFF_0000_0000_0000))
+        every, words = (np.unique(np.concatenate([r[k] for r in held])) if held else _NONE for k in (2, 0))
+        pair_counts, word_counts = np.zeros((2, len(every)), np.int64), np.zeros((2, len(words)), np.int64)
+        for word, n_pairs, pair, n_docs, doc, times, _, _, limits in held:
+            which, of_word = np.searchsorted(every, pair), np.searchsorted(words, word)
+            at = np.repeat(np.arange(len(pair)), n_docs)
             for m in (0, 1):
-                out[m, there] = counts[m][at[there]]
-        return out
+                n = np.bincount(at, times * (doc < limits[m]), minlength=len(pair)).astype(np.int64)
+                np.add.at(pair_counts[m], which, n)
+                np.add.at(word_counts[m], of_word, np.bincount(np.repeat(np.arange(len(word)), n_pairs), n, minlength=len(word)).astype(np.int64))
+        shared, hot = _find(known.hot, words)[1], _find(known.hot, words)[0]
+        for m in (0, 1):
+            word_counts[m, shared] = known.hot_counts[m][hot[shared]]
+
+        def counts_of(some: np.ndarray, m: int) -> np.ndarray:
+            out = np.zeros(len(some), np.int64)
+            for keys, counts in ((words, word_counts[m]), (known.hot, known.hot_counts[m])):
+                at, there = _find(keys, some)
+                out[there] = counts[at[there]]
+            return out
 
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        table = _unpack(counted["packed"][0].as_py()) if len(counted) else [_NONE] * 8
         out = []
-        for packed in asked["packed"]:
-            if not packed.is_valid:
+        for r in rows:
+            if r is None:
                 out.append(None)
                 continue
-            word, n_pairs, pair, n_docs, doc, times, last, last_doc = _unpack(packed.as_py())
-            n_pairs, n_docs, doc, times, last_doc = (a.view(np.int64) for a in (n_pairs, n_docs, doc, times, last_doc))
-            at, there = _find(table[0], pair)
-            docs, which = np.unique(np.concatenate([doc, last_doc]), return_inverse=True)
-            single, ended, sums = counts_of(word, table), counts_of(last, table), []
+            word, n_pairs, pair, n_docs, doc, times, last, last_doc, _ = r
+            docs_of, which = np.unique(np.concatenate([doc, last_doc]), return_inverse=True)
+            at, sums = np.searchsorted(every, pair), []
             for m in (0, 1):
-                both = np.zeros(len(pair))
-                both[there] = table[2 + m][at[there]]
-                s = scale[m]
-                own = np.repeat(single[m], n_pairs) * s
-                loss = np.rint((np.log(own + PRIOR) - np.log(both * s + PRIOR * (own + FLOOR) / floor[m])) * UNIT)
-                back = np.rint(np.log(ended[m] * s + PRIOR) * UNIT)
-                sums.append(np.bincount(which, np.concatenate([np.repeat(loss, n_docs) * times, -back]), minlength=len(docs)).astype(np.int64))
-            out.append(_pack(docs, *sums))
+                loss = known.pair_loss(m, np.repeat(counts_of(word, m), n_pairs), pair_counts[m][at])
+                sums.append(np.bincount(which, np.concatenate([np.repeat(loss, n_docs) * times, -known.context_loss(m, counts_of(last, m))]), minlength=len(docs_of)).astype(np.int64))
+            out.append(_pack(docs_of, *sums))
         return asked.set_column(asked.schema.get_field_index("packed"), "packed", pa.array(out, pa.binary()))
 
     def gathered(rows: pa.Table) -> pa.Table:
         own = next(k for k, p in enumerate(rows["packed"]) if not p.is_valid)
         ids, sizes = rows["ids"][own].values, rows["sizes"][own].values.to_numpy()
-        sums = np.zeros((2, len(sizes)), np.int64)
+        sums = rows["sums"][own].values.to_numpy().reshape(2, -1).copy()
         for packed in rows["packed"]:
             if packed.is_valid:
-                at, *parts = (a.view(np.int64) for a in _unpack(packed.as_py()))
+                at, *parts = (x.view(np.int64) for x in _unpack(packed.as_py()))
                 for m in (0, 1):
                     sums[m, at] += parts[m]
-        means = [np.where(sizes > 0, sums[m] / UNIT + start[m], 0.0) / np.maximum(sizes, 1) for m in (0, 1)]
+        means = [np.where(sizes > 0, sums[m] / UNIT + known.start[m], 0.0) / np.maximum(sizes, 1) for m in (0, 1)]
         return pa.table({"id": ids, "n_words": sizes, "target_loss": np.round(means[0], 6), "background_loss": np.round(means[1], 6), "score": np.round(means[0] - means[1], 6)})
 
-    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(ask, head)
-    met = asked.groupBy("range").cogroup(models.table.groupBy("range")).applyInArrow(answer, head)
+    met = marked.mapInArrow(ask, head).groupBy("range").applyInArrow(answer, head)
     return met.groupBy("chunk").applyInArrow(gathered, f"id {kind}, n_words long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

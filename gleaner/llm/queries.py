@@ -65,7 +65,7 @@ FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     wanted = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lmscore.score(docs, lmscore.Models(lmscore.count(docs, wanted)))
+    return lmscore.score(docs, wanted)
 
 
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

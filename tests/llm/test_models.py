@@ -28,8 +28,7 @@ def test_lm_scores_against_plain_counting(spark):
     wanted = {0, 4}
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
     marks = spark.createDataFrame([(0,), (4,), (4,), (None,), (77,)], "doc_id long")
-    models = lmscore.Models(lmscore.count(docs, marks))
-    got = {r.doc_id: r for r in lmscore.score(docs, models).collect()}
+    got = {r.doc_id: r for r in lmscore.score(docs, marks).collect()}
     words = [(t or "").lower().split() for t in texts]
     single, pair, context = ([Counter(), Counter()] for _ in range(3))
     for i, w in enumerate(words):
@@ -45,18 +44,18 @@ def test_lm_scores_against_plain_counting(spark):
             s = scale if m else 1.0
             n = sum(single[m].values()) * s
             for a, b in zip(["<s>", *w], w):
-                p1 = (single[m][b] * s + lmscore.FLOOR) / (n + lmscore.FLOOR * lmscore.WORD_SLOTS)
+                p1 = (single[m][b] * s + lmscore.FLOOR) / (n + lmscore.FLOOR * lmscore.LEAST_WORDS)
                 loss[m] -= math.log((pair[m][a, b] * s + lmscore.PRIOR * p1) / (context[m][a] * s + lmscore.PRIOR)) / len(w)
         assert got[i].n_words == len(w) and abs(got[i].score - (loss[0] - loss[1])) < 1e-4
-    assert lmscore.score(docs.limit(0), models).count() == 0
-    assert lmscore.count(docs.limit(0), marks).sum() == 0
+    assert lmscore.score(docs.limit(0), marks).count() == 0
+    assert {r.doc_id: r.score for r in lmscore.score(docs.filter("doc_id < 5"), marks, more=docs.filter("doc_id >= 5")).collect()}.keys() == got.keys()
 
 
 def test_lm_prefers_wanted_texts(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no tables")
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    scores = lmscore.score(docs, lmscore.Models(lmscore.count(docs, labels.filter("quality = 1").select("doc_id"))))
+    scores = lmscore.score(docs, labels.filter("quality = 1").select("doc_id"))
     mean = {r.quality: r.m for r in scores.join(labels, "doc_id").groupBy("quality").agg({"score": "avg"}).withColumnRenamed("avg(score)", "m").collect()}
     assert mean[1] < mean[0]
 
