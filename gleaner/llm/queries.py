@@ -68,6 +68,22 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(docs, wanted)
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS wanted, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, wanted, u.a AS a, u.b AS b, u.first AS first, u.last AS last FROM (SELECT doc_id, wanted, unnest(list_transform(range(1, len(w) + 1), lambda i: {'a': CASE WHEN i > 1 THEN w[i-1] ELSE '' END, 'b': w[i], 'first': i = 1, 'last': i = len(w)})) AS u FROM d)),
+n AS (SELECT count(*) FILTER (WHERE wanted) AS t, count(*) AS c, count(DISTINCT b) AS v, count(*) FILTER (WHERE wanted AND first) AS st, count(*) FILTER (WHERE first) AS sc FROM p),
+k AS (SELECT s, t + 0.5 * greatest(262144, v) AS ft, c * s + 0.5 * greatest(262144, v) AS fc, ln(st + 20.0::DOUBLE) AS bt, ln(sc * s + 20.0::DOUBLE) AS bc FROM (SELECT *, CASE WHEN t > 0 AND c > 0 THEN t::DOUBLE / c ELSE 1.0::DOUBLE END AS s FROM n)),
+single AS (SELECT b, count(*) FILTER (WHERE wanted) AS wt, count(*) AS wc FROM p GROUP BY 1),
+pairs AS (SELECT a, b, count(*) FILTER (WHERE wanted) AS pt, count(*) AS pc FROM p GROUP BY 1, 2),
+losses AS (SELECT a, b, round((ln(wt + 20.0::DOUBLE) - ln(pt + 20.0::DOUBLE * (wt + 0.5::DOUBLE) / ft)) * 16777216)::BIGINT AS lt, round((ln(wc * s + 20.0::DOUBLE) - ln(pc * s + 20.0::DOUBLE * (wc * s + 0.5::DOUBLE) / fc)) * 16777216)::BIGINT AS lc,
+    round(ln(wt + 20.0::DOUBLE) * 16777216)::BIGINT AS et, round(ln(wc * s + 20.0::DOUBLE) * 16777216)::BIGINT AS ec FROM pairs JOIN single USING (b), k),
+sums AS (SELECT doc_id, count(*) AS n, sum(lt - CASE WHEN last THEN et ELSE 0 END) AS zt, sum(lc - CASE WHEN last THEN ec ELSE 0 END) AS zc FROM p JOIN losses USING (a, b) GROUP BY 1),
+means AS (SELECT doc_id, n, (zt::DOUBLE / 16777216 + bt) / n AS mt, (zc::DOUBLE / 16777216 + bc) / n AS mc FROM sums, k)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(round(mt, 6), 0.0)::DOUBLE AS target_loss, coalesce(round(mc, 6), 0.0)::DOUBLE AS background_loss, coalesce(round(mt - mc, 6), 0.0)::DOUBLE AS score
+FROM documents LEFT JOIN means USING (doc_id)
+"""
+
+
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = warc.resolve(warc.captures(_table(spark, sf_dir, "pages")))
     entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
@@ -145,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {"op2_licences": licences.scan_sql(), "op4_embeddings": OP4_SQL, "op6_revisits": OP6_SQL, "op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+SQL: dict[str, str] = {"op2_licences": licences.scan_sql(), "op4_embeddings": OP4_SQL, "op5_lm_scoring": OP5_SQL, "op6_revisits": OP6_SQL, "op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}

@@ -17,7 +17,8 @@ the shared folder, so lost executors don't repeat the search.
 
 Nulls and empty texts have no words: nothing is removed, the digest is of the empty text. A row without
 an id is kept as it is and matched with nothing. A repeated row (same id, same text) is one document;
-rows that share an id but not a text share their places. Only the named columns are read.
+rows that share an id but not a text share their places. A text of any length is one row of a batch. An empty table
+gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -166,7 +167,14 @@ FOUND = "share long, docs binary, counts binary, starts binary, whole array<long
 def _shares(texts: DataFrame) -> int:
     """How many ranges of hashes, and shares of documents, for texts of this size."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // RANGE_BYTES) + 1)
+    return _prime(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // RANGE_BYTES) + 1))
+
+
+def _prime(n: int) -> int:
+    """The least prime from n on: ids in steps then fill all shares, whatever the step."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 def _share_of(doc: Column, shares: int) -> Column:
@@ -352,8 +360,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     kind = dict(docs.dtypes)[id_col]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be an integer")
+    if clash := {id_col, "n_words", "n_removed", "kept"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept under their names: {sorted(clash)}")
     found, shares = repeats(docs, id_col=id_col, text_col=text_col, length=length)
-    more = F.struct(*keep) if keep else F.lit(None).cast("boolean")
+    more = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), more.alias("more"))
     # A row without an id has no places, so any share will do.
     own = own.withColumn("share", _share_of(F.coalesce("doc", F.xxhash64("text")), shares))

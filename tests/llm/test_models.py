@@ -14,15 +14,35 @@ DATA = "/root/testdata/sf0.001"
 
 def test_licences(spark):
     mit = licences.KNOWN["MIT"]
-    docs = [(1, "Copyright (c) 2020 Someone\n\n" + mit), (2, mit.upper().replace("license", "licence")), (3, mit + " more"), (4, None), (5, ""), (6, "Text.\nReleased under the MIT Licence!\nLicensed under CC BY-NC 4.0."), (7, "nothing"), (7, "nothing")]
+    docs = [
+        (1, "Copyright (c) 2020 Someone\n\n" + mit), (2, mit.upper().replace("license", "licence")), (3, mit + " more"), (4, None), (5, ""), (6, "Text.\nReleased under the MIT Licence!\nLicensed under CC BY-NC 4.0."),
+        (7, "nothing"), (7, "nothing"), (8, "MIT License\n\nReleased under the MIT License."), (8, "MIT License\n\nReleased under the MIT License."), (None, "x\nReleased under the MIT License."), (9, "MIT notice " * 50_000 + "\nReleased under the MIT License.\nReleased under the MIT License."),
+    ]
     df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, licence string")
     got = {r.doc_id: (r.licence, r.n_notices, r.notices) for r in licences.scan(df, licences.known_licences(spark)).collect()}
-    assert got == {1: ("MIT", 0, ""), 2: ("MIT", 0, ""), 3: (None, 0, ""), 4: (None, 0, ""), 5: (None, 0, ""), 6: (None, 2, "CC-BY-NC-4.0 notice; MIT notice"), 7: (None, 0, "")}
+    assert got == {
+        1: ("MIT", 0, ""), 2: ("MIT", 0, ""), 3: (None, 0, ""), 4: (None, 0, ""), 5: (None, 0, ""), 6: (None, 2, "CC-BY-NC-4.0 notice; MIT notice"), 7: (None, 0, ""),
+        8: (None, 1, "MIT notice"), None: (None, 1, "MIT notice"), 9: (None, 2, "MIT notice"),
+    }
     assert licences.scan(df.limit(0), licences.known_licences(spark)).count() == 0
     with pytest.raises(ValueError):
         licences.scan(df, licences.known_licences(spark, {"other": "no cue here"}))
 
 
+def test_licence_variants(spark):
+    """Every known text is found wrapped anew, with another holder, other bullets, spellings and punctuation."""
+    import textwrap
+
+    changes = (
+        lambda t: t, lambda t: "Copyright 2019-2024 A. Body. All rights reserved.\n\n" + t, lambda t: t.replace('"', "''").replace("copyright holder", "copyright owner"), lambda t: t.replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("sublicense", "sub-license"),
+        lambda t: t.replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * "), lambda t: t.replace("http://", "https://"), lambda t: "\n\n".join(textwrap.fill(p, 60) if len(p) > 400 and "\n" not in p else p for p in t.split("\n\n")), lambda t: t.replace("acknowledgment", "acknowledgement"),
+    )
+    rows = [(name, change(text)) for name, text in licences.KNOWN.items() for change in changes]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences.known_licences(spark)).collect()
+    assert len(got) == len(rows) and all(r.licence == r.doc_id for r in got), {r.doc_id for r in got if r.licence != r.doc_id}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"} <= set(licences.KNOWN)
+
+
 def test_lm_scores_against_plain_counting(spark):
     texts = ["a b a b c", "c c d", None, "", "a b a b e f", "x y z x y", "A B"]
     wanted = {0, 4}

@@ -11,8 +11,7 @@ def test_lm_counts_more_words_and_pairs_than_slots(spark):
     texts = [" ".join(w for k in range(60) for w in ("the", f"w{i}x{k}", f"w{(i * 7 + k) % 900}y")) for i in range(5000)]
     wanted = set(range(0, 5000, 5))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    models = lmscore.Models(lmscore.count(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long")))
-    got = {r.doc_id: r for r in lmscore.score(docs, models).collect()}
+    got = {r.doc_id: r for r in lmscore.score(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()}
     single, pair = [Counter(), Counter()], [Counter(), Counter()]
     words = [t.split() for t in texts]
     for i, w in enumerate(words):
@@ -23,7 +22,7 @@ def test_lm_counts_more_words_and_pairs_than_slots(spark):
     starts = [len(wanted), len(texts)]
     n = [sum(s.values()) for s in single]
     scale = [1.0, n[0] / n[1]]
-    assert len(single[1]) > lmscore.WORD_SLOTS
+    assert len(single[1]) > lmscore.LEAST_WORDS
     for i in range(0, 5000, 37):
         loss = []
         for m in (0, 1):
@@ -37,7 +36,7 @@ def test_lm_counts_more_words_and_pairs_than_slots(spark):
         assert got[i].n_words == len(words[i])
         assert abs(got[i].target_loss - loss[0]) < 2e-6 and abs(got[i].background_loss - loss[1]) < 2e-6, i
     assert len(got) == len(texts)
-    assert len(models.hot)  # "the" was dealt by pair, the others by word
+    assert len(lmscore._hot(docs)[0])  # "the" was dealt by pair, the others by word
 
 
 def test_minhash_finds_every_planted_pair_near_the_threshold(spark):
