@@ -29,12 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import WORDS, mapped, settle
 
 PASSAGE, TRAIN_DOCS, TRAIN_BYTES = 64, 4000, 24 << 20
 HIDDEN, GATES, VECTOR, BUCKETS = 16, 8, 8, 1 << 13
-EPOCHS, STEP, DECAY, SEED = 30, 0.01, 1e-4, 7
+EPOCHS, LEAST_STEPS, STEP, DECAY, SEED = 30, 800, 0.01, 1e-4, 7
 FEATURES = 26
 
 
@@ -224,7 +225,7 @@ class Model:
 
 
 def train(bags: list[Sparse], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Adam on the logistic loss, batches of bags; the epoch with the least loss on a tenth kept back."""
+    """Adam on the logistic loss, batches of bags, LEAST_STEPS of them at least; the epoch with the least loss on a tenth kept back."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([b.looks for b in bags]) if bags else np.zeros((1, FEATURES), np.float32)
     mean, scale = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
@@ -238,6 +239,7 @@ def train(bags: list[Sparse], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     mixed = rng.permutation(len(bags))
     kept_back, used = mixed[: len(bags) // 10], mixed[len(bags) // 10 :]
     aside = joined([scaled[k] for k in kept_back]) if len(kept_back) else None
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(used) // 64)))
     first, second, t, best = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, (np.inf, w)
     for epoch in range(epochs):
         rate = STEP * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
@@ -299,7 +301,7 @@ def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", score_c
         scores = [round(model.score(passages(t)), 9) for t in batch.column(at).to_pylist()]
         return {name: batch.column(k) for k, name in enumerate(names)} | {score_col: scores}
 
-    return mapped(docs, work, ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", `{score_col}` double")
+    return mapped(docs, work, StructType([*docs.schema, StructField(score_col, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

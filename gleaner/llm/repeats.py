@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .shared import WORDS, WordHashes, mixed, rolling, settle
 
@@ -367,9 +367,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), more.alias("more"))
     # A row without an id has no places, so any share will do.
     own = own.withColumn("share", _share_of(F.coalesce("doc", F.xxhash64("text")), shares))
-    kinds = dict(own.dtypes)
-    schema = f"doc long, n_words long, n_removed long, kept string, more {kinds['more']}"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType([*StructType.fromDDL("doc long, n_words long, n_removed long, kept string"), StructField("more", own.schema["more"].dataType)])
+    arrow = to_arrow_schema(schema)
 
     def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         places, whole = _places(found)

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters that are neither a space nor one of tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,13 +66,9 @@ def pieces_of(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.
         yield batch.slice(at, step)
 
 
-def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """mapInArrow of work, which turns a slice of a batch into columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(names)
+def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | StructType) -> DataFrame:
+    """mapInArrow of work, which turns a slice of a batch, whose columns it knows by place, into columns."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +76,8 @@ def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict
                 columns = work(part)
                 yield pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # mapInArrow takes no names with dots
+    return plain.mapInArrow(run, schema)
 
 
 def _as(values, kind: pa.DataType) -> pa.Array:

@@ -105,16 +105,37 @@ def test_revisits(spark, chunk):
     assert warc.resolve(df.limit(0), chunk=chunk).count() == 0
 
 
-def test_quality_gradients_and_streaming_softmax():
+def test_quality_gradients():
+    """Slopes against differences of the loss."""
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(rng.integers(1, 9), quality.FEATURES)).astype(np.float32) for _ in range(120)]
-    y = np.array([float(b[:, 0].max() > 1.0) for b in bags])
-    m = quality.train(bags, y, epochs=150)
-    s = np.array([m.score(b) for b in bags])
-    assert ((s > 0.5) == y).mean() > 0.9
-    assert abs(m.score(bags[0]) - m.score(bags[0], block=2)) < 1e-9
-    assert quality.train(bags, np.ones(120)).score(bags[0]) > 0.99
-    assert 0 <= quality.train([], np.zeros(0)).score(bags[0]) <= 1
+    x = quality.joined([quality.sparse(quality.passages(t)) for t in ("one two three " * 40, "x", "", "#$ 12 Three, four. " * 30)])
+    x.looks = rng.normal(size=x.looks.shape)
+    y, width = np.array([1.0, 0.0, 1.0, 0.0]), quality.FEATURES + quality.VECTOR
+    h, g, b = quality.HIDDEN, quality.GATES, quality.BUCKETS
+    w = {"vectors": rng.normal(size=(b, quality.VECTOR)), "encode": rng.normal(size=(width, h)) / 5, "encode_bias": rng.normal(size=h), "v": rng.normal(size=(h, g)), "u": rng.normal(size=(h, g)), "a": rng.normal(size=g), "out": rng.normal(size=h), "out_bias": rng.normal(size=1)}
+    _, slopes = quality.loss_and_slopes(w, x, y)
+    for name, value in w.items():
+        rows = np.unique(x.feature)[:4] if name == "vectors" else range(min(3, len(value)))
+        for k in rows:
+            at = (k,) if value.ndim == 1 else (k, value.shape[1] // 2)
+            change = []
+            for step in (1e-5, -1e-5):
+                moved = {n: v.copy() for n, v in w.items()}
+                moved[name][at] += step
+                change.append(quality.loss_and_slopes(moved, x, y)[0])
+            assert abs((change[0] - change[1]) / 2e-5 - slopes[name][at]) < 1e-6, (name, at)
+
+
+def test_quality_learns_words_and_streams():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 200).tolist() + ["secret"] * int(k % 2)) for k in range(200)]
+    y = np.array([float(k % 2) for k in range(200)])
+    m = quality.train([quality.sparse(quality.passages(t)) for t in texts], y, epochs=60)  # one word of one passage tells
+    s = np.array([m.score(quality.passages(t)) for t in texts])
+    assert ((s > 0.5) == y).mean() > 0.95
+    assert abs(m.score(quality.passages(texts[1])) - m.score(quality.passages(texts[1]), block=2)) < 1e-9
+    assert quality.train([quality.sparse(quality.passages(t)) for t in texts], np.ones(200)).score(quality.passages("x")) > 0.99
+    assert quality.train([], np.zeros(0)).score(quality.passages("")) == 0.5
 
 
 def test_quality_held_out(spark):
@@ -151,21 +172,3 @@ def test_queries_against_sql(spark):
         assert sorted(names) == sorted(df.columns), name
         want = sorted(tuple(repr(r[names.index(c)]) for c in sorted(names)) for r in result.fetchall())
         assert sorted(tuple(repr(r[c]) for c in sorted(names)) for r in df.collect()) == want, name
-
-
-def test_pipeline_stages(spark):
-    if not os.path.isdir(DATA):
-        pytest.skip("no tables")
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
-        after = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
-        assert after.columns == docs.columns
-        before = {r.doc_id for r in docs.select("doc_id").collect()}
-        left = {r.doc_id for r in after.select("doc_id").collect()}
-        assert left <= before and len(left) > 0.5 * len(before), name
-        docs = after
-    out = p.STAGES[-1][1](spark, docs, DATA)
-    assert out.count() == docs.count()
-    assert sorted(map(tuple, p.run(spark, DATA).collect())) == sorted(map(tuple, out.collect()))
