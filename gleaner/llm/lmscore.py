@@ -42,9 +42,9 @@ from .shared import WORDS, WordHashes, lowered, mixed, pieces_of, settle
 #: Words that the prior spreads FLOOR over, at least.
 LEAST_WORDS = 1 << 18
 PRIOR, FLOOR, UNIT = 20.0, 0.5, float(1 << 24)
-HOT, SAMPLE_ROWS = 1 / 1000, 1000
+HOT, SAMPLE_ROWS = 1 / 1000, 1000  # so at most 1000 hot words, whose numbers no hash of a word will be
 #: Text that a task sorts the words of at a time.
-PIECE = 6 << 20
+PIECE = 10 << 20
 _hashes = WordHashes(seed=11)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 _NONE = np.zeros(0, np.uint64)
@@ -85,6 +85,11 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def _runs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of both start."""
+    return np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key its place, and whether it is there."""
     if not len(sorted_keys):
@@ -93,8 +98,16 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _range_of(word: np.ndarray, pair: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
-    return (np.where(_find(hot, word)[1], pair, word) % np.uint64(ranges)).astype(np.int64)
+def _spread(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of hashes, in their order."""
+    return (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _keys(word: np.ndarray, pair: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs are dealt by: the hash of the last word, or of the pair where the word is hot; and the words, a hot one
+    by its number among the hot."""
+    at, there = _find(hot, word)
+    return np.where(there, (pair << np.uint64(16)) | (pair >> np.uint64(48)), word), np.where(there, at.astype(np.uint64), word)
 
 
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +121,11 @@ def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """values[place], whatever where a place is beyond them."""
+    return values[np.minimum(places, np.uint64(len(values) - 1)).astype(np.int64)] if len(values) else np.zeros(len(places), values.dtype)
+
+
 @dataclass
 class Totals:
     """What all ranges need of both models (target, background): words, texts with words, counts of hot words and
@@ -146,43 +164,42 @@ def _marked(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, more
 
 def totals(marked: DataFrame, ranges: int) -> Totals:
     hot, pairs = _hot(marked)
-    kind = "range long, packed binary, key long, target long, background long"
+    width = 2 + len(hot) + len(pairs)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2 + len(hot) + len(pairs)), np.int64)
+        """Distinct words by range; and this task's sums, to a range below 0."""
+        sums = np.zeros((2, width), np.int64)
         for batch in batches:
             for piece in pieces_of(batch, PIECE):
                 word, pair, sizes = words_of(piece.column(0).to_pylist())
                 part = piece.column(1).to_numpy()
                 of_word = np.repeat(part, sizes)
-                for m, most in ((0, 0), (1, 1)):
-                    used = of_word <= most
-                    sums[m, 0] += used.sum()
-                    sums[m, 1] += ((part <= most) & (sizes > 0)).sum()
-                    for keys, h, at in ((hot, word, 2), (pairs, pair, 2 + len(hot))):
-                        place, there = _find(keys, h)
-                        sums[m, at : at + len(keys)] += np.bincount(place[there & used], minlength=len(keys))
+                sums[:, 1] += [((part <= most) & (sizes > 0)).sum() for most in (0, 1)]
+                sums[:, 0] += [(of_word <= most).sum() for most in (0, 1)]
+                for keys, h, at in ((hot, word, 2), (pairs, pair, 2 + len(hot))):
+                    place, there = _find(keys, h)
+                    of_hot = of_word[there]
+                    for most in (0, 1):
+                        sums[most, at : at + len(keys)] += np.bincount(place[there][of_hot <= most], minlength=len(keys))
                 distinct = np.unique(word[of_word <= 1])
-                place = (distinct % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                cuts = _starts(place[order])
-                parts = [_pack(distinct[order[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(place[order[cuts]]), pa.array(parts, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(3))], ["range", "packed", "key", "target", "background"])
-        n = sums.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n)), pa.array(sums[0]), pa.array(sums[1])], ["range", "packed", "key", "target", "background"])
-
-    def distinct_of(table: pa.Table) -> pa.Table:
-        seen = _NONE
-        for p in table["packed"]:
-            seen = np.union1d(seen, _unpack(p.as_py())[0])
-        return pa.table({"n": pa.array([len(seen)], pa.int64())})
-
-    counted = settle(marked.select("text", "part").mapInArrow(tally, kind), "op5-words")
-    rows = counted.filter("key is not null").groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).orderBy("key").collect()  # 2 / HOT at most, and two
-    sums = np.array([[r.t, r.b] for r in rows], np.int64).reshape(-1, 2).T if rows else np.zeros((2, 2 + len(hot) + len(pairs)), np.int64)
-    distinct = counted.filter("range is not null").select("range", "packed").groupBy("range").applyInArrow(distinct_of, "n long").agg(F.sum("n")).first()[0] or 0
-    return Totals(sums[:, 0], sums[:, 1], hot, sums[:, 2 : 2 + len(hot)], pairs, sums[:, 2 + len(hot) :], distinct)
+                cuts = np.searchsorted(_spread(distinct, ranges), np.arange(ranges + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([_pack(distinct[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())], ["range", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId() % ranges]), pa.array([_pack(sums[0], sums[1])], pa.binary())], ["range", "packed"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        """(key, target, background): key -1 has the number of distinct words, others the sums."""
+        parts = [_unpack(p.as_py()) for p in table["packed"]]
+        if table["range"][0].as_py() >= 0:
+            n = len(np.unique(np.concatenate([p[0] for p in parts])))
+            return pa.table({"key": pa.array([-1], pa.int64()), "target": pa.array([n], pa.int64()), "background": pa.array([0], pa.int64())})
+        t, b = (sum(p[m].view(np.int64) for p in parts) for m in (0, 1))
+        return pa.table({"key": pa.array(np.arange(width)), "target": pa.array(t), "background": pa.array(b)})
+
+    counted = marked.select("text", "part").mapInArrow(tally, "range long, packed binary").groupBy("range").applyInArrow(summed, "key long, target long, background long")
+    rows = {r.key: (r.t, r.b) for r in counted.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect()}  # 2 / HOT at most, and three
+    sums = np.array([rows.get(k, (0, 0)) for k in range(width)], np.int64).T
+    return Totals(sums[:, 0], sums[:, 1], hot, sums[:, 2 : 2 + len(hot)], pairs, sums[:, 2 + len(hot) :], rows.get(-1, (0, 0))[0])
 
 
 def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
@@ -212,66 +229,60 @@ def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_co
                 word, pair, sizes = words_of(piece.column(1).to_pylist())
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 ends = np.flatnonzero(sizes)
-                last, last_pair = (h[np.cumsum(sizes)[ends] - 1] for h in (word, pair))
-                order = np.argsort(pair, kind="stable")
-                word, pair, doc = word[order], pair[order], doc[order]
-                entry = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])) if len(pair) else np.zeros(0, np.int64)
-                times = np.diff(entry, append=len(pair))
-                word, pair, doc = word[entry], pair[entry], doc[entry]
+                key, code = _keys(word, pair, known.hot)
+                ended = np.cumsum(sizes)[ends] - 1
+                last, last_place = code[ended], _spread(key[ended], ranges)
                 at, settled = _find(known.pairs, pair)
                 sums = np.zeros((2, len(sizes)), np.int64)
-                for m in (0, 1):
-                    own, there = _find(known.hot, word[settled])
-                    settled_word = np.where(there, known.hot_counts[m][own], -1) if len(known.hot) else np.zeros(0, np.int64)
-                    loss = known.pair_loss(m, settled_word, known.pair_counts[m][at[settled]]) * times[settled]
+                for m in (0, 1):  # a hot pair's last word is hot
+                    loss = known.pair_loss(m, known.hot_counts[m][code[settled].astype(np.int64)], known.pair_counts[m][at[settled]])
                     sums[m] += np.bincount(doc[settled], loss, minlength=len(sizes)).astype(np.int64)
                 yield row(chunk % ranges, None, piece.column(0), sizes, sums.ravel())
-                word, pair, doc, times = (x[~settled] for x in (word, pair, doc, times))
-                place, last_place = _range_of(word, pair, known.hot, ranges), _range_of(last, last_pair, known.hot, ranges)
-                order = np.lexsort((pair, word, place))
-                word, pair, doc, times, place = (x[order] for x in (word, pair, doc, times, place))
+                order = np.flatnonzero(~settled)
+                order = order[np.lexsort((pair[order], key[order]))]
+                key, code, pair, doc = key[order], code[order], pair[order], doc[order]
+                entry = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(pair) else np.zeros(0, np.int64)
+                times = np.diff(entry, append=len(pair))
+                key, code, pair, doc = key[entry], code[entry], pair[entry], doc[entry]
                 order = np.argsort(last_place, kind="stable")
                 last, last_doc, last_place = last[order], ends[order], last_place[order]
-                for at in np.union1d(place, last_place).tolist():
-                    a, b = np.searchsorted(place, [at, at + 1])
-                    c, e = np.searchsorted(last_place, [at, at + 1])
-                    at_pair, at_word = a + _starts(pair[a:b]), a + _starts(word[a:b])
+                cuts, last_cuts = np.searchsorted(_spread(key, ranges), np.arange(ranges + 1)), np.searchsorted(last_place, np.arange(ranges + 1))
+                for at in np.flatnonzero(np.diff(cuts) + np.diff(last_cuts)).tolist():
+                    (a, b), (c, e) = cuts[at : at + 2], last_cuts[at : at + 2]
+                    at_pair, at_word = a + _runs(pair[a:b], key[a:b]), a + _starts(code[a:b])
                     n_pairs = np.diff(np.searchsorted(at_pair, at_word), append=len(at_pair))
-                    yield row(at, _pack(word[at_word], n_pairs, pair[at_pair] & np.uint64(0xFFFF_FFFF_FFFF), np.diff(at_pair, append=b), doc[a:b], times[a:b], last[c:e], last_doc[c:e], limits))
+                    yield row(at, _pack(code[at_word], n_pairs, pair[at_pair] & np.uint64(0xFFFF_FFFF_FFFF), np.diff(at_pair, append=b), doc[a:b], times[a:b], last[c:e], last_doc[c:e], limits))
 
     def answer(asked: pa.Table) -> pa.Table:
         rows = [[x.view(np.int64) if k in (1, 3, 4, 5, 7, 8) else x for k, x in enumerate(_unpack(p.as_py()))] if p.is_valid else None for p in asked["packed"]]
         held = [r for r in rows if r is not None]
+        hot = np.uint64(len(known.hot))
         for r in held:  # pairs get back the bits of their word
-            r[2] = r[2] | (np.repeat(r[0], r[1]) & np.uint64(0xFFFF_0000_0000_0000))
+            r[2] = r[2] | (np.repeat(np.where(r[0] < hot, _at(known.hot, r[0]), r[0]), r[1]) & np.uint64(0xFFFF_0000_0000_0000))
         every, words = (np.unique(np.concatenate([r[k] for r in held])) if held else _NONE for k in (2, 0))
         pair_counts, word_counts = np.zeros((2, len(every)), np.int64), np.zeros((2, len(words)), np.int64)
-        for word, n_pairs, pair, n_docs, doc, times, _, _, limits in held:
-            which, of_word = np.searchsorted(every, pair), np.searchsorted(words, word)
-            at = np.repeat(np.arange(len(pair)), n_docs)
+        for r in held:
+            word, n_pairs, pair, n_docs, doc, times, _, _, limits = r
+            r.append(np.searchsorted(every, pair))
+            at, of_word = np.repeat(np.arange(len(pair)), n_docs), np.searchsorted(words, word)
             for m in (0, 1):
                 n = np.bincount(at, times * (doc < limits[m]), minlength=len(pair)).astype(np.int64)
-                np.add.at(pair_counts[m], which, n)
+                pair_counts[m][r[9]] += n  # a row has each pair once
                 np.add.at(word_counts[m], of_word, np.bincount(np.repeat(np.arange(len(word)), n_pairs), n, minlength=len(word)).astype(np.int64))
-        shared, hot = _find(known.hot, words)[1], _find(known.hot, words)[0]
-        for m in (0, 1):
-            word_counts[m, shared] = known.hot_counts[m][hot[shared]]
 
         def counts_of(some: np.ndarray, m: int) -> np.ndarray:
-            out = np.zeros(len(some), np.int64)
-            for keys, counts in ((words, word_counts[m]), (known.hot, known.hot_counts[m])):
-                at, there = _find(keys, some)
-                out[there] = counts[at[there]]
-            return out
+            at, there = _find(words, some)
+            counts = word_counts[m][at] * there if len(words) else np.zeros(len(some), np.int64)
+            return np.where(some < hot, _at(known.hot_counts[m], some), counts)
 
         out = []
         for r in rows:
             if r is None:
                 out.append(None)
                 continue
-            word, n_pairs, pair, n_docs, doc, times, last, last_doc, _ = r
+            word, n_pairs, pair, n_docs, doc, times, last, last_doc, _, at = r
             docs_of, which = np.unique(np.concatenate([doc, last_doc]), return_inverse=True)
-            at, sums = np.searchsorted(every, pair), []
+            sums = []
             for m in (0, 1):
                 loss = known.pair_loss(m, np.repeat(counts_of(word, m), n_pairs), pair_counts[m][at])
                 sums.append(np.bincount(which, np.concatenate([np.repeat(loss, n_docs) * times, -known.context_loss(m, counts_of(last, m))]), minlength=len(docs_of)).astype(np.int64))

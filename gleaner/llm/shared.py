@@ -52,7 +52,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     saved = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # what was shuffled to make the table is of no more use
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, saved)
     return spark.read.schema(df.schema).parquet(path)
