@@ -102,7 +102,7 @@ def test_repeats(spark, monkeypatch, length, batch):
     want = dict(enumerate(_without_repeats(texts, length)))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.dedup(docs, length=length, spacing=False).collect()}
     assert got == want
-    spaced = {r.doc_id: r for r in repeats.dedup(docs, length=length, keep=("n_words",)).select("doc_id", "kept").collect()}
+    spaced = {r.doc_id: r for r in repeats.dedup(docs.withColumnRenamed("n_words", "more"), length=length, keep=("more",)).collect()}
     assert all(" ".join(WORDS.findall(spaced[i].kept or "")) == want[i][2] for i in want)
     assert spaced[len(texts) - 7].kept is None
 
@@ -168,3 +168,55 @@ def test_leaks(spark):
     flags = {r.doc_id: r.contaminated for r in decontam.decontaminate(d, b).collect()}
     assert flags == {k: any(x == k for x, _ in want) for k in range(len(docs))}
     assert decontam.decontaminate(d.limit(0), b).count() == 0 and not any(r.contaminated for r in decontam.decontaminate(d, b.limit(0)).collect())
+
+
+def test_embeddings_recall_in_many_cells(spark, monkeypatch):
+    """Pairs just over the threshold among isotropic vectors, far more cells than a row is in."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 8)
+    rng = np.random.default_rng(1)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 3000, 64)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + (1 - 0.951**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, y]))], "vec_id long, embedding array<double>").repartition(4)
+    found = embeddings.near_duplicates(df)
+    assert embeddings.recall(df, found, queries=1000) >= 0.99
+    assert found.filter("n_links > 0").count() >= 0.99 * 6000
+
+
+def test_embeddings_of_nothing_and_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_leaks_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, "x " * 200_000 + "a b c d e f")], "doc_id long, text string")
+    items = spark.createDataFrame([("i2", "a b c d e f"), ("i1", "A b C d e f"), ("i1", "A b C d e f"), (None, "a b c d e f"), ("i3", None)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_items, r.best_item, r.contaminated) for r in decontam.decontaminate(docs, items).collect())
+    assert got == [(0, 0, None, False), (1, 2, "i1", True), (1, 2, "i1", True), (2, 0, None, False), (3, 2, "i1", True)]
+
+
+def test_repeats_refuse_clashing_names(spark):
+    with pytest.raises(ValueError):
+        repeats.dedup(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_words int"), keep=("n_words",))
+
+
+def test_near_copies_around_a_template(spark, monkeypatch):
+    """Several groups in one bucket, leads that aren't near their members, many units of work."""
+    monkeypatch.setattr(minhash, "SLICE", 4)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(200)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):  # about five shingles each
+            w[rng.randrange(200)] = f"c{k % 7}x{rng.randint(0, 3)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    for share in ((80, 100), (90, 100)):
+        links = [(i, j) for i in range(90) for j in range(i) if share[1] * len(sets[i] & sets[j]) >= share[0] * len(sets[i] | sets[j])]
+        want = _closure(range(90), links)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, share=share).collect()} == want
