@@ -2,7 +2,7 @@
 
 A document is a bag of passages of PASSAGE words. Every passage of a whole text is encoded twice: by what its
 words look like (shares of kinds of characters, lengths, repetition), and by what they are: each word has
-three hashed features (the word, its first and its last three letters), each feature a learned vector, and the
+three hashed features (the word, its first and its last three bytes, in lower case), each feature a learned vector, and the
 passage has their mean. The model maps both to a hidden vector, weighs the passages' hidden vectors with gated attention
 (softmax of a . (tanh(V h) * sigmoid(U h)), Ilse, Tomczak and Welling 2018) and scores the weighted sum with a
 logistic output. Only the document has a label; vectors, encoder and attention are learnt together from it.
@@ -26,12 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import WORDS, mapped, settle
+from .shared import BASE, BASE_INVERSE, mapped, mixed, powers, settle
 
 PASSAGE, TRAIN_DOCS, TRAIN_BYTES = 64, 4000, 24 << 20
 HIDDEN, GATES, VECTOR, BUCKETS = 16, 8, 8, 1 << 13
@@ -52,84 +51,87 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-class _Words(dict):
-    """word -> number, given when first asked for; features[number] are its hashed features. The same word has
-    the same features in every worker, not the same number."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        super().__init__()
-        self.most, self.version = most, 0
-        self.features = np.zeros((1 << 12, 3), np.uint16)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.features):
-            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-        low = word.lower()
-        for k, part in enumerate((low, low[:3], low[-3:])):
-            self.features[n, k] = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=k) % BUCKETS
-        self[word] = n
-        return n
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) >= self.most:  # between texts only, so that numbers of one text agree
-            self.clear()
-            self.version += 1
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-_words = _Words()
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_LOW = np.arange(256, dtype=np.uint64)
+_LOW[0x41:0x5B] += np.uint64(0x20)
+#: Words hashed at a time.
+BLOCK = 1 << 19
 
 
 @dataclass
 class Bag:
-    """A text: looks (one row of FEATURES a passage), numbers of its words, where passages start, and how many
-    words each has (1 for a text without words)."""
+    """A text: looks (one row of FEATURES a passage), the hashed features of its words (one row a word), at which word
+    passages start, and how many words each has (1 for a text without words)."""
 
     looks: np.ndarray
-    words: np.ndarray
+    features: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
 
 
+def _hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words as they stand, and their features: the word, its first and its last three bytes, in lower case."""
+    whole, features = np.empty(len(starts), np.uint64), np.empty((len(starts), 3), np.uint16)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(starts), BLOCK):
+            some = slice(at, at + BLOCK)
+            base = int(starts[some][0])
+            part = raw[base : int(ends[some][-1])]
+            first, end = starts[some] - base, ends[some] - base
+            low, scale, back = _LOW[part], powers(BASE, len(part)), powers(BASE_INVERSE, len(part))
+            sums = []
+            for values in (part.astype(np.uint64), low):
+                running = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((values + np.uint64(1)) * scale, out=running[1:])
+                sums.append(mixed((running[end] - running[first]) * back[first]))
+            whole[some] = sums[0]
+            edge = [np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)]
+            for k in range(3):
+                there = end - first > k
+                edge[0] = (edge[0] << np.uint64(8)) | np.where(there, low[np.minimum(first + k, end - 1)], 0)
+                edge[1] = (edge[1] << np.uint64(8)) | np.where(there, low[np.maximum(end - 1 - k, first)], 0)
+            for k, h in enumerate((sums[1], mixed(edge[0] + np.uint64(1 << 40)), mixed(edge[1] + np.uint64(1 << 41)))):
+                features[some, k] = h % np.uint64(BUCKETS)
+    return whole, features
+
+
 def passages(text: str | None, size: int = PASSAGE) -> Bag:
-    words = WORDS.findall(text or "")
-    if not words:
-        return Bag(np.zeros((1, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64))
-    starts = np.arange(0, len(words), size)
-    sizes = np.diff(np.append(starts, len(words)))
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    ends = np.cumsum(lengths)
-    kinds = _KIND[np.frombuffer(b"".join(raw), np.uint8)]
-    byte_starts = ends[starts] - lengths[starts]
-    passage_of_byte = np.repeat(np.arange(len(starts)), np.diff(np.append(byte_starts, ends[-1])))
-    counts = np.bincount(passage_of_byte * 10 + kinds, minlength=10 * len(starts)).reshape(-1, 10)
-    n_bytes = np.maximum(counts.sum(axis=1), 1)
-    last, first = kinds[ends - 1], kinds[ends - lengths]
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    in_word = ~_IS_GAP[raw]
+    edges = np.flatnonzero(np.diff(in_word, prepend=False, append=False))
+    first, end = edges[::2], edges[1::2]
+    n = len(first)
+    if not n:
+        return Bag(np.zeros((1, FEATURES), np.float32), np.zeros((0, 3), np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64))
+    starts = np.arange(0, n, size)
+    sizes = np.diff(np.append(starts, n))
+    lengths = end - first
+    passage = np.repeat(np.arange(len(starts)), sizes)
+    kinds = _KIND[raw]
+    counts = np.bincount(np.repeat(passage, lengths) * 10 + kinds[in_word], minlength=10 * len(starts)).reshape(-1, 10)
     out = np.zeros((len(starts), FEATURES), np.float32)
-    out[:, 0:10] = counts / n_bytes[:, None]
+    out[:, 0:10] = counts / counts.sum(axis=1, keepdims=True)
     # Repetition: how often a word is one of the words just before it, or of its passage.
-    numbers = _words.of(words)
-    distinct, code = np.unique(numbers, return_inverse=True)
+    whole, features = _hashed(raw, first, end)
+    distinct, code = np.unique(whole, return_inverse=True)
     for k, back in enumerate((1, 2, 3)):
-        same = np.zeros(len(code))
+        same = np.zeros(n)
         same[back:] = code[back:] == code[:-back]
         out[:, 10 + k] = np.add.reduceat(same, starts) / sizes
-    passage = np.repeat(np.arange(len(starts)), sizes)
     single = passage * len(distinct) + code
     out[:, 13] = np.bincount(np.unique(single) // len(distinct), minlength=len(starts)) / sizes
-    out[:, 14] = len(distinct) / len(code)  # of the whole text
-    pairs = code[:-1] * len(distinct) + code[1:]
-    out[:, 15] = len(np.unique(pairs)) / max(len(pairs), 1)
+    out[:, 14] = len(distinct) / n  # of the whole text
+    out[:, 15] = len(np.unique(code[:-1] * len(distinct) + code[1:])) / max(n - 1, 1)
     mean = np.add.reduceat(lengths, starts) / sizes
     out[:, 16] = mean / 10
     out[:, 17] = np.sqrt(np.add.reduceat((lengths - mean[passage]) ** 2, starts) / sizes) / 10
-    for k, share in enumerate((first == 2, last == 4, last == 5, last == 6, (lengths == 1) & (first == 6), lengths > 25)):
-        out[:, 18 + k] = np.add.reduceat(share.astype(np.float64), starts) / sizes
-    out[:, 24] = np.log1p(len(words)) / 10
+    opens, closes = kinds[first], kinds[end - 1]
+    shares = np.stack([opens == 2, closes == 4, closes == 5, closes == 6, (lengths == 1) & (opens == 6), lengths > 25], axis=1)
+    out[:, 18:24] = np.add.reduceat(shares.astype(np.float64), starts) / sizes[:, None]
+    out[:, 24] = np.log1p(n) / 10
     out[:, 25] = sizes / size
-    return Bag(out, numbers, starts, sizes)
+    return Bag(out, features, starts, sizes)
 
 
 @dataclass
@@ -145,8 +147,8 @@ class Sparse:
 
 
 def sparse(bag: Bag) -> Sparse:
-    passage = np.repeat(np.arange(len(bag.starts)), bag.sizes if len(bag.words) else 0)
-    keys, counts = np.unique((passage[:, None] * BUCKETS + _words.features[bag.words]).ravel(), return_counts=True)
+    passage = np.repeat(np.arange(len(bag.starts)), bag.sizes if len(bag.features) else 0)
+    keys, counts = np.unique((passage[:, None] * BUCKETS + bag.features).ravel(), return_counts=True)
     at = keys // BUCKETS
     return Sparse(bag.looks, (keys % BUCKETS).astype(np.int64), (counts / (3 * bag.sizes[at])).astype(np.float32), np.bincount(at, minlength=len(bag.starts)), np.array([len(bag.starts)]))
 
@@ -197,16 +199,6 @@ def loss_and_slopes(w: dict[str, np.ndarray], x: Sparse, y: np.ndarray) -> tuple
 class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: dict[str, np.ndarray]) -> None:
         self.mean, self.scale, self.weights = mean, scale, weights
-        self._of_words, self._version = np.zeros((0, VECTOR)), -1
-
-    def _content(self, numbers: np.ndarray) -> np.ndarray:
-        """Vectors of words, each worked out once a worker."""
-        if self._version != _words.version:
-            self._of_words, self._version = np.zeros((0, VECTOR)), _words.version
-        known = len(self._of_words)
-        if known < len(_words):
-            self._of_words = np.concatenate([self._of_words, self.weights["vectors"][_words.features[known : len(_words)]].mean(axis=1)])
-        return self._of_words[numbers]
 
     def score(self, bag: Bag, block: int = 16384) -> float:
         """A bag's score; running softmax over blocks, so a text of any length needs one block at a time."""
@@ -214,8 +206,11 @@ class Model:
         for at in range(0, len(bag.looks), block):
             sizes = bag.sizes[at : at + block]
             first = int(bag.starts[at])
-            words = bag.words[first : first + int(sizes.sum())]
-            content = _sums(self._content(words), sizes) / sizes[:, None] if len(words) else np.zeros((len(sizes), VECTOR))
+            words = bag.features[first : first + int(sizes.sum())]
+            content = np.zeros((len(sizes), VECTOR))
+            if len(words):
+                of_words = sum(w["vectors"][words[:, k]] for k in range(3))
+                content = _sums(of_words, sizes) / (3 * sizes[:, None])
             h = np.tanh(np.concatenate([(bag.looks[at : at + block] - self.mean) / self.scale, content], axis=1) @ w["encode"] + w["encode_bias"])
             a = (np.tanh(h @ w["v"]) * _sigmoid(h @ w["u"])) @ w["a"]
             new_top = max(top, a.max())

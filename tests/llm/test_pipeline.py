@@ -58,7 +58,7 @@ def _shingles(text):
 def _plain_score(model, text):
     """One bag at a time, as the formula stands."""
     bag = quality.passages(text)
-    vectors = [np.mean([model.weights["vectors"][quality._words.features[k]].mean(axis=0) for k in bag.words[a : a + n]], axis=0) if len(bag.words) else np.zeros(quality.VECTOR) for a, n in zip(bag.starts, bag.sizes)]
+    vectors = [np.mean([model.weights["vectors"][k].mean(axis=0) for k in bag.features[a : a + n]], axis=0) if len(bag.features) else np.zeros(quality.VECTOR) for a, n in zip(bag.starts, bag.sizes)]
     w, hidden, weights = model.weights, [], []
     for looks, vector in zip(bag.looks, vectors):
         h = np.tanh(np.concatenate([(looks - model.mean) / model.scale, vector]) @ w["encode"] + w["encode_bias"])
