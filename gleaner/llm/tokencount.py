@@ -20,6 +20,7 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import mapped
 
-CHUNK, OVERLAP, REMEMBERED = 1 << 12, 1 << 8, 500_000
+CHUNK, OVERLAP, REMEMBERED = 1 << 13, 1 << 8, 500_000
 _STABLE = re.compile(r"(?<=\S)(?=\s)")
 #: A space here isn't the last of its run of white space, so text can't be cut before it.
 _UNSAFE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -85,43 +86,38 @@ class Counter:
             out[k] = sum(map(self.sizes.__getitem__, words))
         return out
 
-    def _offsets(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
-        """Where the tokens of text[start:end] begin and end."""
-        spans = self.tokenizer.encode(text[start:end], add_special_tokens=False).offsets
-        return [start + a for a, _ in spans], [start + b for _, b in spans]
+    def _offsets(self, text: str, start: int, end: int) -> np.ndarray:
+        """Where the tokens of text[start:end] begin and end: one row a token."""
+        return start + np.array(self.tokenizer.encode(text[start:end], add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
 
     def spliced(self, text: str, chunk: int, overlap: int) -> int:
         total, n = 0, len(text)
-        begins, ends = self._offsets(text, 0, min(n, chunk))
-        at, end = 0, min(n, chunk)  # tokens before `at` are counted; begins/ends cover [at, end)
+        at, end = 0, min(n, chunk)  # tokens before `at` are counted; spans cover [at, end)
+        spans = self._offsets(text, at, end)
         while end < n:
             width = overlap
             while True:
                 low = max(at, end - width)
                 if low == at:  # the overlap has reached what is already settled: widen to the right
                     end = min(n, end + width)
-                    begins, ends = self._offsets(text, at, end)
+                    spans = self._offsets(text, at, end)
                     if end == n:
-                        return total + len(begins)
+                        return total + len(spans)
                 new_end = min(n, max(low, end - width) + chunk + width)
-                new_begins, new_ends = self._offsets(text, low, new_end)
-                splice = self._common(text, low, end, begins, ends, new_begins)
+                new = self._offsets(text, low, new_end)
+                splice = self._common(text, low, end, spans, new)
                 if splice is not None:
                     break
                 width *= 2
-            total += sum(b < splice for b in begins)
-            kept = next((k for k, b in enumerate(new_begins) if b >= splice), len(new_begins))
-            begins, ends, at, end = new_begins[kept:], new_ends[kept:], splice, new_end
-        return total + len(begins)
+            total += int((spans[:, 0] < splice).sum())
+            spans, at, end = new[new[:, 0] >= splice], splice, new_end
+        return total + len(spans)
 
     @staticmethod
-    def _common(text: str, low: int, end: int, begins: list[int], ends: list[int], new_begins: list[int]) -> int | None:
+    def _common(text: str, low: int, end: int, spans: np.ndarray, new: np.ndarray) -> int | None:
         """The first stable place in (low, end) where both encodings have a boundary."""
-        left, right = set(ends), set(new_begins)
-        for m in _STABLE.finditer(text, low + 1, end):
-            if m.start() < end and m.start() in left and m.start() in right:
-                return m.start()
-        return None
+        left, right = (set(v[(v > low) & (v < end)].tolist()) for v in (spans[:, 1], new[:, 0]))
+        return next((m.start() for m in _STABLE.finditer(text, low + 1, end) if m.start() in left and m.start() in right), None)
 
 
 def _words(text: str) -> list[str]:

@@ -73,3 +73,14 @@ def test_rows(spark, library):
     assert sorted((r.n_tokens, r.n_bytes, r.over_limit) for r in counts) == sorted((len(library.encode(r[1] or "").ids), len((r[1] or "").encode()), len(library.encode(r[1] or "").ids) > 512) for r in rows)
     empty = docs.limit(0)
     assert bpe.encode_decode(empty, PATH).count() == 0 and tokencount.count_tokens(empty, PATH).count() == 0
+
+
+def test_longer_documents_are_spliced(library, monkeypatch):
+    """At the size that is used, on texts that hold every kind of part."""
+    c, calls = tokencount.counter(PATH), []
+    common = tokencount.Counter._common
+    monkeypatch.setattr(tokencount.Counter, "_common", staticmethod(lambda *a: calls.append(common(*a)) or calls[-1]))
+    rng = random.Random(3)
+    long = ["".join(rng.choices(PARTS, k=9000)), "word " * 9000, " ".join(rng.choices(PARTS, k=20000))]
+    assert c.counts(long, tokencount.CHUNK, tokencount.OVERLAP) == [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+    assert sum(x is not None for x in calls) > 10
