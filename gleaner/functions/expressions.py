@@ -1,7 +1,7 @@
 """Column expressions: subspaces, connectors, losses, kernels, stable logarithms, linear models.
 
 All stay on the JVM. Sums over a fixed number of terms are written out, so that they compile with the
-rest of the stage; beyond TERMS terms, operators.blocks does the work in numpy blocks instead."""
+rest of the stage; more than TERMS terms in one model raise, for operators.blocks does that work in numpy blocks instead."""
 
 from __future__ import annotations
 
@@ -25,6 +25,12 @@ def total(terms: list[Column]) -> Column:
     return terms[0] if terms else F.lit(0.0)
 
 
+def within_terms(n: int) -> None:
+    """An expression of very many terms doesn't compile with its stage, and plans slowly."""
+    if n > TERMS:
+        raise ValueError(f"{n} terms are too many for an expression ({TERMS}); score with operators.blocks")
+
+
 def project(x: Column | str, indexes: list[int]) -> Column:
     """The attributes of one subspace."""
     return F.array(*(F.get(_c(x), F.lit(i)) for i in indexes))
@@ -99,6 +105,7 @@ def label_of(probas: Column | str, how: str | None, labels: Column | str | None
 
 
 def dot(x: Column | str, w: list[float]) -> Column:
+    within_terms(len(w))
     return total([F.get(_c(x), F.lit(i)) * F.lit(float(v)) for i, v in enumerate(w)])
 
 
@@ -146,10 +153,12 @@ def log1m_exp(x: Column) -> Column:
 
 def votes(x: Column | str, biases: list[float], weights: list[list[float]]) -> Column:
     """Share of hypotheses with b + w . x > 0."""
+    within_terms(sum(map(len, weights)))
     return total([F.when(dot(x, w) + F.lit(float(b)) > 0, 1.0).otherwise(0.0) for b, w in zip(biases, weights)]) / len(biases)
 
 
 def margins(x: Column | str, biases, weights) -> list[Column]:
+    within_terms(sum(map(len, weights)))
     return [dot(x, list(w)) + F.lit(float(b)) for b, w in zip(biases, weights)]
 
 

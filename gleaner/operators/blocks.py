@@ -201,8 +201,11 @@ class RatioMargin:
     kernel: Kernel
     c: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.base = fit_svm(self.x, self.y, self.kernel, self.c)
+
     def score_block(self, rows: np.ndarray):
-        pred, proba, _ = fit_svm(self.x, self.y, self.kernel, self.c).score_block(rows)
+        pred, proba, _ = self.base.score_block(rows)
         rank = []
         for r in rows:
             m = [fit_svm(np.vstack([self.x, r]), np.append(self.y, v), self.kernel, self.c).margin() for v in (0.0, 1.0)]
@@ -223,6 +226,16 @@ class Disagreement:
         return pred, proba, ((self.positive.decision(x) > 0) == (self.negative.decision(x) > 0)).astype(float)
 
 
+def fit_disagreement(labelled: tuple[np.ndarray, np.ndarray], background: np.ndarray, kernel: Kernel, c: float = 1.0, weight: float = 1e-5) -> Disagreement:
+    """Three fits: on the labelled rows alone, and with the background sample as all positive and all negative rows of
+    little weight. With labels of one class only the biased fits take the other class from the background."""
+    x, y = labelled
+    every = np.vstack([x, background])
+    weights = np.concatenate([np.ones(len(x)), np.full(len(background), weight)])
+    biased = [fit_svm(every, np.concatenate([y, np.full(len(background), v)]), kernel, c, weights) for v in (1.0, 0.0)]
+    return Disagreement(fit_svm(x, y, kernel, c), *biased)
+
+
 # Version spaces --------------------------------------------------------------------------------------
 
 
@@ -366,7 +379,8 @@ class ExpectedEntropy:
 
 
 def fit_laplace(x: np.ndarray, y: np.ndarray, precision: float = 1.0, features: Callable | None = None) -> "Laplace":
-    """Bayesian logistic regression: the mode by Newton steps, the Hessian sum p (1 - p) x x' + precision I."""
+    """Bayesian logistic regression: the mode by Newton steps, the Hessian sum p (1 - p) x x' + precision I. precision 0 is
+    the improper flat prior, for labels that no plane separates; with separable ones there is no mode, which raises."""
     work = features or (lambda v: v)
     a = np.column_stack([np.ones(len(x)), work(x)])
     w = np.zeros(a.shape[1])
@@ -377,6 +391,8 @@ def fit_laplace(x: np.ndarray, y: np.ndarray, precision: float = 1.0, features:
         w = w - step
         if np.abs(step).max() < 1e-10:
             break
+    else:
+        raise RuntimeError("no mode was found; the labels may be separable and the prior flat")
     p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
     return Laplace(w, (a * (p * (1 - p))[:, None]).T @ a + precision * np.eye(len(w)), work)
 
@@ -412,3 +428,56 @@ class Subspaces:
         probas = np.array([e[1] for e in each])
         p = self.proba(probas)
         return (p > 0.5).astype(float) if self.label is None else self.label(np.array([e[0] for e in each])), p, self.rank(probas)
+
+
+def fit_subspaces(x: np.ndarray, partial: np.ndarray, parts: list[list[int]], fit: Callable[[np.ndarray, np.ndarray], object] | list, **how) -> Subspaces:
+    """A learner for each subspace, fitted on its columns and its partial labels (n x K). fit: (x, y) -> learner, one for all or
+    one a subspace (so kernel, version-space and categorical members mix). how: what Subspaces combines them with."""
+    fits = fit if isinstance(fit, list) else [fit] * len(parts)
+    if not len(parts) == len(fits) == partial.shape[1]:
+        raise ValueError(f"{len(parts)} subspaces, {len(fits)} fits, {partial.shape[1]} partial labels")
+    return Subspaces(parts, [f(x[:, p], partial[:, k]) for k, (p, f) in enumerate(zip(parts, fits))], **how)
+
+
+@dataclass
+class Categories:
+    """Known values of a categorical subspace (a number, or a one-hot block): probability 1, 0, or 1/2 for a value never seen.
+    A value labelled both ways makes all unknown."""
+
+    known: dict[float, float]
+
+    @staticmethod
+    def values(x: np.ndarray) -> np.ndarray:
+        return x[:, 0] if x.shape[1] == 1 else x.argmax(axis=1).astype(float)
+
+    @staticmethod
+    def fit(x: np.ndarray, y: np.ndarray) -> "Categories":
+        known: dict[float, float] = {}
+        for v, label in zip(Categories.values(x).tolist(), y.tolist()):
+            if known.setdefault(v, label) != label:
+                return Categories({})
+        return Categories(known)
+
+    def score_block(self, x: np.ndarray):
+        p = np.array([self.known.get(v, 0.5) for v in self.values(x).tolist()])
+        return (p > 0.5).astype(float), p, np.abs(p - 0.5)
+
+
+@dataclass
+class ItemSets:
+    """Known items of a multi-set subspace (a 0/1 block): 1 if all of a row's items are positive, 0 if any is negative, else 1/2."""
+
+    positive: np.ndarray
+    negative: np.ndarray
+
+    @staticmethod
+    def fit(x: np.ndarray, y: np.ndarray) -> "ItemSets":
+        held = x > 0
+        positive = held[y == 1].any(axis=0)
+        left = held[y != 1] & ~positive
+        return ItemSets(positive, left[left.sum(axis=1) == 1].any(axis=0) if len(left) else np.zeros(x.shape[1], bool))
+
+    def score_block(self, x: np.ndarray):
+        held = x > 0
+        p = np.where((held & self.negative).any(axis=1), 0.0, np.where((held & ~self.positive).any(axis=1), 0.5, 1.0))
+        return (p > 0.5).astype(float), p, np.abs(p - 0.5)

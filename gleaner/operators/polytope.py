@@ -1,20 +1,20 @@
 """Three-valued models: what convexity, categories and item sets say about a row (1, 0, or 0.5: unknown).
 
-Fitting sees labelled rows only (small); predicting is a column expression over the pool: bounds, facets
-and value maps are literals of the expression up to expressions.TERMS numbers, and a join of a value table
-beyond. Hulls of many positives are found per partition first (hulls merge)."""
+Fitting sees labelled rows only (small); predicting is a column expression over the pool: bounds and facets are
+literals of the expression up to expressions.TERMS numbers, beyond which it raises and the same model scores numpy blocks
+(blocks.score); known categories are a joined table. Hulls of many positives are found per partition first (hulls merge)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import TERMS, dot
+from ..functions.expressions import TERMS, dot, within_terms
+from . import state as states
 
 
 class ConvexError(ValueError):
@@ -58,23 +58,54 @@ def facets(points: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarr
         normal = np.stack([after[:, 1] - v[:, 1], v[:, 0] - after[:, 0]], axis=1)
         normal /= np.linalg.norm(normal, axis=1, keepdims=True)
         return v, np.column_stack([normal, -(normal * v).sum(axis=1)]), [frozenset((k, (k + 1) % len(v))) for k in range(len(v))]
-    found: dict[tuple, tuple[np.ndarray, frozenset[int]]] = {}
-    for trio in combinations(range(len(points)), 3):
-        a, b, c = points[list(trio)]
-        normal = np.cross(b - a, c - a)
-        size = np.linalg.norm(normal)
-        if size < 1e-14:
-            continue
-        normal /= size
-        side = points @ normal - normal @ a
-        if (side > 1e-10).any() and (side < -1e-10).any():
-            continue
-        if (side > 1e-10).any():
-            normal, side = -normal, -side
-        found[tuple(np.round([*normal, -normal @ a], 9))] = np.array([*normal, -normal @ a]), frozenset(np.flatnonzero(np.abs(side) <= 1e-10).tolist())
-    used = sorted(set().union(*(s for _, s in found.values())))
-    place = {k: i for i, k in enumerate(used)}
-    return points[used], np.array([e for e, _ in found.values()]), [frozenset(place[k] for k in s) for _, s in found.values()]
+    planes: dict[tuple, tuple[np.ndarray, set[int]]] = {}
+    for face in _grown_3d(points):
+        e = _plane(points, face)
+        planes.setdefault(tuple(np.round(e, 9) + 0.0), (e, set()))[1].update(face)
+    corners = sorted(set().union(*(s for _, s in planes.values())))
+    place = {k: i for i, k in enumerate(corners)}
+    used = points[corners]
+    sets = [frozenset({place[k] for k in s} | set(np.flatnonzero(np.abs(used @ e[:3] + e[3]) <= 1e-10).tolist())) for e, s in planes.values()]
+    return used, np.array([e for e, _ in planes.values()]), sets
+
+
+def _plane(points: np.ndarray, face: tuple[int, int, int]) -> np.ndarray:
+    """Unit normal and offset of a triangle, whose corners go round counter-clockwise seen from outside."""
+    a, b, c = points[list(face)]
+    normal = np.cross(b - a, c - a)
+    normal /= np.linalg.norm(normal)
+    return np.append(normal, -normal @ a)
+
+
+def _grown_3d(points: np.ndarray, eps: float = 1e-10) -> list[tuple[int, int, int]]:
+    """Triangles of the hull. From a tetrahedron on, the point farthest outside is joined to the rim of what it
+    sees, until no point is outside; points once inside are never looked at again."""
+    first = int(points[:, 0].argmin())
+    second = int(np.linalg.norm(points - points[first], axis=1).argmax())
+    along = (points[second] - points[first]) / np.linalg.norm(points[second] - points[first])
+    off = points - points[first]
+    third = int(np.linalg.norm(off - np.outer(off @ along, along), axis=1).argmax())
+    e = _plane(points, (first, second, third))
+    fourth = int(np.abs(points @ e[:3] + e[3]).argmax())
+    if points[fourth] @ e[:3] + e[3] > 0:
+        second, third = third, second
+    a, b, c, d = first, second, third, fourth
+    faces = [(a, b, c), (b, a, d), (c, b, d), (a, c, d)]
+    planes = np.array([_plane(points, f) for f in faces])
+    left = np.arange(len(points))
+    while len(left):
+        far = (points[left] @ planes[:, :3].T + planes[:, 3]).max(axis=1)
+        left, far = left[far > eps], far[far > eps]
+        if not len(left):
+            break
+        p = int(left[far.argmax()])
+        seen = planes[:, :3] @ points[p] + planes[:, 3] > eps
+        edges = {(f[k], f[(k + 1) % 3]) for f, s in zip(faces, seen) if s for k in range(3)}
+        new = [(u, v, p) for u, v in sorted(edges) if (v, u) not in edges and np.linalg.norm(np.cross(points[v] - points[u], points[p] - points[u])) > 1e-14]
+        faces = [f for f, s in zip(faces, seen) if not s] + new
+        planes = np.vstack([planes[~seen], [_plane(points, f) for f in new]])
+        left = left[left != p]
+    return faces
 
 
 def hull_vertices(positives: DataFrame, dim: int) -> DataFrame:
@@ -176,10 +207,12 @@ class Polytope:
             behind = [(v >= float(p)) if side > 0 else (v <= float(p)) for p, side in self._cones()]
         else:
             inside = F.lit(False)
+            cones = self._cones()
+            equations = facets(self.positive, self.tol)[1] if self.is_built else np.zeros((0, dim + 1))
+            within_terms(dim * (len(equations) + sum(map(len, cones))))
             if self.is_built:
-                equations = facets(self.positive, self.tol)[1]
                 inside = F.greatest(*(dot(x, e[:-1]) + F.lit(float(e[-1])) for e in equations)) <= self.tol
-            behind = [F.least(*(dot(x, e[:-1]) + F.lit(float(e[-1])) for e in eqs)) >= -self.tol if len(eqs) > 1 else (dot(x, eqs[0][:-1]) + F.lit(float(eqs[0][-1])) >= -self.tol) for eqs in self._cones()]
+            behind = [F.least(*(dot(x, e[:-1]) + F.lit(float(e[-1])) for e in eqs)) >= -self.tol if len(eqs) > 1 else (dot(x, eqs[0][:-1]) + F.lit(float(eqs[0][-1])) >= -self.tol) for eqs in cones]
         cone = F.lit(False)
         for b in behind:
             cone = cone | b
@@ -205,6 +238,30 @@ class Polytope:
         return out
 
 
+    def score_block(self, x: np.ndarray):
+        """As a learner of blocks.score: a row that isn't decided ranks first."""
+        p = self.predict(x)
+        return p, p, np.abs(p - 0.5)
+
+    def rows(self) -> list[tuple[float, list[float]]]:
+        """(label, x): what a saved polytope is, together with tol; positives only as far as they are vertices."""
+        kept = [] if self.positive is None else [(1.0, v.tolist()) for v in (_reduced(self.positive) if self.positive.shape[1] > 1 else np.unique(self.positive, axis=0))]
+        return kept + ([] if self.negative is None else [(0.0, v.tolist()) for v in self.negative])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Vertices, negative points and tol as a table. What update() adds to a loaded polytope is what it would have added to this one."""
+        spark.createDataFrame([(self.tol, self.valid, y, x) for y, x in self.rows()], "tol double, valid boolean, label double, x array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_polytope(spark: SparkSession, path: str) -> "Polytope":
+    rows = spark.read.parquet(path).collect()  # labelled points
+    out = Polytope(rows[0].tol) if rows else Polytope()
+    if rows:
+        out.update(np.array([r.x for r in rows]), np.array([r.label for r in rows]))
+        out.valid = rows[0].valid
+    return out
+
+
 class FlippedPolytope(Polytope):
     """For a convex negative region."""
 
@@ -337,10 +394,24 @@ def infer(unknown: DataFrame, label: Column) -> DataFrame:
     return unknown.select("id", label.alias("pred")).filter("pred <> 0.5")
 
 
+def dual_space_pass(pool: DataFrame, state: DataFrame, cache: DataFrame, model, x: np.ndarray, y: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(state, cache) after a batch of user labels (x, y). The model learns the batch; a conflict flushes all inferred rows;
+    automatic labels (cache: id, x, label) that the model no longer decides are dropped; then every unknown row that it
+    decides becomes inferred. One narrow pass over the unknown rows."""
+    if model.valid:
+        model.update(x, y)
+        if not model.valid:
+            state = states.remove_inferred(state)
+    label = model.column("x")
+    decided = infer(states.view(pool, state, "unknown"), label)
+    kept = cache.withColumn("_now", label).filter("_now = label").drop("_now")
+    return state.unionByName(decided.select("id", F.lit("inferred").alias("state"))), kept
+
+
 def merge_cache(user: DataFrame, cached: DataFrame, label: Column) -> DataFrame:
     """User labels and those automatic labels that the model still decides."""
     kept = cached.withColumn("pred", label).filter("pred <> 0.5").select(*cached.columns)
     return user.select("id", "label", F.lit("user").alias("origin")).unionByName(kept.select("id", "label", F.lit("cache").alias("origin")))
 
 
-__all__ = ["TERMS", "ConvexError", "cone", "FlippedPolytope", "MultiSet", "PersistPolytope", "Polytope", "category_label", "category_model", "conflicts", "dual_space", "facets", "factorized_label", "hull_vertices", "infer", "merge_cache", "polytope"]
+__all__ = ["TERMS", "ConvexError", "cone", "FlippedPolytope", "MultiSet", "PersistPolytope", "Polytope", "category_label", "category_model", "conflicts", "dual_space", "facets", "factorized_label", "hull_vertices", "infer", "dual_space_pass", "load_polytope", "merge_cache", "polytope"]

@@ -57,6 +57,17 @@ def dual_space_batch(scored: DataFrame, n: int, unknown_share: float, seed: int)
     return picks.withColumn("known", F.col("polytope") != 0.5)
 
 
+def draw_undecided(scored: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(to ask, to cache) of rows (id, rank, polytope): the n first that the polytope leaves open, in the order of rank; and
+    those drawn on the way that it decides, with its label. The n-th open row is one driver value; the rest stays in Spark."""
+    place = F.struct(F.col("rank"), digest(seed, "id").alias("h"), F.col("id"))
+    placed = scored.withColumn("_place", place)
+    ask = placed.filter("polytope = 0.5").orderBy("_place").limit(n)
+    last = ask.agg(F.max("_place").alias("last"), F.count(F.lit(1)).alias("found"))  # one row
+    passed = placed.filter("polytope <> 0.5").crossJoin(F.broadcast(last)).filter((F.col("found") < n) | (F.col("_place") < F.col("last")))
+    return ask.drop("_place"), passed.select("id", F.col("polytope").alias("label"))
+
+
 def flip_labels(labels: DataFrame, noise: float, seed: int, skip_initial: int = 0) -> DataFrame:
     """Each label from position skip_initial on is flipped with the given chance: 0 to 1 sets all partial
     labels to 1, 1 to 0 sets one, chosen by hash, to 0. labels: id, pos, label, partial."""

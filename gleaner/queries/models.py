@@ -77,13 +77,13 @@ def convex_hull_1d(spark, d):
     return v.agg(F.min(F.col("x")[0]).alias("low"), F.max(F.col("x")[0]).alias("high"))
 
 
-@query(PARTS_SQL + """, p AS (SELECT DISTINCT x0, x1 FROM part_pool WHERE ybox = 1 AND brand = 'Brand#2'),
+@query(PARTS_SQL + """, p AS (SELECT x0, unnest([min(x1), max(x1)]) AS x1 FROM part_pool WHERE ybox = 1 GROUP BY 1),
 e AS (SELECT a.x0 AS ax, a.x1 AS ay, b.x0 AS bx, b.x1 AS yb FROM p a, p b WHERE (a.x0, a.x1) <> (b.x0, b.x1)),
 good AS (SELECT ax, ay, bx, yb FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE (bx - ax) * (p.x1 - ay) - (yb - ay) * (p.x0 - ax) < -1e-9
     OR (abs((bx - ax) * (p.x1 - ay) - (yb - ay) * (p.x0 - ax)) <= 1e-9 AND ((p.x0 - ax) * (bx - ax) + (p.x1 - ay) * (yb - ay) < -1e-12 OR (p.x0 - ax) * (bx - ax) + (p.x1 - ay) * (yb - ay) > (bx - ax) * (bx - ax) + (yb - ay) * (yb - ay) + 1e-9))))
 SELECT DISTINCT round(ax, 6) AS x0, round(ay, 6) AS x1 FROM good""")
 def convex_hull_2d(spark, d):
-    v = P.hull_vertices(parts(spark, d).filter("ybox = 1 and brand = 'Brand#2'"), 2)
+    v = P.hull_vertices(parts(spark, d).filter("ybox = 1"), 2)
     return v.select(r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1"))
 
 
@@ -309,12 +309,16 @@ def factorization_sets(spark, d):
     return factorized.factorization(_users(spark, d).select(F.col("items").alias("attributes"))).select(F.array_join(F.col("attributes").cast("array<string>"), ",").alias("attributes"))
 
 
-@query("""WITH l AS (SELECT l_returnflag AS k, list_sort(list(DISTINCT l_linestatus)) AS s FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT l_returnflag AS user_k, list_sort(list(DISTINCT l_linestatus)) AS us FROM lineitem GROUP BY 1),
+@query("""WITH c AS (SELECT n_regionkey AS r, n_nationkey AS n, c_mktsegment AS g FROM customer JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT r AS k, list_sort(list(DISTINCT n)) AS s FROM c WHERE g = 'BUILDING' GROUP BY 1), u AS (SELECT r AS user_k, list_sort(list(DISTINCT n)) AS us FROM c GROUP BY 1),
 i AS (SELECT k, user_k FROM l, u WHERE list_has_all(us, s)), a AS (SELECT k, count(*) AS n FROM i GROUP BY 1), b AS (SELECT user_k, count(*) AS m FROM i GROUP BY 1), o AS (SELECT k, user_k FROM i JOIN a USING (k) JOIN b USING (user_k) WHERE n = 1 AND m = 1)
-SELECT k, user_k FROM o WHERE (SELECT count(*) FROM o) = (SELECT count(*) FROM l)""")
+SELECT k, user_k FROM o WHERE (SELECT count(*) FROM o) = (SELECT count(*) FROM l) AND (SELECT count(*) FROM o) = (SELECT count(*) FROM u)""")
 def compatible_factorization(spark, d):
-    s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.array_sort(F.collect_set("l_linestatus")).alias("attributes"))
-    return factorized.compatible(s, s.select(F.col("k").alias("user_k"), F.col("attributes").alias("user_attributes")))
+    """Nations of the customers of one segment, by region, within those of all customers."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = F.array_sort(F.collect_set("n_nationkey"))
+    learned = c.filter("c_mktsegment = 'BUILDING'").groupBy(F.col("n_regionkey").alias("k")).agg(nations.alias("attributes"))
+    return factorized.compatible(learned, c.groupBy(F.col("n_regionkey").alias("user_k")).agg(nations.alias("user_attributes")))
 
 
 @query(SQL + "SELECT id, (sqrt(q0 * q1) > 0.5)::INT::DOUBLE AS block0, (q1 > 0.5)::INT::DOUBLE AS block1 FROM sc")
@@ -380,13 +384,22 @@ def fit_kernel_svm(spark, d):
     return scored.select("id", (F.col("pred") == F.col("y")).alias("right_side"), (F.col("rank") > 0.99).alias("within_margin"))
 
 
-@query(VECTORS_SQL + "SELECT id, true AS bounded FROM (SELECT id FROM v WHERE id NOT IN (SELECT id FROM lab) ORDER BY h, id LIMIT 12)")
+@query(None)
 def ratio_margin(spark, d):
-    """Ranks of a sample: a ratio of margins lies in (0, 1]."""
+    """Ranks of all unlabelled rows; no SQL fits the two models a row, tests do."""
+    x, y = _vector_labels(spark, d)
+    rest = vectors(spark, d).join(first_rows(vectors(spark, d), 40).select("id"), "id", "left_anti")
+    parts = 4 * spark.sparkContext.defaultParallelism  # two fits a row are the work, so many small tasks
+    return blocks.score(rest.repartition(parts, "id"), blocks.RatioMargin(x, y, blocks.Kernel("rbf"), 10.0)).select("id", "pred", r6(F.col("rank"), "rank"))
+
+
+@query(None)
+def fit_disagreement(spark, d):
+    """Three fits from labels and a background sample, ranking all rows; tests hold the fits against their conditions."""
     x, y = _vector_labels(spark, d)
     rest = vectors(spark, d).join(first_rows(vectors(spark, d), 40).select("id"), "id", "left_anti")
-    ranked = blocks.score(sampling.sample(rest, 12, SEED).repartition(4, "id"), blocks.RatioMargin(x, y, blocks.Kernel("rbf"), 10.0))
-    return ranked.select("id", ((F.col("rank") <= 0) & (F.col("rank") >= -1)).alias("bounded"))
+    background = np.array([r.x for r in sampling.sample(rest, 200, SEED).select("x").collect()])
+    return blocks.score(vectors(spark, d), blocks.fit_disagreement((x, y), background, blocks.Kernel("rbf"), 1e3)).select("id", "pred", "rank")
 
 
 @query(VECTORS_SQL + "SELECT id, true AS all_agree FROM lab")
@@ -431,20 +444,33 @@ def entropy_reduction(spark, d):
     return blocks.entropy_reduction(vectors(spark, d), space, reference).select("id", r6(F.col("rank"), "rank"))
 
 
-@query(VECTORS_SQL + "SELECT id, true AS a_probability FROM v")
+#: A posterior over (bias, x[1], x[2]): mode, and the diagonal of its precision.
+MODE, PRECISION = [0.2, 3.0, -2.0], [4.0, 2.0, 1.0]
+
+
+@query(VECTORS_SQL + """, z AS (SELECT id, (0.2 + 3 * x[1] - 2 * x[2]) / sqrt(0.25 + x[1] * x[1] / 2 + x[2] * x[2] + 8 / pi()) / sqrt(2) AS z FROM v),
+p AS (SELECT id, 0.5 + list_sum(list_transform(range(0, 50), lambda n: pow(-1, n) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) / sqrt(pi()) AS p FROM z) SELECT id, round(p, 6) AS proba, round(abs(p - 0.5), 6) AS rank FROM p""")
 def laplace_posterior(spark, d):
+    """Probabilities under a given posterior; the SQL sums the series of the error function."""
+    model = blocks.Laplace(np.array(MODE), np.diag(PRECISION), lambda x: x[:, :2])
+    return blocks.score(vectors(spark, d), model).select("id", r6(F.col("proba"), "proba"), r6(F.col("rank"), "rank"))
+
+
+@query(None)
+def fit_laplace(spark, d):
+    """A posterior from forty labels, scoring all rows; tests hold its mode and Hessian against differences."""
     x, y = _vector_labels(spark, d)
-    out = blocks.score(vectors(spark, d), blocks.fit_laplace(x, y))
-    return out.select("id", ((F.col("proba") >= 0) & (F.col("proba") <= 1) & (F.col("pred") == (F.col("proba") > 0.5).cast("double"))).alias("a_probability"))
+    return blocks.score(vectors(spark, d), blocks.fit_laplace(x, y)).select("id", "pred", r6(F.col("proba"), "proba"))
 
 
-@query(VECTORS_SQL + f", m AS (SELECT rid, z FROM refs) SELECT a.rid AS id, b.rid AS other, round(exp(-(list_dot_product(a.z, a.z) + list_dot_product(b.z, b.z) - 2 * list_dot_product(a.z, b.z)) / 64), 5) AS k FROM m a, m b")
+@query(VECTORS_SQL + f"SELECT v.id, ref::INT AS ref, round(exp(-{DIST} / 64), 5) AS k FROM v, refs")
 def nystroem_features(spark, d):
-    """With all rows as landmarks the features' inner products are the kernel."""
-    rows = first_rows(vectors(spark, d), 8)
-    mapped = blocks.transform(rows, blocks.nystroem(_refs(spark, d), blocks.Kernel("rbf")))
-    both = mapped.crossJoin(mapped.select(F.col("id").alias("other"), F.col("x").alias("z")))  # eight rows each
-    return both.select("id", "other", F.round(X.dot_columns("x", "z"), 5).alias("k"))
+    """A row's features times those of a landmark give the kernel of the two."""
+    marks, kernel = _refs(spark, d), blocks.Kernel("rbf")
+    work = blocks.nystroem(marks, kernel)
+    lands = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(work(marks))], "ref int, z array<double>")  # eight rows
+    both = blocks.transform(vectors(spark, d), work).crossJoin(F.broadcast(lands))
+    return both.select("id", "ref", F.round(X.dot_columns("x", "z"), 5).alias("k"))
 
 
 @query(VECTORS_SQL + "SELECT id, true AS norm_kept FROM v")
@@ -489,6 +515,28 @@ def custom_learner(spark, d):
     return blocks.score(pool(spark, d), Nearest(*local(labelled_pool(spark, d)))).select("id", r6(F.col("proba"), "proba"))
 
 
+@query(SQL + """, m AS (SELECT avg(x0) FILTER (WHERE p0 = 0) AS a0, avg(x0) FILTER (WHERE p0 = 1) AS b0, avg(x1) FILTER (WHERE p1 = 0) AS a1, avg(x1) FILTER (WHERE p1 = 1) AS b1 FROM lab),
+q AS (SELECT id, 1 / (1 + exp((x0 - b0) ** 2 - (x0 - a0) ** 2)) AS q0, 1 / (1 + exp((x1 - b1) ** 2 - (x1 - a1) ** 2)) AS q1 FROM pool, m) SELECT id, round(q0 * q1, 6) AS proba, round((1 - 2 * q0 * (1 - q0)) * (1 - 2 * q1 * (1 - q1)), 6) AS rank FROM q""")
+def fit_subspace_learner(spark, d):
+    """One learner a subspace, each fitted on its column and its partial labels."""
+    rows = labelled_pool(spark, d).orderBy("id").select("x", "partial").collect()  # sixty labels
+    model = blocks.fit_subspaces(np.array([r.x for r in rows]), np.array([r.partial for r in rows]), [[0], [1]], Nearest)
+    return blocks.score(pool(spark, d), model).select("id", r6(F.col("proba"), "proba"), r6(F.col("rank"), "rank"))
+
+
+@query(SQL + """, c AS (SELECT *, (dense_rank() OVER (ORDER BY cat) - 1)::DOUBLE AS code FROM pool), l AS (SELECT * FROM c ORDER BY h, id LIMIT 60),
+m AS (SELECT avg(x0) FILTER (WHERE p0 = 0) AS a0, avg(x0) FILTER (WHERE p0 = 1) AS b0 FROM l), k AS (SELECT code, min((cat <> 'error')::INT)::DOUBLE AS known FROM l GROUP BY 1)
+SELECT id, round(coalesce(known, 0.5) / (1 + exp((x0 - b0) ** 2 - (x0 - a0) ** 2)), 6) AS proba FROM c LEFT JOIN k USING (code), m""")
+def fit_mixed_subspaces(spark, d):
+    """A numerical and a categorical subspace, each learner fitted on its own labels."""
+    p = pool(spark, d)
+    kinds = sorted(r[0] for r in p.select("cat").distinct().collect())  # five
+    coded = p.withColumn("x", F.array(F.col("x")[0], (F.array_position(F.array(*map(F.lit, kinds)), F.col("cat")) - 1).cast("double")))
+    rows = first_rows(coded, 60).orderBy("id").select("x", F.array(F.col("partial")[0], (F.col("cat") != "error").cast("double")).alias("partial")).collect()
+    model = blocks.fit_subspaces(np.array([r.x for r in rows]), np.array([r.partial for r in rows]), [[0], [1]], [Nearest, blocks.Categories.fit])
+    return blocks.score(coded, model).select("id", r6(F.col("proba"), "proba"))
+
+
 # Fits, searches and composite jobs ----------------------------------------------------------------------
 
 
@@ -543,14 +591,52 @@ def interaction_scan(spark, d):
     return interaction.scan(pool(spark, d), 2, [0.001, 0.1, 10.0])
 
 
-@query(SQL + "SELECT count(*) AS n, true AS picked, true AS grown FROM pool")
+@query(SQL + """, m AS (SELECT avg(x0) FILTER (WHERE y = 0) AS a0, avg(x1) FILTER (WHERE y = 0) AS a1, avg(x0) FILTER (WHERE y = 1) AS b0, avg(x1) FILTER (WHERE y = 1) AS b1 FROM lab),
+r AS (SELECT id, y, h, abs(1 / (1 + exp((x0 - b0) ** 2 + (x1 - b1) ** 2 - (x0 - a0) ** 2 - (x1 - a1) ** 2)) - 0.5) AS rank FROM pool, m WHERE id NOT IN (SELECT id FROM lab)),
+picked AS (SELECT * FROM r ORDER BY round(rank, 9), h, id LIMIT 3) SELECT id, y AS label, 6 AS iter, true AS new FROM picked UNION ALL SELECT id, y, floor(pos / 10)::INT, false FROM lab""")
 def explore_round(spark, d):
     """One round: a learner fitted on the labels picks three rows, which are labelled."""
+
+    class Steady(Nearest):  # ranks that differ by rounding only are ties
+        def score_block(self, x):
+            pred, p, rank = super().score_block(x)
+            return pred, p, np.round(rank, 9)
+
     p = pool(spark, d)
     truth = p.select("id", F.col("y").alias("label"), "partial")
     own = labels(spark, d).select("id", "label", "partial", "iter")
-    picked, after = explore.explore_round(p, truth, own, lambda x, y: blocks.fit_svm(x, y, blocks.Kernel("rbf", gamma=4.0), 1e3), 6, 3, seed=SEED)
-    return p.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(picked.count() == 3).alias("picked"), F.lit(after.count() == 63).alias("grown"))
+    _, after = explore.explore_round(p, truth, own, Steady, 6, 3, seed=SEED)
+    return after.select("id", "label", "iter", (F.col("iter") == 6).alias("new"))
+
+
+@query(PARTS_SQL + """, b AS (SELECT min(x0) FILTER (WHERE ysize = 1) AS l, max(x0) FILTER (WHERE ysize = 1) AS r FROM lab), c AS (SELECT min(x0) FILTER (WHERE ysize = 0 AND x0 > r) AS above, max(x0) FILTER (WHERE ysize = 0 AND x0 < l) AS below FROM lab, b)
+SELECT id, CASE WHEN id IN (SELECT id FROM lab) THEN 'labeled' ELSE 'inferred' END AS state FROM part_pool, b, c WHERE id IN (SELECT id FROM lab) OR x0 >= above OR x0 <= below OR x0 BETWEEN l AND r""")
+def dual_space_pass(spark, d):
+    """Labels of a batch reach the polytope, which then decides unknown rows."""
+    p = parts(spark, d).withColumn("x", F.slice("x", 1, 1)).withColumn("y", F.col("ysize"))
+    batch = first_rows(p, 60)
+    x, y = local(batch)
+    own = batch.select("id", F.lit("labeled").alias("state"))
+    after, _ = P.dual_space_pass(p, own, p.limit(0).select("id", "x", F.col("y").alias("label")), P.polytope("positive"), x, y)
+    return after
+
+
+@query(SQL + f""", r AS (SELECT id, abs(proba - 0.5) AS rank, h, {THREE} AS p FROM sc WHERE id NOT IN (SELECT id FROM lab)), o AS (SELECT *, row_number() OVER (ORDER BY round(rank, 9), h, id) AS k FROM r),
+t AS (SELECT max(k) AS k FROM (SELECT k FROM o WHERE p = 0.5 ORDER BY k LIMIT 20)) SELECT id, p::DOUBLE AS label, p = 0.5 AS asked FROM o WHERE k <= (SELECT k FROM t)""")
+def dual_space_draw(spark, d):
+    """Twenty rows to ask; rows drawn before them that the polytope decides go to the cache."""
+    rows = state.with_state(pool(spark, d), states(spark, d)).filter("state <> 'labeled'")
+    scored = rows.select("id", F.round(X.factorized("x", BIAS, WEIGHTS)["rank"], 9).alias("rank"), _three().alias("polytope"))
+    ask, cache = sampling.draw_undecided(scored, 20, SEED)
+    return ask.select("id", F.lit(0.5).alias("label"), F.lit(True).alias("asked")).unionByName(cache.select("id", "label", F.lit(False).alias("asked")))
+
+
+@query(None)
+def convex_hull_3d(spark, d):
+    """Vertices of the hull of all line items' quantity, discount and tax; tests hold hulls against half-spaces."""
+    t = table(spark, d, "lineitem").select(F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("x"))
+    v = P.hull_vertices(t.distinct(), 3)
+    return v.select(*(r6(F.col("x")[k], f"x{k}") for k in range(3)))
 
 
 @query("SELECT event_type AS task, count(*) AS n, true AS better_than_chance FROM events GROUP BY 1")

@@ -144,3 +144,71 @@ def test_custom_scores_do_not_depend_on_partitions(spark):
         df = spark.createDataFrame(rows, "id long, x array<double>").repartition(n)
         out.append(sorted(tuple(r) for r in blocks.score(df, space).collect()))
     assert out[0] == out[1] == out[2]
+
+
+def test_disagreement_fits():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 2))
+    y = (x[:, 0] > 0).astype(float)
+    background = rng.normal(size=(50, 2)) * 3
+    m = blocks.fit_disagreement((x, y), background, blocks.Kernel("rbf", gamma=0.5), 1e3, 1e-3)
+    far = np.array([[9.0, 9.0], [-9.0, 9.0], [0.0, -9.0]])  # beyond all labels only the background speaks
+    assert m.positive.decision(far).min() > m.negative.decision(far).max()
+    pred, _, rank = m.score_block(x)
+    assert (pred == y).all() and rank.mean() > 0.8
+    assert (m.score_block(far)[2] == ((m.positive.decision(far) > 0) == (m.negative.decision(far) > 0))).all()
+
+
+def test_subspaces_that_fit():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=80), rng.integers(0, 4, 80), rng.integers(0, 2, (80, 3))]).astype(float)
+    partial = np.column_stack([x[:, 0] > 0, x[:, 1] != 2, x[:, 2] == 0]).astype(float)
+    model = blocks.fit_subspaces(x, partial, [[0], [1], [2, 3, 4]], [lambda a, b: blocks.fit_svm(a, b, blocks.Kernel("linear"), 100.0), blocks.Categories.fit, blocks.ItemSets.fit])
+    _, p, _ = model.score_block(x)
+    assert (p[(partial == 0).any(axis=1) & (p != 0)] < 0.5).all() and (p[x[:, 1] == 2] == 0).all()
+    assert blocks.Categories.fit(np.array([[1.0], [1.0]]), np.array([0.0, 1.0])).score_block(np.array([[1.0]]))[1][0] == 0.5
+    with pytest.raises(ValueError):
+        blocks.fit_subspaces(x, partial[:, :2], [[0], [1], [2]], blocks.Categories.fit)
+
+
+def test_laplace_mode_and_hessian():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(60, 2)), (rng.random(60) < 0.5).astype(float)
+    for precision in (1.0, 0.0):
+        m = blocks.fit_laplace(x, y, precision)
+        a = np.column_stack([np.ones(60), x])
+
+        def cost(w):
+            z = a @ w
+            return np.logaddexp(0, z).sum() - y @ z + precision * (w @ w) / 2
+
+        for i in range(3):
+            e = np.eye(3)[i] * 1e-4
+            assert abs(cost(m.mode + e) - cost(m.mode - e)) < 1e-6
+            for j in range(3):
+                f = np.eye(3)[j] * 1e-4
+                second = (cost(m.mode + e + f) - cost(m.mode + e - f) - cost(m.mode - e + f) + cost(m.mode - e - f)) / 4e-8
+                assert abs(second - m.hessian[i, j]) < 1e-3
+    with pytest.raises((RuntimeError, np.linalg.LinAlgError)):
+        blocks.fit_laplace(x, (x[:, 0] > 0).astype(float), 0.0)
+
+
+def test_ratio_margin_refits_both_ways():
+    rng = np.random.default_rng(8)
+    x, y, k = rng.normal(size=(12, 2)), np.array([0.0, 1.0] * 6), blocks.Kernel("rbf")
+    rows = rng.normal(size=(5, 2))
+    got = blocks.RatioMargin(x, y, k, 10.0).score_block(rows)[2]
+    for r, g in zip(rows, got):
+        m = []
+        for v in (0.0, 1.0):
+            model = blocks.fit_svm(np.vstack([x, r]), np.append(y, v), k, 10.0)
+            m.append(sum(a * b * np.exp(-((s - t) ** 2).sum() / 2) for a, s in zip(model.dual, model.support) for b, t in zip(model.dual, model.support)))
+        assert abs(g + min(m[0] / m[1], m[1] / m[0])) < 1e-9
+
+
+def test_expressions_refuse_too_many_terms():
+    X.votes("x", [0.0] * 20, [[1.0] * 10] * 20)
+    with pytest.raises(ValueError):
+        X.votes("x", [0.0] * 21, [[1.0] * 10] * 21)
+    with pytest.raises(ValueError):
+        X.factorized("x", [0.0] * 4, [[1.0] * 64] * 4)

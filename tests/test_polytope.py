@@ -117,3 +117,43 @@ def test_hull_of_partitions(spark):
     df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(7)
     got = {tuple(np.round(r.x, 12)) for r in P.hull_vertices(df, 2).collect()}
     assert got == {tuple(np.round(v, 12)) for v in P.facets(x)[0]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hulls_against_half_spaces(seed):
+    """Every facet has all points on its inner side and its corners on it; a point is a vertex if no mixture of others."""
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(400, 3)) if seed % 2 else rng.integers(0, 5, (300, 3)).astype(float)
+    corners, equations, sets = P.facets(points)
+    inside = points @ equations[:, :3].T + equations[:, 3]
+    assert (inside <= 1e-8).all() and all(abs(corners[k] @ e[:3] + e[3]) < 1e-8 for e, s in zip(equations, sets) for k in s)
+    assert all(len(s) >= 3 for s in sets) and {tuple(c) for c in corners} <= {tuple(p) for p in points}
+    for direction in rng.normal(size=(200, 3)):  # the farthest point in any direction is a corner
+        assert abs((points @ direction).max() - (corners @ direction).max()) < 1e-9
+
+
+def test_a_large_hull_in_space(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(4)
+    got = np.array([r.x for r in P.hull_vertices(df, 3).collect()])
+    for direction in rng.normal(size=(300, 3)):
+        assert abs((x @ direction).max() - (got @ direction).max()) < 1e-9
+    assert len(got) < 400
+
+
+def test_saved_polytopes_and_blocks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 2))
+    y = ((x**2).sum(axis=1) < 1).astype(int)
+    model = P.Polytope(1e-9).fit(x, y)
+    model.save(spark, f"{tmp_path}/hull")
+    again = P.load_polytope(spark, f"{tmp_path}/hull")
+    probe = rng.normal(size=(500, 2)) * 2
+    assert (again.predict(probe) == model.predict(probe)).all() and again.tol == model.tol
+    more = np.array([[0.0, 1.5], [0.1, 0.2]])
+    assert (again.update(more, np.array([0, 1])).predict(probe) == model.update(more, np.array([0, 1])).predict(probe)).all()
+    from gleaner.operators import blocks
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(probe)], "id int, x array<double>")
+    assert [r.pred for r in blocks.score(df, model).orderBy("id").collect()] == model.predict(probe).tolist()
