@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +86,15 @@ SMOOTH: dict[str, tuple[Callable[[np.ndarray], float], Callable[[np.ndarray], np
 def fit(rows: DataFrame, k: int, penalty: str | None = None, strength: float = 0.0, mask: np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, restarts: int = 1, steps: int = 200, rate: float = 0.1, seed: int = 0, driver_rows: int = DRIVER_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(bias, weights, loss) of the best restart. rows: (x, y). mask (K, d): attributes that a subspace may
     use. Proximal penalties take FISTA, smooth ones (huber, interaction) and none take Adam."""
-    sample = rows.select("x", F.col("y").cast("double").alias("y")).limit(driver_rows + 1).collect()
-    small = len(sample) <= driver_rows
-    x, y = (np.array([r.x for r in sample], float), np.array([r.y for r in sample])) if small else (None, None)
-    dim = len(sample[0].x)
+    rows = rows.select("x", F.col("y").cast("double").alias("y"))
+    small = rows.limit(driver_rows + 1).count() <= driver_rows
+    if small:
+        sample = rows.collect()
+        x, y = np.array([r.x for r in sample], float), np.array([r.y for r in sample])
+        dim = x.shape[1]
+    else:  # every step reads the rows, so they are scored and read once
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        dim = len(rows.first().x)
 
     def step(bias: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         if small:
@@ -98,14 +104,18 @@ def fit(rows: DataFrame, k: int, penalty: str | None = None, strength: float = 0
         return r.loss, np.array(r.gradient).reshape(k, 1 + dim)
 
     best = None
-    for trial in range(restarts):
-        rng = np.random.default_rng(seed + trial)
-        bias, w = (a.copy() for a in start) if start is not None and trial == 0 else (rng.normal(0, 0.1, k), rng.normal(0, 0.5, (k, dim)))
-        if mask is not None:
-            w = w * mask
-        bias, w, value = (_fista if penalty in PENALTIES else _adam)(step, bias, w, penalty, strength, mask, steps, rate)
-        if best is None or value < best[2]:
-            best = bias, w, value
+    try:
+        for trial in range(restarts):
+            rng = np.random.default_rng(seed + trial)
+            bias, w = (a.copy() for a in start) if start is not None and trial == 0 else (rng.normal(0, 0.1, k), rng.normal(0, 0.5, (k, dim)))
+            if mask is not None:
+                w = w * mask
+            bias, w, value = (_fista if penalty in PENALTIES else _adam)(step, bias, w, penalty, strength, mask, steps, rate)
+            if best is None or value < best[2]:
+                best = bias, w, value
+    finally:
+        if not small:
+            rows.unpersist()
     return best
 
 
@@ -276,17 +286,20 @@ def brute_force(spark: SparkSession, x: np.ndarray, y: np.ndarray, blocks: int |
     return losses_of(spark, x, y, candidates, steps).orderBy(F.round("loss", 6), "partition").limit(1)
 
 
-def greedy(spark: SparkSession, x: np.ndarray, y: np.ndarray, steps: int = 150, warm: bool = True) -> list[tuple[list[list[int]], float]]:
-    """From single attributes on the best merge of two blocks, until none gains: (partition, loss) by level."""
+def greedy(spark: SparkSession, x: np.ndarray, y: np.ndarray, steps: int = 150, warm: bool = True, blocks: int | None = None, max_dim: int | None = None) -> list[tuple[list[list[int]], float]]:
+    """From single attributes on the best merge of two blocks, until none gains: (partition, loss) by level. No block grows
+    over max_dim; while there are more than blocks blocks, the best merge is taken even if it doesn't gain."""
     now = [[k] for k in range(x.shape[1])]
     bias, w, value = fit_partition(x, y, now, steps)
     path = [(now, value)]
     while len(now) > 1:
-        pairs = list(combinations(range(len(now)), 2))
+        pairs = [(i, j) for i, j in combinations(range(len(now)), 2) if max_dim is None or len(now[i]) + len(now[j]) <= max_dim]
+        if not pairs:
+            break
         tries = [[p for k, p in enumerate(now) if k not in (i, j)] + [sorted(now[i] + now[j])] for i, j in pairs]
         starts = [merge_blocks(bias, w, i, j) for i, j in pairs] if warm else None
         best = losses_of(spark, x, y, tries, steps, starts).orderBy("loss").first()
-        if best.loss >= path[-1][1] - 1e-9:
+        if best.loss >= path[-1][1] - 1e-9 and (blocks is None or len(now) <= blocks):
             break
         now, bias, w = [list(p) for p in best.partition], np.array(best.bias), np.array(best.w)
         path.append((now, best.loss))

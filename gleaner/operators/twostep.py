@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def two_stage(scored: DataFrame, score_text: Callable[[DataFrame], DataFrame], value: str = "pred") -> DataFrame:
-    """scored: (id, pred, ...) by the structured model. The text scorer gets the rows with pred = 1 and
-    returns (id, value); other rows keep the structured value."""
-    yes = scored.filter("pred = 1")
-    text = score_text(yes).select("id", F.col(value).alias("_text"))
-    return yes.join(text, "id", "left").withColumn("final", F.coalesce("_text", F.col(value))).drop("_text").unionByName(scored.filter("pred <> 1 or pred is null").withColumn("final", F.col(value)))
+def two_stage(scored: DataFrame, text: Column | Callable[[DataFrame], DataFrame], value: str = "pred") -> DataFrame:
+    """scored: (id, pred, ...) by the structured model, with final added: the text model's value in rows with pred = 1, the
+    structured value in the others. text is a column of the rows, or a function that gets the rows with pred = 1 and
+    returns them with its value in a column "text" (blocks, say); either way one pass without a join. Repeated ids are rows of
+    their own; a null text value leaves the structured one."""
+    if isinstance(text, Column):
+        return scored.withColumn("final", F.when(F.col("pred") == 1, F.coalesce(text, F.col(value))).otherwise(F.col(value)))
+    yes = text(scored.filter("pred = 1")).withColumn("final", F.coalesce("text", F.col(value))).drop("text")
+    return yes.unionByName(scored.filter("pred <> 1 or pred is null").withColumn("final", F.col(value)))
 
 
 def training_rows(labels: DataFrame, switch_iter: int) -> DataFrame:

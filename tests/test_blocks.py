@@ -212,3 +212,48 @@ def test_expressions_refuse_too_many_terms():
         X.votes("x", [0.0] * 21, [[1.0] * 10] * 21)
     with pytest.raises(ValueError):
         X.factorized("x", [0.0] * 4, [[1.0] * 64] * 4)
+
+
+def test_factorized_fit_takes_the_plain_steps(spark):
+    """Adam on the mean loss, written out, gives the same weights on the driver and in Spark."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(80, 2))
+    y = ((x[:, 0] > -0.5) & (x[:, 1] < 0.5)).astype(float)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(3)
+    start = rng.normal(size=2), rng.normal(size=(2, 2))
+    fits = [factorized.fit(df, 2, steps=12, start=start, driver_rows=n) for n in (1000, 10)]
+    a = np.column_stack(start)
+    m, v, best = np.zeros_like(a), np.zeros_like(a), (np.inf, a)
+
+    def loss(a):
+        p = np.prod(1 / (1 + np.exp(-(x @ a[:, 1:].T + a[:, 0]))), axis=1)
+        return -np.mean(np.where(y > 0, np.log(p), np.log(1 - p)))
+
+    for t in range(1, 13):
+        if loss(a) < best[0]:
+            best = loss(a), a
+        g = np.zeros_like(a)
+        for i in np.ndindex(a.shape):
+            e = np.zeros_like(a)
+            e[i] = 1e-6
+            g[i] = (loss(a + e) - loss(a - e)) / 2e-6
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        a = a - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    for bias, w, value in fits:
+        assert np.allclose(np.column_stack([bias, w]), best[1], atol=1e-4) and abs(value - best[0]) < 1e-6
+
+
+def test_partition_searches(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 3))
+    y = ((x[:, 0] + x[:, 1] > 0) & (x[:, 2] > -0.3)).astype(float)
+    every = {tuple(sorted(map(tuple, p))): factorized.fit_partition(x, y, p, 150)[2] for p in factorized.set_partitions(3)}
+    assert len(every) == 5
+    best = factorized.brute_force(spark, x, y).first()
+    assert abs(best.loss - min(every.values())) < 1e-9
+    path = factorized.greedy(spark, x, y, warm=False)
+    for (before, a), (after, b) in zip(path, path[1:]):
+        assert b < a and len(after) == len(before) - 1
+        merges = [v for k, v in every.items() if len(k) == len(after) and all(any(set(p) <= set(q) for q in k) for p in before)]
+        assert abs(b - min(merges)) < 1e-9
+    assert max(map(len, factorized.greedy(spark, x, y, max_dim=2, blocks=1)[-1][0])) == 2
