@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, licences, lmscore, minhash, quality, repeats, tokencount, warc
+from . import alignment, bpe, decontam, embeddings, licences, lmscore, minhash, neighbours, quality, repeats, runs, tokencount, warc
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -148,6 +148,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = alignment.align(_table(spark, sf_dir, "documents"), _tokenizer(), _tokenizer("piece_bpe_32k.model"), digest=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = runs.periodic_runs(runs.with_periodic_tails(_table(spark, sf_dir, "documents")))
+    line = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat(r["starts"], F.lit(","), r["lengths"], F.lit(","), r["periods"], F.lit("\n")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return done.select("doc_id", F.size("starts").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), digest(F.array_join(line, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licences": op2_licences,
@@ -159,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_runs": op12_runs,
+    "op13_neighbours": op13_neighbours,
 }
 
 SQL: dict[str, str] = {"op2_licences": licences.scan_sql(), "op4_embeddings": OP4_SQL, "op5_lm_scoring": OP5_SQL, "op6_revisits": OP6_SQL, "op3_minhash": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
