@@ -7,11 +7,14 @@ the item's shingles are among the document's.
 A plain MinHash banding compares sets of like size; a short item inside a long document is the case it
 misses. So items are partitioned by size, and each partition has its own signature length: an item's
 signature holds, under each of that many hash functions, its least shingle. A document that contains
-the item has each of these minima with a chance of at least 0.8, so the share of an item's minima that
-a document has estimates the containment, and the signature of the partition is long enough that
-missing all minima has a chance under 1e-9; items of up to that size have all shingles in the signature
-and can't be missed at all. Documents are hashed once into shingles and looked up among the minima;
-pairs whose estimate isn't hopeless are verified by exact shingle containment on strings.
+the item has each of these minima with a chance of at least 0.8, so the number of functions whose minimum a
+document has is binomial, and pairs go on to the exact check from the number on below which a contained item stays with a chance of at most
+MISSED (the exact tail: 4 of 20 functions, 6 of 24, 10 of 32); items of up to 16 shingles have all of them in the signature and can't be missed
+at all. Documents are hashed once into shingles and looked up among the minima; what is left is verified by exact shingle containment on strings.
+
+A phrase that many items share would pair its documents with all of them. Minima that more than COMMON items have are therefore not
+looked up, the most common ones first, as long as what is left of an item's signature must still be hit: with c hits asked for, minima of up to c - 1
+functions can be left out, and the others must be hit c less these times. Nothing is lost by that.
 
 Documents are never compared with each other and no document is replicated. The table of minima grows
 with the benchmark only; Spark joins it by broadcast where its measured size is under
@@ -27,7 +30,9 @@ documents without items. Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import GAP_SQL, LOWER, UPPER, settle
@@ -35,6 +40,19 @@ from .shared import GAP_SQL, LOWER, UPPER, settle
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Partitions of items by number of shingles: (largest size, hash functions). 0.2 ** 16 = 7e-12.
 SIZES = ((16, 16), (64, 20), (256, 24), (1 << 62, 32))
+#: The chance with which a contained item may be missed; items that may share a minimum before it counts as common.
+MISSED, COMMON = 1e-9, 8
+
+
+def least_hits(functions: int, missed: float = MISSED) -> int:
+    """The most functions so that fewer hits of a contained item have a chance of at most missed; a function hits with a chance of NUMERATOR /
+    DENOMINATOR or more."""
+    p, below = NUMERATOR / DENOMINATOR, 0.0
+    for k in range(functions + 1):
+        below += math.comb(functions, k) * p**k * (1 - p) ** (functions - k)
+        if below > missed:
+            return k
+    return functions
 
 
 def words(text: Column) -> Column:
@@ -52,13 +70,20 @@ def shingles(w: Column, width: int = WIDTH) -> Column:
 
 
 def _signatures(items: DataFrame) -> DataFrame:
-    """(item, n_shingles, n_minima, minimum): the least shingle of an item under each function, once."""
-    functions = F.lit(SIZES[-1][1])
-    for most, n in reversed(SIZES):
-        functions = F.when(F.col("n_shingles") <= most, n).otherwise(functions)
+    """(item, variant, h, weight, need): the minima of an item that are looked up, by how many functions each is chosen, and how many functions must hit."""
+    functions, cut = F.lit(SIZES[-1][1]), F.lit(least_hits(SIZES[-1][1]))
+    for most, n in reversed(SIZES[1:-1]):
+        functions, cut = F.when(F.col("n_shingles") <= most, n).otherwise(functions), F.when(F.col("n_shingles") <= most, least_hits(n)).otherwise(cut)
+    whole = F.col("n_shingles") <= SIZES[0][0]
+    cut = F.when(whole, F.ceil(F.col("n_shingles") * NUMERATOR / DENOMINATOR)).otherwise(cut)
     least = F.transform(F.sequence(F.lit(1), functions), lambda k: F.array_min(F.transform("shingles", lambda s: F.struct(F.xxhash64(k, s).alias("h"), s.alias("s"))))["s"])
-    minima = F.when(F.col("n_shingles") <= SIZES[0][0], F.col("shingles")).otherwise(F.array_distinct(least))
-    return items.select("item", "n_shingles", F.size(minima).alias("n_minima"), F.explode(minima).alias("minimum"))
+    each = items.select("item", F.xxhash64("shingles").alias("variant"), cut.alias("cut"), F.explode(F.when(whole, F.col("shingles")).otherwise(least)).alias("minimum"))
+    minima = each.groupBy("item", "variant", "cut", "minimum").agg(F.count(F.lit(1)).alias("weight")).withColumn("h", _hashed(F.split("minimum", " "), F.lit(0)))
+    shared = minima.groupBy("h").agg(F.count_distinct("item").alias("items"))
+    ranked = minima.join(shared, "h").withColumn("upto", F.sum("weight").over(Window.partitionBy("item", "variant").orderBy(F.desc("items"), "h", "minimum").rowsBetween(Window.unboundedPreceding, 0)))
+    left_out = (F.col("items") > COMMON) & (F.col("upto") < F.col("cut"))  # the most common come first, so these are the first ones
+    skipped = F.sum(F.when(left_out, F.col("weight")).otherwise(0)).over(Window.partitionBy("item", "variant"))
+    return ranked.withColumn("need", F.col("cut") - skipped).filter(~left_out).select("item", "variant", "h", "weight", "need")
 
 
 def _hashed(w: Column, i: Column) -> Column:
@@ -68,14 +93,13 @@ def _hashed(w: Column, i: Column) -> Column:
 def contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, n_found, n_shingles) for every document that contains an item."""
     known = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("w")).select("item", shingles(F.col("w")).alias("shingles")).withColumn("n_shingles", F.size("shingles")).filter("n_shingles > 0 and item is not null")
-    minima = _signatures(known).select("item", "n_shingles", "n_minima", _hashed(F.split("minimum", " "), F.lit(0)).alias("h"))
+    minima = _signatures(known)
     split = docs.select(F.col(doc_id).alias("doc"), words(F.col(doc_text)).alias("w")).filter("doc is not null")
     # explode() would infer a filter on the array and evaluate it twice, with the words inlined.
     hashes = split.select("doc", F.explode_outer(_shingle_hashes(F.col("w"))).alias("h"))
     # Each minimum counts once for a document, however often the document repeats it.
-    found = hashes.join(minima, "h").groupBy("doc", "item", "n_minima", "n_shingles").agg(F.count_distinct("h").alias("hits"))
-    # An estimate below 0.3 where the truth is 0.8 or more: under 1e-7 for 20 minima; whole sets have no slack to lose.
-    likely = found.filter(F.when(F.col("n_minima") == F.col("n_shingles"), F.col("hits") * DENOMINATOR >= F.col("n_shingles") * NUMERATOR).otherwise(F.col("hits") * 10 >= F.col("n_minima") * 3)).select("doc", "item")
+    hits = hashes.join(minima, "h").groupBy("doc", "item", "variant", "need", "h").agg(F.max("weight").alias("weight"))
+    likely = hits.groupBy("doc", "item", "variant", "need").agg(F.sum("weight").alias("hits")).filter("hits >= need").select("doc", "item").distinct()
     pairs = settle(likely, "op8-pairs")
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("t")).join(pairs.select("doc").distinct(), "doc", "left_semi")
     own = texts.select("doc", words(F.col("t")).alias("w")).select("doc", shingles(F.col("w")).alias("own"))

@@ -4,8 +4,9 @@ A text is brought to a canonical form, after the published guidelines for matchi
 lines, "all rights reserved" and list markers dropped; "&" read as "and"; punctuation and white space made word gaps; equivalent
 spellings, of one word or several, made one. A title over a known text may be there or not. The SHA-256 of the form is joined to the digests of
 known licences, whose texts went through the same expressions. Units are the whole document, and each of
-its lines that holds a cue word (every known notice holds one, which is checked), so a notice line at the
-end of a page is found too.
+its lines that holds a cue, so a notice line at the end of a page is found too. A cue is a piece of one word that no
+equivalent spelling brings in or takes out, so a line holds it if and only if its canonical form does; every known text
+holds one, which is checked.
 
 The known table is this module's own (common licences whole, and one-line notices; a few dozen rows) or one that the
 caller gives; its size is Spark's to judge. Documents send only ids and digests through the join.
@@ -58,14 +59,21 @@ SPELLINGS = {
     "copyright owner": "copyright holder", "copyright owners": "copyright holders", "https": "http", "non commercial": "noncommercial", "non infringement": "noninfringement", "per cent": "percent",
     "sub license": "sublicense", "sub licensed": "sublicensed", "sub licenses": "sublicenses", "sub licensing": "sublicensing",
 }
-CUES = ("licen", "permission", "redistribution", "public domain")
-#: What is dropped from a text in lower case: copyright lines, the phrase, list markers.
+#: Pieces of words, in letters only.
+CUES = ("licen", "permission", "redistribution", "public")
+#: What follows "copyright" in the text of a licence; in a copyright line it is a year, a sign or a name.
+FOLLOWERS = "notice holder owner license licence law statement interest disclaimer and or in for to is on as of under right permission treaty protection act work claim".split()
+_START = r"^[^\p{L}\p{N}\n(©]*"
+#: What is dropped from a text in lower case: copyright lines (with or without a year), the phrase, list markers.
 DROPPED = (
-    r"^[^\p{L}\p{N}\n(©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$",
+    _START + r"(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]*[0-9]{4}|©|copyright(?:[,:][ \t]*|[ \t]+)NAME)[^\n]*$",
     r"all rights reserved",
     r"^[ \t]*(?:\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)]|[*•-])[ \t]+",
 )
 GAPS = r"[^\p{L}\p{N}]+"
+_FOLLOWERS = "(?:" + "|".join(FOLLOWERS) + r")(?:s|es)?\b"
+#: A name is a word that doesn't follow "copyright" in a licence.
+_DROPPED = "|".join(DROPPED).replace("NAME", f"(?!{_FOLLOWERS})" + r"[\p{L}\p{N}]")
 
 
 def _lower(text: Column) -> Column:
@@ -79,7 +87,7 @@ def _spelt(words: str) -> str:
 
 def canonical(text: Column) -> Column:
     """Words with a space on each side, two between words, so that whole words can be replaced."""
-    kept = F.regexp_replace(F.replace(_lower(text), F.lit("&"), F.lit(" and ")), "(?md)" + "|".join(DROPPED), " ")  # d: only \\n ends a line
+    kept = F.regexp_replace(F.replace(_lower(text), F.lit("&"), F.lit(" and ")), "(?md)" + _DROPPED, " ")  # d: only \\n ends a line
     form = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, GAPS, "  ")), F.lit(" "))
     for one, other in SPELLINGS.items():
         form = F.replace(form, F.lit(_spelt(one)), F.lit(_spelt(other)))
@@ -109,7 +117,9 @@ def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) ->
 def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cues: tuple[str, ...] = CUES) -> DataFrame:
     """One row a document: (id, digest, licence of the whole text or null, n_notices, notices): the lines that
     are known texts, how many and which (sorted, joined by "; ")."""
-    if missed := known.filter(~_cued(F.col("text"), cues)).select("licence").take(5):
+    if odd := [c for c in cues if not c.isalpha()]:
+        raise ValueError(f"cues that aren't pieces of one word: {odd}")
+    if missed := known.filter(~_cued(canonical(F.col("text")), cues)).select("licence").take(5):
         raise ValueError(f"known texts without a cue word: {[r[0] for r in missed]}")
     names = known.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("licence")), "; ").alias("licence"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -128,21 +138,23 @@ def _cued(text: Column, cues: tuple[str, ...]) -> Column:
     return found
 
 
-def scan_sql(known: dict[str, str] | None = None, cues: tuple[str, ...] = CUES) -> str:
-    """The same in DuckDB's SQL, for documents(doc_id, text)."""
+def scan_sql(known: dict[str, str] | None = None) -> str:
+    """The same in DuckDB's SQL, for documents(doc_id, text); every line is looked up."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
-    kept = f"regexp_replace(replace({low}, '&', ' and '), {quote('(?m)' + '|'.join(DROPPED))}, ' ', 'g')"
+    low = f"replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '&', ' and ')"
+    # No lookahead there: what isn't a copyright line is marked before copyright lines are dropped.
+    marked = f"regexp_replace({low}, {quote('(?m)(' + _START + ')copyright((?:[,:][ \\t]*|[ \\t]+)' + _FOLLOWERS + ')')}, {quote('\\1copyri_ht\\2')}, 'g')"
+    dropped = "|".join(DROPPED).replace("NAME", r"[\p{L}\p{N}]")
+    kept = f"replace(regexp_replace({marked}, {quote('(?m)' + dropped)}, ' ', 'g'), 'copyri_ht', 'copyright')"
     form = f"' ' || trim(regexp_replace({kept}, {quote(GAPS)}, '  ', 'g')) || ' '"
     for one, other in SPELLINGS.items():
         form = f"replace({form}, '{_spelt(one)}', '{_spelt(other)}')"
-    cued = " OR ".join(f"contains({low}, '{c}')" for c in cues)
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in variants(KNOWN if known is None else known))
     return f"""
 WITH known(licence, text) AS (VALUES {rows}),
 names AS (SELECT sha256({form}) AS digest, string_agg(DISTINCT licence, '; ' ORDER BY licence) AS licence FROM known GROUP BY 1),
 whole AS (SELECT doc_id, sha256({form}) AS digest FROM documents),
-lines AS (SELECT doc_id, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE {cued}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
 found AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, '; ' ORDER BY licence) AS notices FROM (SELECT doc_id, sha256({form}) AS digest FROM lines) JOIN names USING (digest) GROUP BY 1)
 SELECT doc_id, digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN names USING (digest) LEFT JOIN found USING (doc_id)

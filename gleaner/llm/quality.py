@@ -257,16 +257,22 @@ def held_out(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
-    """A model from labelled documents that aren't held out."""
+    """A model from labelled documents that aren't held out: in the order of a hash, each that still fits into most_bytes (a larger one
+    is passed over), and of a class of which none fits the shortest."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & F.col("id").isNotNull() & ~held_out("id"))
     place = F.md5(F.col("id").cast("string").cast("binary"))
     chosen = usable.withColumn("place", place).orderBy("place", "label").limit(most_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most most_docs ids
     sample = settle(rows.groupBy("place", "label").agg(F.min("text").alias("text")), "op9-sample")
     sizes = sample.select("place", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("place", "label").collect()
-    within = np.cumsum([r["size"] for r in sizes]) <= most_bytes
-    last = max((r.place for r, ok in zip(sizes, within) if ok), default="")
-    sample = sample.filter(F.col("place") <= last).repartition(16)
+    taken, used = [], 0
+    for r in sizes:
+        if used + r["size"] <= most_bytes:
+            taken.append(r)
+            used += r["size"]
+    for label in {r.label for r in sizes} - {r.label for r in taken}:
+        taken.append(min((r for r in sizes if r.label == label), key=lambda r: r["size"]))
+    sample = sample.filter(F.concat("place", F.col("label").cast("int").cast("string")).isin([f"{r.place}{int(r.label)}" for r in taken])).repartition(16)
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict = {n: [] for n in ("looks", "feature", "share", "cells")}
@@ -287,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of every row's whole text in a new column."""
-    if score_col in docs.columns:
+    if score_col.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"there is a column {score_col} already")
     at = docs.columns.index(text_col)
     names = docs.columns
