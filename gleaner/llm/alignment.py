@@ -7,13 +7,13 @@ tokens are placed by the bytes that they decode to. Places where a token of A an
 two tokens that end there are linked.
 
 Text is cut before a space that has neither a space before it nor white space behind it. No token of either tokenizer spans such
-a place, nor do tokens on one side depend on the other (B has no piece with a space inside; checked when it is loaded), so words
-are encoded one by one, and each worker remembers a bounded number of them. Texts whose words hold U+2581, which B can't tell from a
+a place, nor do tokens on one side depend on the other (B has no piece with a space inside; checked when it is loaded), so what a
+word's tokens are doesn't depend on its neighbours, and each worker remembers a bounded number of them. Texts whose words hold U+2581, which B can't tell from a
 space, and models with such pieces, take the same way as one word.
 
-Counts of linked id pairs: the rows are dealt into pieces of about PIECE bytes of text as they are read. A piece counts its pairs, and its
-documents name pairs by their number in the piece. Pair counts of all pieces are added up, the most frequent partner of each B id is found, and the
-totals go back to the pieces that asked for them. So a pair that every document holds is one row a piece, and nothing is broadcast.
+Counts of linked id pairs: the rows are dealt into pieces of about PIECE bytes of text as they are read. A piece numbers its
+distinct words and pairs; its documents are numbers of words, its words are numbers of pairs. Pair counts of all pieces are added up, the most
+frequent partner of each B id is found, and the totals go back to the pieces that asked for them, where they add up by word and then by document. So a pair that every document holds is one row a piece, and nothing is broadcast.
 
 A text that is null, empty, or that the joined bytes of A's or B's tokens don't give back, has no tokens: all numbers are 0 and groups are
 ''. Repeated rows and rows without an id count each on its own; an empty table gives an empty result; extra columns aren't read. Memory
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-PIECE, REMEMBERED, LONG = 4 << 20, 200_000, 64
+PIECE, REMEMBERED, LONG, JOINED = 4 << 20, 200_000, 64, 2000
 SPACE = "▁"
-SPAN_MARK = b"\xe2\x96\x81"
+#: Numbers of pairs are smaller.
+WORDS_AT = 1 << 32
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -48,26 +49,38 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class Word:
-    """Tokens of a word (with the space before it), or of a whole text."""
+#: Tokens of a word (with the space before it), or of a whole text: numbers of tokens of A and B, ids of the groups, pairs, and whether the
+#: tokens give its bytes back.
+Word = tuple[int, int, str, tuple[int, ...], bool]
+NOTHING: Word = (0, 0, "", (), False)
 
-    __slots__ = ("codes", "groups", "n_a", "n_b", "whole")
 
-    def __init__(self, n_a: int, n_b: int, groups: str, codes: list[int], whole: bool) -> None:
-        self.n_a, self.n_b, self.groups, self.codes, self.whole = n_a, n_b, groups, codes, whole
+def grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(groups, pairs, ends) of tokens and where they end: a group is a1,a2|b1, a pair a << 32 | b of the two tokens that end with it."""
+    x, y = np.array(ends_a, np.int64), np.array(ends_b, np.int64)
+    i = np.flatnonzero(np.isin(x, y, assume_unique=True))
+    j = np.searchsorted(y, x[i])
+    one, two = list(map(str, a)), list(map(str, b))
+    groups, from_a, from_b = [], 0, 0
+    for p, q in zip((i + 1).tolist(), (j + 1).tolist()):
+        groups.append(f"{one[from_a] if p - from_a == 1 else ','.join(one[from_a:p])}|{two[from_b] if q - from_b == 1 else ','.join(two[from_b:q])}")
+        from_a, from_b = p, q
+    return groups, np.array(a, np.int64)[i] << 32 | np.array(b, np.int64)[j], x[i]
 
 
-def linked(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[str, list[int]]:
-    """(groups, pairs) of tokens and where they end: a1,a2|b1;a3|b2,b3 and a << 32 | b of the tokens that end together."""
-    groups, codes, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        x, y = ends_a[i], ends_b[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            codes.append(a[i - 1] << 32 | b[j - 1])
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            from_a, from_b = i, j
-    return ";".join(groups), codes
+def whole_word(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Word:
+    if not a:
+        return NOTHING
+    groups, pairs, _ = grouped(a, ends_a, b, ends_b)
+    return len(a), len(b), ";".join(groups), tuple(pairs.tolist()), True
+
+
+class Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, thing: str) -> int:
+        n = self[thing] = len(self)
+        return n
 
 
 @lru_cache(maxsize=2)
@@ -103,35 +116,69 @@ class Aligner:
         protos = self.b.encode(texts, return_type="proto", num_threads=1)
         for text, one, two in zip(full, self.a.encode_batch(full, add_special_tokens=False), protos):
             raw, a, pieces = text.encode(), one.ids, two.pieces
-            b = [p.id for p in pieces]
+            b, spans = [p.id for p in pieces], [p.end for p in pieces]
             if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
                 yield [], [], [], []
             else:
-                yield a, self._ends_a(text, a, one.offsets), b, self._ends_b(b, [p.end for p in pieces])
+                yield a, self._ends_a(text, a, one.offsets), b, self._ends_b(b, spans)
 
     def _ends_a(self, text: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
+        ends = [e for _, e in offsets]
         if text.isascii():
-            return [e for _, e in offsets]
-        at = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        out, end = [], 0
-        for k, (i, (_, e)) in enumerate(zip(ids, offsets)):
-            cuts = k + 1 < len(ids) and offsets[k + 1][0] < e  # the next token is of the same character
-            end = end + len(self.bytes_a[i]) if cuts else at[e]
-            out.append(end)
-        return out
+            return ends
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+        cuts = [k for k in range(len(ids) - 1) if offsets[k + 1][0] < ends[k]]  # the next token is of the same character
+        ends = at[ends].tolist()
+        for k in cuts:
+            ends[k] = (ends[k - 1] if k else 0) + len(self.bytes_a[ids[k]])
+        return ends
 
     def _ends_b(self, ids: list[int], spans: list[int]) -> list[int]:
-        if self.fallback.isdisjoint(ids):
-            return [e + 1 for e in spans]  # behind the space that B adds
-        out, end = [], 0
-        for i, e in zip(ids, spans):
-            end = end + 1 if i in self.fallback else e + 1
-            out.append(end)
+        ends = [e + 1 for e in spans]  # behind the space that B adds
+        if not self.fallback.isdisjoint(ids):
+            for k, i in enumerate(ids):
+                if i in self.fallback:
+                    ends[k] = (ends[k - 1] if k else 0) + 1
+        return ends
+
+    def encoded(self, words: list[str]) -> list[Word]:
+        """Words, encoded by the libraries many in one text, since a call costs more than a word. A word that ends in white space would run
+        into the next one and goes alone."""
+        out: list[Word] = [NOTHING] * len(words)
+        alone, lots, lot, size = [], [], [], 0
+        for k, w in enumerate(words):
+            if not self.by_word or SPACE in w or not w or w[-1].isspace():
+                alone.append(k)
+                continue
+            lot.append(k)
+            size += len(w)
+            if size >= JOINED:
+                lots.append(lot)
+                lot, size = [], 0
+        if lot:
+            lots.append(lot)
+        for lot, tokens in zip(lots, self.spans([" ".join([words[k] for k in lot]) for lot in lots])):
+            if not tokens[0]:
+                alone += lot  # the bytes of the whole don't come back
+            else:
+                for k, word in zip(lot, self._apart([words[k] for k in lot], *tokens)):
+                    out[k] = word
+        for k, tokens in zip(alone, self.spans([words[k] for k in alone])):
+            out[k] = whole_word(*tokens)
         return out
 
-    def word(self, n: tuple) -> Word:
-        a, ends_a, b, ends_b = n
-        return Word(len(a), len(b), *linked(a, ends_a, b, ends_b), bool(a))
+    @staticmethod
+    def _apart(words: list[str], a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Iterator[Word]:
+        """The words of a text of several."""
+        groups, pairs, ends = grouped(a, ends_a, b, ends_b)
+        stops = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+        to = [np.searchsorted(e, stops, "right").tolist() for e in (ends_a, ends_b, ends)]
+        pairs = pairs.tolist()
+        from_a = from_b = from_g = 0
+        for i, j, g in zip(*to):
+            yield i - from_a, j - from_b, groups[from_g] if g - from_g == 1 else ";".join(groups[from_g:g]), tuple(pairs[from_g:g]), True
+            from_a, from_b, from_g = i, j, g
 
     def cut(self, text: str) -> list[str]:
         """Words of the text, without the space before each."""
@@ -149,26 +196,27 @@ class Aligner:
             empty = p == ""
         return out
 
-    def align(self, texts: list[str]) -> list[list[Word]]:
-        """The words of each text; none if it has no tokens."""
-        cut = [self.cut(t) if t else [] for t in texts]
+    def align(self, texts: list[str]) -> tuple[list[Word], list[list[int]]]:
+        """(words, numbers): the distinct words of the texts, and which of them make each text; none if it has no tokens."""
+        number = Numbers()
+        made = [list(map(number.__getitem__, self.cut(t))) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        known = self.words
-        new = list({w for words in cut for w in words if w not in known})
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, n in zip(some, self.spans(some)):
-                (known if len(w) <= LONG else long)[w] = self.word(n)
-        out = []
-        for text, words in zip(texts, cut):
-            found = [known[w] if w in known else long[w] for w in words]
-            if not all(w.whole for w in found):  # the whole text's bytes decide
-                whole = self.word(next(self.spans([text])))
-                found = [whole] if whole.whole else []
-            out.append(found)
-        return out
+        known, every, long = self.words, list(number), {}
+        new = [w for w in every if w not in known]
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            for w, found in zip(some, self.encoded(some)):
+                (known if len(w) <= LONG else long)[w] = found
+        words = [known[w] if w in known else long[w] for w in every]
+        odd = {k for k, w in enumerate(words) if not w[4]}
+        if odd:
+            for k, numbers in enumerate(made):
+                if not odd.isdisjoint(numbers):  # the whole text's bytes decide
+                    word = whole_word(*next(self.spans([texts[k]])))
+                    made[k] = [len(words)] if word[4] else []
+                    words += [word] * word[4]
+        return words, made
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,37 +253,49 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-PIECES = "piece long, id {kind}, n_a long, n_b long, n_groups long, groups string, pairs binary, codes array<long>, counts array<long>"
+PIECES = "piece long, id {kind}, n_a long, n_b long, n_groups long, groups string, words binary, sizes binary, codes array<long>, counts array<long>"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of so many values each, one after another."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
+
+
 def _counted(docs: DataFrame, path_a: str, path_b: str, digest: bool, kind: str) -> DataFrame:
-    """PIECES: a row for each document, and before those of a piece one with its distinct pairs (codes null elsewhere)."""
+    """PIECES: a row for each document, whose words are numbers of words of its piece, and for each piece one with its distinct pairs and what
+    its words are: how many pairs each has, and which (codes null in the others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in _pieces(batch):
-                found = aligner(path_a, path_b).align(part.column(1).fill_null("").to_pylist())
-                codes = np.fromiter(chain.from_iterable(w.codes for words in found for w in words), np.int64)
-                sizes = np.array([sum([len(w.codes) for w in words]) for words in found])
-                distinct, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
-                often = np.argsort(-counts, kind="stable")  # frequent pairs get small numbers
-                number = np.empty_like(often)
-                number[often] = np.arange(len(often))
-                links = np.split(number[place.ravel()], np.cumsum(sizes)[:-1])
-                groups = [";".join([w.groups for w in words]) for words in found]
+                words, made = aligner(path_a, path_b).align(part.column(1).fill_null("").to_pylist())
+                sizes = np.array([len(m) for m in made])
+                flat = np.fromiter(chain.from_iterable(made), np.int64, int(sizes.sum()))
+                times = np.bincount(flat, minlength=len(words))
+                tokens_a, tokens_b, per_word = (np.array(v, np.int64) for v in ([w[0] for w in words], [w[1] for w in words], [len(w[3]) for w in words]))
+                n_a, n_b, n_pairs = (_sums(v[flat], sizes) for v in (tokens_a, tokens_b, per_word))
+                codes = np.fromiter(chain.from_iterable([w[3] for w in words]), np.int64, int(per_word.sum()))
+                distinct, place = np.unique(codes, return_inverse=True)
+                counts = np.bincount(place.ravel(), np.repeat(times, per_word), len(distinct)).astype(np.int64)
+                rank = np.empty(len(words), np.int64)  # frequent words get small numbers
+                order = np.argsort(-times, kind="stable")
+                rank[order] = np.arange(len(words))
+                links = place.ravel()[np.argsort(np.repeat(rank, per_word), kind="stable")]  # word by word, in the order of their ranks
+                groups = [";".join([words[k][2] for k in m]) for m in made]
                 if digest:
                     groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-                n = len(found)
-                nothing = [None] * n
+                nothing = [None] * len(made)
                 columns = [
-                    pa.array([piece] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, part.column(0).type), part.column(0)]),
-                    pa.array([None, *(sum([w.n_a for w in words]) for words in found)], pa.int64()), pa.array([None, *(sum([w.n_b for w in words]) for words in found)], pa.int64()),
-                    pa.array([None, *sizes.tolist()], pa.int64()), pa.array([None, *groups], pa.string()), pa.array([None, *map(_planes, links)], pa.binary()),
-                    pa.array([distinct[often].tolist(), *nothing], pa.list_(pa.int64())), pa.array([counts[often].tolist(), *nothing], pa.list_(pa.int64())),
+                    pa.array([piece] * (len(made) + 1), pa.int64()), pa.concat_arrays([pa.nulls(1, part.column(0).type), part.column(0)]),
+                    *(pa.array([None, *v.tolist()], pa.int64()) for v in (n_a, n_b, n_pairs)), pa.array([None, *groups], pa.string()),
+                    pa.array([_planes(links), *map(_planes, np.split(rank[flat], np.cumsum(sizes)[:-1]))], pa.binary()), pa.array([_planes(per_word[order]), *nothing], pa.binary()),
+                    pa.array([distinct.tolist(), *nothing], pa.list_(pa.int64())), pa.array([counts.tolist(), *nothing], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["piece", "id", "n_a", "n_b", "n_groups", "groups", "pairs", "codes", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, ["piece", "id", "n_a", "n_b", "n_groups", "groups", "words", "sizes", "codes", "counts"])
                 piece += 1
 
     return docs.mapInArrow(run, PIECES.format(kind=kind))
@@ -259,34 +319,34 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, digest: bool = False, id
     pieces = settle(_counted(read, path_a, path_b, digest, kind), "op11-pieces")
     asked = pieces.filter("codes is not null").select("piece", F.posexplode("codes").alias("number", "code"))
     answers = asked.join(pair_counts(pieces), "code")
-    # Answers of a piece come before its documents, in the order of the numbers that these use.
+    # Of a piece come first the answers, by the pairs' numbers, then its words, then its documents.
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    told = answers.select("piece", "number", "n", "best", none("id", kind), *(none(c, "long") for c in NUMBERS[:3]), none("groups", "string"), none("pairs", "binary"))
-    own = pieces.filter("codes is null").select("piece", F.lit(1 << 31).cast("long").alias("number"), none("n", "long"), none("best", "boolean"), "id", *NUMBERS[:3], "groups", "pairs")
-    rows = told.withColumn("number", F.col("number").cast("long")).unionByName(own).repartition("piece").sortWithinPartitions("piece", "number")
+    told = answers.select("piece", F.col("number").cast("long"), "n", "best", none("id", kind), *(none(c, "long") for c in NUMBERS[:3]), none("groups", "string"), none("words", "binary"), none("sizes", "binary"))
+    place = F.when(F.col("codes").isNotNull(), WORDS_AT).otherwise(WORDS_AT + 1).cast("long")
+    own = pieces.select("piece", place.alias("number"), none("n", "long"), none("best", "boolean"), "id", *NUMBERS[:3], "groups", "words", "sizes")
+    rows = told.unionByName(own).repartition("piece").sortWithinPartitions("piece", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, n, best = None, [], []
+        piece, n, best, sums, bests = None, [], [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy() < 1 << 31
-            turn = (keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])
+            keys, stage = batch.column(0).to_numpy(), np.maximum(batch.column(1).to_numpy(), WORDS_AT - 1)
+            turn = (keys[1:] != keys[:-1]) | (stage[1:] != stage[:-1])
             cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), len(keys)]
             for a, z in zip(cuts, cuts[1:]):
                 part = batch.slice(a, z - a)
                 if keys[a] != piece:
-                    piece, n, best = keys[a], [], []
-                if asks[a]:
+                    piece, n, best = keys[a], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                if stage[a] < WORDS_AT:
                     n.append(part.column(2).to_numpy())
-                    best.append(part.column(3).to_numpy(zero_copy_only=False).astype(bool))
-                    continue
-                n, best = ([np.concatenate(v)] if len(v) > 1 else v for v in (n, best))
-                bests, sums = [], []
-                for planes in part.column(9).to_pylist():
-                    links = _numbers(planes)
-                    bests.append(int(best[0][links].sum()) if len(links) else 0)
-                    sums.append(int(n[0][links].sum()) if len(links) else 0)
-                yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), part.column(7), part.column(7), pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), part.column(8)], ["id", *NUMBERS, "groups"])
+                    best.append(part.column(3).to_numpy(zero_copy_only=False).astype(np.int64))
+                elif stage[a] == WORDS_AT:  # what a word adds to its documents
+                    links, sizes = _numbers(part.column(9)[0].as_py()), _numbers(part.column(10)[0].as_py()).astype(np.int64)
+                    sums, bests = (_sums(np.concatenate(v)[links], sizes) for v in (n, best))
+                    n, best = [], []
+                else:
+                    made = [_numbers(planes) for planes in part.column(9).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), part.column(7), part.column(7), *(pa.array([int(v[m].sum()) for m in made], pa.int64()) for v in (bests, sums)), part.column(8)], ["id", *NUMBERS, "groups"])
 
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string").withColumnRenamed("id", id_col)

@@ -76,17 +76,27 @@ def test_words_give_what_whole_texts_give():
     tool = alignment.aligner(A, B)
     for t in texts(4000, 2):
         a, ea, b, eb = plain(t)
-        groups, codes = alignment.linked(a, ea, b, eb)
-        found = tool.align([t])[0]
-        assert ";".join(w.groups for w in found) == groups, t
-        assert [c for w in found for c in w.codes] == codes, t
-        assert (sum(w.n_a for w in found), sum(w.n_b for w in found)) == (len(a), len(b)), t
+        _, _, groups, codes, _ = alignment.whole_word(a, ea, b, eb)
+        words, made = tool.align([t])
+        found = [words[k] for k in made[0]]
+        assert ";".join(w[2] for w in found) == groups, t
+        assert tuple(c for w in found for c in w[3]) == codes, t
+        assert (sum(w[0] for w in found), sum(w[1] for w in found)) == (len(a), len(b)), t
 
 
 @pytest.mark.parametrize("t", ["a" * 3000, "日本" * 900, "the " * 2000, " " * 500, "𝄞" * 300, "x" * 100 + " y " * 100])
 def test_long_texts(t):
     a, ea, b, eb = plain(t)
-    assert ";".join(w.groups for w in alignment.aligner(A, B).align([t])[0]) == alignment.linked(a, ea, b, eb)[0]
+    words, made = alignment.aligner(A, B).align([t])
+    assert ";".join(words[k][2] for k in made[0]) == alignment.whole_word(a, ea, b, eb)[2]
+
+
+def test_texts_together_give_what_each_gives_alone():
+    tool = alignment.aligner(A, B)
+    every = texts(3000, 4)
+    words, made = tool.align(every)
+    for t, numbers in zip(every, made):
+        assert ";".join(words[k][2] for k in numbers) == alignment.whole_word(*plain(t))[2], t
 
 
 def test_rows_with_odd_ones_repeats_and_small_pieces(spark):
