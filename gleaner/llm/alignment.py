@@ -200,9 +200,11 @@ class Aligner:
         """(words, numbers): the distinct words of the texts, and which of them make each text; none if it has no tokens."""
         number = Numbers()
         made = [list(map(number.__getitem__, self.cut(t))) if t else [] for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known, every, long = self.words, list(number), {}
+        every, long = list(number), {}
+        if len(self.words) > REMEMBERED:  # words that these texts hold several times are likely to come again
+            times = np.bincount(np.fromiter(chain.from_iterable(made), np.int64), minlength=len(every))
+            self.words = {every[k]: self.words[every[k]] for k in np.flatnonzero(times > 1).tolist() if every[k] in self.words}
+        known = self.words
         new = [w for w in every if w not in known]
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
