@@ -184,7 +184,14 @@ def relevance(w: Column | str, groups: list[list[int]] | None = None) -> Column:
     return F.transform(a, lambda v: F.when(sums > 0, v / F.when(sums > 0, sums)).otherwise(0.0) > 1.0 / F.size(a))
 
 
+def blocks_of(subspaces: list[list[int]], factorization: list[list[int]]) -> list[list[int]]:
+    """For each attribute set of a factorization the numbers of the subspaces that lie in it."""
+    return [[k for k, s in enumerate(subspaces) if set(s) <= set(f)] for f in factorization]
+
+
 def blend_partial(probas: Column | str, blocks: list[list[int]]) -> Column:
-    """For each block whether the geometric mean of its subspaces' probabilities is over a half."""
+    """Partial labels of blocks of subspaces: whether the product of its subspaces' probabilities, each raised to one over the number of
+    blocks that it is in, is over a half. A block of nothing says yes."""
     p = _c(probas)
-    return F.array(*((F.exp(total([F.log(F.greatest(F.get(p, F.lit(k)), F.lit(1e-300))) for k in b]) / len(b)) > 0.5).cast("double") for b in blocks))
+    logs = {k: F.log(F.greatest(F.get(p, F.lit(k)), F.lit(1e-300))) / sum(k in b for b in blocks) for b in blocks for k in b}
+    return F.array(*((F.exp(total([logs[k] for k in b])) > 0.5).cast("double") for b in blocks))

@@ -8,56 +8,80 @@ score_block(X) -> (pred, proba, rank)."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from math import erf
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import itemsets
+
 #: Rows of a block at a time; with 2000 reference rows a block holds 4096 * 2000 doubles, 64 MB.
 ROWS = 4096
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a vector, their vectors). A vector that is null or holds a null is none; vectors of different lengths raise."""
+    lists = column.cast(pa.list_(pa.float64()))
+    there = ~lists.is_null().to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets)[there]
+    if not len(sizes):
+        return there, np.zeros((0, 0))
+    if (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} numbers")
+    rows = offsets[:-1][there, None] + np.arange(sizes[0])
+    holes = lists.values.is_null().to_numpy(zero_copy_only=False)[rows].any(axis=1) if lists.values.null_count else np.zeros(len(rows), bool)
+    there[np.flatnonzero(there)[holes]] = False
+    return there, lists.values.to_numpy(zero_copy_only=False)[rows[~holes]]
+
+
+def spread(values, there: np.ndarray) -> pa.Array:
+    """One number for each row, null where there is none."""
+    out = np.full(len(there), np.nan)
+    out[there] = np.asarray(values, float)
+    return pa.array(out, mask=~there)
 
 
 def score(pool: DataFrame, learner, id_type: str | None = None) -> DataFrame:
-    """(id, pred, proba, rank) for every row of the pool (id, x)."""
+    """(id, pred, proba, rank) for every row of the pool (id, x); nulls for a row without a vector."""
     kind = id_type or dict(pool.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                pred, proba, rank = learner.score_block(matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.asarray(v, float)) for v in (pred, proba, rank))], ["id", "pred", "proba", "rank"])
+                there, x = matrix(part.column(1))
+                scores = learner.score_block(x) if len(x) else ([], [], [])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(spread(v, there) for v in scores)], ["id", "pred", "proba", "rank"])
 
     return pool.select("id", "x").mapInArrow(run, f"id {kind}, pred double, proba double, rank double")
 
 
 def transform(pool: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, x) with x replaced by work(block)."""
+    """(id, x) with x replaced by work(block); a row without a vector stays without one."""
     kind = dict(pool.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                y = np.asarray(work(matrix(part.column(1))), float)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))], ["id", "x"])
+                there, x = matrix(part.column(1))
+                y = np.asarray(work(x), float) if len(x) else np.zeros((0, 0))
+                offsets = np.concatenate([[0], np.cumsum(there * y.shape[1])])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(y.ravel()), mask=pa.array(~there))], ["id", "x"])
 
     return pool.select("id", "x").mapInArrow(run, f"id {kind}, x array<double>")
 
 
 def collected(rows: DataFrame, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """X and y of labelled rows (id, x, y), in order of id; more than most raise."""
+    """X and y of labelled rows (id, x, y), in order of id; more than most raise, and so does a row without a vector."""
     got = rows.select("id", "x", "y").orderBy("id").limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"more than {most} labelled rows")
+    if any(r.x is None or None in r.x for r in got):
+        raise ValueError("a labelled row without a vector")
     return np.array([r.x for r in got], float), np.array([r.y for r in got], float)
 
 
@@ -94,15 +118,16 @@ class Kernel:
 
 
 def kernel_table(pool: DataFrame, refs: np.ndarray, kernel: Kernel) -> DataFrame:
-    """(id, ref, k): the kernel of every row with each reference row."""
+    """(id, ref, k): the kernel of every row that has a vector with each reference row."""
     kind = dict(pool.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                k = kernel(matrix(part.column(1)), refs)
-                rows = pa.array(np.repeat(np.arange(len(k)), len(refs)))
+                there, x = matrix(part.column(1))
+                k = kernel(x, refs) if len(x) else np.zeros((0, len(refs)))
+                rows = pa.array(np.repeat(np.flatnonzero(there), len(refs)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.tile(np.arange(len(refs)), len(k)), pa.int32()), pa.array(k.ravel())], ["id", "ref", "k"])
 
     return pool.select("id", "x").mapInArrow(run, f"id {kind}, ref int, k double")
@@ -191,28 +216,6 @@ class KernelSVM:
         return (f > 0).astype(float), 1 / (1 + np.exp(-np.clip(f, -500, 500))), np.abs(f)
 
 
-@dataclass
-class RatioMargin:
-    """Refits with each row as 0 and as 1: rank -min(m1 / m0, m0 / m1); a margin that isn't positive makes the
-    ratio infinite. Meant for a sample of the pool, one pair of fits a row."""
-
-    x: np.ndarray
-    y: np.ndarray
-    kernel: Kernel
-    c: float = 1.0
-
-    def __post_init__(self) -> None:
-        self.base = fit_svm(self.x, self.y, self.kernel, self.c)
-
-    def score_block(self, rows: np.ndarray):
-        pred, proba, _ = self.base.score_block(rows)
-        rank = []
-        for r in rows:
-            m = [fit_svm(np.vstack([self.x, r]), np.append(self.y, v), self.kernel, self.c).margin() for v in (0.0, 1.0)]
-            rank.append(-np.inf if min(m) <= 0 else -min(m[0] / m[1], m[1] / m[0]))
-        return pred, proba, np.array(rank)
-
-
 @dataclass
 class Disagreement:
     """Rank 0 where the two biased models differ; labels and probabilities are the unbiased model's."""
@@ -323,17 +326,32 @@ def sample_version_space(x: np.ndarray, y: np.ndarray, n: int, warmup: int = 100
     return VersionSpace(hit_and_run(signed, start_point(signed), n, warmup, thin, np.random.default_rng(seed)), work)
 
 
-def sample_chains(tasks: DataFrame, x: np.ndarray, y: np.ndarray, warmup: int, thin: int) -> DataFrame:
-    """(chain, w) one hypothesis from each of many independent chains; tasks: (chain, seed) rows spread over
-    tasks."""
+def sample_chains(tasks: DataFrame, x: np.ndarray, y: np.ndarray, warmup: int, thin: int, n: int = 1, features: Callable | None = None) -> DataFrame:
+    """(chain, draw, w): n hypotheses from each of many independent chains; tasks: (chain, seed) rows spread over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chains, seeds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ws = [sample_version_space(x, y, 1, warmup, thin, s).hypotheses[0].tolist() for s in seeds]
-            yield pa.RecordBatch.from_arrays([pa.array(chains, pa.int64()), pa.array(ws, pa.list_(pa.float64()))], ["chain", "w"])
+            for chain, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ws = sample_version_space(x, y, n, warmup, thin, seed, features).hypotheses.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([chain] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ws, pa.list_(pa.float64()))], ["chain", "draw", "w"])
+
+    return tasks.select("chain", "seed").mapInArrow(run, "chain long, draw int, w array<double>")
+
+
+def chain_diagnostic(draws: DataFrame) -> DataFrame:
+    """(k, within, between, ratio) of each coordinate of draws (chain, draw, w): mean variance within the chains, variance of their means times
+    their length, and sqrt(((n - 1) / n within + between / n) / within), near 1 for chains that have mixed. Sums by chain, then by coordinate."""
+    each = draws.select("chain", F.posexplode("w").alias("k", "v")).groupBy("chain", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
+    n, within, between = F.avg("n"), F.avg("var"), F.avg("n") * F.var_samp("mean")
+    return each.groupBy("k").agg(within.alias("within"), between.alias("between"), F.sqrt(((n - 1) / n * within + between / n) / within).alias("ratio"))
+
 
-    return tasks.select("chain", "seed").mapInArrow(run, "chain long, w array<double>")
+def stacked(draws: DataFrame, features: Callable | None = None, most: int = 10_000) -> VersionSpace:
+    """The hypotheses of all chains as one model for score(), entropy_reduction() and the like; more than most raise (a model goes with each task)."""
+    rows = draws.orderBy("chain", "draw").select("w").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} hypotheses")
+    return VersionSpace(np.array([r.w for r in rows]), features or (lambda v: v))
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -375,6 +393,19 @@ class ExpectedEntropy:
         return (p > 0.5).astype(float), p, out
 
 
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    """Phi(z), by the series of positive terms exp(-z^2 / 2) (z + z^3 / 3 + z^5 / 15 + ...)."""
+    x = np.clip(z, -9, 9)
+    term = x.copy()
+    out = x.copy()
+    for k in range(3, 400, 2):
+        term = term * x * x / k
+        out += term
+        if not len(x) or np.abs(term).max() <= 1e-18 * np.abs(out).max():
+            break
+    return np.clip(0.5 + np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * out, 0, 1)
+
+
 # Laplace posterior -----------------------------------------------------------------------------------
 
 
@@ -409,7 +440,7 @@ class Laplace:
         a = np.column_stack([np.ones(len(x)), self.features(x)])
         var = (a * np.linalg.solve(self.hessian, a.T).T).sum(axis=1)
         z = a @ self.mode / np.sqrt(np.maximum(var, 0) + 8 / np.pi)
-        p = 0.5 * (1 + np.array([erf(v) for v in z / np.sqrt(2)]))
+        p = normal_cdf(z)
         return (p > 0.5).astype(float), p, np.abs(p - 0.5)
 
 
@@ -459,25 +490,32 @@ class Categories:
         return Categories(known)
 
     def score_block(self, x: np.ndarray):
-        p = np.array([self.known.get(v, 0.5) for v in self.values(x).tolist()])
+        seen, labels = (np.array(v, float) for v in zip(*sorted(self.known.items()))) if self.known else (np.zeros(0), np.zeros(0))
+        v = self.values(x)
+        at = np.minimum(np.searchsorted(seen, v), max(len(seen) - 1, 0))
+        p = np.where(seen[at] == v, labels[at], 0.5) if len(seen) else np.full(len(x), 0.5)
         return (p > 0.5).astype(float), p, np.abs(p - 0.5)
 
 
 @dataclass
 class ItemSets:
-    """Known items of a multi-set subspace (a 0/1 block): 1 if all of a row's items are positive, 0 if any is negative, else 1/2."""
+    """Known items of a multi-set subspace (a 0/1 block). Probability: of a random item set that agrees with the labels holding all of the row's
+    items, so 1 if all are positive, 0 if any is negative (operators.itemsets). Labels that no item set agrees with raise."""
 
     positive: np.ndarray
     negative: np.ndarray
+    pending: list[frozenset[int]] = field(default_factory=list)
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray) -> "ItemSets":
         held = x > 0
         positive = held[y == 1].any(axis=0)
-        left = held[y != 1] & ~positive
-        return ItemSets(positive, left[left.sum(axis=1) == 1].any(axis=0) if len(left) else np.zeros(x.shape[1], bool))
+        left = np.unique(held[y != 1] & ~positive, axis=0)
+        if len(left) and not left.any(axis=1).all():
+            raise itemsets.ConflictError("a negative row has positive items only")
+        negative = left[left.sum(axis=1) == 1].any(axis=0) if len(left) else np.zeros(x.shape[1], bool)
+        return ItemSets(positive, negative, [frozenset(np.flatnonzero(r).tolist()) for r in left if r.sum() > 1 and not (r & negative).any()])
 
     def score_block(self, x: np.ndarray):
-        held = x > 0
-        p = np.where((held & self.negative).any(axis=1), 0.0, np.where((held & ~self.positive).any(axis=1), 0.5, 1.0))
+        p = itemsets.share(x > 0, self.positive, self.negative, self.pending)
         return (p > 0.5).astype(float), p, np.abs(p - 0.5)

@@ -8,16 +8,17 @@ more than the step."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import log1m_exp, log_sigmoid, margins, sigmoid, total
-from .blocks import matrix
+from ..functions.expressions import blend_partial, blocks_of, factorized as factorized_columns, log1m_exp, log_sigmoid, margins, sigmoid, total
+from .blocks import Kernel, matrix, nystroem, per_subspace
 
 DRIVER_ROWS = 50_000
 
@@ -41,21 +42,26 @@ def block_gradient(x: np.ndarray, y: np.ndarray, bias: np.ndarray, w: np.ndarray
     return float(total_loss), np.column_stack([g.sum(axis=0), g.T @ x])
 
 
-def gradient(rows: DataFrame, bias: np.ndarray, w: np.ndarray) -> DataFrame:
-    """One row: n, loss and gradient (flat, K * (1 + d)), all means, of rows (x, y)."""
+def gradient(rows: DataFrame, bias: np.ndarray, w: np.ndarray, features: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One row: n, loss and gradient (flat, K * (1 + d)), all means, of rows (x, y); rows without a vector don't count. features: made of
+    each block on the way, so a kernel's features are never stored."""
     size = w.shape[0] * (1 + w.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, g = 0, 0.0, np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                a, b = block_gradient(matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float), bias, w)
-                n, sums, g = n + batch.num_rows, sums + a, g + b.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums]), pa.array([g.tolist()], pa.list_(pa.float64()))], ["n", "loss", "g"])
-
-    parts = rows.select("x", F.col("y").cast("double")).mapInArrow(run, "n long, loss double, g array<double>")
+                there, x = matrix(batch.column(0))
+                if len(x):
+                    x = x if features is None else features(x)
+                    a, b = block_gradient(x, batch.column(1).to_numpy(zero_copy_only=False).astype(float)[there], bias, w)
+                    n, sums, g = n + len(x), sums + a, g + b.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([n] * size, pa.int64()), pa.array([sums] * size), pa.array(np.arange(size), pa.int32()), pa.array(g)], ["n", "loss", "k", "g"])
+
+    parts = rows.select("x", F.col("y").cast("double")).mapInArrow(run, "n long, loss double, k int, g double")
     n = F.sum("n")
-    return parts.agg(n.alias("n"), (F.sum("loss") / n).alias("loss"), F.array(*(F.sum(F.col("g")[i]) / n for i in range(size))).alias("gradient"))
+    by_place = parts.groupBy("k").agg(n.alias("n"), (F.sum("loss") / n).alias("loss"), (F.sum("g") / n).alias("g"))
+    return by_place.agg(F.max("n").alias("n"), F.max("loss").alias("loss"), F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda r: r["g"]).alias("gradient"))
 
 
 # Penalties: value and proximal map (for FISTA), or value and gradient (for Adam) -----------------------
@@ -83,24 +89,49 @@ SMOOTH: dict[str, tuple[Callable[[np.ndarray], float], Callable[[np.ndarray], np
 }
 
 
-def fit(rows: DataFrame, k: int, penalty: str | None = None, strength: float = 0.0, mask: np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, restarts: int = 1, steps: int = 200, rate: float = 0.1, seed: int = 0, driver_rows: int = DRIVER_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+@dataclass
+class SparseGroup:
+    """l1 times the sum of absolute weights plus group times the sum of the subspaces' norms. groups: attributes that stand for one (one-hot
+    ones); then l1 weighs the norms of these groups instead."""
+
+    l1: float
+    group: float
+    groups: list[list[int]] | None = None
+
+    def value(self, w: np.ndarray) -> float:
+        single = np.abs(w).sum() if self.groups is None else sum(np.linalg.norm(w[:, g], axis=1).sum() for g in self.groups)
+        return float(self.l1 * single + self.group * np.linalg.norm(w, axis=1).sum())
+
+    def prox(self, w: np.ndarray, t: float) -> np.ndarray:
+        if self.groups is None:
+            return prox_group_l2(prox_l1(w, self.l1 * t), self.group * t)
+        out = w.copy()
+        for g in self.groups:
+            out[:, g] = prox_group_l2(w[:, g], self.l1 * t)
+        return prox_group_l2(out, self.group * t)
+
+
+def fit(rows: DataFrame, k: int, penalty: str | SparseGroup | None = None, strength: float = 0.0, mask: np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, restarts: int = 1, steps: int = 200, rate: float = 0.1, seed: int = 0, driver_rows: int = DRIVER_ROWS, features: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(bias, weights, loss) of the best restart. rows: (x, y). mask (K, d): attributes that a subspace may
-    use. Proximal penalties take FISTA, smooth ones (huber, interaction) and none take Adam."""
-    rows = rows.select("x", F.col("y").cast("double").alias("y"))
+    use. Proximal penalties take FISTA, smooth ones (huber, interaction) and none take Adam. features: of the rows, made in
+    each pass. Rows without a vector don't count."""
+    rows = rows.select("x", F.col("y").cast("double").alias("y")).filter("x is not null")
     small = rows.limit(driver_rows + 1).count() <= driver_rows
     if small:
         sample = rows.collect()
         x, y = np.array([r.x for r in sample], float), np.array([r.y for r in sample])
+        x = x if features is None else features(x)
         dim = x.shape[1]
     else:  # every step reads the rows, so they are scored and read once
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        dim = len(rows.first().x)
+        first = np.array([rows.first().x], float)
+        dim = (first if features is None else features(first)).shape[1]
 
     def step(bias: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         if small:
             value, g = block_gradient(x, y, bias, w)
             return value / len(y), g / len(y)
-        r = gradient(rows, bias, w).first()
+        r = gradient(rows, bias, w, features).first()
         return r.loss, np.array(r.gradient).reshape(k, 1 + dim)
 
     best = None
@@ -110,7 +141,7 @@ def fit(rows: DataFrame, k: int, penalty: str | None = None, strength: float = 0
             bias, w = (a.copy() for a in start) if start is not None and trial == 0 else (rng.normal(0, 0.1, k), rng.normal(0, 0.5, (k, dim)))
             if mask is not None:
                 w = w * mask
-            bias, w, value = (_fista if penalty in PENALTIES else _adam)(step, bias, w, penalty, strength, mask, steps, rate)
+            bias, w, value = (_fista if isinstance(penalty, SparseGroup) or penalty in PENALTIES else _adam)(step, bias, w, penalty, strength, mask, steps, rate)
             if best is None or value < best[2]:
                 best = bias, w, value
     finally:
@@ -119,7 +150,9 @@ def fit(rows: DataFrame, k: int, penalty: str | None = None, strength: float = 0
     return best
 
 
-def _value(w: np.ndarray, penalty: str | None, strength: float) -> float:
+def _value(w: np.ndarray, penalty: str | SparseGroup | None, strength: float) -> float:
+    if isinstance(penalty, SparseGroup):
+        return penalty.value(w)
     return strength * ({**PENALTIES, **SMOOTH}[penalty][0](w)) if penalty else 0.0
 
 
@@ -143,12 +176,12 @@ def _adam(step, bias, w, penalty, strength, mask, steps, rate):
 def _fista(step, bias, w, penalty, strength, mask, steps, rate):
     a = np.column_stack([bias, w])
     z, t, size, best = a.copy(), 1.0, 10 * rate, (np.inf, a)
-    prox = PENALTIES[penalty][1]
+    prox = penalty.prox if isinstance(penalty, SparseGroup) else lambda v, t: PENALTIES[penalty][1](v, t * strength)
     for _ in range(steps):
         value, g = step(z[:, 0], z[:, 1:])
         while True:  # halve the step until the quadratic bound holds
             new = z - size * g
-            new[:, 1:] = prox(new[:, 1:] if mask is None else new[:, 1:] * mask, size * strength)
+            new[:, 1:] = prox(new[:, 1:] if mask is None else new[:, 1:] * mask, size)
             after = step(new[:, 0], new[:, 1:])[0]
             d = new - z
             if after <= value + (g * d).sum() + (d * d).sum() / (2 * size) + 1e-12 or size < 1e-8:
@@ -162,6 +195,45 @@ def _fista(step, bias, w, penalty, strength, mask, steps, rate):
     return best[1][:, 0], best[1][:, 1:], float(best[0])
 
 
+# Kernel features -----------------------------------------------------------------------------------------
+
+
+@dataclass
+class KernelFactorized:
+    """P(x) = product over subspaces of sigmoid(w_k . features(x) + b_k), for blocks.score."""
+
+    features: Callable[[np.ndarray], np.ndarray]
+    bias: np.ndarray
+    w: np.ndarray
+
+    def partial_proba(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(x) @ self.w.T + self.bias, -500, 500)))
+
+    def score_block(self, x: np.ndarray):
+        m = self.features(x) @ self.w.T + self.bias
+        log_p = (np.minimum(m, 0) - np.log1p(np.exp(-np.abs(m)))).sum(axis=1)
+        p = np.exp(log_p)
+        return (log_p > np.log(0.5)).astype(float), p, np.abs(p - 0.5)
+
+
+def kernel_features(landmarks: np.ndarray, kernel: Kernel, parts: list[list[int]] | None = None) -> tuple[Callable[[np.ndarray], np.ndarray], np.ndarray | None]:
+    """(features of rows against landmarks, mask): of all attributes together; with parts, of each subspace's attributes, side by side, and
+    which of them belong to which subspace."""
+    if parts is None:
+        return nystroem(landmarks, kernel), None
+    mask = np.kron(np.eye(len(parts)), np.ones((1, len(landmarks))))
+    return per_subspace(parts, [nystroem(landmarks[:, p], kernel) for p in parts]), mask
+
+
+def fit_kernel(rows: DataFrame, landmarks: np.ndarray, kernel: Kernel, subspaces: int | list[list[int]], **how) -> KernelFactorized:
+    """A factorized model of kernel features, of a number of subspaces that all see all attributes, or of given subspaces. With the labelled rows
+    as landmarks these are the kernel's own features; with a sample of the pool they are Nystroem's. how: as in fit()."""
+    parts = None if isinstance(subspaces, int) else subspaces
+    features, mask = kernel_features(landmarks, kernel, parts)
+    bias, w, _ = fit(rows, subspaces if parts is None else len(parts), mask=mask, features=features, **how)
+    return KernelFactorized(features, bias, w)
+
+
 # Pruning and factorizations ----------------------------------------------------------------------------
 
 
@@ -198,19 +270,39 @@ def compatible(learned: DataFrame, user: DataFrame) -> DataFrame:
     return one.crossJoin(sizes).crossJoin(matched).filter("c1 = c2 and c1 = c3").select("k", "user_k").orderBy("user_k")
 
 
-def learn_factorization(pool: DataFrame, rows: DataFrame, k: int, strength: float, threshold: float = 0.5, tol: float = 1e-6, steps: int = 200, seed: int = 0) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-    """(attribute sets, bias, weights): a sparse fit, subspaces pruned over the whole pool, relevant
-    attributes, a fit with these only."""
-    bias, w, _ = fit(rows, k, "l1", strength, steps=steps, seed=seed)
-    kept = [r.k for r in prune(pool, bias, w, threshold, tol).orderBy("k").collect()]
+@dataclass
+class Learned:
+    """sets: the factorization; subspaces: attributes that each subspace of the model uses."""
+
+    sets: list[list[int]]
+    subspaces: list[list[int]]
+    bias: np.ndarray
+    w: np.ndarray
+
+    def partial_labels(self, x: Column | str) -> Column:
+        """One label for each attribute set of the factorization."""
+        return blend_partial(factorized_columns(x, self.bias, self.w)["partial_proba"], blocks_of(self.subspaces, self.sets))
+
+
+def learn_factorization(pool: DataFrame, rows: DataFrame, k: int | None = None, l1: float = 1e-4, group: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None, threshold: float = 0.99, tol: float = 1e-8, steps: int = 2500, groups: list[list[int]] | None = None, seed: int = 0) -> Learned:
+    """From the present model (start: bias, weights), or from k subspaces at random: refined with a sparse-group penalty; subspaces pruned that say
+    yes to the whole pool; attributes pruned that hold no more than an even share of their subspace's weight; refitted with what is left, from
+    where it stands. rows: (x, y), labelled. groups: one-hot attributes that go together."""
+    if start is None and k is None:
+        raise ValueError("a model to start from, or a number of subspaces")
+    bias, w, _ = fit(rows, len(start[0]) if start is not None else k, SparseGroup(l1, group, groups), start=start, steps=steps, rate=0.5, seed=seed)
+    kept = [r.k for r in prune(pool, bias.tolist(), w.tolist(), threshold, tol).orderBy("k").collect()]
+    bias, w = bias[kept], w[kept]
     if not kept:
-        return [], bias[:0], w[:0]
-    w, bias = w[kept], bias[kept]
+        return Learned([], [], bias, w)
     share = np.abs(w) / np.maximum(np.abs(w).sum(axis=1, keepdims=True), 1e-300)
-    mask = (share > 1.0 / w.shape[1]).astype(float)
-    bias, w, _ = fit(rows, len(kept), None, 0.0, mask, (bias, w * mask), steps=steps, seed=seed)
-    sets = sorted({tuple(np.flatnonzero(m).tolist()) for m in mask})
-    return [list(s) for s in sets if not any(set(s) < set(o) for o in sets)], bias, w
+    for g in groups or []:
+        share[:, g] = share[:, g].sum(axis=1, keepdims=True)
+    mask = (share > 1 / (w.shape[1] if groups is None else len(groups))).astype(float)
+    bias, w, _ = fit(rows, len(kept), None, mask=mask, start=(bias, w * mask), steps=min(steps, 500), rate=0.1, seed=seed)
+    subspaces = [np.flatnonzero(m).tolist() for m in mask]
+    distinct = sorted({tuple(s) for s in subspaces})
+    return Learned([list(s) for s in distinct if not any(set(s) < set(o) for o in distinct)], subspaces, bias, w)
 
 
 # Partition search ----------------------------------------------------------------------------------------

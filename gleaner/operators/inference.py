@@ -1,8 +1,9 @@
 """Conjunctive inference: what final labels say about the values of each subspace.
 
-A positive row makes all its values positive. A negative row with no negative value and exactly one unknown
-one makes that one negative; rounds of this go on until none is new. A row is negative in the end if one of
-its values is, unknown if one is unknown, else positive."""
+A positive row makes all its values positive. A negative row with exactly one value that isn't positive makes that one negative; with several,
+one of which another row has made negative, it is explained and says nothing more; with none it contradicts the positive rows. So negative
+values never make others negative: a second round would find nothing, and the fixpoint is one set of joins, whatever the number of
+labelled rows. A row is negative in the end if one of its values is, unknown if one is unknown, else positive."""
 
 from __future__ import annotations
 
@@ -12,35 +13,20 @@ from pyspark.sql import functions as F
 from .polytope import category_label
 
 
-def infer_values(labels: DataFrame, columns: list[str], most: int = 100_000) -> DataFrame:
-    """(k, v, known): values that the labels (id, label, columns) decide. Spark reduces the labelled rows to
-    their distinct combinations of values; more than most of these raise. The fixpoint runs over them in
-    memory: each round decides at least one value, so it always ends. A negative row whose values are all
-    positive raises."""
+def infer_values(labels: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, v, known): values that the labels (id, label, columns) decide. Rows are reduced to their distinct combinations of values first. A null
+    counts as a value of its own, but isn't returned. A negative row whose values are all positive raises."""
     cells = F.array(*(F.col(c).cast("string") for c in columns))
-    rows = labels.select(F.col("label").cast("double").alias("label"), cells.alias("v")).filter("label is not null").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct labelled rows")
-    known = {(k, v): 1.0 for r in rows if r.label == 1 for k, v in enumerate(r.v)}
-    waiting = [set(enumerate(r.v)) for r in rows if r.label == 0]
-    while True:
-        found, still = set(), []
-        for values in waiting:
-            unknown = [c for c in values if c not in known]
-            if any(known.get(c) == 0.0 for c in values):
-                continue
-            if not unknown:
-                raise ValueError("a negative row has positive values only")
-            if len(unknown) == 1:
-                found.add(unknown[0])
-            else:
-                still.append(values)
-        if not found:
-            break
-        known.update(dict.fromkeys(found, 0.0))
-        waiting = still
-    table = sorted(((k, v, y) for (k, v), y in known.items() if v is not None), key=lambda r: r[:2])
-    return labels.sparkSession.createDataFrame(table, "k int, v string, known double")
+    rows = labels.select(F.col("label").cast("double").alias("label"), cells.alias("r")).filter("label is not null").distinct()
+    cell = lambda of: rows.filter(F.col("label") == of).select("r", F.posexplode("r").alias("k", "v"))
+    positive = cell(1.0).select("k", "v").distinct()
+    same = (F.col("a.k") == F.col("b.k")) & F.col("a.v").eqNullSafe(F.col("b.v"))
+    met = cell(0.0).alias("a").join(positive.withColumn("yes", F.lit(True)).alias("b"), same, "left").select("a.r", F.struct("a.k", "a.v").alias("cell"), F.col("yes").isNull().alias("open"))
+    open_cells = met.groupBy("r").agg(F.count_if("open").alias("n"), F.min(F.when(F.col("open"), F.col("cell"))).alias("cell"))
+    if open_cells.filter("n = 0").limit(1).count():
+        raise ValueError("a negative row has positive values only")
+    negative = open_cells.filter("n = 1").select("cell.k", "cell.v").distinct()
+    return positive.withColumn("known", F.lit(1.0)).unionByName(negative.withColumn("known", F.lit(0.0))).filter("v is not null")
 
 
 def predict(pool: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:

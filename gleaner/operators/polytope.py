@@ -6,131 +6,19 @@ literals of the expression up to expressions.TERMS numbers, beyond which it rais
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import TERMS, dot, within_terms
-from . import state as states
+from ..functions.expressions import TERMS, dot, total, within_terms
+from . import itemsets, state as states
+from .hulls import facets, hull_vertices, span, vertices
 
 
 class ConvexError(ValueError):
     """A negative point inside the positive region."""
 
 
-# Hulls -----------------------------------------------------------------------------------------------
-
-
-def _hull_2d(points: np.ndarray) -> np.ndarray:
-    """Vertices of the hull, counter-clockwise (monotone chain)."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
-
-    def half(order: np.ndarray) -> list[np.ndarray]:
-        kept: list[np.ndarray] = []
-        for q in order:
-            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (q[1] - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (q[0] - kept[-2][0]) <= 0:
-                kept.pop()
-            kept.append(q)
-        return kept[:-1]
-
-    return np.array(half(p) + half(p[::-1]))
-
-
-def facets(points: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray, list[frozenset[int]]]:
-    """(vertices, equations [outward unit normal, offset], vertex numbers on each facet) of a hull in 2 or 3
-    dimensions. Too few or degenerate points raise ValueError."""
-    points = np.unique(np.atleast_2d(np.asarray(points, float)), axis=0)
-    dim = points.shape[1]
-    if dim not in (2, 3):
-        raise ValueError("hulls are built in 1 to 3 dimensions")
-    if tol <= 0:
-        raise ValueError("tol must be positive")
-    if len(points) < dim + 1 or np.linalg.matrix_rank(points[1:] - points[0], tol=1e-12) < dim:
-        raise ValueError("a hull needs points that span all dimensions")
-    if dim == 2:
-        v = _hull_2d(points)
-        after = np.roll(v, -1, axis=0)
-        normal = np.stack([after[:, 1] - v[:, 1], v[:, 0] - after[:, 0]], axis=1)
-        normal /= np.linalg.norm(normal, axis=1, keepdims=True)
-        return v, np.column_stack([normal, -(normal * v).sum(axis=1)]), [frozenset((k, (k + 1) % len(v))) for k in range(len(v))]
-    planes: dict[tuple, tuple[np.ndarray, set[int]]] = {}
-    for face in _grown_3d(points):
-        e = _plane(points, face)
-        planes.setdefault(tuple(np.round(e, 9) + 0.0), (e, set()))[1].update(face)
-    corners = sorted(set().union(*(s for _, s in planes.values())))
-    place = {k: i for i, k in enumerate(corners)}
-    used = points[corners]
-    sets = [frozenset({place[k] for k in s} | set(np.flatnonzero(np.abs(used @ e[:3] + e[3]) <= 1e-10).tolist())) for e, s in planes.values()]
-    return used, np.array([e for e, _ in planes.values()]), sets
-
-
-def _plane(points: np.ndarray, face: tuple[int, int, int]) -> np.ndarray:
-    """Unit normal and offset of a triangle, whose corners go round counter-clockwise seen from outside."""
-    a, b, c = points[list(face)]
-    normal = np.cross(b - a, c - a)
-    normal /= np.linalg.norm(normal)
-    return np.append(normal, -normal @ a)
-
-
-def _grown_3d(points: np.ndarray, eps: float = 1e-10) -> list[tuple[int, int, int]]:
-    """Triangles of the hull. From a tetrahedron on, the point farthest outside is joined to the rim of what it
-    sees, until no point is outside; points once inside are never looked at again."""
-    first = int(points[:, 0].argmin())
-    second = int(np.linalg.norm(points - points[first], axis=1).argmax())
-    along = (points[second] - points[first]) / np.linalg.norm(points[second] - points[first])
-    off = points - points[first]
-    third = int(np.linalg.norm(off - np.outer(off @ along, along), axis=1).argmax())
-    e = _plane(points, (first, second, third))
-    fourth = int(np.abs(points @ e[:3] + e[3]).argmax())
-    if points[fourth] @ e[:3] + e[3] > 0:
-        second, third = third, second
-    a, b, c, d = first, second, third, fourth
-    faces = [(a, b, c), (b, a, d), (c, b, d), (a, c, d)]
-    planes = np.array([_plane(points, f) for f in faces])
-    left = np.arange(len(points))
-    while len(left):
-        far = (points[left] @ planes[:, :3].T + planes[:, 3]).max(axis=1)
-        left, far = left[far > eps], far[far > eps]
-        if not len(left):
-            break
-        p = int(left[far.argmax()])
-        seen = planes[:, :3] @ points[p] + planes[:, 3] > eps
-        edges = {(f[k], f[(k + 1) % 3]) for f, s in zip(faces, seen) if s for k in range(3)}
-        new = [(u, v, p) for u, v in sorted(edges) if (v, u) not in edges and np.linalg.norm(np.cross(points[v] - points[u], points[p] - points[u])) > 1e-14]
-        faces = [f for f, s in zip(faces, seen) if not s] + new
-        planes = np.vstack([planes[~seen], [_plane(points, f) for f in new]])
-        left = left[left != p]
-    return faces
-
-
-def hull_vertices(positives: DataFrame, dim: int) -> DataFrame:
-    """(x) the vertices of many points: a hull per partition, then the hull of what is left."""
-    if dim == 1:
-        return positives.agg(F.min(F.col("x")[0]).alias("a"), F.max(F.col("x")[0]).alias("b")).select(F.explode(F.array_distinct(F.array(F.array("a"), F.array("b")))).alias("x"))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, dim))
-        for batch in batches:
-            held = np.concatenate([held, np.array(batch.column(0).to_pylist(), float).reshape(-1, dim)])
-            held = _reduced(held)
-        yield pa.RecordBatch.from_arrays([pa.array(held.tolist(), pa.list_(pa.float64()))], ["x"])
-
-    once = positives.select("x").mapInArrow(local, "x array<double>")
-    return once.repartition(1).mapInArrow(local, "x array<double>")  # only vertices get here
-
-
-def _reduced(points: np.ndarray) -> np.ndarray:
-    try:
-        return facets(points)[0]
-    except ValueError:
-        return np.unique(points, axis=0)
-
-
 def cone(vertex: np.ndarray, points: np.ndarray, tol: float = 1e-12) -> np.ndarray:
     """Equations of the facets at the vertex of the hull of vertex and points: where all are at least 0, a row
     lies behind the vertex. A vertex inside the points' hull raises ConvexError."""
@@ -142,7 +30,7 @@ def cone(vertex: np.ndarray, points: np.ndarray, tol: float = 1e-12) -> np.ndarr
 
 
 class Polytope:
-    """Positive hull and one negative cone per negative point, in 1 to 3 dimensions. While points don't span
+    """Positive hull and one negative cone per negative point, in any number of dimensions. While points don't span
     all dimensions, the hull or cone isn't built and says nothing."""
 
     def __init__(self, tol: float = 1e-12) -> None:
@@ -170,7 +58,7 @@ class Polytope:
     def is_built(self) -> bool:
         if self.positive is None or len(self.positive) <= self.positive.shape[1]:
             return False
-        return self.positive.shape[1] == 1 or np.linalg.matrix_rank(self.positive[1:] - self.positive[0], tol=1e-12) == self.positive.shape[1]
+        return self.positive.shape[1] == 1 or len(span(self.positive)) == self.positive.shape[1]
 
     def _cones(self) -> list:
         """For each negative point what lies behind it: in 1-D (point, side), else equations."""
@@ -185,7 +73,7 @@ class Polytope:
                     raise ConvexError("a negative point lies inside the positive region")
                 out.append((v, 1 if v > high else -1))
             return out
-        base = _reduced(pos)
+        base = vertices(pos)
         for v in self.negative:
             try:
                 out.append(cone(v, base, self.tol))
@@ -245,7 +133,7 @@ class Polytope:
 
     def rows(self) -> list[tuple[float, list[float]]]:
         """(label, x): what a saved polytope is, together with tol; positives only as far as they are vertices."""
-        kept = [] if self.positive is None else [(1.0, v.tolist()) for v in (_reduced(self.positive) if self.positive.shape[1] > 1 else np.unique(self.positive, axis=0))]
+        kept = [] if self.positive is None else [(1.0, v.tolist()) for v in vertices(self.positive)]
         return kept + ([] if self.negative is None else [(0.0, v.tolist()) for v in self.negative])
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -332,6 +220,9 @@ def category_label(pool: DataFrame, model: DataFrame, value: str, name: str = "p
     return pool.join(model.withColumnRenamed("known", name), value, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
 
 
+MOST_SETS = 100_000
+
+
 class MultiSet:
     """Positive items are those of positive rows. A negative row without its known positive items: one item
     left makes that one negative, several are kept, none is a conflict."""
@@ -341,10 +232,14 @@ class MultiSet:
 
     @staticmethod
     def fit(labels: DataFrame, items: str = "items") -> "MultiSet":
-        """From labelled rows. Distinct item sets are few (the labels are); the fixpoint is on the driver."""
+        """From labelled rows. Of these only the positive items and the distinct rests of negative rows get to the driver; more than MOST_SETS
+        rests raise."""
         pos = {r[0] for r in labels.filter("label = 1").select(F.explode(items)).distinct().collect()}
-        rows = labels.filter("label = 0").select(F.array_sort(items).alias("s")).distinct().collect()
-        left = sorted({frozenset(r.s) - pos for r in rows}, key=sorted)
+        rest = F.array_sort(F.array_except(items, F.array(*(F.lit(i) for i in sorted(pos))).cast("array<int>"))).alias("s")
+        rows = labels.filter("label = 0").select(rest).distinct().limit(MOST_SETS + 1).collect()
+        if len(rows) > MOST_SETS:
+            raise ValueError(f"more than {MOST_SETS} distinct item sets of negative rows")
+        left = sorted({frozenset(r.s) for r in rows}, key=sorted)
         negative = {next(iter(s)) for s in left if len(s) == 1}
         return MultiSet(pos, negative, [s for s in left if len(s) > 1 and not s & negative], all(left) and not pos & negative)
 
@@ -355,23 +250,24 @@ class MultiSet:
         pos, neg = (F.array(*(F.lit(i) for i in sorted(s))).cast("array<int>") for s in (self.positive, self.negative))
         return F.when(F.arrays_overlap(x, neg), 0.0).when(F.size(F.array_except(x, pos)) == 0, 1.0).otherwise(0.5)
 
-    def proba(self, items: Column | str, n_items: int, n_samples: int = 50, seed: int = 0) -> Column:
-        """Share of random item sets, consistent with what is known, that hold all of the row's items."""
+    def proba(self, items: Column | str, n_items: int, n_samples: int = itemsets.SAMPLES, seed: int = 0) -> Column:
+        """Chance that a random item set, consistent with what is known, holds all of the row's items. Items that pending sets tie together
+        are enumerated or, where they are more than itemsets.EXACT, drawn n_samples times by a chain. Large groups make large expressions, which
+        raise; blocks.ItemSets does the same in blocks."""
         x = F.col(items) if isinstance(items, str) else items
-        rng, sets = np.random.default_rng(seed), []
-        for _ in range(1000 * n_samples):
-            if len(sets) == n_samples:
-                break
-            s = ({i for i in range(n_items) if rng.random() < 0.5} | self.positive) - self.negative
-            if not any(p <= s for p in self.pending):
-                sets.append(sorted(s))
-        if len(sets) < n_samples:
-            raise RuntimeError("too few consistent item sets")
-        holds = [F.when(F.size(F.array_except(x, F.array(*(F.lit(i) for i in s)).cast("array<int>"))) == 0, 1.0).otherwise(0.0) for s in sets]
-        out = holds[0]
-        for h in holds[1:]:
-            out = out + h
-        return out / n_samples
+        if not self.valid:
+            raise itemsets.ConflictError("no item set agrees with the labels")
+        groups = itemsets.groups_of(self.pending)
+        tied = {i for own, _ in groups for i in own}
+        array = lambda values: F.array(*(F.lit(i) for i in sorted(values))).cast("array<int>")
+        free = array(set(range(n_items)) - self.positive - self.negative - tied)
+        out = F.when(F.arrays_overlap(x, array(self.negative)), 0.0).otherwise(F.pow(F.lit(0.5), F.size(F.array_intersect(x, free))))
+        for own, sets in groups:
+            drawn = itemsets.consistent(len(own), sets, n_samples, seed)
+            within_terms(len(drawn))
+            left_out = [F.when(F.arrays_overlap(x, array(i for i, there in zip(own, s) if not there)), 0.0).otherwise(1.0) for s in drawn.tolist()]
+            out = out * total(left_out) / len(drawn)
+        return out
 
 
 # Subspaces together ----------------------------------------------------------------------------------

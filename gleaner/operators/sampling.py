@@ -40,32 +40,30 @@ def stratified(rows: DataFrame, pos: int, neg: int, seed: int, in_all_subspaces:
     return out
 
 
-def dual_space_batch(scored: DataFrame, n: int, unknown_share: float, seed: int) -> DataFrame:
-    """A batch of n picks, each from the unknown rows with the given chance, else from all unlabelled ones
-    (id, state, rank, polytope): the n first of both rankings are at hand, and pick i takes the first not
-    yet taken of its source. known: the polytope decides the row, so it needn't be asked."""
-    order = [F.col("rank"), digest(seed, "id"), F.col("id")]
-    best = scored.orderBy(*order).limit(2 * n).unionByName(scored.filter("state = 'unknown'").orderBy(*order).limit(2 * n)).distinct()
-    place = F.row_number().over(Window.orderBy(*order))  # at most 4 n rows
-    own = best.filter("state = 'unknown'").select("id", F.row_number().over(Window.orderBy(*order)).alias("own"))
-    wants = scored.sparkSession.range(1, n + 1).select(F.col("id").alias("pick"), (uniform(seed, F.lit("pick"), F.col("id")) < unknown_share).alias("from_unknown"))
-    shares = wants.agg(F.count_if("from_unknown").alias("u"), F.count_if(~F.col("from_unknown")).alias("a"))
-    taken = best.withColumn("place", place).join(own, "id", "left").crossJoin(F.broadcast(shares))  # one row
-    first = taken.withColumn("is_unknown", F.coalesce(F.col("own") <= F.col("u"), F.lit(False)))
-    rest = first.filter(~F.col("is_unknown")).withColumn("other", F.row_number().over(Window.orderBy("place")))
-    picks = first.filter("is_unknown").select("id", "rank", "polytope").unionByName(rest.filter(F.col("other") <= F.col("a")).select("id", "rank", "polytope"))
-    return picks.withColumn("known", F.col("polytope") != 0.5)
-
-
-def draw_undecided(scored: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(to ask, to cache) of rows (id, rank, polytope): the n first that the polytope leaves open, in the order of rank; and
-    those drawn on the way that it decides, with its label. The n-th open row is one driver value; the rest stays in Spark."""
+def dual_space_draw(scored: DataFrame, n: int, seed: int, unknown_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(to ask, to cache) of unlabelled rows (id, state, rank, polytope), in the order of rank. For each of the n rows to ask a coin says whether
+    it comes from the unknown rows only or from all that are left. A row drawn on the way that the polytope decides isn't asked: it goes to the
+    cache with the polytope's label, and its place is drawn again from the same ranking. Two top-k and a pass; how far the draws of a
+    ranking got is one row."""
     place = F.struct(F.col("rank"), digest(seed, "id").alias("h"), F.col("id"))
     placed = scored.withColumn("_place", place)
-    ask = placed.filter("polytope = 0.5").orderBy("_place").limit(n)
-    last = ask.agg(F.max("_place").alias("last"), F.count(F.lit(1)).alias("found"))  # one row
-    passed = placed.filter("polytope <> 0.5").crossJoin(F.broadcast(last)).filter((F.col("found") < n) | (F.col("_place") < F.col("last")))
-    return ask.drop("_place"), passed.select("id", F.col("polytope").alias("label"))
+    coins = scored.sparkSession.range(1, n + 1).select((uniform(seed, F.lit("pick"), F.col("id")) < unknown_share).cast("int").alias("own"))
+    own = coins.agg(F.sum("own")).first()[0] or 0  # a number that depends on n, share and seed only
+
+    def drawn(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(open rows, decided rows passed, how far)."""
+        ask = rows.filter("polytope = 0.5").orderBy("_place").limit(most)
+        far = ask.agg(F.max("_place").alias("_last"), F.count(F.lit(1)).alias("_found"))  # one row
+        passed = rows.filter("polytope <> 0.5").crossJoin(F.broadcast(far)).filter((F.lit(most) > 0) & ((F.col("_found") < most) | (F.col("_place") < F.col("_last")))).drop("_last", "_found")
+        return ask, passed, far
+
+    ask, passed, far = drawn(placed.filter("state = 'unknown'"), own) if own else (placed.limit(0), placed.limit(0), None)
+    rest = placed
+    if own:
+        gone = (F.col("state") == "unknown") & ((F.col("_found") < own) | (F.col("_place") <= F.col("_last")))
+        rest = placed.crossJoin(F.broadcast(far)).filter(~gone).drop("_last", "_found")
+    more, passed_more, _ = drawn(rest, n - own)
+    return ask.unionByName(more).drop("_place"), passed.unionByName(passed_more).select("id", F.col("polytope").alias("label"))
 
 
 def flip_labels(labels: DataFrame, noise: float, seed: int, skip_initial: int = 0) -> DataFrame:

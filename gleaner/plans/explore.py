@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..operators import blocks, metrics, sampling, state
+from ..operators import blocks, sampling, state
 
 
 def explore_round(pool: DataFrame, truth: DataFrame, labels: DataFrame, fit: Callable[[np.ndarray, np.ndarray], object], iteration: int, k: int = 1, subsample: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -31,28 +36,110 @@ def retrieve(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return state.user_labels(scored, labels).filter("final = 1")
 
 
+@dataclass(frozen=True)
+class Run:
+    """One of many explorations at a time: a learner by name, how it is fitted, and the seed of its draws."""
+
+    learner: str
+    fit: Callable[[np.ndarray, np.ndarray], object]
+    seed: int
+
+    @property
+    def name(self) -> str:
+        return f"{self.learner}:{self.seed}"
+
+
+PASS = "run int, tp long, fp long, tn long, fn long, rank double, h string, id {kind}, label double, x array<double>"
+
+
+def scoring_pass(pool: DataFrame, truth: DataFrame, models: list[tuple[object, int, set]], k: int) -> DataFrame:
+    """For every model (a learner, the seed of its ties, ids that are labelled already), in one pass over the pool: a row with how many rows it
+    gets right and wrong (id null), and the k open rows of least rank of each task. Counting is done inside the block; models go with the tasks,
+    as they are as large as their labels."""
+    schema = PASS.format(kind=dict(pool.dtypes)["id"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(models), 4), np.int64)
+        best: list[list[tuple]] = [[] for _ in models]
+        for batch in batches:
+            for at in range(0, batch.num_rows, blocks.ROWS):
+                part = batch.slice(at, blocks.ROWS)
+                there, x = blocks.matrix(part.column(1))
+                if not len(x):
+                    continue
+                ids = [v for v, ok in zip(part.column(0).to_pylist(), there) if ok]
+                y = part.column(2).to_numpy(zero_copy_only=False)[there] == 1
+                for m, (model, seed, known) in enumerate(models):
+                    pred, _, rank = model.score_block(x)
+                    yes, rank = np.asarray(pred) == 1, np.asarray(rank, float)
+                    counts[m] += [(y & yes).sum(), (~y & yes).sum(), (~y & ~yes).sum(), (y & ~yes).sum()]
+                    if not k:
+                        continue
+                    if known:
+                        rank = np.where([i in known for i in ids], np.inf, rank)
+                    least = min(k, len(rank))
+                    bound = np.partition(rank, least - 1)[least - 1]
+                    if len(best[m]) == k:
+                        bound = min(bound, best[m][-1][0])
+                    near = [(float(rank[i]), hashlib.md5(f"{seed}:{ids[i]}".encode()).hexdigest(), ids[i], float(y[i]), x[i].tolist()) for i in np.flatnonzero((rank <= bound) & (rank < np.inf))]
+                    best[m] = sorted(best[m] + near, key=lambda r: r[:3])[:k]
+        rows = [(m, None, None, None, None, *r) for m, own in enumerate(best) for r in own]
+        rows += [(m, *c, None, None, None, None, None) for m, c in enumerate(counts.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), arrow.types)] if rows else [pa.array([], t) for t in arrow.types], schema=arrow)
+
+    return pool.select("id", "x").join(truth.select("id", F.col("label").cast("double").alias("label")), "id").mapInArrow(run, schema)
+
+
+def evaluate(passed: DataFrame) -> DataFrame:
+    """(run, tp, fp, tn, fn, accuracy, precision, recall, fscore) of a scoring pass; x / 0 is 0."""
+    sums = passed.filter("id is null").groupBy("run").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")))
+    ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    return sums.select("run", "tp", "fp", "tn", "fn", ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("fscore"))
+
+
+def explore_many(pool: DataFrame, truth: DataFrame, runs: list[Run], rounds: int, k: int = 1) -> DataFrame:
+    """(learner, run, iter, key, value, seq, callback_time): the log of many explorations side by side, each with its own labels, from one row of either class
+    on. Every round is one pass over the pool for all runs together: it evaluates each run's model and picks the k rows that it asks next. Labels are
+    a few rows a run and stay with the driver, as do counts and picks; rows of the pool don't."""
+    labels: list[dict] = []
+    for run in runs:
+        first = sampling.stratified(truth, 1, 1, run.seed).select("id", "label").join(pool.select("id", "x"), "id").collect()
+        labels.append({r.id: (r.x, float(r.label)) for r in first})
+    log = []
+    for iteration in range(rounds + 1):
+        models = []
+        for run, own in zip(runs, labels):
+            ids = sorted(own)
+            models.append((run.fit(np.array([own[i][0] for i in ids], float), np.array([own[i][1] for i in ids])), run.seed, set(own)))
+        passed = scoring_pass(pool, truth, models, k if iteration < rounds else 0).persist()
+        try:
+            scores = evaluate(passed).collect()
+            place = F.row_number().over(Window.partitionBy("run").orderBy("rank", "h", "id"))
+            picks = passed.filter("id is not null").withColumn("place", place).filter(F.col("place") <= k).select("run", "id", "label", "x").collect()
+        finally:
+            passed.unpersist()
+        for r in sorted(scores):
+            for key in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "fscore"):
+                log.append((runs[r.run].learner, runs[r.run].name, iteration, key, float(r[key]), len(log), 0.0))
+        for r in picks:
+            labels[r.run][r.id] = (r.x, r.label)
+    return pool.sparkSession.createDataFrame(log, "learner string, run string, iter int, key string, value double, seq long, callback_time double")
+
+
 def fit_tasks(labels: DataFrame, pool: DataFrame, truth: DataFrame, c: float = 10.0) -> DataFrame:
-    """(task, scores): a linear model for every task of labels (task, x, y), fitted in parallel, one group a
-    task; then all tasks score the pool in one pass and are evaluated together. truth: (id, label). Models
-    are few numbers each and are taken as rows of literals."""
+    """(task, scores): a linear model for every task of labels (task, x, y), fitted in parallel, one group a task; then all tasks are evaluated in
+    one pass over the pool. truth: (id, label)."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x, y = np.array(group["x"].tolist(), float), group["y"].to_numpy(float)
-        model = blocks.fit_laplace(x, y, 1 / c)
-        return pd.DataFrame({"task": [group["task"].iloc[0]], "w": [model.mode.tolist()]})
+        return pd.DataFrame({"task": [group["task"].iloc[0]], "w": [blocks.fit_laplace(x, y, 1 / c).mode.tolist()]})
 
     models = sorted(labels.select("task", "x", "y").groupBy("task").applyInPandas(fit, "task string, w array<double>").collect(), key=lambda r: r.task)
-    w = np.array([r.w for r in models])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(len(batch), w.shape[1] - 1)
-            yield pd.DataFrame({"label": batch["label"], "preds": list((x @ w[:, 1:].T + w[:, 0] > 0).astype(float))})
-
+    votes = [(blocks.VersionSpace(np.array([r.w])), 0, set()) for r in models]  # few numbers each
     names = F.array(*(F.lit(r.task) for r in models))
-    scored = pool.select("id", "x").join(truth.select("id", "label"), "id").mapInPandas(score, "label double, preds array<double>")
-    each = scored.select("label", F.posexplode("preds").alias("k", "pred")).withColumn("task", F.get(names, F.col("k")))
-    return metrics.classification_metrics(each, ("true_positive", "false_positive", "false_negative", "fscore"), by=("task",))
+    return evaluate(scoring_pass(pool, truth, votes, 0)).select(F.get(names, F.col("run")).alias("task"), F.col("tp").alias("true_positive"), F.col("fp").alias("false_positive"), F.col("fn").alias("false_negative"), "fscore")
 
 
 # Extension points: a learner is any object with score_block (operators.blocks); a connector is a function of

@@ -282,11 +282,19 @@ def fixed_sampler(spark, d):
     return state.lookup(pool(spark, d), wanted).select("id", F.col("y").alias("label"))
 
 
-@query(None)
+@query(SQL + """, a AS (SELECT id, round(abs(proba - 0.5), 9) AS rank, h, CASE WHEN x0 < 0.4 THEN 1 WHEN x0 > 0.8 THEN 0 ELSE 0.5 END AS p, id NOT IN (SELECT id FROM inf) AS unknown FROM sc WHERE id NOT IN (SELECT id FROM lab)),
+coins AS (SELECT count(*) FILTER (WHERE ('0x' || substr(md5('7:pick:' || i), 1, 8))::BIGINT / 4294967296 < 0.5) AS own FROM range(1, 21) r(i)),
+u AS (SELECT *, row_number() OVER (ORDER BY rank, h, id) AS k, count(*) FILTER (WHERE p = 0.5) OVER (ORDER BY rank, h, id) AS opened FROM a WHERE unknown),
+first_part AS (SELECT id, p, k FROM u WHERE opened < (SELECT own FROM coins) OR (opened = (SELECT own FROM coins) AND p = 0.5)),
+v AS (SELECT *, count(*) FILTER (WHERE p = 0.5) OVER (ORDER BY rank, h, id) AS opened FROM a WHERE id NOT IN (SELECT id FROM first_part)),
+second_part AS (SELECT id, p FROM v WHERE opened < 20 - (SELECT own FROM coins) OR (opened = 20 - (SELECT own FROM coins) AND p = 0.5))
+SELECT id, p::DOUBLE AS label, p = 0.5 AS asked FROM (SELECT id, p FROM first_part UNION ALL FROM second_part)""")
 def dual_space_selection(spark, d):
+    """Twenty rows to ask, by coin from the unknown rows or from all; what the polytope decides on the way goes to the cache."""
     x = F.col("x")[0]
-    rows = state.with_state(scored(spark, d), states(spark, d)).filter("state <> 'labeled'").withColumn("polytope", F.when(x < 0.4, 1.0).when(x > 0.8, 0.0).otherwise(0.5))
-    return sampling.dual_space_batch(rows, 20, 0.5, SEED).select("id", F.round("rank", 6).alias("rank"), "known")
+    rows = state.with_state(scored(spark, d), states(spark, d)).filter("state <> 'labeled'").withColumn("rank", F.round("rank", 9)).withColumn("polytope", F.when(x < 0.4, 1.0).when(x > 0.8, 0.0).otherwise(0.5))
+    ask, cache = sampling.dual_space_draw(rows, 20, SEED, 0.5)
+    return ask.select("id", F.lit(0.5).alias("label"), F.lit(True).alias("asked")).unionByName(cache.select("id", "label", F.lit(False).alias("asked")))
 
 
 @query(SQL + "SELECT id, 'unknown' AS state FROM pool")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import blocks, factorized, inference, interaction, polytope as P, sampling, state, twostep
+from ..operators import blocks, factorized, inference, interaction, margin, metrics, polytope as P, posterior, sampling, state, twostep
 from ..plans import explore
+from ..sources.scratch import shared_folder
 from .base import BIAS, SEED, SQL, VECTORS_SQL, WEIGHTS, first_rows, labels, pool, state as states, table, vectors
 
 QUERIES, SQLS = {}, {}
@@ -109,6 +112,7 @@ def polytope_modes(spark, d):
     return parts(spark, d).select("id", P.polytope("negative", 1e-9).fit(x, 1 - y).column("x").alias("negative"), P.polytope("persist", 1e-9).fit(x, y).column("x").alias("persist"))
 
 
+#: Item sets of users over five kinds; kind 1 makes a user negative.
 ITEMS_SQL = """WITH codes(event_type, k) AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 FROM (SELECT DISTINCT event_type FROM events)),
 n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 u AS (SELECT user_id AS id, list_sort(list(DISTINCT k::INT)) AS items FROM n JOIN codes USING (event_type) WHERE r <= 1 + user_id % 3 GROUP BY 1),
@@ -143,8 +147,12 @@ def multiset_state(spark, d):
     return spark.createDataFrame([("positive", ",".join(map(str, sorted(m.positive)))), ("negative", ",".join(map(str, sorted(m.negative))))], "kind string, items string")
 
 
-@query(None)
+@query(ITEMS_SQL + """, rest AS (SELECT DISTINCT s FROM (SELECT list_sort(list(i)) AS s FROM (SELECT id, unnest(items) AS i FROM lab WHERE y = 0) WHERE i NOT IN (SELECT i FROM pos) GROUP BY id)), pending AS (SELECT s FROM rest WHERE len(s) > 1 AND NOT list_has_any(s, (SELECT coalesce(list(i), []) FROM neg))),
+every AS (SELECT m, list_filter([0, 1, 2, 3, 4], lambda k: (m >> k) & 1 = 1) AS s FROM range(32) r(m)),
+good AS (SELECT s FROM every WHERE list_has_all(s, (SELECT coalesce(list(i), []) FROM pos)) AND NOT list_has_any(s, (SELECT coalesce(list(i), []) FROM neg)) AND NOT EXISTS (SELECT 1 FROM pending p WHERE list_has_all(every.s, p.s)))
+SELECT id, round(count(*) FILTER (WHERE list_has_all(s, items)) / count(*), 6)::DOUBLE AS proba FROM u, good GROUP BY id""")
 def multiset_probability(spark, d):
+    """The SQL counts all 32 sets of the five items."""
     u = _users(spark, d)
     model = P.MultiSet.fit(first_rows(u, 20).withColumn("label", F.col("y")))
     return u.select("id", r6(model.proba("items", 5, seed=SEED), "proba"))
@@ -321,10 +329,11 @@ def compatible_factorization(spark, d):
     return factorized.compatible(learned, c.groupBy(F.col("n_regionkey").alias("user_k")).agg(nations.alias("user_attributes")))
 
 
-@query(SQL + "SELECT id, (sqrt(q0 * q1) > 0.5)::INT::DOUBLE AS block0, (q1 > 0.5)::INT::DOUBLE AS block1 FROM sc")
+@query(SQL + "SELECT id, (q0 * sqrt(q1) > 0.5)::INT::DOUBLE AS block0, (sqrt(q1) > 0.5)::INT::DOUBLE AS block1 FROM sc")
 def blended_partial_labels(spark, d):
+    """Two subspaces, the second of which lies in both attribute sets."""
     p = pool(spark, d).withColumn("q", X.factorized("x", BIAS, WEIGHTS)["partial_proba"])
-    b = X.blend_partial("q", [[0, 1], [1]])
+    b = X.blend_partial("q", X.blocks_of([[0], [1]], [[0, 1], [1, 2]]))
     return p.select("id", b[0].alias("block0"), b[1].alias("block1"))
 
 
@@ -375,22 +384,24 @@ def _vector_labels(spark, d, n: int = 40):
     return local(first_rows(vectors(spark, d), n))
 
 
-@query(VECTORS_SQL + "SELECT id, true AS right_side, true AS within_margin FROM lab")
+@query(VECTORS_SQL + f""", p AS (SELECT x AS z FROM lab WHERE y = 1 ORDER BY pos LIMIT 1), q AS (SELECT x AS w FROM lab WHERE y = 0 ORDER BY pos LIMIT 1),
+k AS (SELECT id, exp(-{DIST} / 64) AS k1, exp(-(list_dot_product(v.x, v.x) + list_dot_product(w, w) - 2 * list_dot_product(v.x, w)) / 64) AS k0, exp(-(list_dot_product(z, z) + list_dot_product(w, w) - 2 * list_dot_product(z, w)) / 64) AS k01 FROM v, p, q),
+f AS (SELECT id, (k1 - k0) / (1 - k01) AS f FROM k) SELECT id, (f > 0)::INT::DOUBLE AS pred, round(abs(f), 6) AS rank FROM f""")
 def fit_kernel_svm(spark, d):
-    """A nearly hard margin: every labelled row lies on its side, at the margin or beyond."""
-    x, y = _vector_labels(spark, d)
-    rows = first_rows(vectors(spark, d), 40)
-    scored = blocks.score(rows, blocks.fit_svm(x, y, blocks.Kernel("rbf"), 1e5)).join(rows.select("id", "y"), "id")
-    return scored.select("id", (F.col("pred") == F.col("y")).alias("right_side"), (F.col("rank") > 0.99).alias("within_margin"))
+    """A hard margin between the first labelled row of either class, whose solution has a closed form, over all vectors."""
+    rows = first_rows(vectors(spark, d), 40).orderBy("pos").collect()  # forty labels
+    pair = [next(r for r in rows if r.y == v) for v in (1.0, 0.0)]
+    model = blocks.fit_svm(np.array([r.x for r in pair]), np.array([1.0, 0.0]), blocks.Kernel("rbf"), 1e5, tol=1e-13)
+    return blocks.score(vectors(spark, d), model).select("id", "pred", r6(F.col("rank"), "rank"))
 
 
 @query(None)
 def ratio_margin(spark, d):
-    """Ranks of all unlabelled rows; no SQL fits the two models a row, tests do."""
+    """Ranks of all unlabelled rows, each added to one fitted model with either label; no SQL fits the two models a row, tests do."""
     x, y = _vector_labels(spark, d)
     rest = vectors(spark, d).join(first_rows(vectors(spark, d), 40).select("id"), "id", "left_anti")
-    parts = 4 * spark.sparkContext.defaultParallelism  # two fits a row are the work, so many small tasks
-    return blocks.score(rest.repartition(parts, "id"), blocks.RatioMargin(x, y, blocks.Kernel("rbf"), 10.0)).select("id", "pred", r6(F.col("rank"), "rank"))
+    parts = 4 * spark.sparkContext.defaultParallelism  # small systems for each row are the work, so many small tasks
+    return blocks.score(rest.repartition(parts, "id"), margin.RatioMargin(x, y, blocks.Kernel("rbf"), 10.0)).select("id", "pred", r6(F.col("rank"), "rank"))
 
 
 @query(None)
@@ -402,26 +413,41 @@ def fit_disagreement(spark, d):
     return blocks.score(vectors(spark, d), blocks.fit_disagreement((x, y), background, blocks.Kernel("rbf"), 1e3)).select("id", "pred", "rank")
 
 
-@query(VECTORS_SQL + "SELECT id, true AS all_agree FROM lab")
+@query(VECTORS_SQL + "SELECT v.id, lab.y AS label_proba FROM v LEFT JOIN lab USING (id)")
 def version_space_samples(spark, d):
-    """Every drawn hypothesis is right on every labelled row."""
+    """A sampled version space scores all vectors; of a labelled one all hypotheses must say its label."""
     x, y = _vector_labels(spark, d)
-    feats = blocks.kernel_features(x, blocks.Kernel("rbf", gamma=1.0))
-    space = blocks.sample_version_space(x, y, 8, 100, 10, SEED, feats)
-    rows = first_rows(vectors(spark, d), 40)
-    return blocks.score(rows, space).join(rows.select("id", "y"), "id").select("id", (F.col("proba") == F.col("y")).alias("all_agree"))
+    space = blocks.sample_version_space(x, y, 8, 100, 10, SEED, blocks.kernel_features(x, blocks.Kernel("rbf", gamma=1.0)))
+    return _labelled_only(spark, d, blocks.score(vectors(spark, d), space))
+
 
+def _labelled_only(spark, d, scored: DataFrame) -> DataFrame:
+    """The probability of labelled rows, null for the others."""
+    own = first_rows(vectors(spark, d), 40).select("id", F.lit(True).alias("labelled"))
+    return scored.filter("proba between 0 and 1").join(own, "id", "left").select("id", F.when(F.col("labelled"), F.col("proba")).alias("label_proba"))
 
-@query(VECTORS_SQL + "SELECT i AS chain, true AS all_right FROM range(8) r(i) WHERE (SELECT count(*) FROM lab) = 40")
+
+@query(VECTORS_SQL + "SELECT v.id, lab.y AS label_proba FROM v LEFT JOIN lab USING (id)")
 def version_space_chains(spark, d):
-    """One hypothesis from each of eight independent chains."""
+    """Three hypotheses from each of eight chains on executors, stacked into one model that scores all vectors."""
     x, y = _vector_labels(spark, d)
-    lifted = blocks.kernel_features(x, blocks.Kernel("rbf", gamma=1.0))(x)
+    feats = blocks.kernel_features(x, blocks.Kernel("rbf", gamma=1.0))
     tasks = spark.range(8).select(F.col("id").alias("chain"), (F.col("id") + SEED).alias("seed")).repartition(4)
-    chains = blocks.sample_chains(tasks, lifted, y, 50, 5)
-    sign, rows = np.where(y == 1, 1.0, -1.0), np.column_stack([np.ones(len(lifted)), lifted])
-    signed = spark.createDataFrame([([float(v) for v in r * s],) for r, s in zip(rows, sign)], "x array<double>")  # forty rows
-    return chains.crossJoin(F.broadcast(signed)).groupBy("chain").agg((F.min(X.dot_columns("x", "w")) > 0).alias("all_right"))
+    draws = blocks.sample_chains(tasks, x, y, 50, 5, 3, feats)
+    return _labelled_only(spark, d, blocks.score(vectors(spark, d), blocks.stacked(draws, feats)))
+
+
+@query(SQL + """, g AS (SELECT cat AS chain, row_number() OVER (PARTITION BY cat ORDER BY id) AS r, x0, x1 FROM pool), f AS (SELECT * FROM g WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM pool GROUP BY cat))),
+m AS (SELECT chain, 0 AS k, count(*) AS n, avg(x0) AS mean, var_samp(x0) AS var FROM f GROUP BY 1 UNION ALL SELECT chain, 1, count(*), avg(x1), var_samp(x1) FROM f GROUP BY 1),
+s AS (SELECT k, avg(n) AS n, avg(var) AS within, avg(n) * var_samp(mean) AS between FROM m GROUP BY 1) SELECT k, round(within, 6) AS within, round(between, 6) AS between, round(sqrt(((n - 1) / n * within + between / n) / within), 6) AS ratio FROM s""")
+def chain_diagnostic(spark, d):
+    """The attributes of each kind of event as a chain, cut to the length of the shortest."""
+    from pyspark.sql import Window
+
+    p = pool(spark, d)
+    least = p.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n"))  # one row
+    rows = p.withColumn("r", F.row_number().over(Window.partitionBy("cat").orderBy("id"))).crossJoin(F.broadcast(least)).filter("r <= n")
+    return blocks.chain_diagnostic(rows.select(F.col("cat").alias("chain"), F.col("x").alias("w"))).select("k", r6(F.col("within"), "within"), r6(F.col("between"), "between"), r6(F.col("ratio"), "ratio"))
 
 
 FEATURE_H = [[0.1, 1.0, -1.0, 0.5], [-0.05, -0.5, 1.0, 0.2], [0.0, 0.3, 0.3, -1.0]]
@@ -463,6 +489,59 @@ def fit_laplace(spark, d):
     return blocks.score(vectors(spark, d), blocks.fit_laplace(x, y)).select("id", "pred", r6(F.col("proba"), "proba"))
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps from 0, each a pass over the pool and a system of three equations solved by determinants."""
+    out = [SQL, ", n0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v)"]
+    for k in range(steps + 1):
+        out.append(f""", s{k} AS MATERIALIZED (SELECT sum(w) + 1 AS h00, sum(w * x0) AS h01, sum(w * x1) AS h02, sum(w * x0 * x0) + 1 AS h11, sum(w * x0 * x1) AS h12, sum(w * x1 * x1) + 1 AS h22,
+    sum(p - y) + any_value(b) AS g0, sum((p - y) * x0) + any_value(u) AS g1, sum((p - y) * x1) + any_value(v) AS g2, any_value(b) AS b, any_value(u) AS u, any_value(v) AS v
+    FROM (SELECT *, p * (1 - p) AS w FROM (SELECT x0, x1, y, b, u, v, 1 / (1 + exp(-(b + u * x0 + v * x1))) AS p FROM pool, n{k})))""")
+        if k < steps:
+            out.append(f""", n{k + 1} AS MATERIALIZED (SELECT b - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS b, u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS u,
+    v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS v FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{k}))""")
+    return "".join(out) + f" SELECT round(b, 6) AS b, round(u, 6) AS w0, round(v, 6) AS w1, " + ", ".join(f"round({h}, 4) AS {h}" for h in ("h00", "h01", "h02", "h11", "h12", "h22")) + f" FROM s{steps}"
+
+
+@query(_newton_sql(10))
+def laplace_newton(spark, d):
+    """A posterior from the labels of the whole pool: mode and Hessian; the SQL takes the same Newton steps."""
+    model = posterior.fit_laplace(pool(spark, d).select("x", "y"), 2, 1.0)
+    h = model.hessian
+    numbers = [*np.round(model.mode, 6).tolist(), *np.round(h[np.triu_indices(3)], 4).tolist()]
+    names = ("b", "w0", "w1", "h00", "h01", "h02", "h11", "h12", "h22")
+    return spark.createDataFrame([tuple(numbers)], ", ".join(f"{n} double" for n in names))  # nine numbers
+
+
+@query(_newton_sql(10).rsplit(" SELECT round(b", 1)[0] + """, i AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s10),
+z AS (SELECT id, (b + u * x0 + v * x1) / sqrt(((h11 * h22 - h12 * h12) + x0 * x0 * (h00 * h22 - h02 * h02) + x1 * x1 * (h00 * h11 - h01 * h01) + 2 * x0 * (h02 * h12 - h01 * h22) + 2 * x1 * (h01 * h12 - h02 * h11) + 2 * x0 * x1 * (h01 * h02 - h00 * h12)) / det + 8 / pi()) / sqrt(2) AS z FROM pool, i),
+p AS (SELECT id, 0.5 + exp(-t * t) * list_sum(list_transform(range(0, 84), lambda n: pow(4, n) * pow(t, 2 * n + 1) * gamma(n + 1) / gamma(2 * n + 2))) / sqrt(pi()) AS p FROM (SELECT id, least(greatest(z, -5), 5) AS t FROM z)) SELECT id, round(p, 5) AS proba FROM p""")
+def laplace_newton_scores(spark, d):
+    """What that posterior says of every row."""
+    p = pool(spark, d)
+    return blocks.score(p, posterior.fit_laplace(p.select("x", "y"), 2, 1.0)).select("id", F.round("proba", 5).alias("proba"))
+
+
+#: A posterior over the dual of two reference rows: dual, weights sqrt(p (1 - p)), precision.
+DUAL, DUAL_WEIGHT, DUAL_PRECISION = [0.8, -0.6], [0.5, 0.4], 0.5
+
+
+@query(VECTORS_SQL + f""", k AS (SELECT v.id, max(exp(-{DIST} / 64)) FILTER (WHERE ref = 0) AS k0, max(exp(-{DIST} / 64)) FILTER (WHERE ref = 1) AS k1 FROM v, refs GROUP BY 1),
+h AS (SELECT 0.25 + 0.5 AS h00, 0.16 + 0.5 AS h11, 0.2 * exp(-{DIST.replace("v.x", "v.z")} / 64) AS h01 FROM refs v, refs r WHERE v.ref = 0 AND r.ref = 1),
+m AS (SELECT id, 0.8 * k0 - 0.6 * k1 AS mu, (1 - (0.25 * k0 * k0 * h11 - 2 * 0.2 * k0 * k1 * h01 + 0.16 * k1 * k1 * h00) / (h00 * h11 - h01 * h01)) / 0.5 AS var FROM k, h), z AS (SELECT id, mu / sqrt(var + 8 / pi()) / sqrt(2) AS z FROM m),
+p AS (SELECT id, 0.5 + list_sum(list_transform(range(0, 50), lambda n: pow(-1, n) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) / sqrt(pi()) AS p FROM z) SELECT id, round(p, 6) AS proba, round(abs(p - 0.5), 6) AS rank FROM p""".replace("list_dot_product(v.z, z)", "list_dot_product(v.z, r.z)").replace("list_dot_product(z, z) - 2 * list_dot_product(v.z", "list_dot_product(r.z, r.z) - 2 * list_dot_product(v.z"))
+def kernel_laplace_posterior(spark, d):
+    """Probabilities under a given posterior of the kernel form; the SQL inverts its two equations."""
+    model = posterior.KernelLaplace(blocks.Kernel("rbf"), _refs(spark, d, 2), np.array(DUAL), np.array(DUAL_WEIGHT), DUAL_PRECISION)
+    return blocks.score(vectors(spark, d), model).select("id", r6(F.col("proba"), "proba"), r6(F.col("rank"), "rank"))
+
+
+@query(None)
+def fit_kernel_laplace(spark, d):
+    """The kernel form from forty labels, scoring all rows; tests hold its mode and variance against differences and the Gaussian process it stands for."""
+    x, y = _vector_labels(spark, d)
+    return blocks.score(vectors(spark, d), posterior.fit_kernel_laplace(x, y, blocks.Kernel("rbf", gamma=1.0), 0.5)).select("id", "pred", r6(F.col("proba"), "proba"))
+
+
 @query(VECTORS_SQL + f"SELECT v.id, ref::INT AS ref, round(exp(-{DIST} / 64), 5) AS k FROM v, refs")
 def nystroem_features(spark, d):
     """A row's features times those of a landmark give the kernel of the two."""
@@ -473,13 +552,34 @@ def nystroem_features(spark, d):
     return both.select("id", "ref", F.round(X.dot_columns("x", "z"), 5).alias("k"))
 
 
-@query(VECTORS_SQL + "SELECT id, true AS norm_kept FROM v")
+#: Attributes of two subspaces.
+SUBSPACES = [[0, 1, 2, 3], [4, 5, 6, 7, 8, 9]]
+SUB_DIST = "(list_dot_product({v}, {v}) + list_dot_product({z}, {z}) - 2 * list_dot_product({v}, {z}))"
+DIST_0, DIST_1 = SUB_DIST.format(v="v.x[1:4]", z="z[1:4]"), SUB_DIST.format(v="v.x[5:10]", z="z[5:10]")
+
+
+@query(VECTORS_SQL + f"SELECT v.id, ref::INT AS ref, round(exp(-{DIST_0} / 4), 5) AS k0, round(exp(-{DIST_1} / 6), 5) AS k1 FROM v, refs")
+def nystroem_subspaces(spark, d):
+    """Features of each subspace side by side: those of a row times those of a landmark give the kernel of the two, subspace by subspace."""
+    marks, kernel = _refs(spark, d), blocks.Kernel("rbf")
+    work, _ = factorized.kernel_features(marks, kernel, SUBSPACES)
+    lands = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(work(marks))], "ref int, z array<double>")  # eight rows
+    both = blocks.transform(vectors(spark, d), work).crossJoin(F.broadcast(lands))
+    part = lambda c, k: F.slice(c, 1 + 8 * k, 8)
+    return both.select("id", "ref", *(F.round(X.dot_columns(part("x", k), part("z", k)), 5).alias(f"k{k}") for k in range(2)))
+
+
+@query(VECTORS_SQL + "SELECT v.id, ref::INT AS ref, round(list_dot_product(v.x, z), 6) AS product FROM v, refs")
 def random_projection(spark, d):
-    """The projected part keeps a row's norm within the bound, by the number of dimensions."""
-    work = blocks.projection(64, 3, 0.9, 2000, 0.1, SEED)
-    x = blocks.transform(vectors(spark, d), work)
-    norm = F.sqrt(X.dot_columns("x", "x"))
-    return x.select("id", F.abs(norm - 1).between(0, 0.6).alias("norm_kept"))
+    """Inner products with reference rows; null where the projected rows' product is off by more than the bound for that many dimensions."""
+    h, wide = 3, 0.9
+    work, share, eps = blocks.projection(64, h, wide, 2000, 0.1, SEED), 1 / (1 + h**0.5), wide / (2 * (1 + h**0.5))
+    refs = first_rows(vectors(spark, d), 8).select(F.col("pos").cast("int").alias("ref"), F.col("id").alias("rid"), F.col("x").alias("z"))
+    lands = blocks.transform(refs.select(F.col("rid").alias("id"), F.col("z").alias("x")), work).select(F.col("id").alias("rid"), F.col("x").alias("pz"))
+    both = blocks.transform(vectors(spark, d), work).withColumnRenamed("x", "px").join(vectors(spark, d).select("id", "x"), "id").crossJoin(F.broadcast(refs.join(lands, "rid")))  # eight rows
+    product = X.dot_columns("x", "z")
+    kept = share * product + F.when(F.col("id") == F.col("rid"), 1 - share).otherwise(0.0)
+    return both.select("id", "ref", F.when(F.abs(X.dot_columns("px", "pz") - kept) <= eps, F.round(product, 6)).alias("product"))
 
 
 @query(VECTORS_SQL + """, m AS (SELECT id, 1 / (1 + exp(-(0.1 + x[1] * 3 - x[2] * 2))) AS q0, 1 / (1 + exp(-(x[3] * 4))) AS q1 FROM v) SELECT id, round(q0 * q1, 6) AS proba, round((1 - 2 * q0 * (1 - q0)) * (1 - 2 * q1 * (1 - q1)), 6) AS rank FROM m""")
@@ -497,6 +597,23 @@ def kernel_factorized(spark, d):
     return features.select("id", r6(X.factorized("x", [-1.0, -2.0], [[2.0, 0.0], [0.0, 3.0]])["proba"], "proba"))
 
 
+@query(VECTORS_SQL + f""", k AS (SELECT v.id, max(v.y) AS y, max(exp(-{DIST_0} / 4)) FILTER (WHERE ref = 0) AS k0, max(exp(-{DIST_1} / 6)) FILTER (WHERE ref = 0) AS k1 FROM v, refs GROUP BY 1),
+p AS (SELECT id, y, 1 / (1 + exp(-(3 * k0 - 2))) / (1 + exp(-(4 * k1 - 3))) AS p FROM k) SELECT round(avg(CASE WHEN y > 0 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS loss FROM p""")
+def kernel_factorized_loss(spark, d):
+    """The loss of given weights over all vectors, their kernel features made block by block in the gradient's pass."""
+    features, _ = factorized.kernel_features(_refs(spark, d, 1), blocks.Kernel("rbf"), SUBSPACES)
+    g = factorized.gradient(vectors(spark, d), np.array([-2.0, -3.0]), np.array([[3.0, 0.0], [0.0, 4.0]]), features)
+    return g.select(r6(F.col("loss"), "loss"))
+
+
+@query(None)
+def fit_kernel_factorized(spark, d):
+    """Two subspaces of Nystroem features fitted on 200 labels score all vectors; tests hold the fit against one on stored features."""
+    rows = first_rows(vectors(spark, d), 200)
+    model = factorized.fit_kernel(rows, _refs(spark, d, 8), blocks.Kernel("rbf", gamma=1.0), SUBSPACES, penalty="l2", strength=1e-3, steps=150)
+    return blocks.score(vectors(spark, d), model).select("id", "pred", F.round("proba", 4).alias("proba"))
+
+
 class Nearest:
     """A custom learner: the nearer of two means."""
 
@@ -509,6 +626,24 @@ class Nearest:
         return (p > 0.5).astype(float), p, np.abs(p - 0.5)
 
 
+class Steady(Nearest):
+    """Ranks that differ by rounding only are ties."""
+
+    def score_block(self, x: np.ndarray):
+        pred, p, rank = super().score_block(x)
+        return pred, p, np.round(rank, 9)
+
+
+class SteadyFirst(Steady):
+    """The same on the first attribute only."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        super().__init__(x[:, :1], y)
+
+    def score_block(self, x: np.ndarray):
+        return super().score_block(x[:, :1])
+
+
 @query(SQL + """, m AS (SELECT avg(x0) FILTER (WHERE y = 0) AS a0, avg(x1) FILTER (WHERE y = 0) AS a1, avg(x0) FILTER (WHERE y = 1) AS b0, avg(x1) FILTER (WHERE y = 1) AS b1 FROM lab)
 SELECT id, round(1 / (1 + exp((x0 - b0) ** 2 + (x1 - b1) ** 2 - (x0 - a0) ** 2 - (x1 - a1) ** 2)), 6) AS proba FROM pool, m""")
 def custom_learner(spark, d):
@@ -548,20 +683,22 @@ def fit_factorized(spark, d):
     return pool(spark, d).select("id", "y", m["pred"].alias("pred"), F.round(m["proba"], 4).alias("proba"))
 
 
-@query(SQL + "SELECT count(*) AS n, true AS agrees FROM pool")
+@query(SQL + "SELECT id, CASE WHEN abs(proba - 0.5) > 0.4 THEN (proba > 0.5)::INT::DOUBLE END AS pred FROM sc")
 def distil(spark, d):
-    """A factorized model fitted on another model's predictions over a sample agrees with it on the pool."""
-    target = X.factorized("x", BIAS, WEIGHTS)["pred"]
-    seen = sampling.sample(pool(spark, d), 2000, SEED).select("x", target.alias("y"))
+    """A factorized model fitted on another model's predictions over a sample says the same of every row that isn't close to the boundary."""
+    target = X.factorized("x", BIAS, WEIGHTS)
+    seen = sampling.sample(pool(spark, d), 2000, SEED).select("x", target["pred"].alias("y"))
     bias, w, _ = factorized.fit(seen, 2, None, steps=300)
-    return pool(spark, d).agg(F.count(F.lit(1)).alias("n"), (F.avg((target == X.factorized("x", bias, w)["pred"]).cast("double")) > 0.9).alias("agrees"))
+    clear = F.abs(target["proba"] - 0.5) > 0.4
+    return pool(spark, d).select("id", F.when(clear, X.factorized("x", bias, w)["pred"]).alias("pred"))
 
 
 @query(None)
 def learn_factorization(spark, d):
-    rows = labelled_pool(spark, d, 300)
-    sets, bias, w = factorized.learn_factorization(pool(spark, d), rows, 3, 1e-3)
-    return spark.createDataFrame([(k, ",".join(map(str, s))) for k, s in enumerate(sets)], "k int, attributes string")
+    """From 300 labels: the attribute sets, and a label of each for every row of the pool; tests hold the steps one by one."""
+    learned = factorized.learn_factorization(pool(spark, d), labelled_pool(spark, d, 300), 3, 1e-3, 1e-3, steps=200)
+    text = "; ".join(",".join(map(str, s)) for s in learned.sets)
+    return pool(spark, d).select("id", F.lit(text).alias("factorization"), F.array_join(learned.partial_labels("x").cast("array<string>"), ",").alias("partial"))
 
 
 def _three_attributes(spark, d):
@@ -571,8 +708,11 @@ def _three_attributes(spark, d):
 
 @query(None)
 def partition_brute_force(spark, d):
-    best = factorized.brute_force(spark, *_three_attributes(spark, d))
-    return best.select(F.array_join(F.transform("partition", lambda p: F.array_join(p.cast("array<string>"), "+")), " ").alias("partition"), F.round("loss", 4).alias("loss"))
+    """The best partition of three attributes by the labels, with its model's loss over the whole pool."""
+    best = factorized.brute_force(spark, *_three_attributes(spark, d)).first()
+    rows = pool(spark, d).withColumn("x", F.array(F.col("x")[0], F.col("x")[1], (F.col("user_id") % 10) / 10))
+    name = " ".join("+".join(map(str, p)) for p in best.partition)
+    return factorized.loss(rows, best.bias, best.w).select(F.lit(name).alias("partition"), F.lit(round(best.loss, 4)).alias("loss"), F.round("loss", 4).alias("pool_loss"))
 
 
 @query(None)
@@ -598,12 +738,6 @@ r AS (SELECT id, y, h, abs(1 / (1 + exp((x0 - b0) ** 2 + (x1 - b1) ** 2 - (x0 -
 picked AS (SELECT * FROM r ORDER BY round(rank, 9), h, id LIMIT 3) SELECT id, y AS label, 6 AS iter, true AS new FROM picked UNION ALL SELECT id, y, floor(pos / 10)::INT, false FROM lab""")
 def explore_round(spark, d):
     """One round: a learner fitted on the labels picks three rows, which are labelled."""
-
-    class Steady(Nearest):  # ranks that differ by rounding only are ties
-        def score_block(self, x):
-            pred, p, rank = super().score_block(x)
-            return pred, p, np.round(rank, 9)
-
     p = pool(spark, d)
     truth = p.select("id", F.col("y").alias("label"), "partial")
     own = labels(spark, d).select("id", "label", "partial", "iter")
@@ -629,24 +763,66 @@ def dual_space_draw(spark, d):
     """Twenty rows to ask; rows drawn before them that the polytope decides go to the cache."""
     rows = state.with_state(pool(spark, d), states(spark, d)).filter("state <> 'labeled'")
     scored = rows.select("id", F.round(X.factorized("x", BIAS, WEIGHTS)["rank"], 9).alias("rank"), _three().alias("polytope"))
-    ask, cache = sampling.draw_undecided(scored, 20, SEED)
+    ask, cache = sampling.dual_space_draw(scored, 20, SEED)
     return ask.select("id", F.lit(0.5).alias("label"), F.lit(True).alias("asked")).unionByName(cache.select("id", "label", F.lit(False).alias("asked")))
 
 
-@query(None)
+@query("""WITH p AS (SELECT DISTINCT floor((l_quantity - 1) / 10)::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2 FROM lineitem), b AS (SELECT min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1, min(x2) AS a2, max(x2) AS b2 FROM p)
+SELECT round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM p, b WHERE (x0 = a0 OR x0 = b0) AND (x1 = a1 OR x1 = b1) AND (x2 = a2 OR x2 = b2)""")
 def convex_hull_3d(spark, d):
-    """Vertices of the hull of all line items' quantity, discount and tax; tests hold hulls against half-spaces."""
-    t = table(spark, d, "lineitem").select(F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("x"))
+    """Vertices of the hull of all line items' quantity by tens, discount and tax: every combination of extremes occurs, so these are the vertices."""
+    t = table(spark, d, "lineitem").select(F.array(F.floor((F.col("l_quantity") - 1) / 10).cast("double"), *(F.col(c).cast("double") for c in ("l_discount", "l_tax"))).alias("x"))
     v = P.hull_vertices(t.distinct(), 3)
     return v.select(*(r6(F.col("x")[k], f"x{k}") for k in range(3)))
 
 
-@query("SELECT event_type AS task, count(*) AS n, true AS better_than_chance FROM events GROUP BY 1")
+#: A cross-polytope in four dimensions and a negative point on its first axis.
+RADIUS, BEYOND = 0.3, 0.45
+
+
+@query(VECTORS_SQL + f"""SELECT id, CASE WHEN x[1] / {BEYOND} - (abs(x[2]) + abs(x[3]) + abs(x[4])) / {RADIUS} >= 1 - 1e-9 THEN 0 WHEN abs(x[1]) + abs(x[2]) + abs(x[3]) + abs(x[4]) <= {RADIUS} + 1e-9 THEN 1 ELSE 0.5 END::DOUBLE AS pred FROM v""")
+def polytope_4d(spark, d):
+    """Hull and cone in four dimensions, fitted on nine points, over all vectors."""
+    points = np.vstack([np.eye(4) * RADIUS, -np.eye(4) * RADIUS, [[BEYOND, 0, 0, 0]]])
+    model = P.polytope("positive", 1e-9).fit(points, np.array([1] * 8 + [0]))
+    return blocks.score(vectors(spark, d).withColumn("x", F.slice("x", 1, 4)), model).select("id", "pred")
+
+
+@query(PARTS_SQL + f"SELECT id, {POLYTOPE_SQL} AS pred FROM part_pool")
+def save_load_polytope(spark, d):
+    path = f"{shared_folder(spark)}/polytope-{uuid.uuid4().hex}"
+    _triangle().save(spark, path)
+    return parts(spark, d).select("id", P.load_polytope(spark, path).column("x").alias("pred"))
+
+
+@query(SQL + "SELECT cat AS task, count(*) AS n, (SELECT count(*) FROM pool WHERE y = 1) AS positives, true AS better_than_chance FROM pool GROUP BY 1")
 def many_tasks(spark, d):
-    """One model a kind of event, all scored in one pass."""
+    """One model a kind of event, all evaluated in one pass."""
     p = pool(spark, d)
     truth = p.select("id", F.col("y").alias("label"))
     own = first_rows(p, 400).select(F.col("cat").alias("task"), "x", "y")
     scores = explore.fit_tasks(own, p, truth)
-    return scores.join(p.groupBy(F.col("cat").alias("task")).agg(F.count(F.lit(1)).alias("n")), "task").select("task", "n", (F.col("fscore") > 0.4).alias("better_than_chance"))
-
+    return scores.join(p.groupBy(F.col("cat").alias("task")).agg(F.count(F.lit(1)).alias("n")), "task").select("task", "n", (F.col("true_positive") + F.col("false_negative")).alias("positives"), (F.col("fscore") > 0.4).alias("better_than_chance"))
+
+
+def _runs_sql(learners: dict[str, str], seeds: tuple[int, ...]) -> str:
+    """Two rounds of every learner and seed: the first row of either class by hash, the model's score, the row it picks, the score after that."""
+    parts, out = [SQL], []
+    for name, away in learners.items():
+        for seed in seeds:
+            t = f"{name}_{seed}"
+            model = "SELECT avg(x0) FILTER (WHERE y = 0) AS a0, avg(x1) FILTER (WHERE y = 0) AS a1, avg(x0) FILTER (WHERE y = 1) AS b0, avg(x1) FILTER (WHERE y = 1) AS b1 FROM"
+            said = f"SELECT id, x0, x1, y, g, 1 / (1 + exp(({away.format('b')}) - ({away.format('a')}))) AS p FROM g_{t},"
+            parts.append(f""", g_{t} AS MATERIALIZED (SELECT id, x0, x1, y, md5('{seed}:' || id) AS g FROM pool), l0_{t} AS MATERIALIZED (FROM (FROM g_{t} WHERE y = 1 ORDER BY g, id LIMIT 1) UNION ALL FROM (FROM g_{t} WHERE y = 0 ORDER BY g, id LIMIT 1)),
+p0_{t} AS MATERIALIZED ({said} ({model} l0_{t})), l1_{t} AS MATERIALIZED (FROM l0_{t} UNION ALL FROM (SELECT id, x0, x1, y, g FROM p0_{t} WHERE id NOT IN (SELECT id FROM l0_{t}) ORDER BY round(abs(p - 0.5), 9), g, id LIMIT 1)), p1_{t} AS MATERIALIZED ({said} ({model} l1_{t}))""")
+            out += [f"SELECT '{name}' AS learner, {k} AS iter, 2 * count(*) FILTER (WHERE p > 0.5 AND y = 1) / (count(*) FILTER (WHERE p > 0.5) + count(*) FILTER (WHERE y = 1)) AS f, count(*) FILTER (WHERE p > 0.5 AND y = 1) AS tp FROM p{k}_{t}" for k in (0, 1)]
+    return "".join(parts) + f" SELECT learner, iter, round(avg(f), 6) AS fscore, round(avg(tp), 6)::DOUBLE AS tp FROM ({' UNION ALL '.join(out)}) GROUP BY ALL"
+
+
+@query(_runs_sql({"nearest": "(x0 - {0}0) ** 2 + (x1 - {0}1) ** 2", "first": "(x0 - {0}0) ** 2"}, (7, 8, 9)))
+def learner_runs(spark, d):
+    """Learning curves of two learners, three runs each, all runs side by side in one pass a round."""
+    p = pool(spark, d)
+    truth = p.select("id", F.col("y").alias("label"), "partial")
+    runs = [explore.Run(name, fit, seed) for name, fit in (("nearest", Steady), ("first", SteadyFirst)) for seed in (7, 8, 9)]
+    return metrics.learning_curves(explore.explore_many(p, truth, runs, 1), ["fscore", "tp"]).select("learner", "iter", r6(F.col("fscore"), "fscore"), r6(F.col("tp"), "tp"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gleaner.functions import expressions as X
-from gleaner.operators import blocks, factorized
+from gleaner.operators import blocks, factorized, margin
 
 
 def test_chord():
@@ -197,11 +197,11 @@ def test_ratio_margin_refits_both_ways():
     rng = np.random.default_rng(8)
     x, y, k = rng.normal(size=(12, 2)), np.array([0.0, 1.0] * 6), blocks.Kernel("rbf")
     rows = rng.normal(size=(5, 2))
-    got = blocks.RatioMargin(x, y, k, 10.0).score_block(rows)[2]
+    got = margin.RatioMargin(x, y, k, 10.0).score_block(rows)[2]
     for r, g in zip(rows, got):
         m = []
         for v in (0.0, 1.0):
-            model = blocks.fit_svm(np.vstack([x, r]), np.append(y, v), k, 10.0)
+            model = blocks.fit_svm(np.vstack([x, r]), np.append(y, v), k, 10.0, tol=1e-11)
             m.append(sum(a * b * np.exp(-((s - t) ** 2).sum() / 2) for a, s in zip(model.dual, model.support) for b, t in zip(model.dual, model.support)))
         assert abs(g + min(m[0] / m[1], m[1] / m[0])) < 1e-9
 
