@@ -93,7 +93,7 @@ def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH bare AS (SELECT page_id, substr(md5(coalesce(html, '')), 1, 16) AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS u FROM pages),
 parts AS (SELECT page_id, tag, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host, regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS q FROM bare),
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS q FROM bare),
 p AS (SELECT page_id, tag, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM parts),
 asked AS (SELECT page_id * 2 + 1 AS record_id, url, (page_id + 500) * 2 + 1 AS t, tag FROM p),
 full_ones AS (SELECT page_id * 2 AS response_id, url, page_id * 2 AS t, tag FROM p),

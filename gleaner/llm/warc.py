@@ -7,13 +7,16 @@ are the response's, with those that a 304 response may update taken from the rev
 
 The as-of join doesn't sort a URL's whole history in one task: time is cut into chunks that hold `chunk` records on average,
 whatever the unit of time (from one pass: how many records there are, and the times between which all but one in a hundred
-lie). Per (URL, chunk) the last response is found by an aggregate that is combined before the shuffle; a running last over
-these few rows gives what each chunk starts with; within (URL, chunk) a window finishes the work. So one URL with a
-third of all records is spread over its chunks. Bodies don't take part: a record carries its digest.
-
-Nulls: a record without URL or time resolves to nothing ("no url or time"); null validators count as
-absent; null headers as none. Equal times: the smaller record id is the earlier one. Repeated rows are
-records of their own. An empty table gives an empty result. Only the named columns are read.
+lie). Per (URL, chunk) the last response is found by an aggregate that is combined before the shuffle; what each chunk starts with is
+carried along a URL's chunks, by groups of GROUP chunks first and then inside them, so no window holds more than GROUP rows of a URL until it has
+GROUP squared chunks; within (URL, chunk) a window finishes the work. So one URL with a third of all records is spread over its chunks. Records of
+one URL at one time share a window. Bodies don't take part: a record carries its digest.
+
+Where records have a status, only a full one (200) answers a revisit; a part, an error or a redirect doesn't, nor does it hide an earlier full
+response. Nulls: a record without URL (null or blank) or time resolves to nothing ("no url or time"); null validators count as
+absent; null headers as none; a null status as full. Equal times: the smaller record id is the earlier one. Repeated rows are
+records of their own: a repeated revisit gets the same answer each time, a repeated response answers as one. An empty table gives an empty result.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,18 +28,40 @@ from pyspark.sql import functions as F
 #: What a 304 response sends of the headers that a 200 response would have (RFC 9110, 15.4.5), and Set-Cookie's absence.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't choose content.
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$"
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$"
+#: Chunks that a group of chunks holds.
+GROUP = 4096
+
+
+def _decoded(text: Column) -> Column:
+    """Percent-encoded unreserved characters as themselves, other encodings in upper case (RFC 3986, 6.2.2); a % that encodes nothing stays."""
+    code = lambda part: F.conv(F.substring(part, 1, 2), 16, 10).cast("int")
+
+    def one(part: Column) -> Column:
+        plain = F.chr(code(part))
+        return F.when(~part.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), part)).when((code(part) < 128) & plain.rlike("^[A-Za-z0-9._~-]$"), F.concat(plain, F.substring(part, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), F.upper(F.substring(part, 1, 2)), F.substring(part, 3, 1 << 30)))
+
+    parts = F.split(text, "%")
+    return F.when(~text.contains("%"), text).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), "")))
+
+
+def _without_dots(path: Column) -> Column:
+    """Without "." and ".." segments (RFC 3986, 5.2.4)."""
+    step = lambda kept, seg: F.when(seg == ".", kept).when(seg == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(seg)))
+    # The first segment is what stands before the first slash: nothing.
+    return F.when(~path.contains("/."), path).otherwise(F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
 
-def canonical_url(url: Column) -> Column:
-    """Host in lower case without www and default port, path without fragment and last slash, query
-    without tracking parameters and in order. Scheme and userinfo don't count."""
+def canonical_url(url: Column, tracking: str = TRACKING) -> Column:
+    """Host in lower case without www, default port and closing dot; path without fragment, dot segments and last slash; query without tracking
+    parameters and in order; percent-encodings only where they are needed. Scheme and userinfo don't count. A blank URL is none (null)."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www[0-9]*\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"/+$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www[0-9]*\.", ""), r":(80|443)$", ""), r"\.$", "")
+    path = F.regexp_replace(_without_dots(_decoded(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1))), r"/+$", "")
+    query = _decoded(F.regexp_extract(bare, r"\?(.*)$", 1))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracking)))
+    whole = F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(F.trim(url) != "", whole)
 
 
 def merged_headers(response: Column, revisit: Column) -> Column:
@@ -51,21 +76,27 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
-def resolve(records: DataFrame, *, chunk: int = 4096) -> DataFrame:
+def resolve(records: DataFrame, *, chunk: int = 4096, group: int = GROUP) -> DataFrame:
     """One row a revisit: (record_id, url, response_id, outcome, headers). records: record_id long, url
     string, at long (time), kind ('response' or 'revisit'), etag, last_modified, digest string, headers
-    map<string,string>. chunk: records that a chunk of time holds on average."""
+    map<string,string>, and perhaps status int. chunk: records that a chunk of time holds on average."""
     low, high, n = records.agg(F.percentile_approx("at", F.lit(0.005), F.lit(1000)), F.percentile_approx("at", F.lit(0.995), F.lit(1000)), F.count("at")).first()
     length = max(1, (high - low) * chunk // n) if n else 1
     facts = ("record_id", "etag", "last_modified", "digest", "headers")
-    keyed = records.select(*facts, "at", "kind", canonical_url(F.col("url")).alias("url")).withColumn("chunk", F.floor(F.col("at") / length))
+    answers = F.col("kind") == "response"
+    if "status" in records.columns:
+        answers = answers & (F.coalesce("status", F.lit(200)) == 200)
+    keyed = records.select(*facts, "at", "kind", answers.alias("answers"), canonical_url(F.col("url")).alias("url")).withColumn("chunk", F.floor(F.col("at") / length))
     usable = F.col("url").isNotNull() & F.col("at").isNotNull()
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
+    full = F.when(F.col("answers"), F.struct("at", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
     known = keyed.filter(usable).withColumn("full", full)
     ends = known.filter("full is not null").groupBy("url", "chunk").agg(F.max("full").alias("last"))
-    # What a chunk starts with: the last response of any earlier chunk of the URL that has one. Only
-    # chunks with responses have rows; a chunk without takes the one before it in the same window.
-    starts = known.select("url", "chunk").distinct().join(ends, ["url", "chunk"], "left").withColumn("carried", F.last("last", ignorenulls=True).over(W.partitionBy("url").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).select("url", "chunk", "carried")
+    # What a chunk starts with: the last response of any earlier chunk of the URL that has one. Only chunks with records have rows.
+    chunks = known.select("url", "chunk").distinct().join(ends, ["url", "chunk"], "left").withColumn("group", F.floor(F.col("chunk") / group))
+    before = lambda w: F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    groups = chunks.groupBy("url", "group").agg(F.max("last").alias("last")).withColumn("earlier", before(W.partitionBy("url").orderBy("group"))).select("url", "group", "earlier")
+    inside = chunks.withColumn("carried", before(W.partitionBy("url", "group").orderBy("chunk")))
+    starts = inside.join(groups, ["url", "group"]).select("url", "chunk", F.coalesce("carried", "earlier").alias("carried"))
     here = F.last("full", ignorenulls=True).over(W.partitionBy("url", "chunk").orderBy("at", "record_id").rowsBetween(W.unboundedPreceding, -1))
     placed = known.withColumn("here", here).filter(F.col("kind") == "revisit").join(starts, ["url", "chunk"]).withColumn("found", F.coalesce("here", "carried"))
     lost = keyed.filter(~usable & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(placed.schema["found"].dataType))

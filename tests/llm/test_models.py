@@ -81,12 +81,45 @@ def test_lm_prefers_wanted_texts(spark):
 
 
 def test_canonical_urls(spark):
-    same = ["http://www.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2", " HTTPS://user:pw@www2.example.com:443/a//?a=1&&b=2&ref=z "]
+    same = ["http://www.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2", " HTTPS://user:pw@www2.example.com:443/a//?a=1&&b=2&fbclid=z "]
     got = {r.u for r in spark.createDataFrame([(u,) for u in same], "url string").select(warc.canonical_url(warc.F.col("url")).alias("u")).collect()}
     assert got == {"example.com/a?a=1&b=2"}
     assert spark.createDataFrame([("http://a.org",)], "url string").select(warc.canonical_url(warc.F.col("url"))).first()[0] == "a.org/"
 
 
+def test_urls_of_one_form(spark):
+    forms = {
+        "a.org/~x/b?q=a-b%2F": ["http://a.org/%7Ex/b?q=a%2Db%2f", "http://A.ORG./%7ex/./b?q=a-b%2F", "a.org/c/../~x/b/?q=a-b%2F"], "a.org/": ["http://a.org", "a.org/..", "http://a.org/./", "http://www.a.org.:80/b/.."],
+        "a.org/x%zz%": ["a.org/x%zz%"], "a.org/x?ref=v1": ["http://a.org/x?ref=v1"], "a.org/x?ref=v2": ["http://a.org/x?ref=v2"], "a.org/%C3%A9": ["a.org/%c3%a9"], "a.org/.b/..c/d.": ["a.org/.b/..c/d."], None: ["", "   ", None],
+    }
+    rows = [(u, form) for form, urls in forms.items() for u in urls]
+    got = spark.createDataFrame(rows, "url string, form string").select("url", "form", warc.canonical_url(warc.F.col("url")).alias("u")).collect()
+    assert [(r.url, r.u) for r in got] == [(r.url, r.form) for r in got]
+
+
+def test_only_full_responses_answer_and_repeated_records_answer_alike(spark):
+    rows = [(1, "a.org", 1, "response", "e", 200), (2, "a.org", 2, "response", "p", 206), (3, "a.org", 3, "response", "x", 404), (4, "a.org", 4, "revisit", "e", 304), (5, "a.org", 5, "response", "n", None), (6, "a.org", 6, "revisit", "n", 304), (7, "", 6, "revisit", "n", 304), (8, " ", 1, "response", "n", 200)]
+    rows = [(*r[:5], None, None, None, r[5]) for r in rows for _ in range(3)]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, etag string, last_modified string, digest string, headers map<string,string>, status int").repartition(5)
+    got = sorted((r.record_id, r.outcome, r.response_id) for r in warc.resolve(df, chunk=1, group=2).collect())
+    assert got == [(4, "resolved", 1)] * 3 + [(6, "resolved", 5)] * 3 + [(7, "no url or time", None)] * 3
+
+
+@pytest.mark.parametrize("group", [1, 2, 4096])
+def test_a_hot_url_over_many_chunks(spark, group):
+    rng = np.random.default_rng(1)
+    rows = [(k, "hot.org" if k % 3 else f"u{k % 50}.org", int(rng.integers(0, 3000)), "response" if rng.random() < 0.3 else "revisit", str(rng.integers(0, 2)), None, None, None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, etag string, last_modified string, digest string, headers map<string,string>").repartition(5)
+    got = {r.record_id: (r.outcome, r.response_id) for r in warc.resolve(df, chunk=7, group=group).collect()}
+    last = {}
+    for i, u, at, kind, tag, *_ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if kind == "response":
+            last[u] = (i, tag)
+        else:
+            found = last.get(u)
+            assert got[i] == (("no earlier response", None) if found is None else ("resolved", found[0]) if found[1] == tag else ("validator differs", None))
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 4096])
 def test_revisits(spark, chunk):
     h = {"Content-Type": "text/html", "Date": "d1", "ETag": "e", "X": "1"}
