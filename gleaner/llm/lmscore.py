@@ -2,7 +2,7 @@
 
 A target model is counted on the documents marked as wanted, a background model on all documents. Both
 are bigram models with the unigram model as prior, with the same smoothing and one vocabulary: all words
-of all documents, LEAST_WORDS at least. Words and pairs are known by 64-bit hashes, so counts are exact but
+of all documents, least_words at least (a parameter of score(): with fewer distinct words the prior is spread over this many). Words and pairs are known by 64-bit hashes, so counts are exact but
 for equal hashes (at 10 ** 9 distinct pairs 0.03 expected). Background counts are scaled to the target's
 number of words, so that the prior weighs alike in both. A document's score is the mean over its words of
 (target loss - background loss), in nats: below 0 it is more like the target.
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .shared import WORDS, WordHashes, lowered, mixed, pieces_of, settle
 
-#: Words that the prior spreads FLOOR over, at least.
+#: Words that the prior spreads FLOOR over, at least, unless score() is told otherwise.
 LEAST_WORDS = 1 << 18
+#: Text whose pairs meet in a range of hashes, about.
+RANGE = 64 << 20
 PRIOR, FLOOR, UNIT = 20.0, 0.5, float(1 << 24)
 HOT, SAMPLE_ROWS = 1 / 1000, 1000  # so at most 1000 hot words, whose numbers no hash of a word will be
 #: Text that a task sorts the words of at a time.
@@ -111,8 +113,10 @@ def _keys(word: np.ndarray, pair: np.ndarray, hot: np.ndarray) -> tuple[np.ndarr
 
 
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words, and of the pairs, that make more than a HOT part of those of some rows."""
-    rows = docs.select("text").filter(F.length("text") < PIECE // 60).limit(SAMPLE_ROWS).collect()
+    """Sorted hashes of the words, and of the pairs, that make more than a HOT part of those of some rows, about SAMPLE_ROWS from everywhere in
+    the table."""
+    n = docs.count()  # of a written table: from its files' footers
+    rows = docs.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=11).select("text").filter(F.length("text") < PIECE // 60).collect()
     word, pair, _ = words_of([r.text for r in rows])
     out = []
     for h in (word, pair):
@@ -138,11 +142,12 @@ class Totals:
     pairs: np.ndarray
     pair_counts: np.ndarray
     distinct: int
+    least_words: int = LEAST_WORDS
 
     def __post_init__(self) -> None:
         n, m = self.words.tolist()
         self.scale = (1.0, n / m if n and m else 1.0)
-        self.floor = [k * s + FLOOR * max(LEAST_WORDS, self.distinct) for k, s in zip((n, m), self.scale)]
+        self.floor = [k * s + FLOOR * max(self.least_words, self.distinct) for k, s in zip((n, m), self.scale)]
         self.start = [float(np.log(k * s + PRIOR)) for k, s in zip(self.starts.tolist(), self.scale)]
 
     def pair_loss(self, m: int, own: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -162,7 +167,7 @@ def _marked(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, more
     return settle(rows if more is None else rows.unionByName(more.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(2).alias("part"))), "op5-marked")
 
 
-def totals(marked: DataFrame, ranges: int) -> Totals:
+def totals(marked: DataFrame, ranges: int, least_words: int = LEAST_WORDS) -> Totals:
     hot, pairs = _hot(marked)
     width = 2 + len(hot) + len(pairs)
 
@@ -199,16 +204,17 @@ def totals(marked: DataFrame, ranges: int) -> Totals:
     counted = marked.select("text", "part").mapInArrow(tally, "range long, packed binary").groupBy("range").applyInArrow(summed, "key long, target long, background long")
     rows = {r.key: (r.t, r.b) for r in counted.groupBy("key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect()}  # 2 / HOT at most, and three
     sums = np.array([rows.get(k, (0, 0)) for k in range(width)], np.int64).T
-    return Totals(sums[:, 0], sums[:, 1], hot, sums[:, 2 : 2 + len(hot)], pairs, sums[:, 2 + len(hot) :], rows.get(-1, (0, 0))[0])
+    return Totals(sums[:, 0], sums[:, 1], hot, sums[:, 2 : 2 + len(hot)], pairs, sums[:, 2 + len(hot) :], rows.get(-1, (0, 0))[0], least_words)
 
 
-def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, n_words, target_loss, background_loss, score) for every row of docs, and of more: documents that are scored
     but not counted. wanted: a table of ids of docs."""
     kind = dict(docs.dtypes)[id_col]
     marked = _marked(docs, wanted, id_col, text_col, more)
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = totals(marked, ranges)
+    size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # so that a range's memory doesn't grow with the input
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    known = totals(marked, ranges, least_words)
     head = f"range long, chunk long, ids array<{kind}>, sizes array<long>, sums array<long>, packed binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
