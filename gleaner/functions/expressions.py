@@ -59,6 +59,13 @@ def interaction_pairs(weights: np.ndarray, tol: float, self_interacting: bool =
     return [p for p, w in zip(pairs, weights[dim:]) if abs(w) > tol]
 
 
+def pairs_over(weights: Column | str, dim: int, tol: float, self_interacting: bool = False) -> Column:
+    """The same for a column of weights: array of struct(i, j) whose weight is over tol."""
+    pairs = [(i, i) for i in range(dim)] * self_interacting + list(combinations(range(dim), 2))
+    named = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.abs(F.get(_c(weights), F.lit(dim + k))).alias("w")) for k, (i, j) in enumerate(pairs)))
+    return F.transform(F.filter(named, lambda p: p["w"] > tol), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j")))
+
+
 def category(block: Column | str) -> Column:
     """A one-hot block's category number; the first of equal maxima."""
     return (F.array_position(_c(block), F.array_max(_c(block))) - 1).cast("long")

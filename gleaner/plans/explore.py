@@ -99,32 +99,53 @@ def evaluate(passed: DataFrame) -> DataFrame:
     return sums.select("run", "tp", "fp", "tn", "fn", ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("fscore"))
 
 
-def explore_many(pool: DataFrame, truth: DataFrame, runs: list[Run], rounds: int, k: int = 1) -> DataFrame:
+def _first_of_each(truth: DataFrame, seed: int) -> DataFrame:
+    return sampling.stratified(truth, 1, 1, seed)
+
+
+def explore_many(pool: DataFrame, truth: DataFrame, runs: list[Run], rounds: int, k: int = 1, sampler: Callable[[DataFrame, int], DataFrame] = _first_of_each, noise: Callable[[DataFrame], DataFrame] | None = None, measures: dict[str, Callable[[dict], float]] | None = None, stop: Callable[[dict], bool] | None = None) -> DataFrame:
     """(learner, run, iter, key, value, seq, callback_time): the log of many explorations side by side, each with its own labels, from one row of either class
     on. Every round is one pass over the pool for all runs together: it evaluates each run's model and picks the k rows that it asks next. Labels are
-    a few rows a run and stay with the driver, as do counts and picks; rows of the pool don't."""
+    a few rows a run and stay with the driver, as do counts and picks; rows of the pool don't.
+
+    Its parts can be replaced. sampler: (truth, seed) -> the rows (id, label) that a run starts from. noise: labels (id, label) as they are asked ->
+    labels as they are learnt. measures: further scores by name, of a run's scores so far (tp, fp, tn, fn, accuracy, ...). stop: of all scores of a
+    round, whether the run ends with it."""
+    said = noise or (lambda asked: asked)
     labels: list[dict] = []
     for run in runs:
-        first = sampling.stratified(truth, 1, 1, run.seed).select("id", "label").join(pool.select("id", "x"), "id").collect()
+        first = said(sampler(truth, run.seed).select("id", "label")).join(pool.select("id", "x"), "id").collect()
         labels.append({r.id: (r.x, float(r.label)) for r in first})
-    log = []
+    log, going = [], list(range(len(runs)))
     for iteration in range(rounds + 1):
+        if not going:
+            break
         models = []
-        for run, own in zip(runs, labels):
-            ids = sorted(own)
-            models.append((run.fit(np.array([own[i][0] for i in ids], float), np.array([own[i][1] for i in ids])), run.seed, set(own)))
+        for r in going:
+            ids = sorted(labels[r])
+            models.append((runs[r].fit(np.array([labels[r][i][0] for i in ids], float), np.array([labels[r][i][1] for i in ids])), runs[r].seed, set(ids)))
         passed = scoring_pass(pool, truth, models, k if iteration < rounds else 0).persist()
         try:
-            scores = evaluate(passed).collect()
+            scores = {r.run: r.asDict() for r in evaluate(passed).collect()}
             place = F.row_number().over(Window.partitionBy("run").orderBy("rank", "h", "id"))
-            picks = passed.filter("id is not null").withColumn("place", place).filter(F.col("place") <= k).select("run", "id", "label", "x").collect()
+            picked = passed.filter("id is not null").withColumn("place", place).filter(F.col("place") <= k).select("run", "id", "label", "x")
+            if noise is not None:
+                picked = picked.drop("label").join(said(picked.select("id", "label").distinct()).select("id", "label"), "id")
+            picks = picked.select("run", "id", "label", "x").collect()
         finally:
             passed.unpersist()
-        for r in sorted(scores):
-            for key in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "fscore"):
-                log.append((runs[r.run].learner, runs[r.run].name, iteration, key, float(r[key]), len(log), 0.0))
         for r in picks:
-            labels[r.run][r.id] = (r.x, r.label)
+            labels[going[r.run]][r.id] = (r.x, float(r.label))
+        ended = set()
+        for m, r in enumerate(going):
+            values = {key: float(scores[m][key]) for key in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "fscore")}
+            for name, measure in (measures or {}).items():
+                values[name] = float(measure(values))
+            for key, value in values.items():
+                log.append((runs[r].learner, runs[r].name, iteration, key, value, len(log), 0.0))
+            if stop is not None and stop(values):
+                ended.add(r)
+        going = [r for r in going if r not in ended]
     return pool.sparkSession.createDataFrame(log, "learner string, run string, iter int, key string, value double, seq long, callback_time double")
 
 

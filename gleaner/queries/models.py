@@ -311,6 +311,15 @@ def attribute_relevance(spark, d):
     return w.select("p_brand", F.array("a", "b", "c").alias("w")).select("p_brand", *(r[i].alias(f"r{i}") for i in range(3)))
 
 
+@query("""WITH w AS (SELECT p_brand, avg(p_size) - 25 AS a, avg(p_retailprice) / 100 - 10 AS b, count(*) / 10 AS c FROM part GROUP BY 1)
+SELECT p_brand, array_to_string(list_filter([CASE WHEN abs(a) > 1 THEN '0-1' END, CASE WHEN abs(b) > 1 THEN '0-2' END, CASE WHEN abs(c) > 1 THEN '1-2' END], lambda v: v IS NOT NULL), ' ') AS pairs FROM w""")
+def interaction_decode(spark, d):
+    """Pairs of three attributes whose weight is over a tolerance, for a model a brand."""
+    w = table(spark, d, "part").groupBy("p_brand").agg((F.avg("p_size") - 25).alias("a"), (F.avg("p_retailprice") / 100 - 10).alias("b"), (F.count(F.lit(1)) / 10).alias("c"))
+    weights = F.array(F.lit(9.0), F.lit(9.0), F.lit(9.0), "a", "b", "c")  # those of the attributes themselves come first
+    return w.select("p_brand", F.array_join(F.transform(X.pairs_over(weights, 3, 1.0), lambda p: F.concat(p["i"].cast("string"), F.lit("-"), p["j"].cast("string"))), " ").alias("pairs"))
+
+
 @query("""WITH s AS (SELECT DISTINCT items FROM (SELECT user_id, list_sort(list(DISTINCT k::INT)) AS items FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, dense_rank() OVER (ORDER BY event_type) - 1 AS k FROM events) WHERE r <= 1 + user_id % 3 GROUP BY 1))
 SELECT array_to_string(items, ',') AS attributes FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items))""")
 def factorization_sets(spark, d):
@@ -470,6 +479,20 @@ def entropy_reduction(spark, d):
     return blocks.entropy_reduction(vectors(spark, d), space, reference).select("id", r6(F.col("rank"), "rank"))
 
 
+@query(SQL + """, v AS (SELECT id, h, [0.5 - x0 + 0.2 * x1 > 0, -0.3 + 0.7 * x0 - 0.5 * x1 > 0, 0.2 - 0.4 * x0 - 0.1 * x1 > 0, 0.8 - 0.9 * x0 - 0.6 * x1 > 0] AS says FROM pool),
+p AS (SELECT id, says, abs(len(list_filter(says, lambda s: s)) / 4 - 0.5) AS cut FROM v), best AS (SELECT min(cut) AS least FROM p), refs AS (SELECT says AS r FROM v WHERE id IN (SELECT id FROM lab)),
+sides AS (SELECT DISTINCT says, side, [i FOR i IN [1, 2, 3, 4] IF says[i] = side] AS who FROM p, best, (VALUES (true), (false)) t(side) WHERE cut = least),
+shares AS (SELECT says, side, len(who) AS size, len([i FOR i IN who IF r[i]]) / len(who) AS s FROM sides, refs WHERE len(who) > 0),
+e AS (SELECT says, side, any_value(size) / 4 * avg(CASE WHEN s > 0 AND s < 1 THEN -s * ln(s) - (1 - s) * ln(1 - s) ELSE 0 END) AS e FROM shares GROUP BY 1, 2), t AS (SELECT says, sum(e) AS e FROM e GROUP BY 1)
+SELECT id, CASE WHEN least = 0.5 THEN 0 WHEN cut = least THEN round(e, 6) END AS rank FROM p CROSS JOIN best LEFT JOIN t USING (says)""")
+def expected_entropy(spark, d):
+    """Entropy reduction by four given hypotheses over all events, the labelled ones as reference; null where a row cuts the space less evenly."""
+    h = np.column_stack([HYPOTHESES[0], HYPOTHESES[1]])
+    reference = np.array([r.x for r in first_rows(pool(spark, d), 60).select("x").collect()])
+    ranked = blocks.entropy_reduction(pool(spark, d), blocks.VersionSpace(h), reference)
+    return ranked.select("id", F.when(F.col("rank") < float("inf"), F.round("rank", 6)).alias("rank"))
+
+
 #: A posterior over (bias, x[1], x[2]): mode, and the diagonal of its precision.
 MODE, PRECISION = [0.2, 3.0, -2.0], [4.0, 2.0, 1.0]
 
@@ -826,3 +849,16 @@ def learner_runs(spark, d):
     truth = p.select("id", F.col("y").alias("label"), "partial")
     runs = [explore.Run(name, fit, seed) for name, fit in (("nearest", Steady), ("first", SteadyFirst)) for seed in (7, 8, 9)]
     return metrics.learning_curves(explore.explore_many(p, truth, runs, 1), ["fscore", "tp"]).select("learner", "iter", r6(F.col("fscore"), "fscore"), r6(F.col("tp"), "tp"))
+
+
+@query(SQL + """, f AS (FROM (SELECT * FROM pool WHERE y = 1 ORDER BY id LIMIT 1) UNION ALL FROM (SELECT * FROM pool WHERE y = 0 ORDER BY id LIMIT 1)), m AS (SELECT avg(x0) FILTER (WHERE y = 1) AS a0, avg(x1) FILTER (WHERE y = 1) AS a1, avg(x0) FILTER (WHERE y = 0) AS b0, avg(x1) FILTER (WHERE y = 0) AS b1 FROM f),
+p AS (SELECT y, 1 / (1 + exp((x0 - b0) ** 2 + (x1 - b1) ** 2 - (x0 - a0) ** 2 - (x1 - a1) ** 2)) > 0.5 AS yes FROM pool, m) SELECT 0 AS iter, round(count(*) FILTER (WHERE yes AND y = 1) / count(*) FILTER (WHERE yes OR y = 1), 6) AS jaccard, count(*) FILTER (WHERE yes AND y = 0)::DOUBLE AS fp FROM p""")
+def custom_exploration(spark, d):
+    """Own sampler (least ids), noise (every label turned round), measure and stop rule (after the first round)."""
+    p = pool(spark, d)
+    truth = p.select("id", F.col("y").alias("label"))
+    least = lambda rows, seed: rows.filter("label = 1").orderBy("id").limit(1).unionByName(rows.filter("label = 0").orderBy("id").limit(1))
+    turned = lambda asked: asked.withColumn("label", 1 - F.col("label"))
+    jaccard = lambda v: v["tp"] / (v["tp"] + v["fp"] + v["fn"])
+    log = explore.explore_many(p, truth, [explore.Run("nearest", Steady, SEED)], 5, 1, least, turned, {"jaccard": jaccard}, lambda v: v["jaccard"] >= 0)
+    return metrics.learning_curves(log, ["jaccard", "fp"]).select("iter", r6(F.col("jaccard"), "jaccard"), "fp")

@@ -198,3 +198,28 @@ def test_chains_that_have_mixed_and_chains_that_have_not(spark):
     assert abs(got[1] - np.sqrt((0.99 * within + between / 100) / within)) < 1e-9
     with pytest.raises(ValueError):
         blocks.stacked(spark.createDataFrame(mixed, "chain long, draw int, w array<double>"), most=10)
+
+
+def test_runs_that_stop_labels_that_are_noisy_and_own_measures(spark):
+    from gleaner.queries.models import Steady
+
+    rng = np.random.default_rng(10)
+    x = rng.random((200, 2))
+    y = (x[:, 0] < 0.5).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y))], "id long, x array<double>, label double").repartition(3)
+    least = lambda rows, seed: rows.filter("id < 30")
+    learnt = []
+
+    def fit(a, b):
+        learnt.append((a, b))
+        return Steady(a, b)
+
+    log = explore.explore_many(df, df, [explore.Run("a", fit, 1), explore.Run("b", fit, 2)], 3, 2, least, lambda asked: asked.withColumn("label", 1 - F.col("label")), {"wrong": lambda v: v["fp"] + v["fn"]}, lambda v: v["wrong"] < 0).collect()
+    assert len(learnt) == 8 and [len(a) for a, _ in learnt] == [30, 30, 32, 32, 34, 34, 36, 36]
+    for a, b in learnt:
+        assert (b == 1 - (a[:, 0] < 0.5)).all()  # also those that were asked later
+    assert {(r.run, r.iter) for r in log} == {(f"{n}:{s}", i) for n, s in (("a", 1), ("b", 2)) for i in range(4)}
+    values = {(r.run, r.iter, r.key): r.value for r in log}
+    assert all(values[run, i, "wrong"] == values[run, i, "fp"] + values[run, i, "fn"] for run in ("a:1", "b:2") for i in range(4))
+    stopped = explore.explore_many(df, df, [explore.Run("a", Steady, 1), explore.Run("b", Steady, 2)], 3, 1, least, stop=lambda v: v["accuracy"] > 0.5).collect()
+    assert {(r.run, r.iter) for r in stopped} == {("a:1", 0), ("b:2", 0)}
