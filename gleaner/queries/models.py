@@ -790,10 +790,16 @@ def dual_space_draw(spark, d):
     return ask.select("id", F.lit(0.5).alias("label"), F.lit(True).alias("asked")).unionByName(cache.select("id", "label", F.lit(False).alias("asked")))
 
 
-@query("""WITH p AS (SELECT DISTINCT floor((l_quantity - 1) / 10)::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2 FROM lineitem), b AS (SELECT min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1, min(x2) AS a2, max(x2) AS b2 FROM p)
-SELECT round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM p, b WHERE (x0 = a0 OR x0 = b0) AND (x1 = a1 OR x1 = b1) AND (x2 = a2 OR x2 = b2)""")
+@query("""WITH p AS (SELECT DISTINCT floor((l_quantity - 1) / 10)::BIGINT AS x, round(l_discount * 100)::BIGINT AS y, round(l_tax * 100)::BIGINT AS z FROM lineitem),
+ends AS (SELECT *, z IN (min(z) OVER xy, max(z) OVER xy) AND y IN (min(y) OVER xz, max(y) OVER xz) AND x IN (min(x) OVER yz, max(x) OVER yz) AS e FROM p WINDOW xy AS (PARTITION BY x, y), xz AS (PARTITION BY x, z), yz AS (PARTITION BY y, z)),
+c AS MATERIALIZED (SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) AS i FROM ends WHERE e),
+t AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, (b.y - a.y) * (d.z - a.z) - (b.z - a.z) * (d.y - a.y) AS nx, (b.z - a.z) * (d.x - a.x) - (b.x - a.x) * (d.z - a.z) AS ny, (b.x - a.x) * (d.y - a.y) - (b.y - a.y) * (d.x - a.x) AS nz FROM c a JOIN c b ON a.i < b.i JOIN c d ON b.i < d.i),
+faces AS (SELECT nx, ny, nz, ax, ay, az FROM t, c WHERE nx <> 0 OR ny <> 0 OR nz <> 0 GROUP BY ALL HAVING max(nx * (x - ax) + ny * (y - ay) + nz * (z - az)) <= 0 OR min(nx * (x - ax) + ny * (y - ay) + nz * (z - az)) >= 0),
+planes AS MATERIALIZED (SELECT DISTINCT i, round(abs(nx) / g, 9) AS u, round(ny * s / g, 9) AS v, round(nz * s / g, 9) AS w FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS g, CASE WHEN nx <> 0 THEN sign(nx) WHEN ny <> 0 THEN sign(ny) ELSE sign(nz) END AS s FROM faces) JOIN c ON nx * (x - ax) + ny * (y - ay) + nz * (z - az) = 0)
+SELECT x::DOUBLE AS x0, round(y / 100, 6) AS x1, round(z / 100, 6) AS x2 FROM c WHERE EXISTS (SELECT 1 FROM planes k JOIN planes l ON k.i = l.i JOIN planes m ON k.i = m.i WHERE k.i = c.i AND abs(k.u * (l.v * m.w - l.w * m.v) - k.v * (l.u * m.w - l.w * m.u) + k.w * (l.u * m.v - l.v * m.u)) > 1e-6)""")
 def convex_hull_3d(spark, d):
-    """Vertices of the hull of all line items' quantity by tens, discount and tax: every combination of extremes occurs, so these are the vertices."""
+    """Vertices of the hull of all line items' quantity by tens, discount and tax. The SQL, in whole numbers: planes through three points with all others
+    on one side; a vertex lies in three of them that meet in a point."""
     t = table(spark, d, "lineitem").select(F.array(F.floor((F.col("l_quantity") - 1) / 10).cast("double"), *(F.col(c).cast("double") for c in ("l_discount", "l_tax"))).alias("x"))
     v = P.hull_vertices(t.distinct(), 3)
     return v.select(*(r6(F.col("x")[k], f"x{k}") for k in range(3)))
