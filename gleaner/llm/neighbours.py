@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (operator 13): the best cosines of a stated query set against all rows.
 
 A block matrix join. Vectors are normalised and quantised to int8 with one step a vector. Query rows are dealt into blocks of
-QUERY_ROWS, all rows into stripes of STRIPE_ROWS (longer ones beyond STRIPES stripes, so that partial answers stay few); each
+QUERY_ROWS (fewer of many dimensions), all rows into stripes of STRIPE_ROWS (longer ones beyond STRIPES stripes, so that partial answers stay few); each
 pair of a block and a stripe is one unit of work, which gets the block first and then reads its stripe batch by batch. A tile
 of int8 codes is multiplied (in float32, which holds these whole numbers exactly), which gives each cosine up to a known
 error: the codes' product times both steps differs from the cosine by no more than the norm of one coded vector times the
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import pieces_of, settle
 
 QUERY_ROWS, STRIPE_ROWS, STRIPES = 32_768, 8192, 4096
+#: Bytes of a block of queries, with their codes; of many dimensions a block has fewer rows.
+QUERY_BYTES = 256 << 20
 #: Rows of a tile: queries by candidates.
 TILE = 1024, 4096
 #: So many dimensions of products of int8 numbers are whole in float32 (127 * 127 * 1024 < 2^24).
@@ -151,13 +153,13 @@ def _met(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
                 yield from done()
                 key, held, block = now, [], None
             part = batch.slice(a, b - a)
-            ids, x = part.column(4).to_numpy(), _matrix(part.column(5))
             if not candidate:
-                held.append((ids, x))
+                held.append((part.column(4).to_numpy(), _matrix(part.column(5))))
             elif held or block is not None:
                 if block is None:
                     block, held = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k), []
-                block.meet(ids, x)
+                for piece in pieces_of(part):
+                    block.meet(piece.column(4).to_numpy(), _matrix(piece.column(5)))
     yield from done()
 
 
@@ -173,11 +175,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "v
     candidates = settle(once.withColumn("place", place).filter(F.col("place") <= k + 1).select("dim", "id", "x"), "op13-candidates")
     asked = once.filter("asks").select("dim", "id", "x")
 
-    def counts(of: DataFrame, each: int, most: int | None, name: str) -> DataFrame:
+    def counts(of: DataFrame, each: Column, most: int | None, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / each)
         return of.groupBy("dim").agg((n if most is None else F.least(n, F.lit(most))).cast("int").alias(name))
 
-    shape = counts(asked, query_rows, None, "blocks").join(counts(candidates, stripe_rows, STRIPES, "stripes"), "dim")
+    in_block = F.least(F.lit(query_rows), F.greatest(F.lit(1), F.floor(QUERY_BYTES / (20 * F.col("dim")))))
+    shape = counts(asked, in_block, None, "blocks").join(counts(candidates, F.lit(stripe_rows), STRIPES, "stripes"), "dim")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     left = asked.join(shape, "dim").select("dim", deal("blocks", 1).alias("block"), every("stripes").alias("stripe"), F.lit(0).alias("side"), "id", "x")
