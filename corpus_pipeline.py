@@ -76,7 +76,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens, and digests of the ids and of the text decoded from them, of every row."""
+    """Number of tokens, and digests of the ids and of the text decoded from them, of every row: a null or empty text has no tokens; rows without
+    an id and repeated rows are encoded like any other."""
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
 
 
