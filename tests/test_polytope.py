@@ -5,6 +5,7 @@ import pytest
 
 from gleaner.operators import polytope as P
 
+#: Points of hand-made cases, here and below.
 DIAMOND = np.array([[0, 1], [-1, 0], [0, -1], [1, 0], [0, 0], [0.5, 0], [-0.5, 0], [0, 0.5], [0, -0.5]], float)
 
 
