@@ -112,11 +112,16 @@ def _keys(word: np.ndarray, pair: np.ndarray, hot: np.ndarray) -> tuple[np.ndarr
     return np.where(there, (pair << np.uint64(16)) | (pair >> np.uint64(48)), word), np.where(there, at.astype(np.uint64), word)
 
 
+def _part(docs: DataFrame) -> DataFrame:
+    """Some files of a written table, from all over it, whose rows an id's hash has dealt; a table of no files as it is."""
+    files = sorted(docs.inputFiles())
+    return docs.sparkSession.read.schema(docs.schema).parquet(*files[:: max(1, len(files) // 4)][:4]) if files else docs
+
+
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words, and of the pairs, that make more than a HOT part of those of some rows, about SAMPLE_ROWS from everywhere in
-    the table."""
-    n = docs.count()  # of a written table: from its files' footers
-    rows = docs.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=11).select("text").filter(F.length("text") < PIECE // 60).collect()
+    """Sorted hashes of the words, and of the pairs, that make more than a HOT part of those of some rows, about SAMPLE_ROWS."""
+    part = _part(docs)
+    rows = part.sample(min(1.0, SAMPLE_ROWS / max(part.count(), 1)), seed=11).select("text").filter(F.length("text") < PIECE // 60).collect()
     word, pair, _ = words_of([r.text for r in rows])
     out = []
     for h in (word, pair):
@@ -212,8 +217,9 @@ def score(docs: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", text_co
     but not counted. wanted: a table of ids of docs."""
     kind = dict(docs.dtypes)[id_col]
     marked = _marked(docs, wanted, id_col, text_col, more)
-    size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # so that a range's memory doesn't grow with the input
-    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    mean = _part(marked).agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
+    # As many as the text asks for, so that a range's memory doesn't grow with the input; rows are counted by the files' footers.
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(mean * marked.count() // RANGE) + 1)
     known = totals(marked, ranges, least_words)
     head = f"range long, chunk long, ids array<{kind}>, sizes array<long>, sums array<long>, packed binary"
 
