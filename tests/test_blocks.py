@@ -257,3 +257,23 @@ def test_partition_searches(spark):
         merges = [v for k, v in every.items() if len(k) == len(after) and all(any(set(p) <= set(q) for q in k) for p in before)]
         assert abs(b - min(merges)) < 1e-9
     assert max(map(len, factorized.greedy(spark, x, y, max_dim=2, blocks=1)[-1][0])) == 2
+
+
+def _near_nothing():
+    """Rows that the four hypotheses of the queries hardly tell from 0: hundredths and twenty-fourths."""
+    from gleaner.queries.models import HYPOTHESES
+
+    x = np.array([[v / 100 / 100, h / 24] for v in range(0, 20_000) for h in range(24)])
+    close = [np.abs(b + x @ np.array(w)) < 1e-12 for b, w in zip(*HYPOTHESES)]
+    said = np.column_stack([(b + x[:, 0] * w[0]) + x[:, 1] * w[1] > 0 for b, w in zip(*HYPOTHESES)])
+    return HYPOTHESES, x, np.any(close, axis=0), said
+
+
+def test_votes_of_blocks_are_summed_from_the_bias_on():
+    (biases, weights), x, close, said = _near_nothing()
+    space = blocks.VersionSpace(np.column_stack([biases, weights]))
+    assert close.any()
+    for rows in (slice(None), close, np.arange(7)):  # a product of blocks depends on how many rows there are
+        assert (space.votes(x[rows]) == said[rows]).all()
+    for k in np.flatnonzero(close):
+        assert (space.votes(x[k : k + 1]) == said[k]).all()
