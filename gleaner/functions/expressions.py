@@ -5,6 +5,7 @@ rest of the stage; more than TERMS terms in one model raise, for operators.block
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -159,9 +160,10 @@ def log1m_exp(x: Column) -> Column:
 
 
 def votes(x: Column | str, biases: list[float], weights: list[list[float]]) -> Column:
-    """Share of hypotheses with b + w . x > 0."""
+    """Share of hypotheses with b + w . x > 0, summed from the bias on."""
     within_terms(sum(map(len, weights)))
-    return total([F.when(dot(x, w) + F.lit(float(b)) > 0, 1.0).otherwise(0.0) for b, w in zip(biases, weights)]) / len(biases)
+    value = lambda b, w: reduce(lambda s, i: s + F.get(_c(x), F.lit(i)) * F.lit(float(w[i])), range(len(w)), F.lit(float(b)))
+    return total([F.when(value(b, w) > 0, 1.0).otherwise(0.0) for b, w in zip(biases, weights)]) / len(biases)
 
 
 def margins(x: Column | str, biases, weights) -> list[Column]:

@@ -277,3 +277,10 @@ def test_votes_of_blocks_are_summed_from_the_bias_on():
         assert (space.votes(x[rows]) == said[rows]).all()
     for k in np.flatnonzero(close):
         assert (space.votes(x[k : k + 1]) == said[k]).all()
+
+
+def test_votes_of_expressions_are_summed_from_the_bias_on(spark):
+    (biases, weights), x, close, said = _near_nothing()
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate(x[close].tolist())], "id int, x array<double>")
+    got = [r.p for r in rows.select("id", X.votes("x", biases, weights).alias("p")).orderBy("id").collect()]
+    assert got == said[close].mean(axis=1).tolist()
