@@ -154,12 +154,18 @@ def projection(dim: int, n_labels: int, margin: float, n_rows: int, delta: float
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], (dim, k)) / np.sqrt(k)
     columns = np.arange(1, k + 1, dtype=np.uint64)
 
+    def mixed(key: np.ndarray) -> np.ndarray:
+        """Every bit of a key in every bit of the result (round numbers differ in few of them)."""
+        key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return key ^ (key >> np.uint64(31))
+
     def work(x: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = np.ascontiguousarray(x).view(np.uint64).reshape(len(x), -1)
-            key = (h * (np.arange(h.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(3))).sum(axis=1)
+            h = np.ascontiguousarray(x + 0.0).view(np.uint64).reshape(len(x), -1)  # -0.0 and 0.0 are the same number
+            key = mixed(mixed(h + np.arange(1, h.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1))
             bits = (key[:, None] ^ (columns * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        sign = np.where(bits >> np.uint64(63), 1.0, -1.0)  # depends on the row and the dimension only
+        sign = np.where(bits >> np.uint64(63), 1.0, -1.0)  # depends on the row's numbers and the dimension only: equal rows share it
         return a * (x @ signs) + np.sqrt(1 - a * a) * sign / np.sqrt(k)
 
     return work

@@ -601,7 +601,7 @@ def random_projection(spark, d):
     lands = blocks.transform(refs.select(F.col("rid").alias("id"), F.col("z").alias("x")), work).select(F.col("id").alias("rid"), F.col("x").alias("pz"))
     both = blocks.transform(vectors(spark, d), work).withColumnRenamed("x", "px").join(vectors(spark, d).select("id", "x"), "id").crossJoin(F.broadcast(refs.join(lands, "rid")))  # eight rows
     product = X.dot_columns("x", "z")
-    kept = share * product + F.when(F.col("id") == F.col("rid"), 1 - share).otherwise(0.0)
+    kept = share * product + F.when(F.col("x") == F.col("z"), 1 - share).otherwise(0.0)  # a row, and its equals, share their signs
     return both.select("id", "ref", F.when(F.abs(X.dot_columns("px", "pz") - kept) <= eps, F.round(product, 6)).alias("product"))
 
 

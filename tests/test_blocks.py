@@ -284,3 +284,25 @@ def test_votes_of_expressions_are_summed_from_the_bias_on(spark):
     rows = spark.createDataFrame([(k, a) for k, a in enumerate(x[close].tolist())], "id int, x array<double>")
     got = [r.p for r in rows.select("id", X.votes("x", biases, weights).alias("p")).orderBy("id").collect()]
     assert got == said[close].mean(axis=1).tolist()
+
+
+def test_equal_rows_share_their_projection(spark, tmp_path):
+    from gleaner.queries import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(3)
+    x[::4] = x[0]  # ten rows are equal
+    x[0, 0], x[4, 0], x[8:40:4, 0] = 0.0, -0.0, 0.0
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = models.random_projection(spark, str(tmp_path)).collect()
+    assert len(got) == 320 and all(r["product"] is not None for r in got)
+
+
+def test_projections_of_round_numbers():
+    x = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8) if a or b or c], float)
+    x /= 2.0 ** np.ceil(np.log2(np.abs(x).max(axis=1, keepdims=True))) * 2  # numbers of few bits
+    x = np.unique(x, axis=0)
+    eps, share = 0.9 / (2 * (1 + 3**0.5)), 1 / (1 + 3**0.5)
+    z = blocks.projection(3, 3, 0.9, 2000, 0.1, 7)(x)
+    assert np.abs(z @ z.T - share * (x @ x.T) - (1 - share) * np.eye(len(x))).max() <= eps
