@@ -7,13 +7,13 @@ bounded by the product of both vectors' suffix norms, and pairs that can't reach
 before the next block; a tile with none left stops. What is left is decided on the given components, so a close call doesn't depend on how the
 axes were rounded.
 
-Tiles: comparing all tiles with all is quadratic, so rows meet in cells around centres, which are fitted on a
-bounded sample of SAMPLE rows. There is a centre for every CELL_ROWS rows, up to half of the sample; every row
-is indexed in its NEAREST cells, by the same rule at every size. Up to NEAREST
-cells a row is in all of them, so the search is exact. Two vectors at cosine 0.95 lie so close that they hardly ever share none of so many cells: README
-gives the recall against brute force, recall() measures it on any table. A pair that shares several cells is
-counted in the least of them. A cell of many rows is cut into slices and each pair of slices is a unit of work, so no
-cell is capped. Beyond CELL_ROWS * SAMPLE / 2 rows (33 million) cells grow, and so does the work in them.
+Tiles: rows meet in cells around centres, which are fitted on a bounded sample of SAMPLE rows, one for every CELL_ROWS
+rows, up to half of the sample. A row is at home in its nearest cell. If the home c of one row of a pair and the home h of
+the other differ, the other lies no farther behind the plane between c and h than the pair's distance, which the
+threshold bounds: q . (h - c) <= |q - p| |h - c|. So every row also visits each lower cell for which that holds, and no pair at the threshold is
+left out, however many cells there are. A cell's own rows are compared with each other and with its visitors, so
+a pair is counted once: in the lower of both homes. Own rows and visitors are cut into slices and each pair of slices is a unit of work, so no
+cell is capped. Rows in groups apart from each other visit few cells; rows without groups visit most of them, and then the work is that of all pairs.
 
 Exactly equal vectors are one class, combined before anything is compared, so a vector that a third of
 all rows hold is compared once. Of a unit's links only counts by row and a spanning forest leave it.
@@ -39,7 +39,7 @@ from .minhash import _Sets, _units
 from .neighbours import usable
 from .shared import settle
 
-SAMPLE, NEAREST, CELL_ROWS, SLICE, BLOCK = 65_536, 6, 1024, 8192, 16
+SAMPLE, CELL_ROWS, SLICE, BLOCK = 65_536, 8192, 8192, 16
 #: Bytes of the sample, and of its centres, at most: of more than 512 dimensions fewer rows are taken.
 SAMPLE_BYTES = 256 << 20
 
@@ -80,7 +80,7 @@ class Cells:
         count = max(1, min(-(-rows // CELL_ROWS), len(sample) // 2))
         self.centres = sample[:count].astype(np.float32)
         for _ in range(rounds if count > 1 else 0):
-            best = self.nearest(sample, 1)[:, 0]
+            best = self.nearest(sample)
             order = np.argsort(best, kind="stable")
             cuts = np.flatnonzero(np.diff(best[order], prepend=-1))
             sums = np.add.reduceat(sample[order], cuts)
@@ -88,13 +88,25 @@ class Cells:
             moved = best[order][cuts][norms[:, 0] > 1e-9]
             self.centres[moved] = (sums / np.maximum(norms, 1e-9))[norms[:, 0] > 1e-9]
 
-    def nearest(self, x: np.ndarray, most: int) -> np.ndarray:
-        """For each row its nearest cells, ascending."""
-        n, out = min(most, len(self.centres)), []
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """For each row its nearest cell."""
+        return np.concatenate([(x[at : at + 512].astype(np.float32) @ self.centres.T).argmax(axis=1) for at in range(0, len(x), 512)])
+
+    def visits(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each row, row and cell of each visit to a lower cell): rows of unit length at the threshold meet at the lower of their homes."""
+        chord, slack = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6, 5e-7 * (x.shape[1] + 8)  # centres and products are rounded
+        squares, homes, rows, to = (self.centres**2).sum(axis=1), [], [], []
         for at in range(0, len(x), 512):
-            away = -(x[at : at + 512].astype(np.float32) @ self.centres.T)
-            out.append(np.sort(np.argpartition(away, n - 1, axis=1)[:, :n], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, n), np.int64)
+            near = x[at : at + 512].astype(np.float32) @ self.centres.T
+            home = near.argmax(axis=1)
+            used, which = np.unique(home, return_inverse=True)
+            apart = np.sqrt(np.maximum(squares[used][:, None] + squares - 2 * self.centres[used] @ self.centres.T, 0) + 2 * slack)
+            behind = near[np.arange(len(near)), home][:, None] - near
+            row, cell = np.nonzero((behind <= chord * apart[which] + slack) & (np.arange(near.shape[1]) < home[:, None]))
+            homes.append(home)
+            rows.append(row + at)
+            to.append(cell)
+        return np.concatenate(homes), np.concatenate(rows), np.concatenate(to)
 
 
 def close_pairs(one: np.ndarray, two: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,32 +173,37 @@ def _compared(classes: DataFrame, dim: int, rows: int, cosine: float) -> DataFra
     taken = classes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(2, SAMPLE_BYTES // (8 * dim)))).collect() if rows > CELL_ROWS else classes.select("x").limit(1).collect()
     cells = Cells(_unit(np.array([r["x"] for r in taken])) @ axes, rows)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             u = _unit(_matrix(batch.column(2), dim))
-            near = cells.nearest(u @ axes, NEAREST)
-            width = near.shape[1]
-            copies = np.repeat(np.arange(len(u)), width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel(), pa.int64()), batch.column(0).take(pa.array(copies)), batch.column(1).take(pa.array(copies)), pa.array([near[k].tobytes() for k in copies], pa.binary()), pa.array([u[k].tobytes() for k in copies], pa.binary())],
-                ["cell", "id", "copies", "cells", "u"],
-            )
-
-    placed = settle(classes.select("id", "copies", "x").mapInArrow(place, "cell long, id long, copies long, cells binary, u binary"), f"op4-placed-{dim}")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
-    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
-    spread = placed.join(sizes, "cell").withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)))
-    dealt = spread.select(F.col("cell").alias("bucket"), F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "id", "copies", "cells", "u").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+            home, row, cell = cells.visits(u @ axes, cosine)
+            row, cell, own = np.concatenate([np.arange(len(u)), row]), np.concatenate([home, cell]), np.arange(len(home) + len(row)) < len(home)
+            for at in range(0, len(row) if whole else 0, 8192):
+                k = row[at : at + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell[at : at + 8192], pa.int64()), pa.array(own[at : at + 8192]), batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k)), pa.array([r.tobytes() for r in u[k]], pa.binary())],
+                    ["cell", "own", "id", "copies", "u"],
+                )
+            if not whole:
+                kinds, n = np.unique(cell * 2 + own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds // 2, pa.int64()), pa.array(np.where(kinds % 2, n, 0), pa.int64()), pa.array(np.where(kinds % 2, 0, n), pa.int64())], ["cell", "own", "visits"])
+
+    told = classes.select("id", "copies", "x")
+    sizes = told.mapInArrow(lambda batches: places(batches, False), "cell long, own long, visits long").groupBy("cell").agg(F.ceil(F.sum("own") / SLICE).cast("int").alias("at_home"), F.ceil(F.sum("visits") / SLICE).cast("int").alias("away"))
+    placed = told.mapInArrow(lambda batches: places(batches, True), "cell long, own boolean, id long, copies long, u binary").join(F.broadcast(settle(sizes, f"op4-sizes-{dim}").filter("at_home > 0")), "cell")  # a row a cell
+    part = F.xxhash64("id")
+    spread = placed.withColumn("slice", F.when(F.col("own"), F.pmod(part, F.col("at_home"))).otherwise(F.col("at_home") + F.pmod(part, F.col("away"))).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("at_home") + F.col("away")).otherwise(F.col("at_home")) - 1)))
+    dealt = spread.select(F.col("cell").alias("bucket"), F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "id", "copies", "u").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
             ids, copies = unit["id"].to_numpy(), unit["copies"].to_numpy()
             u = np.frombuffer(b"".join(unit["u"].to_pylist()), np.float64).reshape(-1, dim)
             y = u @ axes
-            near = np.frombuffer(b"".join(unit["cells"].to_pylist()), np.int64).reshape(len(ids), -1)
-            cell, apart = unit["bucket"][0].as_py(), unit["i"][0].as_py() != unit["j"][0].as_py()
+            apart = unit["i"][0].as_py() != unit["j"][0].as_py()
             side = unit["slice"].to_numpy() == unit["i"][0].as_py() if apart else np.ones(len(ids), bool)
             left, right = np.flatnonzero(side), np.flatnonzero(~side) if apart else np.arange(len(ids))
             links, a_all, b_all = np.zeros(len(ids), np.int64), [], []
@@ -197,12 +214,8 @@ def _compared(classes: DataFrame, dim: int, rows: int, cosine: float) -> DataFra
                 a, b = a[sure], b[sure]
                 if not apart:
                     a, b = a[a < b], b[a < b]
-                for k in range(0, len(a), 100_000):  # the least cell that both have counts the pair
-                    p, q = a[k : k + 100_000], b[k : k + 100_000]
-                    common = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
-                    first = np.where(common, near[p], np.iinfo(np.int64).max).min(axis=1) == cell
-                    a_all.append(p[first])
-                    b_all.append(q[first])
+                a_all.append(a)
+                b_all.append(b)
             if not a_all:
                 continue
             a, b = np.concatenate(a_all), np.concatenate(b_all)

@@ -47,3 +47,18 @@ def test_recall_leaves_odd_rows_out(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert embeddings.recall(df, embeddings.near_duplicates(df)) == 1.0
     assert embeddings.recall(df.limit(0), embeddings.near_duplicates(df.limit(0))) == 1.0
+
+
+@pytest.mark.parametrize("dim", [2, 24])
+def test_no_pair_of_a_dense_group_is_left_out(spark, monkeypatch, dim):
+    """Far more cells lie within the threshold's reach than a few nearest ones."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 8)
+    monkeypatch.setattr(embeddings, "SLICE", 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, dim)) if dim == 2 else np.ones(dim) + rng.normal(size=(600, dim)) * 0.23
+    x = np.concatenate([x, rng.normal(size=(200, dim))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = embeddings.near_duplicates(df)
+    links, component = brute(x, 0.95)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {k: (links[k], component[k]) for k in range(len(x))}
+    assert links.max() > 100
