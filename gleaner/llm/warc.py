@@ -52,16 +52,34 @@ def _without_dots(path: Column) -> Column:
     return F.when(~path.contains("/."), path).otherwise(F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
 
+def _bare(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
+
+
+PATH, QUERY = r"^[^/?]*([^?]*)", r"\?(.*)$"
+
+
+def _joined(bare: Column, path: Column, query: Column, tracking: str) -> Column:
+    """The canonical form of a bare URL with its decoded path and query."""
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www[0-9]*\.", ""), r":(80|443)$", ""), r"\.$", "")
+    path = F.regexp_replace(_without_dots(path), r"/+$", "")
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracking)))
+    tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.when(F.size(kept) > 0, F.lit("?")).otherwise(F.lit("")), F.array_join(kept, "&")))
+    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), tail)
+
+
 def canonical_url(url: Column, tracking: str = TRACKING) -> Column:
     """Host in lower case without www, default port and closing dot; path without fragment, dot segments and last slash; query without tracking
     parameters and in order; percent-encodings only where they are needed. Scheme and userinfo don't count. A blank URL is none (null)."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www[0-9]*\.", ""), r":(80|443)$", ""), r"\.$", "")
-    path = F.regexp_replace(_without_dots(_decoded(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1))), r"/+$", "")
-    query = _decoded(F.regexp_extract(bare, r"\?(.*)$", 1))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracking)))
-    whole = F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
-    return F.when(F.trim(url) != "", whole)
+    bare = _bare(url)
+    return F.when(F.trim(url) != "", _joined(bare, _decoded(F.regexp_extract(bare, PATH, 1)), _decoded(F.regexp_extract(bare, QUERY, 1)), tracking))
+
+
+def _with_canonical_url(rows: DataFrame) -> DataFrame:
+    """The same for rows that have a URL, in steps: what several places of the next step read is worked out once."""
+    cut = rows.withColumn("bare", _bare(F.col("url"))).withColumn("path", F.regexp_extract("bare", PATH, 1)).withColumn("query", F.regexp_extract("bare", QUERY, 1))
+    whole = cut.withColumn("path", _decoded(F.col("path"))).withColumn("query", _decoded(F.col("query"))).withColumn("url", F.coalesce(_joined(F.col("bare"), F.col("path"), F.col("query"), TRACKING), F.lit("")))  # never null, so nothing asks
+    return whole.drop("bare", "path", "query")
 
 
 def merged_headers(response: Column, revisit: Column) -> Column:
@@ -86,20 +104,19 @@ def resolve(records: DataFrame, *, chunk: int = 4096, group: int = GROUP) -> Dat
     answers = F.col("kind") == "response"
     if "status" in records.columns:
         answers = answers & (F.coalesce("status", F.lit(200)) == 200)
-    keyed = records.select(*facts, "at", "kind", answers.alias("answers"), canonical_url(F.col("url")).alias("url")).withColumn("chunk", F.floor(F.col("at") / length))
-    usable = F.col("url").isNotNull() & F.col("at").isNotNull()
+    keyed = records.select(*facts, "at", "kind", answers.alias("answers"), "url").withColumn("chunk", F.floor(F.col("at") / length))
+    usable = F.coalesce(F.trim("url") != "", F.lit(False)) & F.col("at").isNotNull()
     full = F.when(F.col("answers"), F.struct("at", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
-    known = keyed.filter(usable).withColumn("full", full)
-    ends = known.filter("full is not null").groupBy("url", "chunk").agg(F.max("full").alias("last"))
+    known = _with_canonical_url(keyed.filter(usable)).withColumn("full", full)
     # What a chunk starts with: the last response of any earlier chunk of the URL that has one. Only chunks with records have rows.
-    chunks = known.select("url", "chunk").distinct().join(ends, ["url", "chunk"], "left").withColumn("group", F.floor(F.col("chunk") / group))
+    chunks = known.groupBy("url", "chunk").agg(F.max("full").alias("last")).withColumn("group", F.floor(F.col("chunk") / group))
     before = lambda w: F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     groups = chunks.groupBy("url", "group").agg(F.max("last").alias("last")).withColumn("earlier", before(W.partitionBy("url").orderBy("group"))).select("url", "group", "earlier")
     inside = chunks.withColumn("carried", before(W.partitionBy("url", "group").orderBy("chunk")))
     starts = inside.join(groups, ["url", "group"]).select("url", "chunk", F.coalesce("carried", "earlier").alias("carried"))
     here = F.last("full", ignorenulls=True).over(W.partitionBy("url", "chunk").orderBy("at", "record_id").rowsBetween(W.unboundedPreceding, -1))
     placed = known.withColumn("here", here).filter(F.col("kind") == "revisit").join(starts, ["url", "chunk"]).withColumn("found", F.coalesce("here", "carried"))
-    lost = keyed.filter(~usable & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(placed.schema["found"].dataType))
+    lost = keyed.filter(~usable & (F.col("kind") == "revisit")).withColumn("url", canonical_url(F.col("url"))).withColumn("found", F.lit(None).cast(placed.schema["found"].dataType))
     columns = [*facts, "url", "at", "found"]
     every = placed.select(*columns).unionByName(lost.select(*columns))
     f = F.col("found")

@@ -205,3 +205,10 @@ def test_queries_against_sql(spark):
         assert sorted(names) == sorted(df.columns), name
         want = sorted(tuple(repr(r[names.index(c)]) for c in sorted(names)) for r in result.fetchall())
         assert sorted(tuple(repr(r[c]) for c in sorted(names)) for r in df.collect()) == want, name
+
+
+def test_revisits_read_their_records_few_times(spark):
+    """One join for what chunks start with, one for groups of chunks."""
+    pages = spark.createDataFrame([(k, f"http://a.com/{k % 3}", f"t{k}") for k in range(9)], "page_id long, url string, html string")
+    plan = warc.resolve(warc.captures(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") + plan.count("Join LeftOuter") == 2
